@@ -24,3 +24,11 @@ WITH d AS ({shingles('documents', 'doc_id')}), b AS ({shingles('benchmark', 'ite
 SELECT doc_id, item_id, n_item_shingles, count(*) AS n_shared
 FROM b JOIN d USING (s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, n_item_shingles HAVING 100 * count(*) >= 80 * n_item_shingles"""
+
+OP5 = f"""
+WITH RECURSIVE s AS ({shingles('documents', 'doc_id')}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     link AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id
+              GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+     reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b) AS component_id
+FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a"""

@@ -2,6 +2,7 @@
 
 from veritome.llm import oracles
 from veritome.llm.decontaminate import op10_decontaminate
+from veritome.llm.jaccard import op5_jaccard_join
 
-QUERIES = {"op10_decontaminate": op10_decontaminate}
-ORACLES = {"op10_decontaminate": oracles.OP10}
+QUERIES = {"op5_jaccard_join": op5_jaccard_join, "op10_decontaminate": op10_decontaminate}
+ORACLES = {"op5_jaccard_join": oracles.OP5, "op10_decontaminate": oracles.OP10}
