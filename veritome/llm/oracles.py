@@ -32,3 +32,67 @@ WITH RECURSIVE s AS ({shingles('documents', 'doc_id')}), n AS (SELECT doc_id, co
      reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
 SELECT a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b) AS component_id
 FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a"""
+
+_HOST = f"translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}')"
+_PATH = "regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+
+
+def op9(rules: list[tuple[str, str, str]]) -> str:
+    values = ", ".join(str(r) for r in rules)
+    return f"""
+    WITH r(host, path, verdict) AS (VALUES {values}), u AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
+         m AS (SELECT page_id, r.host || r.path AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r.host || r.path) DESC, r.host || r.path DESC) AS k
+               FROM u JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path))
+    SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN (SELECT page_id, rule, verdict FROM m WHERE k = 1) USING (page_id)"""
+
+
+OP1 = rf"""
+WITH a AS (SELECT page_id, md5(coalesce(html, '')) AS tag, strlen(coalesce(html, ''))::VARCHAR AS bytes,
+                  regexp_replace(regexp_replace(coalesce(url, ''), '(?s)#.*$', ''), '(?s)^[A-Za-z][A-Za-z0-9+.-]*://', '') AS t FROM pages),
+     b AS (SELECT page_id, tag, bytes, regexp_replace(regexp_replace(translate(regexp_extract(t, '(?s)^([^/?]*)', 1), '{UPPER}', '{LOWER}'), '^www\.', ''), ':(80|443)$', '') AS host,
+                  regexp_replace(regexp_extract(t, '(?s)^[^/?]*([^?]*)', 1), '/$', '') AS path,
+                  list_filter(string_split(regexp_extract(t, '(?s)^[^?]*\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_')) AS q FROM a),
+     c AS (SELECT page_id, tag, bytes, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END AS u, page_id * 1000 AS ts,
+                  CASE WHEN page_id % 7 = 0 THEN page_id * 1000 - 1 ELSE page_id * 1000 + 700000 END AS late FROM b),
+     j AS (SELECT r.page_id, r.u, r.late, r.tag, r.ts, arg_max(f.page_id, f.ts) AS source, arg_max(f.tag, f.ts) AS stored, arg_max(f.bytes, f.ts) AS bytes
+           FROM c r LEFT JOIN c f ON f.u = r.u AND f.ts < r.late GROUP BY ALL)
+SELECT page_id * 2 + 1 AS record_id, u AS canonical_url, late AS ts, source * 2 AS source_id,
+       CASE WHEN source IS NULL THEN 'no_response' WHEN stored = tag THEN 'resolved' ELSE 'mismatch' END AS outcome,
+       CASE WHEN stored = tag THEN 5 ELSE 0 END AS n_headers, CASE WHEN stored = tag THEN bytes END AS content_length,
+       CASE WHEN stored = tag THEN 'max-age=600' END AS cache_control, CASE WHEN stored = tag THEN (ts + 700000)::VARCHAR END AS date
+FROM j"""
+
+
+def op7(grid: dict, risk: float, confidence: float) -> str:
+    tests = sum(map(len, grid.values()))
+    cells = [(num, den, cut) for (num, den), cuts in grid.items() for cut in cuts]
+    counts = " UNION ALL ".join(f"SELECT stratum, '{num}' AS measure, {cut} AS cutoff, count(*) AS n, count(*) FILTER (1000 * {num} > {cut} * {den}) AS k FROM good GROUP BY stratum" for num, den, cut in cells)
+    rate = risk / len(grid)
+    rejected = " OR ".join(f"EXISTS (SELECT 1 FROM cut WHERE cut.stratum = m.stratum AND cut.measure = '{num}' AND 1000 * m.{num} > cut.cutoff * m.{den})" for num, den in grid)
+    blank = r"[\x20\x09-\x0D]"
+    return rf"""
+    WITH w AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, {words('text', lower=False)} AS ws,
+                      list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '{blank}', '', 'g') <> '') AS ls FROM documents),
+         p AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i, ws FROM w WHERE len(ws) >= 8),
+         g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 7], ' ')) AS times FROM p),
+         r AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS pos FROM g WHERE times > 1) GROUP BY doc_id),
+         m AS (SELECT w.doc_id, stratum, len(ws) AS n_words, length(regexp_replace(text, '{blank}', '', 'g')) AS word_chars,
+                      length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+                      coalesce(r.n, 0) AS n_repeat_words, len(ws) < 20 OR 100 * coalesce(r.n, 0) > 30 * len(ws) AS base_failed FROM w LEFT JOIN r USING (doc_id)),
+         good AS (SELECT m.* FROM m JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1) USING (doc_id) WHERE NOT base_failed),
+         c AS ({counts}),
+         t AS (SELECT c.*, (SELECT count(DISTINCT stratum) FROM good) AS strata,
+                      list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate}) + (n - i) * ln(1 - {rate})))) AS tail FROM c),
+         cut AS (SELECT stratum, measure, min(cutoff) AS cutoff FROM t WHERE k < n * {rate} AND tail <= {confidence} / (strata * {tests}) GROUP BY stratum, measure)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({rejected}) AS kept, n_lines FROM m"""
+
+
+OP8 = f"""
+WITH w AS (SELECT doc_id, {words('text', lower=False)} AS ws FROM documents),
+     p AS (SELECT doc_id, unnest(range(1, len(ws) - 33)) AS i, ws FROM w WHERE len(ws) >= 35),
+     g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY md5(array_to_string(ws[i:i + 34], ' '))) AS times FROM p),
+     r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS pos FROM g WHERE times > 1),
+     k AS (SELECT doc_id, list(pos) AS gone FROM r GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed,
+       sha256(CASE WHEN gone IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(gone, i)), ' '), '') END) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)"""
