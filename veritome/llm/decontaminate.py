@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veritome.llm.runtime import table, without_ids
 from veritome.llm.text import U64, pieces, shingle_sets, words_of
 
 BROADCAST_BYTES = 32 << 20
@@ -128,11 +129,8 @@ def _shuffled(docs: DataFrame, items: DataFrame, n: int, percent: int) -> DataFr
 
 def without_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of docs, by doc_id, that contain no item."""
-    found = contained_items(docs, items, **options).select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    return without_ids(docs, contained_items(docs, items, **options).select("doc_id"), options.get("doc_id", "doc_id"))
 
 
 def op10_decontaminate(spark, sf_dir):
-    from veritome.llm.runtime import table
-
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

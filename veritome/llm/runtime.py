@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,3 +28,14 @@ def partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: So many ids, of 8 bytes each, may be broadcast.
+IDS = 1_000_000
+
+
+def without_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key isn't in ids (one column): a broadcast up to IDS of them, else a shuffled join."""
+    ids = durable(ids.toDF("gone").distinct())
+    found = F.broadcast(ids) if ids.count() <= IDS else ids
+    return df.join(found, df[key].eqNullSafe(found["gone"]), "left_anti")
