@@ -8,8 +8,8 @@ Documents with equal sets form a class, known by a 64-bit fingerprint of the set
    shingles, so at most D of the parts that are not empty in one set differ in the other.  A set emits a signature for each
    part that is not empty, for its own range and the next one up.  With more than D such parts, one at least
    is equal in both sets and the two meet in a block; sets with fewer are "weak" and meet in a block of their own.
-2. In a block, one member is the hub: the one that shares most parts, so the source of near copies.  The links of
-   hubs are verified first, by the exact overlap of whole sets, and connect most blocks for good.
+2. In a block, one member is the hub: the one that shares most parts, so the source of near copies.  The pairs of
+   hubs that token bitmaps don't rule out are verified first, by the exact overlap of whole sets, and connect most blocks for good.
 3. Each block that still holds several components gets a signature tree.  Leaves are its members' token bitmaps;
    a node has the OR of its children's bitmaps, the range of their sizes, and the most tokens that any has beyond its bits.  Two nodes
    can share at most popcount(OR1 & OR2) + min(excess) tokens and at most the smaller of their largest sizes; a pair of nodes that
@@ -17,7 +17,8 @@ Documents with equal sets form a class, known by a 64-bit fingerprint of the set
    like the others.  Blocks above TILE members are cut into tiles, pairs of which are compared in tasks of their own.
 
 The bounds are exact, so no link between different sets is lost; a link within a component need not be looked at.
-Nothing but signatures (12 bytes for each) and the sets of documents that have a partner in a block is shuffled beside one pass of texts.
+Signatures take 12 bytes, bitmaps two to four bits a token, and whole sets are only made for documents in pairs that pass the bitmaps.  Their
+ids are broadcast up to IDS of them and joined by a shuffle beyond.
 
 Cases: null and blank texts have the empty set and link with nothing (their own id is the component); with fewer than n words the
 whole sequence is one shingle; repeated rows are kept, and so are null ids (ignored by the minimum); further
@@ -37,6 +38,7 @@ from veritome.llm.runtime import durable, partitions
 from veritome.llm.text import U64, mix, pieces, shingle_sets, words_of
 
 TILE = 4096
+IDS = 1_000_000
 _LEAF = 8
 
 
@@ -48,15 +50,33 @@ def _signed(values) -> np.ndarray:
     return np.asarray(values, dtype=U64).view(np.int64)
 
 
+def bitmap(values: np.ndarray) -> bytes:
+    """A token sets one bit of the smallest power of two, 64 at least, that is twice the number of tokens or more."""
+    power = max(6, int(2 * len(values) - 1).bit_length())
+    out = np.zeros(1 << power, dtype=bool)
+    out[mix(values) >> U64(64 - power)] = True
+    return np.packbits(out).tobytes()
+
+
+def folded(bitmaps: list[np.ndarray]) -> np.ndarray:
+    """Rows of the width of the narrowest: of wider ones, neighbouring bits are ORed."""
+    width, out = min(len(b) for b in bitmaps), []
+    for b in bitmaps:
+        if len(b) > width:
+            b = np.packbits(np.unpackbits(b).reshape(width * 8, -1).any(1))
+        out.append(b)
+    return np.stack(out).view(U64)
+
+
 def set_profile(docs: DataFrame, n: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, set_key) of docs (doc_id, text)."""
+    """(doc_id, n_shingles, set_key, bits) of docs (doc_id, text)."""
 
     def profile(batches):
         for piece in pieces(batches, "text"):
             sets = list(shingle_sets(words_of(piece.column(1), True), n))
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed([fingerprint(s) for s in sets]))], names=["doc_id", "n_shingles", "set_key"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed([fingerprint(s) for s in sets])), pa.array([bitmap(s) for s in sets], pa.binary())], names=["doc_id", "n_shingles", "set_key", "bits"])
 
-    return docs.mapInArrow(profile, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key long")
+    return docs.mapInArrow(profile, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key long, bits binary")
 
 
 class Ranges:
@@ -170,6 +190,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(_signed([fingerprint(s) for s in sets])), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "size", "shingles"])
 
     ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
+    ids = F.broadcast(ids) if wanted.count() <= IDS else ids
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
     found = texts.mapInArrow(shingles, "key long, size long, shingles binary")
     return found.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
@@ -189,16 +210,32 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             at = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
-    left = sets.select(F.col("key").alias("a"), F.col("size").alias("size_a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("key").alias("b"), F.col("size").alias("size_b"), F.col("shingles").alias("y"))
-    near = pairs.select("a", "b").join(left, "a").join(right, "b").where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-    return near.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return _paired(pairs, sets, "shingles").mapInArrow(check, "a long, b long")
+
+
+def _paired(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """pairs (a, b) with the columns of rows, by key, once for each: (a, b, x_.., y_..)."""
+    side = lambda key, mark: rows.select(F.col("key").alias(key), *(F.col(c).alias(f"{mark}_{c}") for c in columns))
+    return pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", *(f"{m}_{c}" for m in "xy" for c in columns))
+
+
+def likely(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and bitmaps, maps (key, size, bits), allow the similarity."""
 
+    def bound(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            p, q = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            need = -(-percent * (p + q) // (100 + percent))
+            for i, (x, y) in enumerate(zip(batch.column(3), batch.column(5), strict=True)):
+                both = folded([np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)])
+                ones = np.bitwise_count(both).sum(1)
+                keep[i] = int(np.bitwise_count(both[0] & both[1]).sum()) + min(p[i] - int(ones[0]), q[i] - int(ones[1])) >= need[i]
+            at = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
-def bitmap(values: np.ndarray, bits: int) -> np.ndarray:
-    out = np.zeros(bits, dtype=bool)
-    out[mix(values) >> U64(64 - (bits.bit_length() - 1))] = True
-    return np.packbits(out).view(U64)
+    sized = _paired(pairs, maps, "size", "bits").where(100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size"))
+    return sized.mapInArrow(bound, "a long, b long")
 
 
 class SignatureTree:
@@ -244,15 +281,13 @@ class SignatureTree:
         return np.stack([self.order[i], other.order[j]], 1) if len(i) else np.zeros((0, 2), np.int64)
 
 
-def tree_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def tree_pairs(members: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """members (block, key, component) of unresolved blocks -> pairs (a, b) of different components that the trees don't rule out."""
-    sized = members.join(sets.select("key", "size"), "key")
-    width = sized.groupBy("block").agg(F.max("size").alias("most"), F.ceil(F.count("*") / TILE).alias("tiles"))
-    tiled = sized.join(width, "block").withColumn("tile", F.pmod(F.xxhash64("key"), "tiles"))
-    low, high = F.least("tile", "other"), F.greatest("tile", "other")
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).withColumn("low", low).withColumn("high", high)
-
     found = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    tiles = members.groupBy("block").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    tiled = members.join(tiles, "block").withColumn("tile", F.pmod(F.xxhash64("key"), "tiles"))
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    tiled = tiled.select("block", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "key", "component")
 
     def compare(key, t):
         tile, across = t.column("tile").to_numpy(), key[1].as_py() != key[2].as_py()
@@ -260,16 +295,14 @@ def tree_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if not all(map(len, at)):
             return found.empty_table()
         keys, sizes, component = (t.column(x).to_numpy() for x in ("key", "size", "component"))
-        width = 1 << max(8, int(8 * t.column("most")[0].as_py() - 1).bit_length())  # about 8 bits a token
-        maps = np.stack([bitmap(np.frombuffer(x.as_buffer(), U64), width) for x in t.column("shingles")])
+        maps = folded([np.frombuffer(x.as_buffer(), np.uint8) for x in t.column("bits")])
         trees = [SignatureTree(maps[x], sizes[x], component[x]) for x in at]
         pairs = trees[0].pairs(trees[-1], percent)
         a, b = keys[at[0][pairs[:, 0]]], keys[at[-1][pairs[:, 1]]]
         swap = a.astype(U64) > b.astype(U64)
         return pa.table([pa.array(np.where(swap, b, a)), pa.array(np.where(swap, a, b))], schema=found)
 
-    full = tiled.select("block", "low", "high", "tile", "key", "component", "most").join(sets.select("key", "size", "shingles"), "key")
-    return full.groupBy("block", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+    return tiled.join(maps, "key").groupBy("block", "low", "high").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -280,18 +313,23 @@ def near_duplicate_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     classes = profile.where("n_shingles > 0").groupBy(F.col("set_key").alias("key")).agg(F.min("doc_id").alias("doc_id"))
     met = durable(blocks(docs, n, percent, largest))
     pairs = durable(met.where("members IS NULL").select("a", "b").distinct())
-    wanted = classes.join(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "key", "left_semi")
-    sets = durable(sets_of(docs, wanted, n))
-    links = durable(verified(pairs, sets, percent))
-    labels = connected_components(links)
+    keys = lambda pairs: pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    maps = profile.select(F.col("set_key").alias("key"), F.col("n_shingles").alias("size"), "bits").join(keys(pairs), "key", "left_semi")
+    maps = durable(maps.dropDuplicates(["key"]))
 
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = durable(pairs)
+        wanted = durable(classes.join(keys(pairs), "key", "left_semi"))
+        return durable(verified(pairs, durable(sets_of(docs, wanted, n)), percent))
+
+    links = linked(likely(pairs, maps, percent))
+    labels = connected_components(links)
     numbered = met.where("members IS NOT NULL").select("members").distinct().withColumn("block", F.xxhash64("members"))
     members = numbered.select("block", F.explode("members").alias("key")).join(labels.withColumnRenamed("node", "key"), "key", "left").select("block", "key", F.coalesce("component", "key").alias("component"))
     open_blocks = members.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("block")
-    members = durable(members.join(open_blocks, "block", "left_semi"))
-    more = durable(tree_pairs(members, sets, percent).join(pairs, ["a", "b"], "left_anti"))
+    more = durable(tree_pairs(members.join(open_blocks, "block", "left_semi"), maps, percent).join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        links = durable(links.union(verified(more, sets, percent)))
+        links = durable(links.union(linked(more)))
         labels = connected_components(links)
 
     labelled = classes.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
