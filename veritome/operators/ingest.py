@@ -71,11 +71,12 @@ def identity_from_filename(files: DataFrame, name: str = "name") -> DataFrame:
     triple = [F.substring(part(X.PUBLISHER_FILE, 3), i, 2).try_cast("int").cast("string") for i in (1, 3, 5)]
     published = F.struct(F.concat(F.upper(part(X.PUBLISHER_FILE, 1)), F.lit(" "), F.left(core, F.lit(2)), F.lit("."), F.substring(core, 3, 9)).alias("spec_id"), F.concat(F.lit("V"), triple[0], F.lit("."), triple[1], F.lit("."), triple[2]).alias("version"))
     number = part(X.OWN_FILE, 2)
-    own = F.struct(F.concat(F.upper(part(X.OWN_FILE, 1)), F.lit(" "), F.left(number, F.lit(2)), F.lit("."), F.substring(number, 3, 9)), F.concat(F.lit("V"), part(X.OWN_FILE, 3)))
+    named = lambda spec, version: F.struct(spec.alias("spec_id"), version.alias("version"))
+    own = named(F.concat(F.upper(part(X.OWN_FILE, 1)), F.lit(" "), F.left(number, F.lit(2)), F.lit("."), F.substring(number, 3, 9)), F.concat(F.lit("V"), part(X.OWN_FILE, 3)))
     parts = F.split(stem, "_")
     second = F.get(parts, F.lit(1))
-    generic = F.struct(F.concat(F.get(parts, F.lit(0)), F.lit(" "), F.left(second, F.lit(2)), F.lit("."), F.substring(second, 3, 99)), F.upper(F.get(parts, F.lit(2))))
-    chosen = F.when(stem.rlike(X.PUBLISHER_FILE), published).when(stem.rlike(X.OWN_FILE), own).when((F.size(parts) >= 3) & second.rlike(r"^\d+$"), generic).otherwise(F.struct(stem, F.lit("UNKNOWN")))
+    generic = named(F.concat(F.get(parts, F.lit(0)), F.lit(" "), F.left(second, F.lit(2)), F.lit("."), F.substring(second, 3, 99)), F.upper(F.get(parts, F.lit(2))))
+    chosen = F.when(stem.rlike(X.PUBLISHER_FILE), published).when(stem.rlike(X.OWN_FILE), own).when((F.size(parts) >= 3) & second.rlike(r"^\d+$"), generic).otherwise(named(stem, F.lit("UNKNOWN")))
     return files.withColumn("i", chosen).select(*files.columns, "i.spec_id", "i.version")
 
 

@@ -33,7 +33,7 @@ def parsed_pages(files: DataFrame, parse: Callable[[bytes], Iterator[str]]) -> D
 
 def html_pages(pages: DataFrame) -> DataFrame:
     """pages (page_id, html) -> (doc_id, page_number, text): scripts and styles go, block ends become line ends, tags go."""
-    text = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b[^>]*>.*?</\1>|<!--.*?-->", " ")
+    text = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->", " ")
     text = F.regexp_replace(text, r"(?i)<br\s*/?>|</(p|div|li|h[1-6]|tr|title|nav|article|ul)>", "\n")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", "")
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
