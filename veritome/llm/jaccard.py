@@ -8,7 +8,8 @@ Documents with equal sets form a class, known by a 64-bit fingerprint of the set
    shingles, so at most D of the parts that are not empty in one set differ in the other.  A set emits a signature for each
    part that is not empty, for its own range and the next one up.  With more than D such parts, one at least
    is equal in both sets and the two meet in a block; sets with fewer are "weak" and meet in a block of their own.
-2. In a block, one member is the hub: the one that shares most parts, so the source of near copies.  The pairs of
+   As K parts that are not empty leave at least K - D equal ones, a set that shares fewer with all others together has no partner and leaves its blocks.
+2. In a block, one member is the hub: the one that shares most parts over all blocks, so the source of near copies.  The pairs of
    hubs that token bitmaps don't rule out are verified first, by the exact overlap of whole sets, and connect most blocks for good.
 3. Each block that still holds several components gets a signature tree.  Leaves are its members' token bitmaps;
    a node has the OR of its children's bitmaps, the range of their sizes, and the most tokens that any has beyond its bits.  Two nodes
@@ -90,15 +91,13 @@ class Ranges:
         self.differing = 2 * (self.low[1:] - 1) * (100 - percent) // (100 + percent)
         self.parts = self.differing * 23 // 20 + 6
 
-    def signatures(self, values: np.ndarray) -> np.ndarray:
-        """Of one sorted set, for its own range and the next one."""
+    def signatures(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of one sorted set, for its own range and the next one; and for each its tag: the range, and how many parts at least a partner has in common."""
         own = int(np.searchsorted(self.low, len(values), side="right")) - 1
-        if own < 0:
-            return np.zeros(0, dtype=U64)
         total = np.empty(len(values) + 1, dtype=U64)
         total[0] = 0
         np.cumsum(mix(values), out=total[1:])
-        top, out = values >> U64(32), []
+        top, out, tags = values >> U64(32), [], []
         for r in (own, own + 1) if own + 1 < len(self.parts) else (own,):
             part = (top * U64(self.parts[r])) >> U64(32)
             start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
@@ -106,13 +105,16 @@ class Ranges:
             out.append(mix(sums + (part[start] << U64(12)) + U64(r)))
             if len(start) <= self.differing[r]:
                 out.append(mix(np.array([r + (1 << 60)], dtype=U64)))
-        return np.concatenate(out)
+            partner = min(int(self.low[r + 1]) - 1, len(values) * 100 // self.percent)
+            least = max(1, len(start) - (len(values) + partner) * (100 - self.percent) // (100 + self.percent))
+            tags.append(np.full(sum(map(len, out)) - sum(map(len, tags)), (r << 24) | min(least, (1 << 24) - 1), dtype=np.uint32))
+        return np.concatenate(out), np.concatenate(tags)
 
 
 def blocks(docs: DataFrame, n: int, percent: int, largest: int) -> DataFrame:
-    """Rows (a, b, members): a pair of classes, a hub and another of its block, to be verified, or else the members of a block of three or more."""
+    """Rows (members) for each different block, and rows (key, range, needed, shared): of a class in a range, how many parts others share, here and at least."""
     count = partitions(docs.sparkSession)
-    found = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("members", pa.list_(pa.int64()))])
+    found = pa.schema([("members", pa.list_(pa.int64())), ("key", pa.int64()), ("range", pa.int32()), ("needed", pa.int32()), ("shared", pa.int64())])
 
     def signatures(batches):
         ranges, last = Ranges(percent, largest), np.zeros(0, dtype=U64)
@@ -129,56 +131,47 @@ def blocks(docs: DataFrame, n: int, percent: int, largest: int) -> DataFrame:
             own = [ranges.signatures(parts[i]) for i in once]
             if not own:
                 continue
-            key, sig = np.repeat(keys[once], [len(x) for x in own]), np.concatenate(own)
+            key, sig, tag = np.repeat(keys[once], [len(x) for x, _ in own]), np.concatenate([x for x, _ in own]), np.concatenate([x for _, x in own])
             bucket = ((sig >> U64(32)) % U64(count)).astype(np.uint16 if count < 1 << 16 else np.uint32)
             order = np.argsort(bucket, kind="stable")
-            bucket, sig, key = bucket[order], sig[order].astype(np.uint32), key[order]
+            bucket, columns = bucket[order], (sig[order].astype(np.uint32), key[order], tag[order])
             start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             stop = np.r_[start[1:], len(bucket)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[start].astype(np.int32)), pa.array([sig[a:b].tobytes() for a, b in zip(start, stop, strict=True)], pa.binary()), pa.array([key[a:b].tobytes() for a, b in zip(start, stop, strict=True)], pa.binary())], names=["bucket", "sigs", "keys"])
+            cut = [pa.array([c[a:b].tobytes() for a, b in zip(start, stop, strict=True)], pa.binary()) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[start].astype(np.int32)), *cut], names=["bucket", "sigs", "keys", "tags"])
 
     def meet(table):
-        sig = np.concatenate([np.frombuffer(s.as_buffer(), np.uint32) for s in table.column("sigs")])
-        own = np.concatenate([np.frombuffer(k.as_buffer(), U64) for k in table.column("keys")])
+        sig, own, tag = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)]) for c, t in (("sigs", np.uint32), ("keys", U64), ("tags", np.uint32)))
         order = np.argsort(sig, kind="stable")
-        sig, own = sig[order], own[order]
-        equal = sig[1:] == sig[:-1]
-        several = np.r_[False, equal] | np.r_[equal, False]
-        sig, own = sig[several], own[several]
-        order = np.lexsort((own, sig))
-        sig, own = sig[order], own[order]
-        once = np.r_[True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])] if len(sig) else np.zeros(0, bool)
-        sig, own = sig[once], own[once]
-        start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
-        length = np.diff(np.r_[start, len(sig)])
-        start, length = start[length > 1], length[length > 1]
-        if not len(start):
+        equal = sig[order][1:] == sig[order][:-1]
+        order = order[np.r_[False, equal] | np.r_[equal, False]]
+        order = order[np.lexsort((own[order], sig[order]))]
+        sig, own, tag = sig[order], own[order], tag[order]
+        if not len(sig):
             return found.empty_table()
-        _, at, degree = np.unique(own, return_inverse=True, return_counts=True)
-        pairs, members, seen = [], [], set()
-        for a, k in zip(start.tolist(), length.tolist(), strict=True):
+        once = np.r_[True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])]
+        sig, own, tag = sig[once], own[once], tag[once]
+        start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        length = np.diff(np.r_[start, len(sig)])
+        met = np.repeat(length > 1, length)
+        order = np.lexsort((tag[met], own[met]))
+        key, tags = own[met][order], tag[met][order]
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tags[1:] != tags[:-1])]) if len(key) else np.zeros(0, np.int64)
+        shared = np.diff(np.r_[first, len(key)])
+        members, seen = [], set()
+        for a, k in zip(start[length > 1].tolist(), length[length > 1].tolist(), strict=True):
             group = own[a : a + k]
-            if k > 2:
-                mark = (k, int(mix(group).sum(dtype=U64)))
-                if mark in seen:
-                    continue
+            mark = group.tobytes() if k < 4 else (k, int(mix(group).sum(dtype=U64)))
+            if mark not in seen:
                 seen.add(mark)
                 members.append(_signed(group))
-                hub = group[int(np.argmax(degree[at[a : a + k]]))]
-                others = group[group != hub]
-                pairs.append(np.stack([np.minimum(others, hub), np.maximum(others, hub)], 1))
-            else:
-                pairs.append(group[None, :])
-        pairs = np.concatenate(pairs)
-        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-        pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(1)]]
-        columns = [_signed(pairs[:, x].copy()) for x in (0, 1)]
-        pairs = pa.table([*map(pa.array, columns), pa.nulls(len(pairs), pa.list_(pa.int64()))], schema=found)
-        nothing = pa.nulls(len(members), pa.int64())
-        return pa.concat_tables([pairs, pa.table([nothing, nothing, pa.array(members, pa.list_(pa.int64()))], schema=found)])
-
-    signed = docs.select("text").mapInArrow(signatures, "bucket int, sigs binary, keys binary")
-    return signed.groupBy("bucket").applyInArrow(meet, "a long, b long, members array<long>")
+        none = lambda n, t: pa.nulls(n, t)
+        lists = pa.table([pa.array(members, pa.list_(pa.int64())), *(none(len(members), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64()))], schema=found)
+        counts = pa.table([none(len(first), pa.list_(pa.int64())), pa.array(_signed(key[first])), pa.array((tags[first] >> 24).astype(np.int32)), pa.array((tags[first] & 0xFFFFFF).astype(np.int32)), pa.array(shared)], schema=found)
+        return pa.concat_tables([lists, counts])
+
+    signed = docs.select("text").mapInArrow(signatures, "bucket int, sigs binary, keys binary, tags binary")
+    return signed.groupBy("bucket").applyInArrow(meet, "members array<long>, key long, range int, needed int, shared long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -299,8 +292,7 @@ def tree_pairs(members: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
         trees = [SignatureTree(maps[x], sizes[x], component[x]) for x in at]
         pairs = trees[0].pairs(trees[-1], percent)
         a, b = keys[at[0][pairs[:, 0]]], keys[at[-1][pairs[:, 1]]]
-        swap = a.astype(U64) > b.astype(U64)
-        return pa.table([pa.array(np.where(swap, b, a)), pa.array(np.where(swap, a, b))], schema=found)
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=found)
 
     return tiled.join(maps, "key").groupBy("block", "low", "high").applyInArrow(compare, "a long, b long").distinct()
 
@@ -312,7 +304,12 @@ def near_duplicate_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     largest = profile.agg(F.max("n_shingles")).first()[0] or 0
     classes = profile.where("n_shingles > 0").groupBy(F.col("set_key").alias("key")).agg(F.min("doc_id").alias("doc_id"))
     met = durable(blocks(docs, n, percent, largest))
-    pairs = durable(met.where("members IS NULL").select("a", "b").distinct())
+    strong = met.where("members IS NULL").groupBy("key", "range").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed")).where("shared >= needed")
+    strong = durable(strong.groupBy("key").agg(F.max("shared").alias("weight")))
+    numbered = met.where("members IS NOT NULL").select("members").distinct().withColumn("block", F.xxhash64("members"))
+    members = durable(numbered.select("block", F.explode("members").alias("key")).join(strong, "key"))
+    hubs = members.groupBy("block").agg(F.max(F.struct("weight", "key")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("block", F.col("hub.key").alias("hub"))
+    pairs = durable(members.join(hubs, "block").where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct())
     keys = lambda pairs: pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     maps = profile.select(F.col("set_key").alias("key"), F.col("n_shingles").alias("size"), "bits").join(keys(pairs), "key", "left_semi")
     maps = durable(maps.dropDuplicates(["key"]))
@@ -324,8 +321,7 @@ def near_duplicate_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str
 
     links = linked(likely(pairs, maps, percent))
     labels = connected_components(links)
-    numbered = met.where("members IS NOT NULL").select("members").distinct().withColumn("block", F.xxhash64("members"))
-    members = numbered.select("block", F.explode("members").alias("key")).join(labels.withColumnRenamed("node", "key"), "key", "left").select("block", "key", F.coalesce("component", "key").alias("component"))
+    members = members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("block", "key", F.coalesce("component", "key").alias("component"))
     open_blocks = members.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("block")
     more = durable(tree_pairs(members.join(open_blocks, "block", "left_semi"), maps, percent).join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
