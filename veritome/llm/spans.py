@@ -78,7 +78,7 @@ def _dealt(bucket: np.ndarray, columns: list[np.ndarray], names: list[str]) -> p
     order = np.argsort(bucket, kind="stable")
     bucket, columns = bucket[order], [c[order] for c in columns]
     start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-    stop = np.r_[start[1:], len(bucket)]
+    stop = np.r_[start[1:], len(bucket)][: len(start)]
     return pa.RecordBatch.from_arrays([pa.array(bucket[start].astype(np.int32)), *(pa.array([c[a:b].tobytes() for a, b in zip(start, stop, strict=True)], pa.binary()) for c in columns)], names=["bucket", *names])
 
 
@@ -135,7 +135,7 @@ def repeated_anchors(texts: DataFrame, n: int) -> DataFrame:
         order = np.argsort(row, kind="stable")
         row, place = row[order], place[order]
         start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
-        stop = np.r_[start[1:], len(row)]
+        stop = np.r_[start[1:], len(row)][: len(start)]
         return pa.table({"row": pa.array(row[start].view(np.int64)), "places": pa.array([place[a:b].tobytes() for a, b in zip(start, stop, strict=True)], pa.binary())})
 
     dealt = texts.select("row", "text").mapInArrow(anchors, "bucket int, hashes binary, rows binary, places binary, sent binary")
@@ -188,7 +188,7 @@ def factors(texts: DataFrame, n: int = WORDS) -> DataFrame:
         row, start, source_row, source_start = row[keep], start[keep].astype(np.int64), source_row[keep], source_start[keep]
         new = np.r_[True, (row[1:] != row[:-1]) | (start[1:] > start[:-1] + 1)] if len(row) else np.zeros(0, bool)
         first = np.flatnonzero(new)
-        last = np.r_[first[1:], len(row)] - 1
+        last = np.r_[first[1:], len(row)][: len(first)] - 1
         return pa.table({"row": pa.array(row[first].view(np.int64)), "start": pa.array(start[first]), "stop": pa.array(start[last] + n), "source_row": pa.array(source_row[first].view(np.int64)), "source_start": pa.array(source_start[first].astype(np.int64))})
 
     binaries = ", ".join(f"{c} binary" for c in ("hashes", "rows", "starts", "hot", "sent", "source_rows", "source_starts"))
