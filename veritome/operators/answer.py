@@ -101,9 +101,9 @@ def answered(results: DataFrame, generate=extractive_responses, judge=agreement_
     The answer's prose is rebuilt from the claims that stay.  `elapsed` names a column of seconds used, for the two timeouts.
     """
     late = F.col(elapsed) > cfg.budget_seconds if elapsed else F.lit(False)
-    gate = results.withColumn("reason", F.when(~F.col("answerable"), "below_tau").when(late, "timeout_before_generation"))
+    gate = results.withColumn("reason", F.when(~F.col("answerable"), "below_tau").when(late, "timeout_before_generation")).persist()  # a row for each question, read by every stage
     open_rows = gate.where("reason IS NULL")
-    replies = parsed(generate(open_rows))
+    replies = parsed(generate(open_rows)).persist()
     claims = cited_claims(replies)
     sources = open_rows.select("query_id", F.inline("chunks")).select("query_id", "chunk_id", "text")
     checks = validated(claims, sources, known)

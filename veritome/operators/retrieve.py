@@ -48,9 +48,10 @@ def term_stats(posts: DataFrame, n_chunks: int, cfg: Config = DEFAULT) -> DataFr
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int | None = None, cfg: Config = DEFAULT, posts: DataFrame | None = None) -> DataFrame:
     """queries (query_id, question), chunks (chunk_id, text) -> (query_id, rank, chunk_id, score): Okapi BM25, ties by chunk_id, positive scores only.
 
-    The query's terms, few, are joined to the postings by term; a repeated query term counts each time.
+    The query's terms, few, are joined to the postings by term; a repeated query term counts each time.  The postings are read three times, so they are
+    persisted, to disk where memory is short; give a written table of them as posts for many searches.
     """
-    posts = posts if posts is not None else postings(chunks)
+    posts = posts if posts is not None else postings(chunks).persist()
     stats = corpus_stats(chunks).first()
     terms = term_stats(posts, stats["n_chunks"], cfg)
     asked = queries.select("query_id", F.explode(X.tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
