@@ -11,7 +11,7 @@ Documents with equal sets form a class, known by a 64-bit fingerprint of the set
    As K parts that are not empty leave at least K - D equal ones, a set that shares fewer with all others together has no partner and leaves its blocks.
 2. In a block, one member is the hub: the one that shares most parts over all blocks, so the source of near copies.  The pairs of
    hubs that token bitmaps don't rule out are verified first, by the exact overlap of whole sets, and connect most blocks for good.
-3. Each block that still holds several components gets a signature tree.  Leaves are its members' token bitmaps;
+3. Blocks with the same hub are joined into one.  Each that still holds several components gets a signature tree.  Leaves are its members' token bitmaps;
    a node has the OR of its children's bitmaps, the range of their sizes, and the most tokens that any has beyond its bits.  Two nodes
    can share at most popcount(OR1 & OR2) + min(excess) tokens and at most the smaller of their largest sizes; a pair of nodes that
    can't reach the overlap asked for is pruned, else its children are compared.  Pairs of leaves in different components are verified
@@ -275,7 +275,7 @@ class SignatureTree:
 
 
 def tree_pairs(members: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """members (block, key, component) of unresolved blocks -> pairs (a, b) of different components that the trees don't rule out."""
+    """members (block, key, component) of unsettled blocks -> pairs (a, b) of different components that the trees don't rule out."""
     found = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     tiles = members.groupBy("block").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
     tiled = members.join(tiles, "block").withColumn("tile", F.pmod(F.xxhash64("key"), "tiles"))
@@ -309,7 +309,8 @@ def near_duplicate_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     numbered = met.where("members IS NOT NULL").select("members").distinct().withColumn("block", F.xxhash64("members"))
     members = durable(numbered.select("block", F.explode("members").alias("key")).join(strong, "key"))
     hubs = members.groupBy("block").agg(F.max(F.struct("weight", "key")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("block", F.col("hub.key").alias("hub"))
-    pairs = durable(members.join(hubs, "block").where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct())
+    stars = durable(members.join(hubs, "block").select("hub", "key").distinct())
+    pairs = durable(stars.where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct())
     keys = lambda pairs: pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     maps = profile.select(F.col("set_key").alias("key"), F.col("n_shingles").alias("size"), "bits").join(keys(pairs), "key", "left_semi")
     maps = durable(maps.dropDuplicates(["key"]))
@@ -321,9 +322,9 @@ def near_duplicate_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str
 
     links = linked(likely(pairs, maps, percent))
     labels = connected_components(links)
-    members = members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("block", "key", F.coalesce("component", "key").alias("component"))
-    open_blocks = members.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("block")
-    more = durable(tree_pairs(members.join(open_blocks, "block", "left_semi"), maps, percent).join(pairs, ["a", "b"], "left_anti"))
+    members = stars.join(labels.withColumnRenamed("node", "key"), "key", "left").select(F.col("hub").alias("block"), "key", F.coalesce("component", "key").alias("component"))
+    unsettled = members.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("block")
+    more = durable(tree_pairs(members.join(unsettled, "block", "left_semi"), maps, percent).join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         links = durable(links.union(linked(more)))
         labels = connected_components(links)
