@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -64,16 +65,19 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def sampled(df: DataFrame, label: str, key: Column, rows: int, labels: int = 1000) -> DataFrame:
-    """About `rows` rows of each of the `labels` most frequent values of the label, picked by the hash of the key; the same ones every time."""
+    """About `rows` rows of each of the `labels` most frequent values of the label, picked by the hash of the key; the same ones every time.
+
+    Were a key repeated very often, its rows could be picked together; in any case there are at most twice as many rows in all.
+    """
     counts = df.groupBy(label).count().orderBy(F.desc("count"), label).limit(labels).collect()
     if not counts:
         return df.limit(0)
     share = F.coalesce(*[F.when(F.col(label) == F.lit(r[0]), F.lit(min(1.0, rows / r[1]))) for r in counts], F.lit(0.0))
-    return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_003)) < share * 1_000_003)
+    return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_003)) < share * 1_000_003).limit(2 * rows * len(counts))
 
 
 def collected(df: DataFrame, extract: Callable[[pa.Array], np.ndarray], kinds: str) -> tuple[list, np.ndarray]:
-    """Labels and features of a bounded sample df (label, text)."""
+    """Labels and features of a bounded sample df (label, text), in an order that doesn't depend on partitions."""
 
     def features(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -81,8 +85,14 @@ def collected(df: DataFrame, extract: Callable[[pa.Array], np.ndarray], kinds: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["label", "features"])
 
     got = df.mapInArrow(features, f"label {kinds}, features binary").toArrow()
-    rows = [np.frombuffer(x.as_buffer(), np.float32) for x in got.column("features")]
-    return got.column("label").to_pylist(), np.stack(rows) if rows else np.zeros((0, 0), np.float32)
+    labels, rows = got.column("label").to_pylist(), [x.as_buffer() for x in got.column("features")]
+    order = sorted(range(len(rows)), key=lambda i: (labels[i], hashlib.blake2b(rows[i], digest_size=16).digest()))
+    if not order:
+        return [], np.zeros((0, 0), np.float32)
+    out = np.empty((len(order), len(rows[0]) // 4), np.float32)
+    for i, j in enumerate(order):
+        out[i] = np.frombuffer(rows[j], np.float32)
+    return [labels[j] for j in order], out
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 150, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:

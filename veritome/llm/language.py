@@ -76,8 +76,6 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     languages = sorted(set(labels))
     at = np.array([languages.index(v) for v in labels])
     code = codewords(len(languages))
-    order = np.lexsort((x.sum(1), at))
-    x, at = x[order], at[order]
     y, held = (code[at] > 0).astype(np.float32), np.arange(len(at)) % 4 == 3
     size = np.bincount(at, minlength=len(languages))
     weight = np.repeat((1 / size[at])[:, None], code.shape[1], 1)

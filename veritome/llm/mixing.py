@@ -51,8 +51,6 @@ def posteriors(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> t
         y, x = collected(docs.join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL").select(F.col("domain").alias("label"), "text"), _features, "string")
         if len(y):
             at = np.array([domains.index(v) for v in y])
-            order = np.lexsort((*x[:, ::211].T, at))
-            x, at = x[order], at[order]
             size = np.bincount(at, minlength=len(domains))
             share = np.array([counts[d] for d in domains]) / np.maximum(size, 1)
             model = logistic(x, np.eye(len(domains), dtype=np.float32)[at], np.repeat(share[at][:, None], len(domains), 1), 200)
@@ -60,7 +58,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> t
     k = len(domains)
 
     def predict(batches):
-        for piece in pieces(batches, "text", 4 << 20):
+        for piece in pieces(batches, "text", 2 << 20):
             words = words_of(piece.column(1), True)
             if shared.value is None:
                 p = np.full((piece.num_rows, k), 1 / k)

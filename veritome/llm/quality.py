@@ -47,7 +47,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def count(batches):
         total, n = np.zeros(TERMS, dtype=np.int64), 0
-        for piece in pieces(batches, "text", 4 << 20):
+        for piece in pieces(batches, "text", 2 << 20):
             rows = term_counts(piece.column(0))
             total += (rows > 0).sum(0)
             n += int((rows.any(1)).sum())
@@ -90,11 +90,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neighbours: in
         return None
     df, n = document_frequencies(docs)
     idf = (np.log((n + 1) / (df + 1)) + 0.1).astype(np.float32)
-    order = np.lexsort((*counts[:, ::97].T, y))  # the same order, whatever the partitions
-    x, y = unit(np.log1p(counts[order]) * idf), y[order]
+    x = unit(np.log1p(counts) * idf)
     values, axes = np.linalg.eigh(x.T @ x)
     model = NeighbourModel(idf, axes[:, np.argsort(-values)[:LATENT]].astype(np.float32), np.zeros(0), y, neighbours)
-    model.vectors = model.latent(counts[order]).astype(np.float32)
+    model.vectors = model.latent(counts).astype(np.float32)
     return model
 
 
@@ -105,7 +104,7 @@ def score(docs: DataFrame, model: NeighbourModel | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def vote(batches):
-        for piece in pieces(batches, "text", 4 << 20):
+        for piece in pieces(batches, "text", 2 << 20):
             counts = term_counts(piece.column(len(kept)))
             blank = words_of(piece.column(len(kept)), True).counts() == 0
             value = np.full(len(counts), 0.5) if shared.value is None else shared.value.scores(counts)

@@ -147,12 +147,12 @@ def shingle_sets(words: Words, n: int = 5) -> Iterator[np.ndarray]:
             yield np.zeros(0, dtype=U64)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches again, cut so that the texts of each piece hold at most so many bytes (or are a single text)."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The batches again, cut so that each piece has at most so many rows, and its texts at most so many bytes (or is a single text)."""
     for batch in batches:
         _, offsets = _buffers(batch.column(batch.schema.get_field_index(column)))
         i = 0
         while i < batch.num_rows:
-            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
+            j = min(i + rows, max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1))
             yield batch.slice(i, j - i)
             i = j
