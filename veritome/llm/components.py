@@ -16,13 +16,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     both = durable(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component"))
-    labels = durable(labels)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("before"), F.least("component", "near").alias("component"))
-        step = durable(step)
-        jump = step.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        step = durable(step.join(jump, "component", "left").select("node", "before", F.coalesce("next", "component").alias("component")))
-        labels = step.select("node", "component")
+        step = durable(labels.join(near, "node").select("node", F.col("component").alias("before"), F.least("component", "near").alias("component")))
         if step.where("component < before").isEmpty():
-            return labels
+            return step.select("node", "component")
+        jump = step.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        labels = step.join(jump, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
