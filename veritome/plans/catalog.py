@@ -353,19 +353,33 @@ _RAWCITE = "CASE (i % 4) WHEN 0 THEN q::VARCHAR WHEN 1 THEN '[Source: ' || q ||
 _NORMAL = "CASE (i % 4) WHEN 2 THEN (q + 1)::VARCHAR WHEN 3 THEN 'x' || q ELSE q::VARCHAR END"
 _CLAIMS = f"(SELECT q AS query_id, i + 1 AS n, claim, {_RAWCITE} AS raw_citation, {_NORMAL} AS citation FROM (SELECT doc_id AS q, i, line AS claim FROM {_LINES} WHERE doc_id % 10 = 0 AND i < 8))"
 
+_EVERY_CLAIM = _CLAIMS.replace(" WHERE doc_id % 10 = 0 AND i < 8", "")
 
-@query(f"SELECT query_id, n, raw_citation, citation FROM {_CLAIMS}")
-def citation_normalise(spark, d):
-    return D.claims(spark, d).select("query_id", "n", "raw_citation", "citation")
 
+def claim_query(sql: str):
+    """Registers f(spark, d, claims) twice: over the claims that its SQL names, and as .._all over every line of every document."""
 
-@query(f"""
+    def add(f):
+        for name, text, kept in ((f.__name__, sql, "query_id % 10 = 0 AND n <= 8"), (f"{f.__name__}_all", sql.replace(_CLAIMS, _EVERY_CLAIM), "true")):
+            QUERIES[name] = lambda spark, d, kept=kept: f(spark, d, D.claims(spark, d).where(kept))
+            ORACLES[name] = text
+        return f
+
+    return add
+
+
+@claim_query(f"SELECT query_id, n, raw_citation, citation FROM {_CLAIMS}")
+def citation_normalise(spark, d, claims):
+    return claims.select("query_id", "n", "raw_citation", "citation")
+
+
+@claim_query(f"""
 WITH c AS (SELECT c.*, citation = query_id::VARCHAR AS good, k.doc_id IS NOT NULL AS known FROM {_CLAIMS} c LEFT JOIN documents k ON k.doc_id::VARCHAR = citation),
      s AS (SELECT query_id, list_sort(list(DISTINCT citation) FILTER (NOT good AND NOT known)) AS f, list_sort(list(DISTINCT citation) FILTER (NOT good AND known)) AS o FROM c GROUP BY query_id)
 SELECT query_id, f IS NULL AND o IS NULL AS valid, CASE WHEN f IS NOT NULL THEN 'fabricated' WHEN o IS NOT NULL THEN 'out_of_context' ELSE 'ok' END AS reason, coalesce(array_to_string(f, ','), '') AS fabricated, coalesce(array_to_string(o, ','), '') AS out_of_context FROM s""")
-def citation_validate(spark, d):
+def citation_validate(spark, d, claims):
     docs = D.table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("doc_id").cast("string").alias("chunk_id"))
-    rows = answer.validated(D.claims(spark, d), docs, docs)
+    rows = answer.validated(claims, docs, docs)
     return rows.withColumn("fabricated", F.array_join("fabricated", ",")).withColumn("out_of_context", F.array_join("out_of_context", ","))
 
 
@@ -378,19 +392,19 @@ _VERDICTS = f"""(SELECT c.query_id, c.n, round({_SHARE}, 4) AS share, CASE WHEN
     FROM (SELECT * FROM {_CLAIMS} WHERE {STRIP.format('claim')} <> '') c LEFT JOIN documents d ON d.doc_id::VARCHAR = c.citation)"""
 
 
-def _verdicts(spark, d) -> DataFrame:
+def _verdicts(spark, d, claims: DataFrame) -> DataFrame:
     chunks = D.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
-    return answer.verified(D.claims(spark, d), chunks)
+    return answer.verified(claims, chunks)
 
 
-@query(f"SELECT query_id, n, supported, reason, CASE WHEN reason = 'checked' THEN 'judge' ELSE 'prefilter' END AS stage, CASE WHEN reason = 'unresolved citation' THEN 0.0 ELSE share END AS overlap FROM {_VERDICTS}")
-def claim_verify(spark, d):
-    return _verdicts(spark, d).select("query_id", "n", "supported", "reason", "stage", F.when(F.col("reason") == "unresolved citation", 0.0).otherwise(F.col("overlap")).alias("overlap"))
+@claim_query(f"SELECT query_id, n, supported, reason, CASE WHEN reason = 'checked' THEN 'judge' ELSE 'prefilter' END AS stage, CASE WHEN reason = 'unresolved citation' THEN 0.0 ELSE share END AS overlap FROM {_VERDICTS}")
+def claim_verify(spark, d, claims):
+    return _verdicts(spark, d, claims).select("query_id", "n", "supported", "reason", "stage", F.when(F.col("reason") == "unresolved citation", 0.0).otherwise(F.col("overlap")).alias("overlap"))
 
 
-@query(f"SELECT query_id, count(*) AS total, count(*) FILTER (NOT supported) AS ungrounded, round(count(*) FILTER (NOT supported) / count(*), 4) AS ungrounded_rate, count(*) FILTER (NOT supported AND reason <> 'checked') AS dropped_prefilter, count(*) FILTER (NOT supported AND reason = 'checked') AS dropped_judge FROM {_VERDICTS} GROUP BY query_id")
-def verdict_summary(spark, d):
-    return answer.verdict_summary(_verdicts(spark, d))
+@claim_query(f"SELECT query_id, count(*) AS total, count(*) FILTER (NOT supported) AS ungrounded, round(count(*) FILTER (NOT supported) / count(*), 4) AS ungrounded_rate, count(*) FILTER (NOT supported AND reason <> 'checked') AS dropped_prefilter, count(*) FILTER (NOT supported AND reason = 'checked') AS dropped_judge FROM {_VERDICTS} GROUP BY query_id")
+def verdict_summary(spark, d, claims):
+    return answer.verdict_summary(_verdicts(spark, d, claims))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'SUPPORTED' ELSE 'NOT_SUPPORTED' END AS label FROM documents")
@@ -554,14 +568,14 @@ def recall_and_mrr(spark, d):
     return best.agg(F.count("*").alias("n"), F.round(F.avg("r3"), 4).alias("recall_at_3"), F.round(F.avg("r25"), 4).alias("recall_at_25"), F.round(F.avg("rr"), 4).alias("mrr"))
 
 
-@query(f"SELECT query_id, round(avg(CASE WHEN supported THEN 0 ELSE 1 END), 4) AS ungrounded_rate FROM {_VERDICTS} GROUP BY query_id")
-def ungrounded_rate(spark, d):
-    return evals.ungrounded_rate(_verdicts(spark, d))
+@claim_query(f"SELECT query_id, round(avg(CASE WHEN supported THEN 0 ELSE 1 END), 4) AS ungrounded_rate FROM {_VERDICTS} GROUP BY query_id")
+def ungrounded_rate(spark, d, claims):
+    return evals.ungrounded_rate(_verdicts(spark, d, claims))
 
 
-@query(f"SELECT query_id, round(avg(CASE WHEN citation = query_id::VARCHAR THEN 1 ELSE 0 END), 4) AS citation_accuracy FROM {_CLAIMS} GROUP BY query_id")
-def citation_accuracy(spark, d):
-    return evals.citation_accuracy(D.claims(spark, d).withColumn("gold", F.col("query_id").cast("string")))
+@claim_query(f"SELECT query_id, round(avg(CASE WHEN citation = query_id::VARCHAR THEN 1 ELSE 0 END), 4) AS citation_accuracy FROM {_CLAIMS} GROUP BY query_id")
+def citation_accuracy(spark, d, claims):
+    return evals.citation_accuracy(claims.withColumn("gold", F.col("query_id").cast("string")))
 
 
 _SCORES = "(SELECT doc_id, lang, quality = 1 AS answerable, round(CASE WHEN quality = 1 THEN 0.4 + 0.6 * ((doc_id * 7919 % 1000) / 1000.0) ELSE 0.7 * ((doc_id * 7919 % 1000) / 1000.0) END, 4)::DOUBLE AS confidence FROM documents JOIN labels USING (doc_id))"
