@@ -1,8 +1,11 @@
 """Queries do the whole job: on small tables whose missing parts would show."""
 
+import json
+
 import pytest
 
 from veritome.plans import catalog
+from veritome.sources import tables
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -35,3 +38,21 @@ def test_every_line_of_every_document_is_a_claim(spark, folder):
     assert {r.query_id: r.citation_accuracy for r in catalog.QUERIES["citation_accuracy_all"](spark, d).collect()} == {i: share(i, True) for i in texts}
     assert {r.query_id: r.total for r in catalog.QUERIES["verdict_summary_all"](spark, d).collect()} == {i: len(t.split("\n")) for i, t in texts.items()}
     assert {r.query_id: (r.valid, r.fabricated) for r in catalog.QUERIES["citation_validate_all"](spark, d).collect()} == {i: (False, ",".join(sorted({f"x{i}"} | ({str(i + 1)} - {*map(str, texts)})))) for i in texts}
+
+
+def test_embedded_texts_equal_the_hashed_embedding(spark):
+    rows = spark.createDataFrame([(1, "some words some"), (2, "gNB-CU x_y one"), (3, ""), (4, None), (5, "--")], "id int, t string")
+    want = {r.id: r.e for r in rows.where("id < 3").select("id", tables.hashed_embedding("t").alias("e")).collect()}
+    got = {r.id: r.vector for r in tables.embedded(rows, "id", "t").collect()}
+    assert set(got) == {1, 2} and all(got[i] == pytest.approx(want[i]) for i in got)
+
+
+def test_the_dense_list_reaches_fusion_and_the_gate(spark, folder):
+    """Both lists of a question are full, and fused there are more candidates than one list has; a question without tokens has neither."""
+    question = "alarm severity threshold counter handover"
+    texts = {i: "alarm " * 40 + f"filler{i}" for i in range(30)} | {99: question + " " + " ".join(f"pad{j}" for j in range(3))} | {200 + i: f"other text {i}" for i in range(80)}
+    d = folder(documents=documents(texts), benchmark=([(1, question), (2, "--")], "item_id long, text string"))
+    rows = {r.query_id: r for r in catalog.QUERIES["retrieve_topn"](spark, d).collect()}
+    assert rows[1].dense_hits == 25 and rows[1].bm25_hits == 25 and rows[1].fused_candidates > 25 and "99" in json.loads(rows[1].chunk_ids)
+    assert rows[2].dense_hits == rows[2].bm25_hits == 0
+    assert {r.query_id: r.answerable for r in catalog.QUERIES["gate_confidence_hybrid"](spark, d).collect()} == {1: True, 2: False}

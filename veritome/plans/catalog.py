@@ -309,9 +309,14 @@ def rerank_overlap(spark, d):
     return retrieve.reranked(_candidates(spark, d)).groupBy("query_id").agg(F.max("score").alias("top_score"), F.count("*").alias("n"))
 
 
-def _results(spark, d, tau: float | None = None) -> DataFrame:
+def _results(spark, d, tau: float | None = None, dense: bool = True) -> DataFrame:
+    """Questions through dense (list 1) and lexical (list 2) search, or through lexical search alone, and what comes after it."""
     chunks = D.chunks(spark, d).withColumn("chunk_id", F.col("chunk_id").cast("string"))
-    lists = _bm25(spark, d).withColumn("list_no", F.lit(2)).withColumn("chunk_id", F.col("chunk_id").cast("string"))
+    lists = _bm25(spark, d).withColumn("list_no", F.lit(2))
+    if dense:
+        found = retrieve.dense_search(tables.embedded(D.questions(spark, d), "query_id", "question"), tables.embedded(D.chunks(spark, d), "chunk_id", "text"))
+        lists = found.withColumn("list_no", F.lit(1)).unionByName(lists)
+    lists = lists.withColumn("chunk_id", F.col("chunk_id").cast("string"))
     return retrieve.gated(retrieve.retrieved(D.questions(spark, d), chunks, lists), tau)
 
 
@@ -322,6 +327,11 @@ def retrieve_topn(spark, d):
 
 @query(f"WITH {_BM25} SELECT item_id AS query_id, coalesce(max(score), 0) AS confidence, coalesce(max(score), 0) >= 0.9 AS answerable FROM benchmark LEFT JOIN {_RERANKED} ON query_id = item_id GROUP BY item_id")
 def gate_confidence(spark, d):
+    return _results(spark, d, dense=False).select("query_id", "confidence", "answerable")
+
+
+@query()
+def gate_confidence_hybrid(spark, d):
     return _results(spark, d).select("query_id", "confidence", "answerable")
 
 

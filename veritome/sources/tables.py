@@ -114,3 +114,14 @@ def hashed_embedding(text: str, dimension: int = 64):
     raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.aggregate(F.filter(rows, lambda r: r["at"] == i), F.lit(0.0), lambda s, r: s + r["sign"]))
     norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
     return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+
+
+def embedded(rows: DataFrame, key: str, text: str, dimension: int = 64) -> DataFrame:
+    """(key, vector): hashed_embedding of every text, as sums over its exploded tokens; texts without a direction, such as those without tokens, have no row."""
+    from veritome.functions.text import tokens
+
+    found = rows.select(key, F.explode(tokens(F.col(text))).alias("t"))
+    sign = F.when(F.pmod(F.xxhash64("t", F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    sums = found.groupBy(key, F.pmod(F.xxhash64("t"), F.lit(dimension)).cast("int").alias("at")).agg(F.sum(sign).alias("x")).where("x <> 0")
+    each = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("xs"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return each.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.try_element_at("xs", i), F.lit(0.0)) / F.col("norm")).alias("vector"))
