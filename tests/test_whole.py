@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from veritome.operators import chat
 from veritome.plans import catalog
 from veritome.sources import tables
 
@@ -56,3 +57,11 @@ def test_the_dense_list_reaches_fusion_and_the_gate(spark, folder):
     assert rows[1].dense_hits == 25 and rows[1].bm25_hits == 25 and rows[1].fused_candidates > 25 and "99" in json.loads(rows[1].chunk_ids)
     assert rows[2].dense_hits == rows[2].bm25_hits == 0
     assert {r.query_id: r.answerable for r in catalog.QUERIES["gate_confidence_hybrid"](spark, d).collect()} == {1: True, 2: False}
+
+
+def test_all_turns_are_counted(spark, folder):
+    turns = [(1, i, "user", "x") for i in range(6)] + [(8, 0, "user", "y")]
+    d = folder(conversations=(turns, "conv_id long, turn long, role string, text string"))
+    assert {r.conv_id: r.turns for r in catalog.QUERIES["conversation_list_all"](spark, d).collect()} == {1: 6, 8: 1}
+    convs = spark.createDataFrame([(1, 1, 5), (9, 1, 4)], "conv_id long, visitor long, updated long")
+    assert {r.conv_id: r.turns for r in chat.conversation_list(convs, spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()} == {1: 6, 9: 0}

@@ -501,6 +501,11 @@ def conversation_list(spark, d):
     return chat.conversation_list(D.owned_conversations(spark, d), D.turns(spark, d).where("turn > 3"))
 
 
+@query(f"SELECT * FROM (SELECT c.*, (SELECT count(*) FROM conversations t WHERE t.conv_id = c.conv_id) AS turns, row_number() OVER (PARTITION BY visitor ORDER BY updated DESC, conv_id) AS rank FROM {_CONVS} c) WHERE rank <= 30")
+def conversation_list_all(spark, d):
+    return chat.conversation_list(D.owned_conversations(spark, d), D.turns(spark, d))
+
+
 @query(f"SELECT t.conv_id, count(*) AS turns FROM conversations t JOIN {_CONVS} c USING (conv_id) WHERE NOT (c.conv_id % 5 = 0 AND c.visitor = c.conv_id % 3) GROUP BY t.conv_id")
 def conversation_delete(spark, d):
     convs = D.owned_conversations(spark, d)
