@@ -14,6 +14,7 @@ further columns are ignored; empty tables give empty results.  Words are told ap
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -164,8 +165,8 @@ def _pairs(items: np.ndarray, n: int) -> np.ndarray:
     return np.r_[n - 1, items[:-1]] * n + items
 
 
-def exchange(n: np.ndarray, classes: int, passes: int = 12) -> np.ndarray:
-    """The class of each item of a bigram count matrix; the last item keeps the last class to itself."""
+def exchange(n: np.ndarray, classes: int, passes: int | None = None) -> np.ndarray:
+    """The class of each item of a bigram count matrix; the last item keeps the last class to itself.  It runs until no item moves, or for so many passes."""
     items, end = len(n), classes - 1
     n = n.astype(np.float64)
     left, right = n.sum(0), n.sum(1)
@@ -178,7 +179,7 @@ def exchange(n: np.ndarray, classes: int, passes: int = 12) -> np.ndarray:
     np.add.at(g, (own[:, None], own[None, :]), n)
     a, b = np.bincount(own, left, classes), np.bincount(own, right, classes)
     choices = np.arange(classes)
-    for _ in range(passes):
+    for _ in itertools.count() if passes is None else range(passes):
         moved = 0
         for w in order:
             c, s = own[w], n[w, w]
