@@ -86,3 +86,16 @@ def test_exchange_runs_until_nothing_moves():
             z[w] = np.eye(classes)[c]
             assert value(z) <= best + 1e-6
         z[w] = np.eye(classes)[own[w]]
+
+
+def test_verdicts_and_replies_are_parsed_whole(spark, folder):
+    late = 'A long reason of more than forty characters comes first. {"verdict": "SUPPORTED"}'
+    text = 'alarm "one" is\nof severity {two}\n\ttab \\ three'
+    d = folder(documents=documents({2: late} | {i: text for i in (3, 4, 5, 6, 7, 8, 9)}))
+    labels = {r.doc_id: r.label for r in catalog.QUERIES["verdict_parse"](spark, d).collect()}
+    assert labels[2] == "SUPPORTED" and labels[3] == "SUPPORTED" and labels[4] == "NOT_SUPPORTED"
+    rows = {r.query_id: r for r in catalog.QUERIES["parse_claims_all"](spark, d).collect()}
+    for i in (5, 6, 7):
+        assert rows[i].answer == text and [c["claim"] for c in json.loads(rows[i].claims)] == ['alarm "one" is', "of severity {two}", "tab \\ three"]
+        assert not rows[i].parse_failed
+    assert not rows[8].sufficient and [rows[i].parse_failed for i in (4, 8, 9)] == [True, False, True]

@@ -359,6 +359,11 @@ def parse_claims(spark, d):
     return rows.withColumn("claims", F.array_join(F.transform("claims", lambda c: F.concat(X.stripped(c["claim"]), F.lit(" @ "), c["citation"])), "; "))
 
 
+@query()
+def parse_claims_all(spark, d):
+    return answer.parsed(D.whole_responses(spark, d)).withColumn("claims", F.to_json("claims"))
+
+
 _RAWCITE = "CASE (i % 4) WHEN 0 THEN q::VARCHAR WHEN 1 THEN '[Source: ' || q || ']' WHEN 2 THEN (q + 1)::VARCHAR ELSE 'x' || q END"
 _NORMAL = "CASE (i % 4) WHEN 2 THEN (q + 1)::VARCHAR WHEN 3 THEN 'x' || q ELSE q::VARCHAR END"
 _CLAIMS = f"(SELECT q AS query_id, i + 1 AS n, claim, {_RAWCITE} AS raw_citation, {_NORMAL} AS citation FROM (SELECT doc_id AS q, i, line AS claim FROM {_LINES} WHERE doc_id % 10 = 0 AND i < 8))"
@@ -419,7 +424,8 @@ def verdict_summary(spark, d, claims):
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'SUPPORTED' ELSE 'NOT_SUPPORTED' END AS label FROM documents")
 def verdict_parse(spark, d):
-    raw = F.when(F.col("doc_id") % 3 == 0, '{"verdict": "supported"}').when(F.col("doc_id") % 3 == 1, '{"verdict": "NOT_SUPPORTED"}').otherwise(F.left("text", F.lit(40)))
+    said = lambda verdict: F.to_json(F.struct(F.lit(verdict).alias("verdict"), F.col("text").alias("rationale")))
+    raw = F.when(F.col("doc_id") % 3 == 0, said("supported")).when(F.col("doc_id") % 3 == 1, said("NOT_SUPPORTED")).otherwise(F.col("text"))
     return D.table(spark, d, "documents").select("doc_id", answer.verdict_label(raw).alias("label"))
 
 

@@ -91,6 +91,16 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("query_id"), raw.alias("raw"))
 
 
+def whole_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like responses, with the whole text as the answer and each of its lines as a claim, JSON-escaped."""
+    own = F.col("doc_id").cast("string")
+    claims = F.transform(F.split("text", "\n"), lambda line: F.struct(F.concat(F.lit("a) "), line).alias("claim"), own.alias("citation")))
+    body = F.to_json(F.struct(F.col("text").alias("answer"), claims.alias("claims"), F.lit(True).alias("sufficient")))
+    kind = F.col("doc_id") % 5
+    raw = F.when(kind == 0, body).when(kind == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("Here it is: "), body, F.lit(" Done."))).when(kind == 3, F.lit('{"answer": "INSUFFICIENT_EVIDENCE", "claims": [], "sufficient": true}')).otherwise(F.left(body, F.length(body) - 1))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), raw.alias("raw"))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations")
 
