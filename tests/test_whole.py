@@ -99,3 +99,11 @@ def test_verdicts_and_replies_are_parsed_whole(spark, folder):
         assert rows[i].answer == text and [c["claim"] for c in json.loads(rows[i].claims)] == ['alarm "one" is', "of severity {two}", "tab \\ three"]
         assert not rows[i].parse_failed
     assert not rows[8].sufficient and [rows[i].parse_failed for i in (4, 8, 9)] == [True, False, True]
+
+
+def test_short_items_find_their_documents(spark, folder):
+    texts = {1: "the alarm list of the cellular net", 2: "nothing of it", 3: "one alarm list"}
+    items = {1: "alarm list", 2: "alarm list of the cell", 3: "the alarm list of the cellular", 4: "cell", 5: "absent words"}
+    d = folder(documents=documents(texts), benchmark=(list(items.items()), "item_id long, text string"))
+    got = sorted((r.query_id, r.gold) for r in catalog.QUERIES["gold_documents"](spark, d).collect())
+    assert got == sorted((i, k) for i, q in items.items() for k, t in texts.items() if q in t)

@@ -567,12 +567,15 @@ _GOLD = "SELECT item_id AS query_id, doc_id AS gold FROM benchmark b JOIN docume
 
 
 def _gold(spark, d) -> DataFrame:
-    """(query_id, gold): which documents contain an item, as a join on the item's first five words, then checked."""
+    """(query_id, gold): which documents contain an item, as a join on the second to fifth word, then checked; items of fewer than six words, which may end within a word, are looked for in every document."""
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     first = D.questions(spark, d).select("query_id", "question", F.array_join(F.slice(F.filter(F.split("question", r"\s+"), lambda w: w != ""), 2, 4), " ").alias("gram"))
     grams = D.table(spark, d, "documents").withColumn("ws", words).where(F.size("ws") >= 4).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ws") - 3), lambda i: F.array_join(F.slice("ws", i, F.lit(4)), " ")))).alias("gram"))
-    pairs = grams.join(retrieve.small(first), "gram").select("query_id", "question", "doc_id").distinct()
-    return pairs.join(D.table(spark, d, "documents").select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("question"))).select("query_id", F.col("doc_id").alias("gold"))
+    asked = D.questions(spark, d)
+    short = asked.where(F.size(F.filter(F.split("question", r"\s+"), lambda w: w != "")) < 6)
+    near = D.table(spark, d, "documents").join(retrieve.small(short), F.col("text").contains(F.col("question"))).select("query_id", F.col("doc_id").alias("gold"))
+    pairs = grams.join(retrieve.small(first.join(short, "query_id", "left_anti")), "gram").select("query_id", "question", "doc_id").distinct()
+    return near.unionByName(pairs.join(D.table(spark, d, "documents").select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("question"))).select("query_id", F.col("doc_id").alias("gold")))
 
 
 @query(_GOLD)
