@@ -1,4 +1,4 @@
-"""Substring dedup by relative Lempel-Ziv parsing of every document against all indexed text.
+"""Substring dedup by the windows of every document that occur again in the indexed text.
 
 A window is n consecutive words of a document; a window is repeated if its word sequence also starts anywhere else.
 Comparing all windows would shuffle a hash for every word of the corpus, so the reference is indexed by anchors: the anchor of a
@@ -6,9 +6,8 @@ window is its k-word sequence with the least hash, the leftmost one if there are
 so a window can only be repeated if its anchor is, and windows share anchors, about 2 / (n - k + 2) for each word.
 
 1. The reference index: anchors of all documents, dealt into blocks by hash.  Those that occur once are dropped.
-2. The parse: at each repeated anchor the document is matched against the block that has the anchor.  From the first window that the block has elsewhere,
-   a factor is extended word by word as long as the next window is found too.  A factor of n words or more is a duplicate span; matching again from the
-   next anchor on covers windows that straddle the boundary of two factors, whatever their sources.
+2. The windows: each window with a repeated anchor goes to that anchor's block, and is flagged if its hash occurs there elsewhere.  Consecutive flagged windows of a block
+   are one span; its source is that of its first window.  This stands in for a greedy parse along one source, and gives the same words.
 3. Spans are merged for each document and their words removed.
 
 A sequence that a task has seen twice needs no comparison elsewhere, so only one occurrence of it is sent to its block: the text of a
