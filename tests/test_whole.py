@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from veritome.llm.brown import exchange
-from veritome.operators import chat
+from veritome.operators import chat, evals
 from veritome.plans import catalog
 from veritome.sources import tables
 
@@ -107,3 +107,12 @@ def test_short_items_find_their_documents(spark, folder):
     d = folder(documents=documents(texts), benchmark=(list(items.items()), "item_id long, text string"))
     got = sorted((r.query_id, r.gold) for r in catalog.QUERIES["gold_documents"](spark, d).collect())
     assert got == sorted((i, k) for i, q in items.items() for k, t in texts.items() if q in t)
+
+
+def test_items_are_numbered_in_ranges(spark):
+    rows = [(f"k{i * 7919 % 1000:04}", f"t{i}", i % 4 != 0, "p") for i in range(1000)]
+    got = evals.renumbered(spark.createDataFrame(rows, "id string, text string, verified_by_human boolean, _private string").repartition(5))
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {f"G{n:03}": r[1] for n, r in enumerate(sorted(r for r in rows if r[2]), 1)}
+    assert {r.id: r.text for r in got.collect()} == want and "_range" not in got.columns
+    assert evals.renumbered(spark.createDataFrame([], got.schema)).count() == 0

@@ -126,7 +126,16 @@ def random_sample(rows: DataFrame, key: str, n: int = 10) -> DataFrame:
 
 
 def renumbered(items: DataFrame, prefix: str = "G") -> DataFrame:
-    """Verified items with new ids in order of the old; private columns, whose names start with an underscore, go."""
-    rank = F.row_number().over(W.orderBy("id"))
+    """Verified items with new ids in order of the old; private columns, whose names start with an underscore, go.
+
+    Items are numbered within ranges of their ids, each after the count of the ranges before it, so no task sees all of them.
+    """
     kept = [c for c in items.columns if not c.startswith("_") and c != "id"]
-    return items.where("verified_by_human").select(F.format_string(f"{prefix}%03d", rank).alias("id"), *kept)
+    ranged = items.where("verified_by_human").select("id", *kept).repartitionByRange("id").withColumn("_range", F.spark_partition_id()).persist()
+    before, offsets = 0, []
+    for row in ranged.groupBy("_range").count().orderBy("_range").collect():
+        offsets += [F.lit(row["_range"]), F.lit(before)]
+        before += row["count"]
+    offset = F.coalesce(F.try_element_at(F.create_map(*offsets), "_range"), F.lit(0)) if offsets else F.lit(0)
+    rank = F.row_number().over(W.partitionBy("_range").orderBy("id")) + offset
+    return ranged.select(F.format_string(f"{prefix}%03d", rank).alias("id"), *kept)
