@@ -5,7 +5,8 @@ import pytest
 
 from tests.llm.brute import groups
 from veritome.llm import jaccard
-from veritome.llm.jaccard import Ranges, SignatureTree, bitmap, folded, near_duplicate_groups
+from veritome.llm.jaccard import Members, Ranges, SignatureTree, bitmap, folded, near_duplicate_groups
+from veritome.llm.text import dealt
 
 SCHEMA = "doc_id long, text string, note string"
 
@@ -83,3 +84,40 @@ def test_tree_loses_no_pair():
     found = {tuple(sorted(p)) for p in tree.pairs(tree, 80).tolist()}
     linked = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
     assert linked <= found and len(found) < len(sets) * (len(sets) - 1) / 4
+
+
+def test_without_trees_there_are_no_links(monkeypatch):
+    random.seed(6)
+    common = [random.getrandbits(64) for _ in range(200)]
+    sets = [np.unique(np.array(common[: 195 - i] + [random.getrandbits(64) for _ in range(5 + i)], np.uint64)) for i in range(8)]
+    keys = np.array([jaccard.fingerprint(s) for s in sets], np.uint64)
+    join = lambda: Members(keys, sets, np.arange(8), 80)
+    members = join()
+    members.join(np.arange(8))
+    assert len(members.edges()) == 7
+    monkeypatch.setattr(SignatureTree, "pairs", lambda *_: np.zeros((0, 2), np.int64))
+    members = join()
+    members.join(np.arange(8))
+    assert len(members.edges()) == 0
+
+
+@pytest.mark.parametrize(("tile", "shingles"), [(4, 1 << 21), (1024, 400)])
+def test_components_that_cross_nodes(spark, monkeypatch, tile, shingles):
+    """Chains and stars within one subtree, cut into many nodes; what the hub doesn't connect is found across nodes."""
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "SHINGLES", shingles)
+    random.seed(9)
+    base = [f"b{i}" for i in range(80)]
+    rows = [(i, " ".join(base[: 80 - 3 * i] + [f"c{j}" for j in range(3 * i)])) for i in range(9)]
+    rows += [(50 + i, " ".join(base[:40] + [f"d{i % 3}_{j}" for j in range(30 + i // 3)])) for i in range(6)]
+    random.shuffle(rows)
+    check(spark, rows)
+
+
+def test_dealt_columns_keep_their_entries():
+    bucket = np.array([2, 0, 1, 2, 0], np.int64)
+    mask = np.array([True, False, True, True, False])
+    row = dealt(bucket, [np.arange(5, dtype=np.uint32), (np.array([10, 11, 12], np.uint64), mask)], ["a", "b"]).to_pylist()
+    assert [r["bucket"] for r in row] == [0, 1, 2]
+    assert [np.frombuffer(r["a"], np.uint32).tolist() for r in row] == [[1, 4], [2], [0, 3]]
+    assert [np.frombuffer(r["b"], np.uint64).tolist() for r in row] == [[], [11], [10, 12]]

@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 
 from veritome.llm.language import bucket
 from veritome.llm.runtime import durable, partitions
-from veritome.llm.spans import _dealt, gathered
-from veritome.llm.text import U64, Words, mix, pieces, words_of
+from veritome.llm.text import U64, Words, dealt, gathered, mix, pieces, words_of
 
 FREQUENT, TAILS, CLASSES, KEPT = 600, 96, 32, 65_536
 DELTA = 0.1
@@ -84,11 +83,11 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 held = [merged(held)]
                 size = len(held[0][0])
                 if size > _HELD // 2:
-                    yield _dealt((held[0][0] % U64(count)).astype(np.uint32), list(held[0]), ["hashes", "counts", "groups"])
+                    yield dealt((held[0][0] % U64(count)).astype(np.uint32), list(held[0]), ["hashes", "counts", "groups"])
                     held, size = [], 0
         if held:
             own = merged(held)
-            yield _dealt((own[0] % U64(count)).astype(np.uint32), list(own), ["hashes", "counts", "groups"])
+            yield dealt((own[0] % U64(count)).astype(np.uint32), list(own), ["hashes", "counts", "groups"])
 
     def block(key, table):
         h, c, g = merged([(gathered(table, "hashes", U64), gathered(table, "counts", np.int64), gathered(table, "groups", np.uint8))])
@@ -297,7 +296,7 @@ def scored(docs: DataFrame, model: BrownModel, blocks: DataFrame) -> DataFrame:
                 continue
             row = np.repeat(piece.column(0).to_numpy().view(U64), words.counts())[rest]
             h = words.hash[rest]
-            yield _dealt((h % U64(count)).astype(np.uint32), [h, row], ["word_hashes", "rows"])
+            yield dealt((h % U64(count)).astype(np.uint32), [h, row], ["word_hashes", "rows"])
 
     def corrected(key, left, right):
         """What the words of a block that occur in training texts add to their texts."""
@@ -311,7 +310,7 @@ def scored(docs: DataFrame, model: BrownModel, blocks: DataFrame) -> DataFrame:
         names, at = np.unique(row, return_inverse=True)
         total = lambda x: np.bincount(at, x, len(names))
         sums = [names, np.bincount(at, minlength=len(names)).astype(np.int64), total(m.base(c) - m.base(zero)), total(m.emission(c, own) - m.emission(zero, own))]
-        return pa.Table.from_batches([_dealt((mix(names.copy()) % U64(count)).astype(np.uint32), sums, ["rows", "known", "bases", "scores"])])
+        return pa.Table.from_batches([dealt((mix(names.copy()) % U64(count)).astype(np.uint32), sums, ["rows", "known", "bases", "scores"])])
 
     def summed(table):
         """One row for each text of what the blocks have of it."""

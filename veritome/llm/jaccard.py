@@ -1,25 +1,26 @@
-"""N-gram Jaccard join with signature trees, and the groups of documents that its links connect.
+"""N-gram Jaccard join by signature trees, and the groups of documents that its links connect.
 
 Documents are sets of distinct n-word shingles; two link when 100 * |A and B| >= percent * |A or B|.
 Documents with equal sets form a class, known by a 64-bit fingerprint of the set, and the join is one of classes.
 
-1. The root of the trees.  Sizes are cut into ranges so that linked sets are in one range or in neighbouring ones,
+1. The split of the root.  Sizes are cut into ranges so that linked sets are in one range or in neighbouring ones,
    and a range's hash space into P parts.  Linked sets differ in at most D = (range's largest size) * 2 * (100 - percent) / (100 + percent)
-   shingles, so at most D of the parts that are not empty in one set differ in the other.  A set emits a signature for each
+   shingles, so at most D of the parts that are not empty in one set differ in the other.  A set has a signature for each
    part that is not empty, for its own range and the next one up.  With more than D such parts, one at least
    is equal in both sets and the two meet in a block; sets with fewer are "weak" and meet in a block of their own.
    As K parts that are not empty leave at least K - D equal ones, a set that shares fewer with all others together has no partner and leaves its blocks.
-2. In a block, one member is the hub: the one that shares most parts over all blocks, so the source of near copies.  The pairs of
-   hubs that token bitmaps don't rule out are verified first, by the exact overlap of whole sets, and connect most blocks for good.
-3. Blocks with the same hub are joined into one.  Each that still holds several components gets a signature tree.  Leaves are its members' token bitmaps;
-   a node has the OR of its children's bitmaps, the range of their sizes, and the most tokens that any has beyond its bits.  Two nodes
-   can share at most popcount(OR1 & OR2) + min(excess) tokens and at most the smaller of their largest sizes; a pair of nodes that
-   can't reach the overlap asked for is pruned, else its children are compared.  Pairs of leaves in different components are verified
-   like the others.  Blocks above TILE members are cut into tiles, pairs of which are compared in tasks of their own.
+   Of the sets with one signature that a task meets, it sends one, their leader, and follows it with the rest: a block has at most one entry from each piece of the input.
+   Blocks that have the same hub, the member that shares most parts over all blocks, are one subtree.
+2. A subtree is cut into nodes of at most TILE members and SHINGLES shingles, of similar sizes where there are several.  In each node a signature tree
+   joins its members: leaves are token bitmaps, a node above them has the OR of its children's bitmaps, the range of their sizes, and the most tokens that any has beyond its bits.
+   Two nodes can share at most popcount(OR1 & OR2) + min(excess) tokens and at most the smaller of their largest sizes; a pair of
+   nodes that can't reach the overlap asked for, or whose members are all connected, is pruned, else its children are compared.  Pairs of leaves that stay are verified by the exact
+   overlap of their sets, and those that link connect their members.  The hub is a member of every node, and compared first.
+3. The dual traversal across nodes.  Where the nodes of one subtree aren't connected to each other, the members outside its largest component are cut into nodes again,
+   and pairs of one such node with any other are pruned by the same bounds on OR-bitmaps, size ranges and components; what stays is compared by the trees of both.
 
 The bounds are exact, so no link between different sets is lost; a link within a component need not be looked at.
-Signatures take 12 bytes, bitmaps two to four bits a token, and whole sets are only made for documents in pairs that pass the bitmaps.  Their
-ids are broadcast up to IDS of them and joined by a shuffle beyond.
+Signatures take 12 bytes; whole sets are only made for classes that share a block, once, and travel once to each node they are in.
 
 Cases: null and blank texts have the empty set and link with nothing (their own id is the component); with fewer than n words the
 whole sequence is one shingle; repeated rows are kept, and so are null ids (ignored by the minimum); further
@@ -35,11 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritome.llm.components import connected_components
-from veritome.llm.runtime import durable, partitions
-from veritome.llm.text import U64, mix, pieces, shingle_sets, words_of
+from veritome.llm.runtime import IDS, blocks_of, durable
+from veritome.llm.text import U64, dealt, gathered, mix, pieces, several, shingle_sets, words_of
 
-TILE = 4096
-IDS = 1_000_000
+TILE, SHINGLES = 1024, 1 << 21
 _LEAF = 8
 
 
@@ -51,9 +51,14 @@ def _signed(values) -> np.ndarray:
     return np.asarray(values, dtype=U64).view(np.int64)
 
 
-def bitmap(values: np.ndarray) -> bytes:
-    """A token sets one bit of the smallest power of two, 64 at least, that is twice the number of tokens or more."""
-    power = max(6, int(2 * len(values) - 1).bit_length())
+def bitmap_power(size: int) -> int:
+    """A bitmap has the smallest power of two bits, 64 at least, that is twice the number of tokens or more."""
+    return max(6, int(2 * size - 1).bit_length())
+
+
+def bitmap(values: np.ndarray, power: int | None = None) -> bytes:
+    """A token sets one bit of 2 ** power."""
+    power = power or bitmap_power(len(values))
     out = np.zeros(1 << power, dtype=bool)
     out[mix(values) >> U64(64 - power)] = True
     return np.packbits(out).tobytes()
@@ -70,14 +75,14 @@ def folded(bitmaps: list[np.ndarray]) -> np.ndarray:
 
 
 def set_profile(docs: DataFrame, n: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bits) of docs (doc_id, text)."""
+    """(doc_id, n_shingles, set_key) of docs (doc_id, text)."""
 
     def profile(batches):
         for piece in pieces(batches, "text"):
             sets = list(shingle_sets(words_of(piece.column(1), True), n))
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed([fingerprint(s) for s in sets])), pa.array([bitmap(s) for s in sets], pa.binary())], names=["doc_id", "n_shingles", "set_key", "bits"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed([fingerprint(s) for s in sets]))], names=["doc_id", "n_shingles", "set_key"])
 
-    return docs.mapInArrow(profile, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key long, bits binary")
+    return docs.mapInArrow(profile, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key long")
 
 
 class Ranges:
@@ -112,14 +117,16 @@ class Ranges:
 
 
 def blocks(docs: DataFrame, n: int, percent: int, largest: int) -> DataFrame:
-    """Rows (members) for each different block, and rows (key, range, needed, shared): of a class in a range, how many parts others share, here and at least."""
-    count = partitions(docs.sparkSession)
-    found = pa.schema([("members", pa.list_(pa.int64())), ("key", pa.int64()), ("range", pa.int32()), ("needed", pa.int32()), ("shared", pa.int64())])
+    """Rows (members) for each different block, rows (key, range, needed, shared), of a class in a range, how many parts others share, here and at least,
+    and rows (leader, key): a class met a leader that has a signature of its."""
+    count = blocks_of(docs)
+    found = pa.schema([("members", pa.list_(pa.int64())), ("key", pa.int64()), ("range", pa.int32()), ("needed", pa.int32()), ("shared", pa.int64()), ("leader", pa.int64())])
+    names = ["sigs", "keys", "tags", "leaders", "followers"]
 
     def signatures(batches):
         ranges, last = Ranges(percent, largest), np.zeros(0, dtype=U64)
         for piece in pieces(batches, "text"):
-            parts, keys, own = [], [], []
+            parts, keys = [], []
             for s in shingle_sets(words_of(piece.column(0), True), n):
                 if len(s) >= ranges.low[0]:
                     parts.append(s)
@@ -131,32 +138,35 @@ def blocks(docs: DataFrame, n: int, percent: int, largest: int) -> DataFrame:
             own = [ranges.signatures(parts[i]) for i in once]
             if not own:
                 continue
-            key, sig, tag = np.repeat(keys[once], [len(x) for x, _ in own]), np.concatenate([x for x, _ in own]), np.concatenate([x for _, x in own])
-            bucket = ((sig >> U64(32)) % U64(count)).astype(np.uint16 if count < 1 << 16 else np.uint32)
-            order = np.argsort(bucket, kind="stable")
-            bucket, columns = bucket[order], (sig[order].astype(np.uint32), key[order], tag[order])
-            start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            stop = np.r_[start[1:], len(bucket)]
-            cut = [pa.array([c[a:b].tobytes() for a, b in zip(start, stop, strict=True)], pa.binary()) for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[start].astype(np.int32)), *cut], names=["bucket", "sigs", "keys", "tags"])
+            keys = keys[once]
+            at, sig, tag = np.repeat(np.arange(len(keys)), [len(x) for x, _ in own]), np.concatenate([x for x, _ in own]), np.concatenate([x for _, x in own])
+            alike = several(sig)
+            weight = np.bincount(at[alike], minlength=len(keys))
+            order = np.lexsort((at, -weight[at], sig))
+            sig, at, tag = sig[order], at[order], tag[order]
+            first = np.r_[True, sig[1:] != sig[:-1]]
+            led = np.flatnonzero(~first)
+            pair = np.unique(at[np.flatnonzero(first)[np.cumsum(first) - 1]][led] * len(keys) + at[led])
+            sig, key, tag, leader, follower = sig[first], keys[at[first]], tag[first], keys[pair // len(keys)], keys[pair % len(keys)]
+            bucket = np.r_[(sig >> U64(32)) % U64(count), mix(follower) % U64(count)]
+            sent = np.r_[np.zeros(len(sig), bool), np.ones(len(leader), bool)]
+            yield dealt(bucket, [(sig.astype(np.uint32), ~sent), (key, ~sent), (tag, ~sent), (leader, sent), (follower, sent)], names)
 
     def meet(table):
-        sig, own, tag = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)]) for c, t in (("sigs", np.uint32), ("keys", U64), ("tags", np.uint32)))
+        sig, own, tag, leader, follower = (gathered(table, c, t) for c, t in zip(names, (np.uint32, U64, np.uint32, U64, U64), strict=True))
         order = np.argsort(sig, kind="stable")
         equal = sig[order][1:] == sig[order][:-1]
-        order = order[np.r_[False, equal] | np.r_[equal, False]]
+        order = order[np.r_[False, equal] | np.r_[equal, False]] if len(order) else order
         order = order[np.lexsort((own[order], sig[order]))]
         sig, own, tag = sig[order], own[order], tag[order]
-        if not len(sig):
-            return found.empty_table()
-        once = np.r_[True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])]
+        once = np.r_[True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])][: len(sig)]
         sig, own, tag = sig[once], own[once], tag[once]
-        start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]][: len(sig)])
         length = np.diff(np.r_[start, len(sig)])
         met = np.repeat(length > 1, length)
         order = np.lexsort((tag[met], own[met]))
         key, tags = own[met][order], tag[met][order]
-        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tags[1:] != tags[:-1])]) if len(key) else np.zeros(0, np.int64)
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tags[1:] != tags[:-1])][: len(key)])
         shared = np.diff(np.r_[first, len(key)])
         members, seen = [], set()
         for a, k in zip(start[length > 1].tolist(), length[length > 1].tolist(), strict=True):
@@ -165,13 +175,31 @@ def blocks(docs: DataFrame, n: int, percent: int, largest: int) -> DataFrame:
             if mark not in seen:
                 seen.add(mark)
                 members.append(_signed(group))
-        none = lambda n, t: pa.nulls(n, t)
-        lists = pa.table([pa.array(members, pa.list_(pa.int64())), *(none(len(members), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64()))], schema=found)
-        counts = pa.table([none(len(first), pa.list_(pa.int64())), pa.array(_signed(key[first])), pa.array((tags[first] >> 24).astype(np.int32)), pa.array((tags[first] & 0xFFFFFF).astype(np.int32)), pa.array(shared)], schema=found)
-        return pa.concat_tables([lists, counts])
-
-    signed = docs.select("text").mapInArrow(signatures, "bucket int, sigs binary, keys binary, tags binary")
-    return signed.groupBy("bucket").applyInArrow(meet, "members array<long>, key long, range int, needed int, shared long")
+        pair = np.unique(np.stack([leader, follower], 1), axis=0)
+        some = {
+            "members": ({"members": pa.array(members, pa.list_(pa.int64()))}, len(members)),
+            "counts": ({"key": pa.array(_signed(key[first])), "range": pa.array((tags[first] >> 24).astype(np.int32)), "needed": pa.array((tags[first] & 0xFFFFFF).astype(np.int32)), "shared": pa.array(shared)}, len(first)),
+            "leaders": ({"leader": pa.array(_signed(pair[:, 0].copy())), "key": pa.array(_signed(pair[:, 1].copy()))}, len(pair)),
+        }
+        return pa.concat_tables([pa.table([columns.get(f.name, pa.nulls(rows, f.type)) for f in found], schema=found) for columns, rows in some.values()])
+
+    signed = docs.select("text").mapInArrow(signatures, "bucket int, " + ", ".join(f"{c} binary" for c in names))
+    return signed.groupBy("bucket").applyInArrow(meet, "members array<long>, key long, range int, needed int, shared long, leader long")
+
+
+def subtrees(met: DataFrame) -> DataFrame:
+    """Of the rows of blocks(): (hub, key), the members of each subtree; two linked classes are in one subtree at least."""
+    led = met.where("leader IS NOT NULL").select("leader", "key").distinct()
+    counted = met.where("range IS NOT NULL").groupBy("key", "range").agg(F.sum("shared").alias("weight"), F.max("needed").alias("needed")).where("weight >= needed").select("key", "weight")
+    local = led.select("key").union(led.select("leader")).select("key", F.lit(1).cast("long").alias("weight"))
+    strong = durable(counted.union(local).groupBy("key").agg(F.max("weight").alias("weight")))
+    numbered = met.where("members IS NOT NULL").select("members").distinct().withColumn("block", F.xxhash64("members"))
+    members = durable(numbered.select("block", F.explode("members").alias("key")).join(strong, "key"))
+    hubs = members.groupBy("block").agg(F.max(F.struct("weight", "key")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("block", F.col("hub.key").alias("hub"))
+    stars = members.join(hubs, "block").select("hub", "key").distinct()
+    followed = stars.withColumnRenamed("key", "leader").join(led, "leader").select("hub", "key")
+    own = led.select(F.col("leader").alias("hub"), "key").union(led.select("leader", "leader"))
+    return stars.union(followed).union(own).distinct()
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -189,48 +217,6 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return found.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity, by their exact overlap."""
-
-    def check(batches):
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                p, q = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                both = np.sort(np.concatenate([p, q]))
-                shared = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * shared >= percent * (len(p) + len(q) - shared)
-            at = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
-
-    return _paired(pairs, sets, "shingles").mapInArrow(check, "a long, b long")
-
-
-def _paired(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
-    """pairs (a, b) with the columns of rows, by key, once for each: (a, b, x_.., y_..)."""
-    side = lambda key, mark: rows.select(F.col("key").alias(key), *(F.col(c).alias(f"{mark}_{c}") for c in columns))
-    return pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", *(f"{m}_{c}" for m in "xy" for c in columns))
-
-
-def likely(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and bitmaps, maps (key, size, bits), allow the similarity."""
-
-    def bound(batches):
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, dtype=bool)
-            p, q = batch.column(2).to_numpy(), batch.column(4).to_numpy()
-            need = -(-percent * (p + q) // (100 + percent))
-            for i, (x, y) in enumerate(zip(batch.column(3), batch.column(5), strict=True)):
-                both = folded([np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)])
-                ones = np.bitwise_count(both).sum(1)
-                keep[i] = int(np.bitwise_count(both[0] & both[1]).sum()) + min(p[i] - int(ones[0]), q[i] - int(ones[1])) >= need[i]
-            at = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
-
-    sized = _paired(pairs, maps, "size", "bits").where(100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size"))
-    return sized.mapInArrow(bound, "a long, b long")
-
-
 class SignatureTree:
     """Over members given by bitmaps, sizes and components; sorted by size, so that nodes have narrow ranges."""
 
@@ -274,27 +260,136 @@ class SignatureTree:
         return np.stack([self.order[i], other.order[j]], 1) if len(i) else np.zeros((0, 2), np.int64)
 
 
-def tree_pairs(members: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """members (block, key, component) of unsettled blocks -> pairs (a, b) of different components that the trees don't rule out."""
-    found = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    tiles = members.groupBy("block").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
-    tiled = members.join(tiles, "block").withColumn("tile", F.pmod(F.xxhash64("key"), "tiles"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    tiled = tiled.select("block", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "key", "component")
+class Members:
+    """Classes that a task joins: keys, sets, and the component that each is known to be in."""
+
+    def __init__(self, keys: np.ndarray, sets: list[np.ndarray], component: np.ndarray, percent: int):
+        self.keys, self.sets, self.percent = keys, sets, percent
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        power = bitmap_power(int(self.sizes.max(initial=1)))
+        self.bits = np.stack([np.frombuffer(bitmap(s, power), np.uint8) for s in sets]).view(U64) if sets else np.zeros((0, 1), U64)
+        _, self.before = np.unique(component, return_inverse=True)
+        self.now = self.before.copy()
+
+    def tree(self, at: np.ndarray) -> SignatureTree:
+        return SignatureTree(self.bits[at], self.sizes[at], self.now[at])
+
+    def connect(self, i: int, others: np.ndarray) -> None:
+        """Verifies i against those of the others that it isn't connected to, and connects it with what links."""
+        others = others[self.now[others] != self.now[i]]
+        if not len(others):
+            return
+        own, values = self.sets[i], np.concatenate([self.sets[j] for j in others])
+        hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+        shared = np.add.reduceat(hit, np.r_[0, np.cumsum(self.sizes[others])[:-1]])
+        links = others[100 * shared >= self.percent * (len(own) + self.sizes[others] - shared)]
+        if len(links):
+            self.now[np.isin(self.now, self.now[links])] = self.now[i]
+
+    def join(self, a: np.ndarray, b: np.ndarray | None = None) -> None:
+        """By the trees of the members at a and at b, or the tree of a with itself."""
+        first = self.tree(a)
+        pairs = first.pairs(first if b is None else self.tree(b), self.percent)
+        i, j = a[pairs[:, 0]], (a if b is None else b)[pairs[:, 1]]
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]][: len(i)])
+        for x, y in zip(start.tolist(), np.r_[start[1:], len(i)][: len(start)].tolist(), strict=True):
+            self.connect(int(i[x]), j[x:y])
+
+    def edges(self, last: int | None = None) -> pa.Table:
+        """(a, b): what newly connects the components, from one member of each to one of them all, which isn't the member `last` if there is another."""
+        order = np.arange(len(self.keys)) if last is None else np.r_[np.delete(np.arange(len(self.keys)), last), last]
+        _, one = np.unique(self.before[order], return_index=True)
+        one = order[np.sort(one)]
+        groups, root, at = np.unique(self.now[one], return_index=True, return_inverse=True)
+        a, b = _signed(self.keys[one[root]])[at], _signed(self.keys[one])
+        return pa.table({"a": pa.array(np.minimum(a, b)[a != b]), "b": pa.array(np.maximum(a, b)[a != b])})
+
+
+def _sets(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), U64) for x in table.column("shingles")]
+
+
+def joined_nodes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """nodes (hub, band, salt, key) -> links (a, b) that connect what is connected within a node; the hub is in each of its nodes."""
+
+    def within(table):
+        keys, hub = table.column("key").to_numpy().view(U64), table.column("hub")[0].as_py()
+        members = Members(keys, _sets(table), np.arange(len(keys)), percent)
+        pivot = int(np.flatnonzero(_signed(keys) == hub)[0])
+        members.connect(pivot, np.delete(np.arange(len(keys)), pivot))
+        members.join(np.arange(len(keys)))
+        return members.edges(pivot)
+
+    return nodes.join(sets, "key").groupBy("hub", "band", "salt").applyInArrow(within, "a long, b long")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is short by count."""
+    return F.broadcast(df) if df.limit(IDS + 1).count() <= IDS else df
+
+
+def cut_into_nodes(members: DataFrame, by: list[str], whole: bool) -> DataFrame:
+    """members (.., key, size) -> adds band and salt, which with `by` name nodes of about TILE members and SHINGLES shingles at most.
+    If `whole`, what fits in one node isn't cut by size."""
+    banded = members.withColumn("band", F.floor(F.log2(F.col("size")) * 3).cast("int"))
+    counts = durable(banded.groupBy(*by, "band").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")))
+    fits = (F.col("n") <= TILE) & (F.col("shingles") <= SHINGLES)
+    large = counts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles")).where(~fits).select(*by)
+    cuts = counts.join(large, by, "left_semi") if whole else counts
+    cuts = _small(durable(cuts.select(*by, "band", F.ceil(F.greatest(F.col("n") / TILE, F.col("shingles") / SHINGLES)).cast("int").alias("salts"))))
+    found = banded.join(cuts, [*by, "band"], "left")
+    salt = F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")
+    return found.select(*members.columns, F.when(F.col("salts").isNull(), -1).otherwise(F.col("band")).alias("band"), F.coalesce(salt, F.lit(0)).alias("salt"))
+
+
+def crossing_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """members (hub, key, size, component) of subtrees of several nodes -> links (a, b) between components of one subtree; None if all of them are connected."""
+    counts = durable(members.groupBy("hub", "component").agg(F.count("*").alias("n"), F.max("size").alias("size")))
+    apart = counts.groupBy("hub").agg(F.max(F.struct("n", "component")).alias("main"), F.max("size").alias("largest"), F.count("*").alias("components"))
+    apart = durable(apart.where("components > 1").select("hub", F.col("main.component").alias("main"), "largest"))
+    if apart.isEmpty():
+        return None
+    sided = members.join(_small(apart), "hub").select("hub", (F.col("component") != F.col("main")).alias("out"), "largest", "key", "size", "component")
+    nodes = durable(cut_into_nodes(sided, ["hub", "out"], whole=False).withColumn("node", F.concat_ws(",", F.col("out").cast("int"), "band", "salt")))
+
+    def summary(table):
+        """What a node above its members knows of them."""
+        keys, power = table.column("key").to_numpy(), bitmap_power(table.column("largest")[0].as_py())
+        bits = np.stack([np.frombuffer(bitmap(s, power), np.uint8) for s in _sets(table)]).view(U64)
+        size, component = table.column("size").to_numpy(), table.column("component").to_numpy()
+        excess = size - np.bitwise_count(bits).sum(1).astype(np.int64)
+        row = {"hub": table.column("hub")[0], "node": table.column("node")[0], "out": table.column("out")[0], "bits": np.bitwise_or.reduce(bits, 0).tobytes(), "low": size.min(), "high": size.max(), "excess": excess.max(), "one": component.min(), "other": component.max()}
+        return pa.table({k: [v.as_py() if isinstance(v, pa.Scalar) else v if isinstance(v, bytes) else int(v)] for k, v in row.items()}) if len(keys) else None
+
+    known = durable(nodes.join(sets.select("key", "shingles"), "key").groupBy("hub", "node").applyInArrow(summary, "hub long, node string, out boolean, bits binary, low long, high long, excess long, one long, other long"))
+    left = known.where("out").select("hub", *(F.col(c).alias(f"x_{c}") for c in known.columns if c != "hub"))
+    pairs = left.join(known, "hub").where("(NOT out OR x_node <= node) AND (x_one <> one OR x_other <> other OR one <> other)").where(100 * F.least("x_high", "high") >= percent * F.greatest("x_low", "low"))
 
-    def compare(key, t):
-        tile, across = t.column("tile").to_numpy(), key[1].as_py() != key[2].as_py()
-        at = [np.flatnonzero(tile == key[x].as_py()) for x in ((1, 2) if across else (1,))]
-        if not all(map(len, at)):
-            return found.empty_table()
-        keys, sizes, component = (t.column(x).to_numpy() for x in ("key", "size", "component"))
-        maps = folded([np.frombuffer(x.as_buffer(), np.uint8) for x in t.column("bits")])
-        trees = [SignatureTree(maps[x], sizes[x], component[x]) for x in at]
-        pairs = trees[0].pairs(trees[-1], percent)
-        a, b = keys[at[0][pairs[:, 0]]], keys[at[-1][pairs[:, 1]]]
-        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=found)
+    def bound(batches):
+        for batch in batches:
+            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
+            both = np.array([int(np.bitwise_count(np.frombuffer(x.as_buffer(), U64) & np.frombuffer(y.as_buffer(), U64)).sum()) for x, y in zip(column("x_bits"), column("bits"), strict=True)], dtype=np.int64)
+            number = {c: column(c).to_numpy() for c in ("x_low", "x_excess", "low", "excess")}
+            need = -(-percent * (number["x_low"] + number["low"]) // (100 + percent))
+            keep = pa.array(np.flatnonzero(both + np.minimum(number["x_excess"], number["excess"]) >= need))
+            yield pa.RecordBatch.from_arrays([column(c).take(keep) for c in ("hub", "x_node", "node")], names=["hub", "x", "y"])
+
+    open_pairs = durable(pairs.select("hub", "x_node", "node", "x_bits", "bits", "x_low", "low", "x_excess", "excess").mapInArrow(bound, "hub long, x string, y string"))
+    sides = open_pairs.select("hub", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("node"))
+
+    def across(key, table):
+        node = np.array(table.column("node").to_pylist(), dtype=object)
+        keys = table.column("key").to_numpy().view(U64)
+        members = Members(keys, _sets(table), table.column("component").to_numpy(), percent)
+        x, y = (np.flatnonzero(node == k.as_py()) for k in key[1:])
+        if len(x) and len(y):
+            members.join(x, None if key[1].as_py() == key[2].as_py() else y)
+        return members.edges()
 
-    return tiled.join(maps, "key").groupBy("block", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+    both = sides.join(nodes.select("hub", "node", "key", "component"), ["hub", "node"]).join(sets.select("key", "shingles"), "key")
+    return both.groupBy("hub", "x", "y").applyInArrow(across, "a long, b long")
 
 
 def near_duplicate_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -302,31 +397,20 @@ def near_duplicate_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     profile = durable(set_profile(docs, n))
     largest = profile.agg(F.max("n_shingles")).first()[0] or 0
-    classes = profile.where("n_shingles > 0").groupBy(F.col("set_key").alias("key")).agg(F.min("doc_id").alias("doc_id"))
-    met = durable(blocks(docs, n, percent, largest))
-    strong = met.where("members IS NULL").groupBy("key", "range").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed")).where("shared >= needed")
-    strong = durable(strong.groupBy("key").agg(F.max("shared").alias("weight")))
-    numbered = met.where("members IS NOT NULL").select("members").distinct().withColumn("block", F.xxhash64("members"))
-    members = durable(numbered.select("block", F.explode("members").alias("key")).join(strong, "key"))
-    hubs = members.groupBy("block").agg(F.max(F.struct("weight", "key")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("block", F.col("hub.key").alias("hub"))
-    stars = durable(members.join(hubs, "block").select("hub", "key").distinct())
-    pairs = durable(stars.where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct())
-    keys = lambda pairs: pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    maps = profile.select(F.col("set_key").alias("key"), F.col("n_shingles").alias("size"), "bits").join(keys(pairs), "key", "left_semi")
-    maps = durable(maps.dropDuplicates(["key"]))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        pairs = durable(pairs)
-        wanted = durable(classes.join(keys(pairs), "key", "left_semi"))
-        return durable(verified(pairs, durable(sets_of(docs, wanted, n)), percent))
-
-    links = linked(likely(pairs, maps, percent))
+    classes = profile.where("n_shingles > 0").groupBy(F.col("set_key").alias("key")).agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"))
+    groups = durable(subtrees(durable(blocks(docs, n, percent, largest))))
+    wanted = durable(classes.join(groups.select("key").distinct(), "key", "left_semi"))
+    sets = durable(sets_of(docs, wanted.select("key", "doc_id"), n)).select("key", "shingles")
+    members = groups.join(wanted.select("key", "size"), "key")
+    nodes = durable(cut_into_nodes(members, ["hub"], whole=True))
+    hubs = nodes.select("hub", "band", "salt").distinct()
+    every = nodes.where("key <> hub").select("hub", "band", "salt", "key").union(hubs.select("*", F.col("hub").alias("key")))
+    links = durable(joined_nodes(every, sets, percent))
     labels = connected_components(links)
-    members = stars.join(labels.withColumnRenamed("node", "key"), "key", "left").select(F.col("hub").alias("block"), "key", F.coalesce("component", "key").alias("component"))
-    unsettled = members.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("block")
-    more = durable(tree_pairs(members.join(unsettled, "block", "left_semi"), maps, percent).join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = durable(links.union(linked(more)))
+    cut = nodes.where("band >= 0").join(labels.withColumnRenamed("node", "key"), "key", "left").select("hub", "key", "size", F.coalesce("component", "key").alias("component"))
+    more = crossing_links(durable(cut), sets, percent)
+    if more is not None:
+        links = durable(links.union(more))
         labels = connected_components(links)
 
     labelled = classes.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the cluster; where none is named, as in tests, a new temporary one."""
+    """The checkpoint folder of the cluster; where none is named, a new one in the warehouse, which all executors share as well."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex}")
     return context.getCheckpointDir()
 
 
@@ -26,6 +26,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: So many blocks for each partition of the input, which Spark cuts to a bounded number of bytes.
+BLOCKS_A_PARTITION = 4
+
+
+def blocks_of(df: DataFrame) -> int:
+    """Into how many blocks rows of df are dealt by hash: in proportion to the input, whatever the setting of shuffle partitions, so that a block stays small."""
+    return BLOCKS_A_PARTITION * max(partitions(df.sparkSession), df.rdd.getNumPartitions())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritome.llm.runtime import durable, partitions
-from veritome.llm.text import U64, Words, mix, pieces, sequence_hashes, words_of
+from veritome.llm.text import U64, Words, dealt, gathered, mix, pieces, sequence_hashes, several, words_of
 
 WORDS = 35
 _KNOWN = np.uint32(1 << 31)
@@ -72,29 +72,6 @@ class Anchors:
         self.start = np.flatnonzero(np.r_[True, (self.place[1:] != self.place[:-1]) | (text[1:] != text[:-1])]) if len(text) else np.zeros(0, np.int64)
 
 
-def _dealt(bucket: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    """One row for each bucket, with the bytes of its part of each column."""
-    order = np.argsort(bucket, kind="stable")
-    bucket, columns = bucket[order], [c[order] for c in columns]
-    start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-    stop = np.r_[start[1:], len(bucket)][: len(start)]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[start].astype(np.int32)), *(pa.array([c[a:b].tobytes() for a, b in zip(start, stop, strict=True)], pa.binary()) for c in columns)], names=["bucket", *names])
-
-
-def gathered(table: pa.Table, name: str, dtype) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_buffer(), dtype) for x in table.column(name)] or [np.zeros(0, dtype)])
-
-
-def several(values: np.ndarray) -> np.ndarray:
-    """Which values occur more than once."""
-    order = np.argsort(values, kind="stable")
-    same = values[order][1:] == values[order][:-1]
-    out = np.zeros(len(values), dtype=bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
-    return out
-
-
 def _first_of_each(values: np.ndarray) -> np.ndarray:
     out = np.zeros(len(values), dtype=bool)
     out[np.unique(values, return_index=True)[1]] = True
@@ -121,7 +98,7 @@ def repeated_anchors(texts: DataFrame, n: int) -> DataFrame:
             known = several(hashes)
             sent = ~known | _first_of_each(hashes)
             bucket = np.where(sent, hashes, mix(row.copy())) % U64(count)
-            yield _dealt(bucket, [hashes, row, place | np.where(known, _KNOWN, np.uint32(0)), sent.astype(np.uint8)], ["hashes", "rows", "places", "sent"])
+            yield dealt(bucket, [hashes, row, place | np.where(known, _KNOWN, np.uint32(0)), sent.astype(np.uint8)], ["hashes", "rows", "places", "sent"])
 
     def meet(table):
         hashes, row, place, sent = (gathered(table, c, t) for c, t in (("hashes", U64), ("rows", U64), ("places", np.uint32), ("sent", np.uint8)))
@@ -137,8 +114,8 @@ def repeated_anchors(texts: DataFrame, n: int) -> DataFrame:
         stop = np.r_[start[1:], len(row)][: len(start)]
         return pa.table({"row": pa.array(row[start].view(np.int64)), "places": pa.array([place[a:b].tobytes() for a, b in zip(start, stop, strict=True)], pa.binary())})
 
-    dealt = texts.select("row", "text").mapInArrow(anchors, "bucket int, hashes binary, rows binary, places binary, sent binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "row long, places binary")
+    sorted_out = texts.select("row", "text").mapInArrow(anchors, "bucket int, hashes binary, rows binary, places binary, sent binary")
+    return sorted_out.groupBy("bucket").applyInArrow(meet, "row long, places binary")
 
 
 def factors(texts: DataFrame, n: int = WORDS) -> DataFrame:
@@ -171,7 +148,7 @@ def factors(texts: DataFrame, n: int = WORDS) -> DataFrame:
             sent = ~hot | _first_of_each(value)
             # of what occurs again in this very task only the first is sent on, with its own source found here
             source = _sources(value, row, start)
-            yield _dealt(np.where(sent, bucket, mix(row.copy())) % U64(count), [value, row, start, hot.astype(np.uint8), sent.astype(np.uint8), source[0], source[1]], ["hashes", "rows", "starts", "hot", "sent", "source_rows", "source_starts"])
+            yield dealt(np.where(sent, bucket, mix(row.copy())) % U64(count), [value, row, start, hot.astype(np.uint8), sent.astype(np.uint8), source[0], source[1]], ["hashes", "rows", "starts", "hot", "sent", "source_rows", "source_starts"])
 
     def parse(table):
         value, row, start, hot, sent, source_row, source_start = (gathered(table, c, t) for c, t in (("hashes", U64), ("rows", U64), ("starts", np.uint32), ("hot", np.uint8), ("sent", np.uint8), ("source_rows", U64), ("source_starts", np.uint32)))

@@ -8,6 +8,7 @@ one Arrow batch at a time with numpy, without a Python object per word.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,35 +17,17 @@ import pyarrow as pa
 
 U64 = np.uint64
 BLANKS = (32, 9, 10, 11, 12, 13)
-_BLOCK = 1 << 20
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[list(BLANKS)] = True
-_BASE = 0x9E3779B97F4A7C15 - 2  # odd, and 3 modulo 8
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, 256, dtype=U64)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Words of more bytes than this are hashed one by one.
+_LONG = 64
+_TAIL = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=U64)
+_STEP = U64(0x9E3779B97F4A7C15)
 _SEQ = U64(0xD6E8FEB86659FD93)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=U64)
-    out[0] = 1
-    return np.cumprod(out, dtype=U64)
-
-
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, made once in each Python worker."""
-    size = max(_BLOCK + 4096, n)
-    if size not in _POWERS:
-        _POWERS.clear()
-        _POWERS[size] = (_powers(_BASE, size), _powers(_INVERSE, size))
-    return _POWERS[size]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values, so that all bits depend on all bits."""
     h = h ^ (h >> U64(30))
@@ -94,23 +77,26 @@ def words_of(texts: pa.Array, lower: bool) -> Words:
     at = np.sort(np.concatenate([at, cut, cut]), kind="stable") if len(cut) else at
     start, end = at[0::2], at[1::2]
     first = np.searchsorted(start, offsets).astype(np.int64)
-    return Words(data, start, end, first, _hashes(data, start, end, _BYTE_LOWER if lower else _BYTE))
-
-
-def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.ndarray) -> np.ndarray:
-    out = np.empty(len(start), dtype=U64)
-    i = 0
-    while i < len(start):  # in blocks of whole words, which stay in the cache
-        j = max(i + 1, int(np.searchsorted(end, start[i] + _BLOCK, side="right")))
-        low, high = int(start[i]), int(end[j - 1])
-        power, inverse = _power_tables(high - low)
-        total = np.empty(high - low + 1, dtype=U64)
-        total[0] = 0
-        np.cumsum(value[data[low:high]] * power[: high - low], out=total[1:])
-        a, b = start[i:j] - low, end[i:j] - low
-        out[i:j] = (total[b] - total[a]) * inverse[a] + (b - a).astype(U64)
-        i = j
-    return mix(out)
+    return Words(data, start, end, first, _hashes(data, start, end, lower))
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+    """Eight bytes at a time, each step scrambled before the next; long words by BLAKE2."""
+    size = end - start
+    out = mix(size.astype(U64))
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[:-8] = _LOWER[data] if lower else data
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    own = np.flatnonzero(size <= _LONG)
+    for at in range(0, _LONG, 8):
+        own = own[size[own] > at] if at or len(own) < len(size) else np.arange(len(size))
+        if not len(own):
+            break
+        value = eights[start[own] + at] & _TAIL[np.minimum(size[own] - at, 8)]
+        out[own] = mix((out[own] * _STEP) ^ value)
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(padded[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def sequence_hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -156,3 +142,37 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20,
             j = min(i + rows, max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1))
             yield batch.slice(i, j - i)
             i = j
+
+
+def dealt(bucket: np.ndarray, columns: list, names: list[str]) -> pa.RecordBatch:
+    """One row for each bucket, with the bytes of its part of each column; a column with a mask, as a pair, has values only for the entries in the mask."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
+    stop = np.r_[start[1:], len(bucket)][: len(start)]
+    out = [pa.array(bucket[start].astype(np.int32))]
+    for column in columns:
+        if isinstance(column, tuple):
+            values, mask = column
+            own = np.r_[0, np.cumsum(mask[order])]
+            place = np.cumsum(mask) - 1
+            values = values[place[order[mask[order]]]]
+            cuts = zip(own[start].tolist(), own[stop].tolist(), strict=True)
+        else:
+            values, cuts = column[order], zip(start.tolist(), stop.tolist(), strict=True)
+        out.append(pa.array([values[a:b].tobytes() for a, b in cuts], pa.binary()))
+    return pa.RecordBatch.from_arrays(out, names=["bucket", *names])
+
+
+def gathered(table: pa.Table, name: str, dtype) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_buffer(), dtype) for x in table.column(name)] or [np.zeros(0, dtype)])
+
+
+def several(values: np.ndarray) -> np.ndarray:
+    """Which values occur more than once."""
+    order = np.argsort(values, kind="stable")
+    same = values[order][1:] == values[order][:-1]
+    out = np.zeros(len(values), dtype=bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
