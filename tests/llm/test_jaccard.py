@@ -114,6 +114,21 @@ def test_components_that_cross_nodes(spark, monkeypatch, tile, shingles):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("led", [1, 2])
+def test_leaders_and_their_followers(spark, monkeypatch, led):
+    """Where only leaders are sent, no link of those that follow them is lost."""
+    monkeypatch.setattr(jaccard, "LED", led)
+    random.seed(5)
+    bases = [[f"b{k}_{i}" for i in range(60)] for k in range(3)]
+    rows = []
+    for i in range(36):
+        own = list(bases[i % 3])
+        for _ in range(random.randrange(0, 3)):
+            own[random.randrange(len(own))] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    check(spark, rows)
+
+
 def test_dealt_columns_keep_their_entries():
     bucket = np.array([2, 0, 1, 2, 0], np.int64)
     mask = np.array([True, False, True, True, False])

@@ -9,7 +9,7 @@ Documents with equal sets form a class, known by a 64-bit fingerprint of the set
    part that is not empty, for its own range and the next one up.  With more than D such parts, one at least
    is equal in both sets and the two meet in a block; sets with fewer are "weak" and meet in a block of their own.
    As K parts that are not empty leave at least K - D equal ones, a set that shares fewer with all others together has no partner and leaves its blocks.
-   Of the sets with one signature that a task meets, it sends one, their leader, and follows it with the rest: a block has at most one entry from each piece of the input.
+   Where more than LED sets of one piece of the input have a signature, one is sent, their leader, and the others follow it wherever it goes: a block has a bounded number of entries from each piece.
    Blocks that have the same hub, the member that shares most parts over all blocks, are one subtree.
 2. A subtree is cut into nodes of at most TILE members and SHINGLES shingles, of similar sizes where there are several.  In each node a signature tree
    joins its members: leaves are token bitmaps, a node above them has the OR of its children's bitmaps, the range of their sizes, and the most tokens that any has beyond its bits.
@@ -39,7 +39,8 @@ from veritome.llm.components import connected_components
 from veritome.llm.runtime import IDS, blocks_of, durable
 from veritome.llm.text import U64, dealt, gathered, mix, pieces, several, shingle_sets, words_of
 
-TILE, SHINGLES = 1024, 1 << 21
+TILE, SHINGLES, LED = 1024, 1 << 21, 64
+_COUNTED = np.uint32(1 << 31)
 _LEAF = 8
 
 
@@ -121,7 +122,7 @@ def blocks(docs: DataFrame, n: int, percent: int, largest: int) -> DataFrame:
     and rows (leader, key): a class met a leader that has a signature of its."""
     count = blocks_of(docs)
     found = pa.schema([("members", pa.list_(pa.int64())), ("key", pa.int64()), ("range", pa.int32()), ("needed", pa.int32()), ("shared", pa.int64()), ("leader", pa.int64())])
-    names = ["sigs", "keys", "tags", "leaders", "followers"]
+    names = ["sigs", "keys", "tags", "leaders", "followers", "counted", "counted_tags", "times"]
 
     def signatures(batches):
         ranges, last = Ranges(percent, largest), np.zeros(0, dtype=U64)
@@ -140,20 +141,25 @@ def blocks(docs: DataFrame, n: int, percent: int, largest: int) -> DataFrame:
                 continue
             keys = keys[once]
             at, sig, tag = np.repeat(np.arange(len(keys)), [len(x) for x, _ in own]), np.concatenate([x for x, _ in own]), np.concatenate([x for _, x in own])
-            alike = several(sig)
-            weight = np.bincount(at[alike], minlength=len(keys))
-            order = np.lexsort((at, -weight[at], sig))
-            sig, at, tag = sig[order], at[order], tag[order]
-            first = np.r_[True, sig[1:] != sig[:-1]]
-            led = np.flatnonzero(~first)
-            pair = np.unique(at[np.flatnonzero(first)[np.cumsum(first) - 1]][led] * len(keys) + at[led])
-            sig, key, tag, leader, follower = sig[first], keys[at[first]], tag[first], keys[pair // len(keys)], keys[pair % len(keys)]
-            bucket = np.r_[(sig >> U64(32)) % U64(count), mix(follower) % U64(count)]
-            sent = np.r_[np.zeros(len(sig), bool), np.ones(len(leader), bool)]
-            yield dealt(bucket, [(sig.astype(np.uint32), ~sent), (key, ~sent), (tag, ~sent), (leader, sent), (follower, sent)], names)
+            order = np.argsort(sig, kind="stable")
+            group = np.cumsum(np.r_[True, sig[order][1:] != sig[order][:-1]]) - 1
+            crowd = order[np.bincount(group)[group] > LED]
+            kept = np.ones(len(sig), bool)
+            here = np.unique(at[crowd] << 32 | tag[crowd], return_counts=True)
+            weight = np.bincount(at[crowd], minlength=len(keys))
+            crowd = crowd[np.lexsort((at[crowd], -weight[at[crowd]], sig[crowd]))]
+            first = np.r_[True, sig[crowd][1:] != sig[crowd][:-1]][: len(crowd)]
+            kept[crowd[~first]] = False
+            tag[crowd] |= _COUNTED
+            leader = at[crowd][np.flatnonzero(first)[np.cumsum(first) - 1]] if len(crowd) else crowd
+            pair = np.unique(leader[~first] * len(keys) + at[crowd[~first]])
+            columns = [(sig[kept] & U64(0xFFFFFFFF)).astype(np.uint32), keys[at[kept]], tag[kept]], [keys[pair // len(keys)], keys[pair % len(keys)]], [keys[here[0] >> 32], (here[0] & 0xFFFFFFFF).astype(np.uint32), here[1].astype(np.uint32)]
+            bucket = np.r_[(sig[kept] >> U64(32)) % U64(count), mix(columns[1][1].copy()) % U64(count), mix(columns[2][0].copy()) % U64(count)]
+            kind = np.repeat([0, 1, 2], [len(c[0]) for c in columns])
+            yield dealt(bucket, [(c, kind == k) for k, own in enumerate(columns) for c in own], names)
 
     def meet(table):
-        sig, own, tag, leader, follower = (gathered(table, c, t) for c, t in zip(names, (np.uint32, U64, np.uint32, U64, U64), strict=True))
+        sig, own, tag, leader, follower, counted, counted_tags, times = (gathered(table, c, t) for c, t in zip(names, (np.uint32, U64, np.uint32, U64, U64, U64, np.uint32, np.uint32), strict=True))
         order = np.argsort(sig, kind="stable")
         equal = sig[order][1:] == sig[order][:-1]
         order = order[np.r_[False, equal] | np.r_[equal, False]] if len(order) else order
@@ -163,11 +169,12 @@ def blocks(docs: DataFrame, n: int, percent: int, largest: int) -> DataFrame:
         sig, own, tag = sig[once], own[once], tag[once]
         start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]][: len(sig)])
         length = np.diff(np.r_[start, len(sig)])
-        met = np.repeat(length > 1, length)
-        order = np.lexsort((tag[met], own[met]))
-        key, tags = own[met][order], tag[met][order]
+        met = np.repeat(length > 1, length) & (tag < _COUNTED)
+        key, tags, times = np.r_[own[met], counted], np.r_[tag[met], counted_tags], np.r_[np.ones(int(met.sum()), np.int64), times]
+        order = np.lexsort((tags, key))
+        key, tags, times = key[order], tags[order], times[order]
         first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tags[1:] != tags[:-1])][: len(key)])
-        shared = np.diff(np.r_[first, len(key)])
+        shared = np.add.reduceat(times, first).astype(np.int64) if len(first) else np.zeros(0, np.int64)
         members, seen = [], set()
         for a, k in zip(start[length > 1].tolist(), length[length > 1].tolist(), strict=True):
             group = own[a : a + k]
@@ -191,8 +198,8 @@ def subtrees(met: DataFrame) -> DataFrame:
     """Of the rows of blocks(): (hub, key), the members of each subtree; two linked classes are in one subtree at least."""
     led = met.where("leader IS NOT NULL").select("leader", "key").distinct()
     counted = met.where("range IS NOT NULL").groupBy("key", "range").agg(F.sum("shared").alias("weight"), F.max("needed").alias("needed")).where("weight >= needed").select("key", "weight")
-    local = led.select("key").union(led.select("leader")).select("key", F.lit(1).cast("long").alias("weight"))
-    strong = durable(counted.union(local).groupBy("key").agg(F.max("weight").alias("weight")))
+    strong = durable(counted.groupBy("key").agg(F.max("weight").alias("weight")))
+    led = durable(led.join(strong.select("key"), "key").join(strong.select(F.col("key").alias("leader")), "leader"))
     numbered = met.where("members IS NOT NULL").select("members").distinct().withColumn("block", F.xxhash64("members"))
     members = durable(numbered.select("block", F.explode("members").alias("key")).join(strong, "key"))
     hubs = members.groupBy("block").agg(F.max(F.struct("weight", "key")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("block", F.col("hub.key").alias("hub"))
@@ -302,8 +309,11 @@ class Members:
         order = np.arange(len(self.keys)) if last is None else np.r_[np.delete(np.arange(len(self.keys)), last), last]
         _, one = np.unique(self.before[order], return_index=True)
         one = order[np.sort(one)]
-        groups, root, at = np.unique(self.now[one], return_index=True, return_inverse=True)
-        a, b = _signed(self.keys[one[root]])[at], _signed(self.keys[one])
+        one = one[np.argsort(self.now[one], kind="stable")]
+        group = self.now[one]
+        first = np.maximum.accumulate(np.where(np.r_[True, group[1:] != group[:-1]][: len(one)], np.arange(len(one)), 0)) if len(one) else one
+        above = first + np.maximum(np.arange(len(one)) - first - 1, 0) // 32  # a tree of small degree, so that no node of the graph has very many links
+        a, b = _signed(self.keys[one[above]]), _signed(self.keys[one])
         return pa.table({"a": pa.array(np.minimum(a, b)[a != b]), "b": pa.array(np.maximum(a, b)[a != b])})
 
 

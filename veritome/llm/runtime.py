@@ -27,7 +27,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 #: So many blocks for each partition of the input, which Spark cuts to a bounded number of bytes.
-BLOCKS_A_PARTITION = 4
+BLOCKS_A_PARTITION = 2
 
 
 def blocks_of(df: DataFrame) -> int:
