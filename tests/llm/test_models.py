@@ -2,14 +2,16 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.brute import base_scores
-from veritome.llm import language, mixing, quality
+from veritome.llm import brown, language, mixing, quality
 from veritome.llm.brown import class_model_scores, exchange, op4_brown_classes
 from veritome.llm.language import bucket, codewords
 from veritome.llm.runtime import table
+from veritome.llm.text import words_of
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -99,23 +101,58 @@ def test_base_scores_match_brute_force(spark, kept):
     assert sum(got[i].score for i in range(120) if held(i, 10)) > sum(got[i].base_score for i in range(120) if held(i, 10))
 
 
+def every_word(blocks):
+    """{hash: (count, class)} of a model's blocks."""
+    out = {}
+    for r in blocks.collect():
+        h, c, own = (np.frombuffer(r[k], t) for k, t in (("hashes", np.uint64), ("counts", np.int64), ("classes", np.uint8)))
+        out |= {int(x): (int(n), int(k)) for x, n, k in zip(h, c, own, strict=True)}
+    return out
+
+
 def test_class_model_is_a_distribution(spark, sf_dir):
-    """Over all known words and one unknown for each class the probabilities after any class add up to 1."""
-    from veritome.llm import brown
-    from veritome.llm.runtime import durable
-
-    texts = table(spark, sf_dir, "documents").select("text")
-    blocks = durable(brown.word_counts(texts))
-    m = brown.fit(texts, blocks, frequent=50)
-    h, c, g = (np.concatenate([np.frombuffer(r[k], t) for r in blocks.collect()]) for k, t in (("hashes", np.uint64), ("counts", np.int64), ("groups", np.uint8)))
-    own = m.tail_classes[g]
-    at = np.searchsorted(m.kept, h)
-    own = np.where(m.kept[np.minimum(at, len(m.kept) - 1)] == h, m.kept_classes[np.minimum(at, len(m.kept) - 1)], own)
-    mass = np.bincount(own, 10 ** m.emission(c.astype(float), own), brown.CLASSES) + 10 ** m.emission(np.zeros(brown.CLASSES), np.arange(brown.CLASSES))
-    mass[-1] += 10 ** m.emission(np.array([m.ends]), np.array([brown.CLASSES - 1]))[0]
+    """Over all known words and one unknown for each class the probabilities after any history add up to 1."""
+    m, blocks = brown.fit(table(spark, sf_dir, "documents").select("text"), frequent=50)
+    known = np.array(list(every_word(blocks).values()))
+    assert len(known) == m.words and known[:, 0].sum() == m.tokens
+    mass = np.bincount(known[:, 1], 10 ** m.emission(known[:, 0].astype(float), known[:, 1]), brown.CLASSES) + 10 ** m.emission(np.zeros(brown.CLASSES), np.arange(brown.CLASSES))
     assert np.allclose(mass, 1) and np.allclose((10**m.transition).sum(1), 1)
 
 
+@pytest.mark.parametrize("kept", [3, 65_536])
+def test_class_scores_match_brute_force(spark, kept):
+    """Word by word from the model's tables: each word's own class, and the class of the item before it."""
+    rows = [(i, prose("xyz"[i % 3] * 2, 4 + i % 20, i) + (" A B" if i % 4 else " É"), "l", "s") for i in range(60)] + [(500, None, "l", "s"), (501, " ", "l", "s"), (502, "never seen ab " * 2, "l", "s")]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    docs = df.select("doc_id", F.lit(False).alias("held_out"), "text")
+    m, blocks = brown.fit(df.where("doc_id < 500").select("text"), frequent=10, kept=kept)
+    known, end = every_word(blocks), len(m.transition) - 1
+    for r in brown.scored(docs, m, blocks).collect():
+        words = words_of(pa.array([{d: t for d, t, _, _ in rows}[r.doc_id]], pa.string()), True)
+        groups, want, before = brown.tail_groups(words), 0.0, end
+        for h, g in zip(words.hash.tolist(), groups.tolist(), strict=True):
+            n, own = known.get(h, (0, int(m.unseen[g])))
+            want += m.transition[before, own] + m.emission(np.array([n]), np.array([own]))[0]
+            at = np.flatnonzero(m.histories.keys == np.uint64(h))
+            before = m.histories.classes[at[0] if len(at) else len(m.histories.keys) + g]
+        want += m.transition[before, end] + m.emission(np.array([m.ends]), np.array([end]))[0]
+        assert r.score == pytest.approx(want, rel=1e-9)
+
+
+def test_exchange_gives_every_word_its_class(spark):
+    """Words of two kinds that alternate are told apart, rare ones as well; equally frequent words beyond the room are told by hash."""
+    r = random.Random(4)
+    left, right = [f"l{r.getrandbits(30)}" for _ in range(150)], [f"r{r.getrandbits(30)}" for _ in range(150)]
+    text = " ".join(f"{r.choice(left)} {r.choice(right)}" for _ in range(2700))
+    df = spark.createDataFrame([(text,)], "text string")
+    m, blocks = brown.fit(df, frequent=220, classes=4, kept=100)
+    known = every_word(blocks)
+    of = lambda ws: np.bincount([known[int(h)][1] for h in words_of(pa.array([" ".join(ws)]), True).hash], minlength=4)
+    assert np.minimum(of(left), of(right)).sum() < 30
+    words, times, _ = brown.most_frequent(brown.word_counts(df), 100)
+    assert len(words) == 100 == len(m.kept) and words.tolist() == sorted(known)[1:101]
+
+
 def test_repeated_rows_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b c", "l", "s"), (1, "a b c", "l", "s"), (None, "a", "l", "s")], DOCS)
     got = class_model_scores(df, F.lit(False)).collect()

@@ -1,20 +1,21 @@
-"""Substring dedup by the windows of every document that occur again in the indexed text.
+"""Substring dedup by relative Lempel-Ziv parsing: the words of every document that a repeated window covers.
 
 A window is n consecutive words of a document; a window is repeated if its word sequence also starts anywhere else.
-Comparing all windows would shuffle a hash for every word of the corpus, so the reference is indexed by anchors: the anchor of a
-window is its k-word sequence with the least hash, the leftmost one if there are several.  The same words have the same anchor at the same place,
-so a window can only be repeated if its anchor is, and windows share anchors, about 2 / (n - k + 2) for each word.
 
-1. The reference index: anchors of all documents, dealt into blocks by hash.  Those that occur once are dropped.
-2. The windows: each window with a repeated anchor goes to that anchor's block, and is flagged if its hash occurs there elsewhere.  Consecutive flagged windows of a block
-   are one span; its source is that of its first window.  This stands in for a greedy parse along one source, and gives the same words.
-3. Spans are merged for each document and their words removed.
+1. The index.  Comparing all windows would shuffle a hash for every word of the corpus, so the reference, which is the corpus itself, is indexed by anchors: the anchor of a
+   window is its k-word sequence with the least hash, the leftmost one if there are several.  The same words have the same anchor at the same place,
+   so a window can only be repeated if its anchor is, and windows share anchors, about 2 / (n - k + 2) for each word.  Anchors are dealt into blocks by hash; those that occur once are dropped.
+2. The parse.  Each window with a repeated anchor goes to that anchor's block.  A block's windows, in the order of their texts, are indexed by a suffix array.  Each text is factored
+   greedily against the block: from its first repeated window on, the factor is the longest run of words that also starts at another place of the block, the source, and is found beside it in the suffix array.
+   At the factor's end the windows that cross its boundary are looked up themselves: the first that is repeated starts the next factor.  A factor has one source, and n words at least.
+   A document is factored against every block that has one of its anchors, and against the batch of texts that it is read in.
+3. Factors are duplicate spans.  Those of one document that go on along one source are joined (`factors`); all are merged and their words removed.
 
 A sequence that a task has seen twice needs no comparison elsewhere, so only one occurrence of it is sent to its block: the text of a
 large group of copies doesn't gather in one task.
 
-Cases: null and blank texts have no words; texts of fewer than n words have no windows; repeated rows repeat each other's windows, and all are kept as rows; ids may be null;
-further columns are kept where text is returned and ignored elsewhere; empty tables give empty results.  Equality is that of an anchor's and a window's 64-bit hashes together.
+Cases: null and blank texts have no words; texts of fewer than n words have no windows; repeated rows repeat each other's windows, name themselves as the source, and all are kept as rows; ids may be null;
+further columns are kept where text is returned and ignored elsewhere; empty tables give empty results.  Equality is that of the 64-bit hashes of windows within a block.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veritome.llm.runtime import durable, partitions
+from veritome.llm.runtime import blocks_of, durable
 from veritome.llm.text import U64, Words, dealt, gathered, mix, pieces, sequence_hashes, several, words_of
 
 WORDS = 35
@@ -84,7 +86,7 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def repeated_anchors(texts: DataFrame, n: int) -> DataFrame:
     """texts (row, text) -> (row, places): word numbers, in the text, of anchors that occur again somewhere; several rows for a text."""
-    count = partitions(texts.sparkSession)
+    count = blocks_of(texts)
 
     def anchors(batches):
         for piece in pieces(batches, "text"):
@@ -108,8 +110,10 @@ def repeated_anchors(texts: DataFrame, n: int) -> DataFrame:
         # an anchor that a task knows to be repeated makes its other occurrences repeated too: those tasks sent it alone
         keep = np.flatnonzero(known | again)
         row, place = row[keep], place[keep] & ~_KNOWN
-        order = np.argsort(row, kind="stable")
+        order = np.lexsort((place, row))
         row, place = row[order], place[order]
+        once = np.r_[True, (row[1:] != row[:-1]) | (place[1:] != place[:-1])][: len(row)]  # equal rows have their places once
+        row, place = row[once], place[once]
         start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
         stop = np.r_[start[1:], len(row)][: len(start)]
         return pa.table({"row": pa.array(row[start].view(np.int64)), "places": pa.array([place[a:b].tobytes() for a, b in zip(start, stop, strict=True)], pa.binary())})
@@ -118,19 +122,83 @@ def repeated_anchors(texts: DataFrame, n: int) -> DataFrame:
     return sorted_out.groupBy("bucket").applyInArrow(meet, "row long, places binary")
 
 
-def factors(texts: DataFrame, n: int = WORDS) -> DataFrame:
-    """texts (row, .., text) -> (row, start, stop, source_row, source_start): the factors of n words or more.
+def longest_matches(symbols: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the length of the longest sequence that starts at another place too, and that place.
 
-    Words start to stop - 1 of the text; the first n of them also start at word source_start of the text source_row.
+    symbols are those of several texts in a row, and left[i] is how many remain of i's text, its own included.  The suffix array is made by doubling;
+    of the suffixes, one of the two neighbours has the longest common part with each.
+    """
+    m, size = len(symbols), 1
+    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
+    ranks, at = [rank], np.arange(m)
+    while size < left.max(initial=0):
+        more = left > size
+        after = np.zeros(m, dtype=np.int64)
+        after[more] = rank[at[more] + size] + 1
+        rank = np.unique(rank * (m + 1) + after, return_inverse=True)[1].astype(np.int64)
+        ranks.append(rank)
+        size *= 2
+    order = np.argsort(rank, kind="stable")
+    a, b = order[:-1], order[1:]
+    common = np.zeros(len(a), dtype=np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        fits = np.flatnonzero((left[a] - common >= 1 << k) & (left[b] - common >= 1 << k))
+        same = fits[ranks[k][a[fits] + common[fits]] == ranks[k][b[fits] + common[fits]]]
+        common[same] += 1 << k
+    length, source = np.zeros(m, dtype=np.int64), at.copy()
+    length[b], source[b] = common, a
+    better = common > length[a]
+    length[a[better]], source[a[better]] = common[better], b[better]
+    return length, source
+
+
+def greedy_factors(value: np.ndarray, row: np.ndarray, start: np.ndarray, n: int) -> list[np.ndarray]:
+    """Windows of a block, by hash, text and place -> the factors of its texts relative to the block: row, start, stop, source_row, source_start.
+
+    All windows given are repeated in the block.  Where equal rows have a window at one place, its source may be that place of the other row, so itself.
     """
-    count = partitions(texts.sparkSession)
+    order = np.lexsort((start, row))
+    value, row, start = value[order], row[order], start[order].astype(np.int64)
+    first = np.r_[True, (row[1:] != row[:-1]) | (start[1:] != start[:-1])][: len(row)]
+    times = np.diff(np.r_[np.flatnonzero(first), len(row)])
+    value, row, start = value[first], row[first], start[first]
+    m = len(row)
+    if not m:
+        return [np.zeros(0, U64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, U64), np.zeros(0, np.uint32)]
+    goes_on = np.r_[(row[1:] == row[:-1]) & (start[1:] == start[:-1] + 1), False]
+    left = _run_lengths(goes_on)
+    length, source = longest_matches(value, left)
+    again = np.where(times > 1, _run_lengths(goes_on & np.r_[(times > 1)[1:], False]), 0)
+    own = again > length
+    length, source = np.where(own, again, length), np.where(own, np.arange(m), source)
+    at, i, steps = [], 0, length.tolist()
+    while i < m:  # the window after a factor's last one crosses its boundary and is looked up itself
+        at.append(i)
+        i += steps[i]
+    at = np.array(at)
+    return [row[at], start[at].astype(np.uint32), (start[at] + length[at] + n - 1).astype(np.uint32), row[source[at]], start[source[at]].astype(np.uint32)]
+
+
+def _run_lengths(goes_on: np.ndarray) -> np.ndarray:
+    """How many places there are from each on to the first that doesn't go on, which counts."""
+    stops = np.flatnonzero(~goes_on)
+    at = np.arange(len(goes_on))
+    return stops[np.searchsorted(stops, at)] - at + 1
+
+
+_WINDOW = {"hashes": U64, "rows": U64, "starts": np.uint32}
+_FACTOR = {"factor_rows": U64, "factor_starts": np.uint32, "factor_stops": np.uint32, "source_rows": U64, "source_starts": np.uint32}
+
+
+def block_factors(texts: DataFrame, n: int) -> DataFrame:
+    """texts (row, .., text) -> (row, start, stop, source_row, source_start): the factors of every text relative to each block."""
+    count = blocks_of(texts)
     found = durable(repeated_anchors(texts, n)).groupBy("row").agg(F.collect_list("places").alias("places"))
-    kept = [c for c in texts.columns if c not in ("row", "text")]
-    joined = texts.select("row", *kept, "text").join(found, "row").select("row", *kept, "text", "places")
+    joined = texts.select("row", "text").join(found, "row").select("row", "text", "places")
 
     def windows(batches):
         for piece in pieces(batches, "text"):
-            texts, lists = piece.column(len(kept) + 1), piece.column(len(kept) + 2)
+            texts, lists = piece.column(1), piece.column(2)
             words = words_of(texts, False)
             own, hashes = Anchors(words, n), sequence_hashes(words.hash, n)
             marked = np.zeros(len(words.hash) + 1, dtype=bool)
@@ -143,46 +211,37 @@ def factors(texts: DataFrame, n: int = WORDS) -> DataFrame:
                 continue
             value, row = hashes[window], piece.column(0).to_numpy().view(U64)[text]
             start = (window - words.first[text]).astype(np.uint32)
-            bucket = own.grams[place]
             hot = several(value)
+            # what occurs again among these very texts is factored here, and only its first occurrence is sent on
+            here = greedy_factors(value[hot], row[hot], start[hot], n)
             sent = ~hot | _first_of_each(value)
-            # of what occurs again in this very task only the first is sent on, with its own source found here
-            source = _sources(value, row, start)
-            yield dealt(np.where(sent, bucket, mix(row.copy())) % U64(count), [value, row, start, hot.astype(np.uint8), sent.astype(np.uint8), source[0], source[1]], ["hashes", "rows", "starts", "hot", "sent", "source_rows", "source_starts"])
+            bucket = np.r_[own.grams[place[sent]] % U64(count), mix(here[0].copy()) % U64(count)]
+            done = np.arange(len(bucket)) >= int(sent.sum())
+            yield dealt(bucket, [*((c[sent], ~done) for c in (value, row, start)), *((c, done) for c in here)], [*_WINDOW, *_FACTOR])
 
     def parse(table):
-        value, row, start, hot, sent, source_row, source_start = (gathered(table, c, t) for c, t in (("hashes", U64), ("rows", U64), ("starts", np.uint32), ("hot", np.uint8), ("sent", np.uint8), ("source_rows", U64), ("source_starts", np.uint32)))
-        at = np.flatnonzero(sent)
-        again = np.zeros(len(value), bool)
-        again[at] = several(value[at])
-        other = _sources(value[at], row[at], start[at])
-        better = again[at] & (hot[at] == 0)
-        source_row, source_start = source_row.copy(), source_start.copy()
-        source_row[at[better]], source_start[at[better]] = other[0][better], other[1][better]
-        keep = np.flatnonzero(again | (hot > 0))
-        keep = keep[np.lexsort((start[keep], row[keep]))]
-        row, start, source_row, source_start = row[keep], start[keep].astype(np.int64), source_row[keep], source_start[keep]
-        new = np.r_[True, (row[1:] != row[:-1]) | (start[1:] > start[:-1] + 1)] if len(row) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        last = np.r_[first[1:], len(row)][: len(first)] - 1
-        return pa.table({"row": pa.array(row[first].view(np.int64)), "start": pa.array(start[first]), "stop": pa.array(start[last] + n), "source_row": pa.array(source_row[first].view(np.int64)), "source_start": pa.array(source_start[first].astype(np.int64))})
-
-    binaries = ", ".join(f"{c} binary" for c in ("hashes", "rows", "starts", "hot", "sent", "source_rows", "source_starts"))
+        value, row, start = (gathered(table, c, t) for c, t in _WINDOW.items())
+        again = several(value)
+        columns = [np.concatenate(c) for c in zip(greedy_factors(value[again], row[again], start[again], n), [gathered(table, c, t) for c, t in _FACTOR.items()], strict=True)]
+        order = np.lexsort((columns[2], columns[1], columns[0]))
+        columns = [c[order] for c in columns]
+        once = np.r_[True, np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)][: len(order)]
+        return pa.table({name: pa.array(c[once].view(np.int64) if c.dtype == U64 else c[once].astype(np.int64)) for name, c in zip(("row", "start", "stop", "source_row", "source_start"), columns, strict=True)})
+
+    binaries = ", ".join(f"{c} binary" for c in (*_WINDOW, *_FACTOR))
     return joined.mapInArrow(windows, f"bucket int, {binaries}").groupBy("bucket").applyInArrow(parse, "row long, start long, stop long, source_row long, source_start long")
 
 
-def _sources(value: np.ndarray, row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each occurrence the first occurrence of the same value, or for that one the second; itself if it is the only one."""
-    order = np.argsort(value, kind="stable")
-    sorted_value = value[order]
-    new = np.r_[True, sorted_value[1:] != sorted_value[:-1]] if len(value) else np.zeros(0, bool)
-    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(value) else np.zeros(0, np.int64)
-    to = first.copy()
-    lone = np.r_[new[1:], True] if len(value) else new
-    to[new & ~lone] += 1
-    back = np.empty(len(value), dtype=np.int64)
-    back[order] = order[to]
-    return row[back], start[back]
+def factors(texts: DataFrame, n: int = WORDS) -> DataFrame:
+    """texts (row, text) -> (row, start, stop, source_row, source_start): words start to stop - 1 of the text are those from word source_start on of the text source_row.
+
+    Factors that several blocks found along one source, and that meet or overlap, are one.
+    """
+    along = W.partitionBy("row", "source_row", "shift").orderBy("start", "stop")
+    found = block_factors(texts, n).withColumn("shift", F.col("start") - F.col("source_start"))
+    reached = F.max("stop").over(along.rowsBetween(W.unboundedPreceding, -1))
+    parts = found.withColumn("new", F.coalesce(F.col("start") > reached, F.lit(True)).cast("int")).withColumn("part", F.sum("new").over(along.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return parts.groupBy("row", "source_row", "shift", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select("row", "start", "stop", "source_row", (F.col("start") - F.col("shift")).alias("source_start"))
 
 
 def _removed(words: Words, starts: pa.Array, stops: pa.Array) -> np.ndarray:
@@ -196,7 +255,7 @@ def _removed(words: Words, starts: pa.Array, stops: pa.Array) -> np.ndarray:
 
 
 def _with_spans(texts: DataFrame, n: int) -> DataFrame:
-    spans = factors(texts, n).groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    spans = block_factors(texts, n).groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     kept = [c for c in texts.columns if c not in ("row", "text")]
     return texts.select("row", *kept, "text").join(spans, "row", "left").select(*kept, "text", "starts", "stops")
 
