@@ -150,7 +150,9 @@ def test_exchange_gives_every_word_its_class(spark):
     of = lambda ws: np.bincount([known[int(h)][1] for h in words_of(pa.array([" ".join(ws)]), True).hash], minlength=4)
     assert np.minimum(of(left), of(right)).sum() < 30
     words, times, _ = brown.most_frequent(brown.word_counts(df), 100)
-    assert len(words) == 100 == len(m.kept) and words.tolist() == sorted(known)[1:101]
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    want = sorted((h for h in known if h), key=lambda h: (-known[h][0], signed(h)))[:100]
+    assert len(m.kept) == 100 and words.tolist() == sorted(want)
 
 
 def test_repeated_rows_and_empty_tables(spark):

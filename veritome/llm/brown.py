@@ -1,15 +1,21 @@
 """Language model scoring with Brown class-based bigrams.
 
-P(word | word before) = P(class | class before) * P(word | class).  Exchange clustering assigns the FREQUENT most frequent words to classes one by one, moving
-each to the class that raises the likelihood of the class bigrams most, until no word moves; all other words are clustered with them in TAILS groups
-by their last two bytes, so every word of any corpus, seen or not, has a class.  The end of a text is a token and a class of its own.  Class transitions are interpolated with class
-frequencies; a class gives each of its words its count plus DELTA, and DELTA to an unseen one.
+P(word | word before) = P(class | history) * P(word | class).  Exchange clustering assigns every word of the training texts to a class, and the end of a text to one of its own.
 
-Counts are of all training texts and grow with them.  Words are counted in blocks by hash, each read again by the texts' words in the same block; only the KEPT most frequent words
-are broadcast, whatever the corpus, so that their tokens needn't be shuffled.  The clustering reads a matrix of (FREQUENT + TAILS + 1) squared bigram counts.
+1. The FREQUENT most frequent words, and all others in TAILS groups by their last two bytes, are exchanged on one matrix of bigram counts: each moves to the class
+   that raises the likelihood of the class bigrams most, until none moves.  The classes of these items are the histories: whatever word comes before, seen or not, has one.
+2. Every word is counted by the histories before it, in blocks by the word's hash: CLASSES numbers at most, which are all that its best class depends on.  Starting from its item's class,
+   each word of the vocabulary is then exchanged, block by block: a pass moves each word to the class that raises the likelihood of (history, class) most, half of the words at a time,
+   on a copy of the table of histories and classes, which is added up anew after each pass.  Passes go on until the likelihood grows by less than CLOSE of itself.
+   Then the KEPT most frequent words take their own classes as histories, all others that of most words of their group, and the words are counted and exchanged once more.
+3. Class transitions are interpolated with class frequencies; a class gives each of its words its count plus DELTA, and DELTA to an unseen one.  An unseen word has the class to which most
+   words of its group belong.
+
+Counts and classes are of all training texts and all their words, and grow with them.  Only the KEPT most frequent words are broadcast, whatever the corpus, so that their tokens needn't
+be shuffled; tokens of other words meet their words' counts and classes in the words' blocks, and what they add to a text is summed by text.
 
 Cases: a null text counts as empty, one end token; without training texts every word is unknown and the model is uniform over classes; repeated rows are kept; ids may be null (they train);
-further columns are ignored; empty tables give empty results.  Words are told apart by 64-bit hashes.
+further columns are ignored; empty tables give empty results.  Words are told apart by 64-bit hashes; of equally frequent words those with the smaller hashes come first.
 """
 
 from __future__ import annotations
@@ -23,11 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritome.llm.language import bucket
-from veritome.llm.runtime import durable, partitions
+from veritome.llm.runtime import blocks_of, durable
 from veritome.llm.text import U64, Words, dealt, gathered, mix, pieces, words_of
 
-FREQUENT, TAILS, CLASSES, KEPT = 600, 96, 32, 65_536
-DELTA = 0.1
+FREQUENT, TAILS, CLASSES, KEPT = 1500, 96, 32, 65_536
+DELTA, CLOSE, ROUNDS = 0.1, 1e-5, 2
 END = U64(0)
 _HELD = 1 << 20
 
@@ -63,7 +69,7 @@ class Lookup:
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """Blocks (bucket, hashes, counts, groups) of the distinct words of texts (text), each block sorted by hash."""
-    count = partitions(texts.sparkSession)
+    count = blocks_of(texts)
 
     def merged(held):
         h, c, g = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -110,26 +116,30 @@ def _rows(blocks: DataFrame, make, kinds: str) -> DataFrame:
 
 
 def most_frequent(blocks: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, counts and groups, sorted by hash, of at most so many words: all those above a count that is chosen by a histogram of the counts."""
+    """Hashes, counts and groups, sorted by hash, of the `most` most frequent words.  A histogram of the counts tells how far down they go; only of its last bin a part is sorted."""
     bins = lambda c: np.floor(np.log2(c) * 32).astype(np.int64)
 
     def histogram(h, c, g):
         found, n = np.unique(bins(c), return_counts=True)
         return found, n
 
-    total, least = 0, None
+    total, last = 0, None
     for row in _rows(blocks, histogram, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy(F.desc("bin")).collect():
+        last = row["bin"]
         if total + row["n"] > most:
             break
-        total, least = total + row["n"], row["bin"]
-    if least is None:
-        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        total += row["n"]
+    else:
+        last = None if last is None else last - 1
 
-    def above(h, c, g):
-        keep = bins(c) >= least
-        return h[keep].view(np.int64), c[keep], g[keep].astype(np.int32)
+    def among(keep):
+        return _rows(blocks, lambda h, c, g: (h[keep(c)].view(np.int64), c[keep(c)], g[keep(c)].astype(np.int32)), "h long, c long, g int")
 
-    got = _rows(blocks, above, "h long, c long, g int").toArrow()
+    if last is None:
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    above = among(lambda c: bins(c) > last)
+    rest = among(lambda c: bins(c) == last).orderBy(F.desc("c"), "h").limit(max(most - total, 1))
+    got = above.union(rest).toArrow() if most > total else above.toArrow()
     h = got.column("h").to_numpy().view(U64)
     order = np.argsort(h)
     return h[order], got.column("c").to_numpy()[order], got.column("g").to_numpy()[order].astype(np.uint8)
@@ -211,12 +221,176 @@ def exchange(n: np.ndarray, classes: int, passes: int | None = None) -> np.ndarr
     return own
 
 
+_WORDS = {"hashes": U64, "counts": np.int64, "groups": np.uint8, "classes": np.uint8, "pairs": np.uint32, "times": np.int64}
+_KINDS = "bucket int, " + ", ".join(f"{c} binary" for c in _WORDS)
+
+
+def history_counts(texts: DataFrame, histories: Histories, classes: int) -> DataFrame:
+    """Blocks of all distinct words of texts (text), and the end of a text as the word END: hashes, counts, groups, the classes to start from, which are those that the words have as histories,
+    and, in the order of words, the pairs (word's place in the block * classes + history) that occur and their times."""
+    count, shared = blocks_of(texts), texts.sparkSession.sparkContext.broadcast(histories)
+
+    def merged(held):
+        h, pair_word, pair_history, times, groups = (np.concatenate(x) for x in zip(*held, strict=True))
+        keys, at, back = np.unique(h, return_index=True, return_inverse=True)
+        pairs, place = np.unique(back[pair_word] * classes + pair_history, return_inverse=True)
+        return keys, pairs // classes, (pairs % classes).astype(np.int64), np.bincount(place, times, len(pairs)).astype(np.int64), groups[at]
+
+    def stacked(parts):
+        """Parts of (hashes, pairs' words as places in the part, ..), with the places in all of them."""
+        at = np.cumsum([0, *(len(p[0]) for p in parts)])
+        return merged([(p[0], p[1] + a, p[2], p[3], p[4]) for p, a in zip(parts, at[:-1], strict=True)])
+
+    def sent(part):
+        h, word, history, times, groups = part
+        values = np.r_[h, np.full(len(word), 0, U64)]
+        values[len(h) :] = h[word]
+        is_pair = np.arange(len(values)) >= len(h)
+        return dealt(values % U64(count), [(h, ~is_pair), (groups, ~is_pair), (h[word], is_pair), (history.astype(np.uint8), is_pair), (times, is_pair)], ["hashes", "groups", "words", "histories", "times"])
+
+    def counted(batches):
+        histories = shared.value
+        held, size = [], 0
+        for piece in pieces(batches, "text"):
+            words = words_of(piece.column(0), True)
+            keys, at, back = np.unique(words.hash, return_index=True, return_inverse=True)
+            own, ends = histories.of(words), words.first[1:]
+            before = np.r_[classes - 1, np.insert(own, ends, classes - 1)[:-1]] if len(ends) else np.zeros(0, np.int64)
+            word = np.insert(back, ends, len(keys))
+            held.append(merged([(np.r_[keys, END], word, before, np.ones(len(word)), np.r_[tail_groups(words)[at], 0].astype(np.uint8))]))
+            size += len(held[-1][1])
+            if size > _HELD:
+                held = [stacked(held)]
+                size = len(held[0][1])
+                if size > _HELD // 2:
+                    yield sent(held[0])
+                    held, size = [], 0
+        if held:
+            yield sent(stacked(held))
+
+    def block(key, table):
+        histories = shared.value
+        h, groups, words, history, times = (gathered(table, c, t) for c, t in (("hashes", U64), ("groups", np.uint8), ("words", U64), ("histories", np.uint8), ("times", np.int64)))
+        keys, at = np.unique(h, return_index=True)
+        pairs, place = np.unique(np.searchsorted(keys, words) * classes + history, return_inverse=True)
+        times = np.bincount(place, times, len(pairs)).astype(np.int64)
+        counts = np.bincount(pairs // classes, times, len(keys)).astype(np.int64)
+        first = histories.classes[_items(keys, groups[at], histories.keys)].copy()
+        first[keys == END] = classes - 1
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), **{c: pa.array([v.astype(t).tobytes()], pa.binary()) for (c, t), v in zip(_WORDS.items(), (keys, counts, groups[at], first, pairs, times), strict=True)}})
+
+    return texts.mapInArrow(counted, "bucket int, hashes binary, groups binary, words binary, histories binary, times binary").groupBy("bucket").applyInArrow(block, _KINDS)
+
+
+def _items(h: np.ndarray, groups: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place of each word's item: a frequent word by itself, any other as its group."""
+    place = Lookup(keys).places(h)
+    return np.where(place >= 0, place, len(keys) + groups.astype(np.int64))
+
+
+@dataclass
+class Histories:
+    """The class of what comes before: keys are the frequent words' hashes, classes those of all items."""
+
+    keys: np.ndarray
+    classes: np.ndarray
+
+    def of(self, words: Words) -> np.ndarray:
+        return self.classes[_items(words.hash, tail_groups(words), self.keys)]
+
+
+def _each_block(blocks: DataFrame, make, kinds: str) -> DataFrame:
+    """The batches that make(columns of a block by name) returns, one for each block."""
+
+    def each(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield make(row["bucket"], {c: np.frombuffer(row[c], t) for c, t in _WORDS.items()})
+
+    return blocks.mapInArrow(each, kinds)
+
+
+def class_table(blocks: DataFrame, classes: int) -> np.ndarray:
+    """How often each (history, class) occurs under the blocks' classes."""
+
+    def added(bucket, b):
+        cell = (b["pairs"] % classes) * classes + b["classes"][b["pairs"] // classes]
+        found, at = np.unique(cell, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(np.bincount(at, b["times"], len(found)).astype(np.int64))], names=["cell", "n"])
+
+    out = np.zeros(classes * classes, dtype=np.int64)
+    for cell, n in _each_block(blocks, added, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
+        out[cell] = n
+    return out.reshape(classes, classes)
+
+
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-12))
+
+
+def likelihood(g: np.ndarray) -> float:
+    """What of the log likelihood depends on the classes."""
+    return float(_f(g.astype(np.float64)).sum() - _f(g.sum(0).astype(np.float64)).sum())
+
+
+def exchanged(words: dict[str, np.ndarray], g: np.ndarray, turn: int) -> np.ndarray:
+    """The classes of a block's words after each word whose turn it is has moved to its best class; frequent words move one by one, rare ones by up to 4,096 at once."""
+    classes, own = len(g), words["classes"].astype(np.int64)
+    g = g.astype(np.float64)
+    word, history, times = words["pairs"].astype(np.int64) // classes, words["pairs"].astype(np.int64) % classes, words["times"].astype(np.float64)
+    start = np.searchsorted(word, np.arange(len(own) + 1))
+    order = np.argsort(-words["counts"], kind="stable")
+    order = order[((mix(words["hashes"][order].copy()) & U64(1)) == U64(turn % 2)) & (words["hashes"][order] != END)]
+    limit, at = max(g.sum() / 2000, 1.0), 0
+    sizes = np.cumsum(words["counts"][order])
+    while at < len(order):
+        stop = max(at + 1, min(at + 4096, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + limit, side="right"))))
+        chosen = order[at:stop]
+        length = start[chosen + 1] - start[chosen]
+        first = np.cumsum(np.r_[0, length])[:-1]
+        p = np.repeat(start[chosen] - first, length) + np.arange(length.sum())
+        h, n, c, total = history[p], times[p], own[chosen], words["counts"][chosen].astype(np.float64)
+        column = g.sum(0)
+        gain = np.add.reduceat(_f(g[h] + n[:, None]) - _f(g[h]), first, axis=0) - (_f(column + total[:, None]) - _f(column))
+        old = g[h, np.repeat(c, length)]
+        leave = np.add.reduceat(_f(old - n) - _f(old), first) - (_f(column[c] - total) - _f(column[c]))
+        gain += leave[:, None]
+        gain[np.arange(len(chosen)), c] = 1e-9
+        gain[:, -1] = -np.inf
+        best = gain.argmax(1)
+        np.subtract.at(g, (h, np.repeat(c, length)), n)
+        np.add.at(g, (h, np.repeat(best, length)), n)
+        own[chosen] = best
+        at = stop
+    return own.astype(np.uint8)
+
+
+def exchange_all(blocks: DataFrame, classes: int, close: float = CLOSE) -> DataFrame:
+    """Blocks of history_counts() with the classes that exchange gives all their words.  A pass that doesn't raise the likelihood isn't taken."""
+    g, quiet, turn = class_table(blocks, classes), 0, 0
+    while quiet < 2 and g.any():
+
+        def move(bucket, b, g=g, turn=turn):
+            columns = b | {"classes": exchanged(b, g, turn)}
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([columns[c].tobytes()], pa.binary()) for c in _WORDS)], names=["bucket", *_WORDS])
+
+        moved = durable(_each_block(blocks, move, _KINDS))
+        new = class_table(moved, classes)
+        before, after = likelihood(g), likelihood(new)
+        quiet = 0 if after > before + close * abs(before) else quiet + 1
+        if after > before:
+            blocks, g = moved, new
+        turn += 1
+    return blocks
+
+
 @dataclass
 class BrownModel:
+    histories: Histories
     kept: np.ndarray
     kept_counts: np.ndarray
     kept_classes: np.ndarray
-    tail_classes: np.ndarray
+    unseen: np.ndarray
     transition: np.ndarray
     class_tokens: np.ndarray
     class_words: np.ndarray
@@ -231,64 +405,89 @@ class BrownModel:
         return np.log10((c + DELTA) / (self.class_tokens[own] + DELTA * (self.class_words[own] + 1)))
 
 
-def fit(texts: DataFrame, blocks: DataFrame, *, frequent: int = FREQUENT, classes: int = CLASSES, kept: int = KEPT) -> BrownModel:
-    """texts (text) are the training texts, blocks their word counts."""
-    words, counts, groups = most_frequent(blocks, kept)
-    top = np.argsort(-counts, kind="stable")[:frequent]
-    top = np.sort(top)
-    n = bigram_counts(texts, words[top])
-    own = exchange(n, classes)
-    totals = np.zeros((TAILS, 2), dtype=np.int64)
-
-    def by_group(h, c, g):
-        return np.arange(TAILS), np.bincount(g, c, TAILS).astype(np.int64), np.bincount(g, minlength=TAILS)
-
-    for r in _rows(blocks, by_group, "g long, tokens long, words long").groupBy("g").agg(F.sum("tokens"), F.sum("words")).collect():
-        totals[r[0]] = r[1:]
-    ends = int(n[:, -1].sum())
-    tokens, distinct = int(totals[:, 0].sum()) + ends, int(totals[:, 1].sum()) + (ends > 0)
-    np.subtract.at(totals, groups[top], np.stack([counts[top], np.ones(len(top), np.int64)], 1))
-    item_tokens, item_words = np.r_[counts[top], totals[:, 0], ends].astype(np.float64), np.r_[np.ones(len(top)), totals[:, 1], min(ends, 1)]
-    class_tokens, class_words = np.bincount(own, item_tokens, classes), np.bincount(own, item_words, classes)
-    g = np.zeros((classes, classes))
-    np.add.at(g, (own[:, None], own[None, :]), n)
+def _classes_of(blocks: DataFrame, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and classes of some words of the blocks, given by sorted hashes."""
+
+    def found(bucket, b):
+        at = np.flatnonzero(Lookup(words).places(b["hashes"]) >= 0)
+        return pa.RecordBatch.from_arrays([pa.array(b["hashes"][at].view(np.int64)), pa.array(b["counts"][at]), pa.array(b["classes"][at].astype(np.int32))], names=["h", "n", "c"])
+
+    got = _each_block(blocks, found, "h long, n long, c int").toArrow()
+    order = np.argsort(got.column("h").to_numpy().view(U64))
+    return got.column("n").to_numpy()[order], got.column("c").to_numpy()[order].astype(np.int64)
+
+
+def _class_sizes(blocks: DataFrame, otherwise: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By class how many words and tokens, and by group the class of most of its words (or the one given)."""
+
+    def totals(bucket, b):
+        cell = np.where(b["hashes"] == END, TAILS, b["groups"].astype(np.int64)) * classes + b["classes"]
+        cells, at = np.unique(cell, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.bincount(at).astype(np.int64)), pa.array(np.bincount(at, b["counts"], len(cells)).astype(np.int64))], names=["cell", "words", "tokens"])
+
+    size = np.zeros((TAILS + 1, classes, 2), dtype=np.int64)
+    for cell, n, tokens in _each_block(blocks, totals, "cell long, words long, tokens long").groupBy("cell").agg(F.sum("words"), F.sum("tokens")).collect():
+        size[cell // classes, cell % classes] = n, tokens
+    words = size[:TAILS, :, 0]
+    return size[..., 0].sum(0), size[..., 1].sum(0).astype(np.float64), np.where(words.any(1), words.argmax(1), otherwise)
+
+
+def fit(texts: DataFrame, *, frequent: int = FREQUENT, classes: int = CLASSES, kept: int = KEPT, rounds: int = ROUNDS) -> tuple[BrownModel, DataFrame]:
+    """The model of the training texts (text), and the blocks of all their words with counts and classes."""
+    counts = durable(word_counts(texts))
+    words, times, groups = most_frequent(counts, max(kept, frequent))
+    order = np.lexsort((words, -times))
+    top, kept_words = np.sort(order[:frequent]), np.sort(words[order[:kept]])
+    following = Histories(words[top], exchange(bigram_counts(texts, words[top]), classes)[:-1])
+    for _ in range(rounds):
+        histories = following
+        blocks = exchange_all(durable(history_counts(texts, histories, classes)), classes)
+        kept_counts, kept_classes = _classes_of(blocks, kept_words)
+        class_words, class_tokens, unseen = _class_sizes(blocks, histories.classes[len(histories.keys) :], classes)
+        following = Histories(kept_words, np.r_[kept_classes, unseen])
+    g = class_table(blocks, classes)
     share = (class_tokens + 1) / (class_tokens.sum() + classes)
     transition = np.log10((g + 5 * share) / (g.sum(1, keepdims=True) + 5))
-    tail_classes = own[len(top) : len(top) + TAILS]
-    kept_classes = tail_classes[groups]
-    kept_classes[top] = own[: len(top)]
-    return BrownModel(words, counts, kept_classes, tail_classes, transition, class_tokens, class_words, tokens, distinct, ends)
+    return BrownModel(histories, kept_words, kept_counts, kept_classes, unseen, transition, class_tokens, class_words, int(class_tokens.sum()), int(class_words.sum()), int(class_tokens[-1])), blocks
 
 
 def scored(docs: DataFrame, model: BrownModel, blocks: DataFrame) -> DataFrame:
     """docs (doc_id, held_out, text) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity)."""
-    count = partitions(docs.sparkSession)
+    count = blocks.select("bucket").agg(F.max("bucket")).first()[0]
+    count = max(blocks_of(docs), (count or 0) + 1)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), "*")
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean"
 
+    def before(m, words):
+        """The history of each word."""
+        end = len(m.transition) - 1
+        at = np.arange(len(words.hash))
+        own = m.histories.of(words)
+        out = np.r_[end, own[:-1]][: len(own)]
+        first = words.first[:-1][np.diff(words.first) > 0]
+        out[np.isin(at, first)] = end
+        return out, own
+
     def known(batches):
-        """What a text has of frequent words and of classes, as if its other words were unknown."""
+        """What a text has of frequent words, and of all others as if they were unknown."""
         m = shared.value
-        lookup = Lookup(m.kept)
+        lookup, end = Lookup(m.kept), len(m.transition) - 1
         for piece in pieces(batches, "text"):
             words = words_of(piece.column(3), True)
             place = lookup.places(words.hash)
-            own = np.where(place >= 0, m.kept_classes[place] if len(m.kept) else 0, m.tail_classes[tail_groups(words)])
+            own = np.where(place >= 0, m.kept_classes[place] if len(m.kept) else 0, m.unseen[tail_groups(words)])
             c = np.where(place >= 0, m.kept_counts[place] if len(m.kept) else 0, 0)
-            value = m.emission(c, own)
-            ends = words.first[1:]
-            every = np.insert(own, ends, len(m.transition) - 1)
-            step = m.transition[np.r_[len(m.transition) - 1, every[:-1]], every]
-            step_sum = np.r_[0, np.cumsum(step)]
-            at = words.first + np.arange(len(words.first))
+            history, after = before(m, words)
             sums = lambda x: np.diff(np.r_[0, np.cumsum(x)][words.first])
-            end = np.array([m.ends]), np.array([len(m.transition) - 1])
-            n = words.counts() + 1
-            yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array(np.ones(len(n), np.int64)), pa.array(n), pa.array(sums(place >= 0).astype(np.int64) + (m.ends > 0)), pa.array(sums(m.base(c)) + m.base(end[0])[0]), pa.array(sums(value) + m.emission(*end)[0] + np.diff(step_sum[at]))], names=["row", "doc_id", "held_out", "copies", "n_tokens", "n_known", "base_score", "score"])
+            last = np.where(np.diff(words.first) > 0, after[np.maximum(words.first[1:] - 1, 0)] if len(after) else end, end)
+            ends, n = np.array([m.ends]), words.counts() + 1
+            score = sums(m.emission(c, own) + m.transition[history, own]) + m.emission(ends, np.array([end]))[0] + m.transition[last, end]
+            yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array(np.ones(len(n), np.int64)), pa.array(n), pa.array(sums(place >= 0).astype(np.int64) + (m.ends > 0)), pa.array(sums(m.base(c)) + m.base(ends)[0]), pa.array(score)], names=["row", "doc_id", "held_out", "copies", "n_tokens", "n_known", "base_score", "score"])
 
     def others(batches):
-        lookup = Lookup(shared.value.kept)
+        m = shared.value
+        lookup = Lookup(m.kept)
         for piece in pieces(batches, "text"):
             words = words_of(piece.column(1), True)
             rest = np.flatnonzero(lookup.places(words.hash) < 0)
@@ -296,21 +495,24 @@ def scored(docs: DataFrame, model: BrownModel, blocks: DataFrame) -> DataFrame:
                 continue
             row = np.repeat(piece.column(0).to_numpy().view(U64), words.counts())[rest]
             h = words.hash[rest]
-            yield dealt((h % U64(count)).astype(np.uint32), [h, row], ["word_hashes", "rows"])
+            yield dealt(h % U64(count), [h, row, before(m, words)[0][rest].astype(np.uint8)], ["word_hashes", "rows", "before"])
 
     def corrected(key, left, right):
         """What the words of a block that occur in training texts add to their texts."""
         m = shared.value
-        h, row = gathered(left, "word_hashes", U64), gathered(left, "rows", U64)
-        keys, counts, groups = gathered(right, "hashes", U64), gathered(right, "counts", np.int64), gathered(right, "groups", np.uint8)
+        h, row, history = gathered(left, "word_hashes", U64), gathered(left, "rows", U64), gathered(left, "before", np.uint8)
+        keys, counts, groups, classes = (gathered(right, c, _WORDS[c]) for c in ("hashes", "counts", "groups", "classes"))
+        order = np.argsort(keys)
+        keys, counts, groups, classes = keys[order], counts[order], groups[order], classes[order]
         at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
         good = np.flatnonzero(keys[at] == h) if len(keys) else np.zeros(0, np.int64)
-        c, own, row = counts[at[good]].astype(np.float64), m.tail_classes[groups[at[good]]], row[good]
+        c, own, other, row, history = counts[at[good]].astype(np.float64), classes[at[good]], m.unseen[groups[at[good]]], row[good], history[good]
         zero = np.zeros_like(c)
         names, at = np.unique(row, return_inverse=True)
         total = lambda x: np.bincount(at, x, len(names))
-        sums = [names, np.bincount(at, minlength=len(names)).astype(np.int64), total(m.base(c) - m.base(zero)), total(m.emission(c, own) - m.emission(zero, own))]
-        return pa.Table.from_batches([dealt((mix(names.copy()) % U64(count)).astype(np.uint32), sums, ["rows", "known", "bases", "scores"])])
+        more = m.emission(c, own) + m.transition[history, own] - m.emission(zero, other) - m.transition[history, other]
+        sums = [names, np.bincount(at, minlength=len(names)).astype(np.int64), total(m.base(c) - m.base(zero)), total(more)]
+        return pa.Table.from_batches([dealt(mix(names.copy()) % U64(count), sums, ["rows", "known", "bases", "scores"])])
 
     def summed(table):
         """One row for each text of what the blocks have of it."""
@@ -319,7 +521,7 @@ def scored(docs: DataFrame, model: BrownModel, blocks: DataFrame) -> DataFrame:
         return pa.table({"row": pa.array(names.view(np.int64)), "n_known": pa.array(total("known", np.int64).astype(np.int64)), "base_score": pa.array(total("bases", np.float64)), "score": pa.array(total("scores", np.float64))})
 
     own = rows.select("row", "doc_id", "held_out", "text").mapInArrow(known, f"row long, {kinds}, copies long, n_tokens long, n_known long, base_score double, score double")
-    tail = rows.select("row", "text").mapInArrow(others, "bucket int, word_hashes binary, rows binary")
+    tail = rows.select("row", "text").mapInArrow(others, "bucket int, word_hashes binary, rows binary, before binary")
     more = tail.groupBy("bucket").cogroup(blocks.groupBy("bucket")).applyInArrow(corrected, "bucket int, rows binary, known binary, bases binary, scores binary")
     more = more.groupBy("bucket").applyInArrow(summed, "row long, n_known long, base_score double, score double")
     total = own.unionByName(more, allowMissingColumns=True).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.bool_or("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("copies", "n_tokens", "n_known", "base_score", "score")))
@@ -331,9 +533,7 @@ def scored(docs: DataFrame, model: BrownModel, blocks: DataFrame) -> DataFrame:
 def class_model_scores(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: str = "text", **sizes) -> DataFrame:
     """Learns from the rows of docs that are not held out, and scores all."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
-    train = docs.where("NOT held_out").select("text")
-    blocks = durable(word_counts(train))
-    return scored(docs, fit(train, blocks, **sizes), blocks)
+    return scored(docs, *fit(docs.where("NOT held_out").select("text"), **sizes))
 
 
 def op4_brown_classes(spark, sf_dir):
