@@ -47,15 +47,15 @@ def op9(rules: list[tuple[str, str, str]]) -> str:
 
 
 OP1 = rf"""
-WITH a AS (SELECT page_id, md5(coalesce(html, '')) AS tag, strlen(coalesce(html, ''))::VARCHAR AS bytes,
+WITH a AS (SELECT page_id, url IS NOT NULL AS has_url, md5(coalesce(html, '')) AS tag, strlen(coalesce(html, ''))::VARCHAR AS bytes,
                   regexp_replace(regexp_replace(coalesce(url, ''), '(?s)#.*$', ''), '(?s)^[A-Za-z][A-Za-z0-9+.-]*://', '') AS t FROM pages),
-     b AS (SELECT page_id, tag, bytes, regexp_replace(regexp_replace(translate(regexp_extract(t, '(?s)^([^/?]*)', 1), '{UPPER}', '{LOWER}'), '^www\.', ''), ':(80|443)$', '') AS host,
+     b AS (SELECT page_id, has_url, tag, bytes, regexp_replace(regexp_replace(translate(regexp_extract(t, '(?s)^([^/?]*)', 1), '{UPPER}', '{LOWER}'), '^www\.', ''), ':(80|443)$', '') AS host,
                   regexp_replace(regexp_extract(t, '(?s)^[^/?]*([^?]*)', 1), '/$', '') AS path,
                   list_filter(string_split(regexp_extract(t, '(?s)^[^?]*\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_')) AS q FROM a),
-     c AS (SELECT page_id, tag, bytes, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END AS u, page_id * 1000 AS ts,
+     c AS (SELECT page_id, has_url, tag, bytes, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END AS u, page_id * 1000 AS ts,
                   CASE WHEN page_id % 7 = 0 THEN page_id * 1000 - 1 ELSE page_id * 1000 + 700000 END AS late FROM b),
      j AS (SELECT r.page_id, r.u, r.late, r.tag, r.ts, arg_max(f.page_id, f.ts) AS source, arg_max(f.tag, f.ts) AS stored, arg_max(f.bytes, f.ts) AS bytes
-           FROM c r LEFT JOIN c f ON f.u = r.u AND f.ts < r.late GROUP BY ALL)
+           FROM c r LEFT JOIN c f ON f.u = r.u AND f.ts < r.late AND r.has_url AND f.has_url GROUP BY ALL)
 SELECT page_id * 2 + 1 AS record_id, u AS canonical_url, late AS ts, source * 2 AS source_id,
        CASE WHEN source IS NULL THEN 'no_response' WHEN stored = tag THEN 'resolved' ELSE 'mismatch' END AS outcome,
        CASE WHEN stored = tag THEN 5 ELSE 0 END AS n_headers, CASE WHEN stored = tag THEN bytes END AS content_length,

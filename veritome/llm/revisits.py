@@ -8,7 +8,7 @@ headers are updated by those of the revisit that a 304 answer may set (PERMITTED
 The as-of join scans in two steps, so that no url's history gathers in one task: the history is cut into slices of time; within a slice a running maximum finds the
 response before each revisit, and the last response of each slice is carried into the slices after it.
 
-Cases: a null url resolves by the empty canonical url; a null time has no earlier response; null headers are empty; repeated rows are kept; further columns
+Cases: a null url is that of no response, and its revisit has the outcome no_response; a null time has no earlier response; null headers are empty; repeated rows are kept; further columns
 are ignored; an empty table gives an empty result; payloads are never read.
 """
 
@@ -47,8 +47,9 @@ def _of(entries: Column, name: str) -> Column:
 def resolved(records: DataFrame, *, slice_seconds: int = SLICE) -> DataFrame:
     """records (record_id, url, ts long seconds, kind 'response' or 'revisit', headers map) ->
     one row for each revisit: (record_id, canonical_url, ts, source_id, outcome, headers), outcome being resolved, mismatch or no_response."""
-    rows = records.where(F.col("kind").isin("response", "revisit")).select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "ts", "kind", _entries("headers").alias("entries"))
-    rows = rows.withColumn("slice", F.floor(F.col("ts") / slice_seconds))
+    rows = records.where(F.col("kind").isin("response", "revisit")).select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "ts", "kind", _entries("headers").alias("entries"), F.col("url").isNotNull().alias("has_url"))
+    rows = rows.where("has_url OR kind = 'revisit'").withColumn("slice", F.floor(F.col("ts") / slice_seconds))
+    lost, rows = rows.where("NOT has_url"), rows.where("has_url").drop("has_url")
     response = F.when((F.col("kind") == "response") & F.col("ts").isNotNull(), F.struct("ts", "record_id", "entries"))
     before = W.partitionBy("canonical_url", "slice").orderBy("ts").rangeBetween(W.unboundedPreceding, -1)
     near = rows.withColumn("near", F.max(response).over(before)).where("kind = 'revisit'")
@@ -70,7 +71,9 @@ def resolved(records: DataFrame, *, slice_seconds: int = SLICE) -> DataFrame:
     merged = F.array_sort(F.concat(old, fresh))
     single = F.filter(merged, lambda e, i: F.coalesce(F.get(merged, i + 1)["key"] != e["key"], F.lit(True)))
     headers = F.when(F.col("outcome") == "resolved", F.map_from_entries(single))
-    return joined.select("record_id", "canonical_url", "ts", F.when(F.col("outcome") != "no_response", F.col("source.record_id")).alias("source_id"), "outcome", headers.alias("headers"))
+    out = joined.select("record_id", "canonical_url", "ts", F.when(F.col("outcome") != "no_response", F.col("source.record_id")).alias("source_id"), "outcome", headers.alias("headers"))
+    none = lost.select("record_id", "canonical_url", "ts", F.lit(None).alias("source_id"), F.lit("no_response").alias("outcome"), F.lit(None).alias("headers"))
+    return out.unionByName(none.select(*(F.col(c).cast(out.schema[c].dataType).alias(c) for c in out.columns)))
 
 
 def captures(pages: DataFrame) -> DataFrame:
