@@ -64,20 +64,30 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.sqrt((rows * rows).sum(1, keepdims=True)), 1e-9)
 
 
-def sampled(df: DataFrame, label: str, key: Column, rows: int, labels: int = 1000) -> DataFrame:
-    """About `rows` rows of each of the `labels` most frequent values of the label, picked by the hash of the key; the same ones every time.
+#: A sample has at most so many rows, of at most so many labels.
+SAMPLED, LABELS = 24_000, 1000
+
+
+def sampled(df: DataFrame, label: str, key: Column, rows: int, labels: int = LABELS) -> DataFrame:
+    """About `rows` rows of each of the `labels` most frequent values of the label, picked by the hash of the key, the same ones every time; fewer of each
+    where there are so many labels that the sample would have more than SAMPLED rows.
 
     Were a key repeated very often, its rows could be picked together; in any case there are at most twice as many rows in all.
     """
     counts = df.groupBy(label).count().orderBy(F.desc("count"), label).limit(labels).collect()
     if not counts:
         return df.limit(0)
+    rows = max(1, min(rows, SAMPLED // len(counts)))
     share = F.coalesce(*[F.when(F.col(label) == F.lit(r[0]), F.lit(min(1.0, rows / r[1]))) for r in counts], F.lit(0.0))
     return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_003)) < share * 1_000_003).limit(2 * rows * len(counts))
 
 
 def collected(df: DataFrame, extract: Callable[[pa.Array], np.ndarray], kinds: str) -> tuple[list, np.ndarray]:
-    """Labels and features of a bounded sample df (label, text), in an order that doesn't depend on partitions."""
+    """Labels and features of a bounded sample df (label, text), in an order that doesn't depend on partitions.
+
+    A key of the sample that is repeated in the texts would bring all its rows; of more than twice SAMPLED rows the rest isn't learnt from.
+    """
+    df = df.limit(2 * SAMPLED)
 
     def features(batches: Iterator[pa.RecordBatch]):
         for batch in batches:

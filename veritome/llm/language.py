@@ -7,10 +7,10 @@ on a quarter of the sample that it did not learn from (loss-weighted decoding).
 
 Up to seven languages have all 2 ** (L - 1) - 1 distinct splits; more have 10 * log2(L) random bits, from the draw with the widest
 least distance.  The classifiers learn from about `sample` rows of each language, chosen by the hash of the id;
-texts are predicted whole.
+texts are predicted whole.  Languages beyond the LABELS most frequent, and rows beyond SAMPLED in all (features.py), aren't learnt from.
 
 Cases: null texts, and those without a letter, are `und` with score 0; without a labelled row all are; rows without a label are predicted
-but not learnt from; repeated rows are kept; further columns are ignored; empty tables give empty results.
+but not learnt from; repeated rows are kept; further columns are kept by `predict`, but for those named as its results, which are replaced; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritome.llm.features import collected, letter_trigrams, logistic, sampled, unit
 from veritome.llm.text import pieces
@@ -91,8 +92,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
 def predict(docs: DataFrame, model: LanguageModel | None, close: float = CLOSE) -> DataFrame:
     """docs (doc_id, text, then any) -> all but text, with lang_pred, score and ambiguous."""
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    kept = [c for c in docs.columns if c != "text"]
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
+    kept = [c for c in docs.columns if c not in ("text", "lang_pred", "score", "ambiguous")]
+    kinds = T.StructType([*(docs.schema[c] for c in kept), *T._parse_datatype_string("lang_pred string, score double, ambiguous boolean")])
     rows = docs.select(*kept, F.when(lettered, F.col("text")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -111,7 +112,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, close: float = CLOSE)
                 ambiguous = known & (top[:, -1] - (top[:, -2] if top.shape[1] > 1 else 0) < close)
             yield pa.RecordBatch.from_arrays([*piece.columns[: len(kept)], pa.array(name, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(ambiguous)], names=[*kept, "lang_pred", "score", "ambiguous"])
 
-    return rows.mapInArrow(decode, kinds + "lang_pred string, score double, ambiguous boolean")
+    return rows.mapInArrow(decode, kinds)
 
 
 def bucket(key: Column, of: int) -> Column:

@@ -7,7 +7,7 @@ value decomposition of the labelled sample gives the latent space.  The labelled
 their label, weighted by a power of the similarity.
 
 Cases: null and blank texts score 0; without labelled rows of both kinds all other texts score 0.5; null labels are not learnt from; ties among
-neighbours go to the earlier labelled row; repeated rows are kept; further columns are ignored; empty tables give empty results.
+neighbours go to the earlier labelled row; repeated rows are kept; further columns are kept by `score`, but for those named as its results, which are replaced; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritome.llm.features import collected, sampled, shape_trigrams, unit
 from veritome.llm.text import pieces, words_of
@@ -75,6 +76,9 @@ class NeighbourModel:
         for at in range(0, len(counts), block):
             cosine = self.latent(counts[at : at + block]) @ self.vectors.T
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            least = np.take_along_axis(cosine, near, 1).min(1, keepdims=True)
+            tied = np.flatnonzero((cosine >= least).sum(1) > k)
+            near[tied] = np.argsort(-cosine[tied], axis=1, kind="stable")[:, :k]
             weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6).astype(np.float64) ** 8
             out[at : at + block] = (weight * self.labels[near]).sum(1) / weight.sum(1)
         return out
@@ -99,8 +103,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neighbours: in
 
 def score(docs: DataFrame, model: NeighbourModel | None) -> DataFrame:
     """docs (any, text) -> all columns but text, with score and predicted."""
-    kept = [c for c in docs.columns if c != "text"]
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
+    kept = [c for c in docs.columns if c not in ("text", "score", "predicted")]
+    kinds = T.StructType([*(docs.schema[c] for c in kept), *T._parse_datatype_string("score double, predicted int")])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def vote(batches):
@@ -111,7 +115,7 @@ def score(docs: DataFrame, model: NeighbourModel | None) -> DataFrame:
             value = np.clip(np.where(blank, 0.0, value), 0, 1)
             yield pa.RecordBatch.from_arrays([*piece.columns[: len(kept)], pa.array(value), pa.array((value >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
 
-    return docs.select(*kept, "text").mapInArrow(vote, kinds + "score double, predicted int")
+    return docs.select(*kept, "text").mapInArrow(vote, kinds)
 
 
 def op3_neighbour_quality(spark, sf_dir):
