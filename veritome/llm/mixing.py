@@ -5,9 +5,10 @@ hashed character shapes and words, on about `sample` rows of each domain, weight
 kept at rate r adds r * t * p[k] expected tokens to domain k.  The rates start equal and minimise the squared misses of the
 targets, weighted by the inverse of the domains' own sizes, over all r >= 0 by projected gradient steps with momentum, in the metric of the tokens, where the step is 1 / the largest
 eigenvalue of a domains x domains matrix.  A step needs the domains' totals, one sum over all documents; the rates aren't stored in between but
-replayed from the steps' gradients, a few numbers each, so nothing grows with the documents but the table of posteriors, and lost tasks are simply run again.
+replayed from the last REPLAY steps' gradients, a few numbers each, before which they are written to the shared folder; so a step's work doesn't grow with the steps before it, and lost tasks are
+simply run again.  `converged` tells whether all targets are met within CLOSE when the steps end.
 
-Cases: null and blank texts have no tokens and rate 0; without labels every document is of one domain; a target for a domain that has no label can't be met and is an error; repeated rows are kept; further
+Cases: null and blank texts have no tokens and rate 0; without labels every document is of one domain; a domain that has a target but no label is in no document (posterior 0), and its share goes to the other targets in proportion, so that the budget stays; repeated rows are kept; further
 columns are ignored; empty tables give empty results.
 """
 
@@ -23,7 +24,7 @@ from veritome.llm.runtime import durable
 from veritome.llm.text import U64, Words, pieces, words_of
 
 SAMPLE = 1500
-STEPS = 80
+STEPS, REPLAY = 160, 16
 CLOSE = 1e-5
 _WORD_BITS = 11
 #: Shares of the tokens by domain, and how many tokens for each of the corpus.
@@ -72,10 +73,9 @@ def posteriors(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> t
     return domains, docs.mapInArrow(predict, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, posterior array<double>")
 
 
-def replayed(p: np.ndarray, start: float, slopes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The rates after the steps with these gradients, and the point from which the next step goes."""
-    rate = ahead = np.full(len(p), start)
-    for t, slope in enumerate(slopes):
+def replayed(p: np.ndarray, rate: np.ndarray, ahead: np.ndarray, slopes: list[np.ndarray], done: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rates, and the point from which the next step goes, after the steps with these gradients, which follow so many others."""
+    for t, slope in enumerate(slopes, done):
         new = np.maximum(0.0, ahead - p @ slope)
         rate, ahead = new, new + t / (t + 3) * (new - rate)
     return rate, ahead
@@ -100,13 +100,14 @@ def _sums(members: DataFrame, make, n: int) -> np.ndarray:
 
 
 def target_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], *, budget: float = BUDGET, steps: int = STEPS, close: float = CLOSE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs, labels (doc_id, domain) -> (doc_id, n_tokens, p_<domain> .., rate); targets are shares of budget * all tokens."""
+    """docs, labels (doc_id, domain) -> (doc_id, n_tokens, p_<domain> .., rate, converged); targets are shares of budget * all tokens."""
     domains, members = posteriors(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), labels)
-    members, k = durable(members), len(domains)
+    k, missing = len(domains), sorted(d for d in targets if d not in domains)
+    members = durable(members.withColumn("rate", F.lit(float(budget))).withColumn("ahead", F.lit(float(budget))))
     if domains == ["all"]:
         targets = {"all": sum(targets.values())}
-    if any(d not in domains for d in targets):
-        raise ValueError(f"targets {sorted(targets)} have a domain without labels; the labels have {domains}")
+    met = sum(targets.get(d, 0.0) for d in domains)
+    grown = sum(targets.values()) / met if met > 0 else 1.0
 
     def moments(batch):
         p, t = _posterior(batch, k), batch.column(1).to_numpy().astype(np.float64)
@@ -116,28 +117,44 @@ def target_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
     tokens, gram = sums[0], sums[1:].reshape(k, k)
     weight = 1 / np.maximum(np.diag(gram), max(0.01 * np.trace(gram), 1e-12))  # rare domains weigh more, up to a bound
     step = 1 / max(np.linalg.eigvalsh(np.sqrt(weight)[:, None] * gram * np.sqrt(weight)).max(), 1e-12)
-    wanted = np.array([targets.get(d, 0.0) for d in domains]) * tokens * budget
+    wanted = np.array([targets.get(d, 0.0) for d in domains]) * grown * tokens * budget
     slopes: list[np.ndarray] = []
+    done, converged = 0, not tokens
+    kind = f"doc_id {members.schema['doc_id'].dataType.simpleString()}, n_tokens long"
+
+    def point(batch):
+        column = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy()
+        p = _posterior(batch, k)
+        return p, column("n_tokens").astype(np.float64), *replayed(p, column("rate"), column("ahead"), slopes, done)
 
     def totals(batch):
-        p, t = _posterior(batch, k), batch.column(1).to_numpy().astype(np.float64)
-        rate, ahead = replayed(p, budget, slopes)
+        p, t, rate, ahead = point(batch)
         return np.r_[(t * rate) @ p, (t * ahead) @ p]
 
+    def stepped(batches):
+        for batch in batches:
+            _, _, rate, ahead = point(batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rate), pa.array(ahead)], names=["doc_id", "n_tokens", "posterior", "rate", "ahead"])
+
     for _ in range(steps if tokens else 0):
         now = _sums(members, totals, 2 * k)
-        if (np.abs(now[:k] - wanted) <= close * max(wanted.max(), 1.0)).all():
+        converged = bool((np.abs(now[:k] - wanted) <= close * max(wanted.max(), 1.0)).all())
+        if converged:
             break
+        if len(slopes) == REPLAY:
+            members = durable(members.mapInArrow(stepped, f"{kind}, posterior array<double>, rate double, ahead double"))
+            done, slopes = done + REPLAY, []
         slopes.append(step * weight * (now[k:] - wanted))
 
+    names = [*(f"p_{d}" for d in domains), *(f"p_{d}" for d in missing if domains != ["all"])]
+
     def final(batches):
         for batch in batches:
-            p, t = _posterior(batch, k), batch.column(1).to_numpy()
-            rate = np.where(t > 0, replayed(p, budget, slopes)[0], 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(c)) for c in p.T), pa.array(rate)], names=["doc_id", "n_tokens", *(f"p_{d}" for d in domains), "rate"])
+            p, t, rate, _ = point(batch)
+            p = np.concatenate([p, np.zeros((len(p), len(names) - k))], 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(c)) for c in p.T), pa.array(np.where(t > 0, rate, 0.0)), pa.array(np.full(len(t), converged))], names=["doc_id", "n_tokens", *names, "rate", "converged"])
 
-    kind = members.schema["doc_id"].dataType.simpleString()
-    return members.mapInArrow(final, f"doc_id {kind}, n_tokens long, {''.join(f'`p_{d}` double, ' for d in domains)}rate double")
+    return members.mapInArrow(final, f"{kind}, {''.join(f'`{c}` double, ' for c in names)}rate double, converged boolean")
 
 
 def labelled_domains(labels: DataFrame) -> DataFrame:
