@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritome.llm.runtime import durable
+from veritome.llm.runtime import IDS, durable
 
 RISK = 0.05
 CONFIDENCE = 0.05
@@ -100,10 +100,11 @@ def safe_cutoffs(holdout: DataFrame, *, risk: float = RISK, confidence: float =
 
 def risk_controlled(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
     """docs and labels (doc_id, quality) -> (doc_id, the measures, base_failed, kept, and the cutoffs of the document's stratum)."""
-    rows = durable(measured(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), F.col(text).alias("text"))))
+    rows = durable(measured(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("")).alias("stratum"), F.col(text).alias("text"))))
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     cutoffs = safe_cutoffs(rows.where("NOT base_failed").join(good, "doc_id", "left_semi"), risk=risk, confidence=confidence)
-    out = rows.join(cutoffs, "stratum", "left")
+    cutoffs = durable(cutoffs)  # a row for each stratum that has one: broadcast up to IDS of them
+    out = rows.join(F.broadcast(cutoffs) if cutoffs.limit(IDS + 1).count() <= IDS else cutoffs, "stratum", "left")
     rejected = [F.coalesce(1000 * F.col(num) > F.col(f"cut_{num}") * F.col(den), F.lit(False)) for num, den in GRID]
     verdict = ~F.col("base_failed")
     for r in rejected:
