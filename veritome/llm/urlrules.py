@@ -7,7 +7,11 @@ segments, each with the innermost rule.  Segments and urls are then merged in or
 
 Urls meet a key for every suffix of their host that has rules; the longest rule (host and path) wins, by its text if there are several of that length.
 Of rules with the same host and path, block wins.  The urls of one key are dealt into `salts` sorted runs, each with the key's segments, so that a host
-with a third of all urls isn't one task; equal urls are judged once and joined back.
+with a third of all urls isn't one task; equal urls are judged once and joined back: those that make up more than a HOTth of all rows, so fewer than HOT, by a broadcast, the others by
+a shuffle, in which rows that are done, or have no host, are spread out.
+
+A rule is the product of an interval of reversed hosts and an interval of paths, which isn't an interval of the two together unless its path is empty; so hosts are looked up level by level, and the
+sweep with its stack is over the paths of each level.
 
 All of it is DataFrame operations.  Cases: a null url, or one without ://, has an empty host and path, which no rule fits; a repeated row gets its
 own row; further columns are ignored; an empty table of rules leaves every url to the default; empty pages give an empty result.
@@ -20,8 +24,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veritome.llm.oracles import LOWER, UPPER
-from veritome.llm.runtime import partitions
+from veritome.llm.runtime import durable, partitions
 
+HOT = 1000
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
@@ -60,19 +65,24 @@ def judged(pages: DataFrame, rules: DataFrame, *, page_id: str = "page_id", url:
     rows = pages.select(F.col(page_id).alias("page_id"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     segments = rule_segments(rules)
     labels = F.split("host", r"\.")
-    levels = rows.where("host <> ''").select("host", "path").distinct().withColumn("labels", F.reverse(labels))
-    levels = levels.select("host", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("labels")), lambda k: F.array_join(F.slice("labels", F.lit(1), k), "."))).alias("key"))
+    levels = rows.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("times")).withColumn("labels", F.reverse(labels))
+    levels = levels.select("host", "path", "times", F.explode(F.transform(F.sequence(F.lit(1), F.size("labels")), lambda k: F.array_join(F.slice("labels", F.lit(1), k), "."))).alias("key"))
     levels = levels.join(segments.select("key").distinct(), "key", "left_semi")
 
     active = F.struct("rule", "verdict")
     none = F.lit(None).cast("string")
     at = F.encode("path", "utf-8")
-    urls = levels.select("key", F.pmod(F.xxhash64("host", "path"), F.lit(salts)).cast("int").alias("salt"), at.alias("at"), F.lit(1).alias("kind"), "host", "path", F.lit(None).cast("struct<rule:string,verdict:string>").alias("segment"))
-    cuts = segments.select("key", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "at", F.lit(0).alias("kind"), none.alias("host"), none.alias("path"), active.alias("segment"))
+    urls = levels.select("key", F.pmod(F.xxhash64("host", "path"), F.lit(salts)).cast("int").alias("salt"), at.alias("at"), F.lit(1).alias("kind"), "host", "path", "times", F.lit(None).cast("struct<rule:string,verdict:string>").alias("segment"))
+    cuts = segments.select("key", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "at", F.lit(0).alias("kind"), none.alias("host"), none.alias("path"), F.lit(None).cast("long").alias("times"), active.alias("segment"))
     run = W.partitionBy("key", "salt").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
     met = urls.unionByName(cuts).withColumn("active", F.last("segment", ignorenulls=True).over(run)).where("kind = 1 AND active.rule IS NOT NULL")
-    best = met.groupBy("host", "path").agg(F.max(F.struct(F.length("active.rule").alias("n"), F.col("active.rule").alias("rule"), F.col("active.verdict").alias("verdict"))).alias("best"))
-    return rows.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    best = durable(met.groupBy("host", "path", "times").agg(F.max(F.struct(F.length("active.rule").alias("n"), F.col("active.rule").alias("rule"), F.col("active.verdict").alias("verdict"))).alias("best")))
+    often = F.col("times") * HOT > rows.count()
+    hot = best.where(often).select("host", "path", F.col("best").alias("hot"))
+    spread = F.concat(F.lit("//"), F.xxhash64("page_id", "path").cast("string"))  # which no host is
+    asked = rows.join(F.broadcast(hot), ["host", "path"], "left").withColumn("by", F.when(F.col("hot").isNull() & (F.col("host") != ""), F.col("host")).otherwise(spread))
+    out = asked.join(best.where(~often).select(F.col("host").alias("by"), "path", "best"), ["by", "path"], "left").withColumn("best", F.coalesce("hot", "best"))
+    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op9_url_rules(spark, sf_dir):
