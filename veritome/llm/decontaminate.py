@@ -29,6 +29,8 @@ from veritome.llm.runtime import table, without_ids
 from veritome.llm.text import U64, pieces, shingle_sets, words_of
 
 BROADCAST_BYTES = 32 << 20
+#: Beyond it, the documents' shingles are dealt into so many parts of each hash, and those of the items, which are fewer, go to all of them.
+SALTS = 16
 _FILTER_BITS = 20
 
 
@@ -81,7 +83,7 @@ def contained_items(
     """One row (doc_id, item_id, n_item_shingles, n_shared) for every document and item that it contains."""
     docs, items = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, n_item_shingles long, n_shared long"
-    if (items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) > broadcast_bytes:
+    if (items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0) > broadcast_bytes:
         return _shuffled(docs, items, n, percent)
     rows = items.toArrow().combine_chunks()
     texts = pa.array([x.as_py() for x in rows.column("text")], pa.string())
@@ -119,7 +121,9 @@ def _exploded(df: DataFrame, n: int) -> DataFrame:
 def _shuffled(docs: DataFrame, items: DataFrame, n: int, percent: int) -> DataFrame:
     doc, item = _exploded(docs, n), _exploded(items, n).withColumnRenamed("row", "item_row").withColumnRenamed("size", "n_item_shingles")
     needed = F.ceil(F.col("n_item_shingles") * percent / 100)
-    pairs = item.where(F.col("rank") <= F.col("n_item_shingles") - needed).join(doc.where(F.col("size") > 0).drop("rank"), "h").where(F.col("size") >= needed).select("row", "item_row").distinct()
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = doc.where(F.col("size") > 0).drop("rank").withColumn("part", F.pmod(F.col("row"), F.lit(SALTS)).cast("int"))
+    pairs = item.where(F.col("rank") <= F.col("n_item_shingles") - needed).withColumn("part", parts).join(salted, ["h", "part"]).where(F.col("size") >= needed).select("row", "item_row").distinct()
     shared = pairs.join(item.select("item_row", "item_id", "n_item_shingles", "h"), "item_row").join(doc.select("row", "doc_id", "h"), ["row", "h"])
     found = shared.groupBy("row", "item_row", "doc_id", "item_id", "n_item_shingles").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") * 100 >= F.col("n_item_shingles") * percent)
     times = lambda df, key, row, name: df.groupBy(key, "text").agg(F.count("*").alias(name)).select(F.xxhash64(key, "text").alias(row), name)
