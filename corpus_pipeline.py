@@ -22,9 +22,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that their labelled neighbours reject go."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     model = quality.fit(docs.select("doc_id", "text"), labels)
-    rest = [c for c in docs.columns if c != "text"]
-    scored = quality.score(docs.select(*rest, F.col("text").alias("kept_text"), "text"), model)
-    return scored.where("predicted = 1").withColumnRenamed("kept_text", "text").select(*docs.columns)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names of the documents' columns may be those of the results
+    scored = quality.score(plain.withColumn("text", F.col(f"c{docs.columns.index('text')}")), model)
+    return scored.where("predicted = 1").select(*plain.columns).toDF(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
