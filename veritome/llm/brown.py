@@ -33,7 +33,7 @@ from veritome.llm.runtime import blocks_of, durable
 from veritome.llm.text import U64, Words, dealt, gathered, mix, pieces, words_of
 
 FREQUENT, TAILS, CLASSES, KEPT = 1500, 96, 32, 65_536
-DELTA, CLOSE, ROUNDS = 0.1, 1e-5, 2
+DELTA, CLOSE, ROUNDS = 0.1, 1e-4, 2
 END = U64(0)
 _HELD = 1 << 20
 
