@@ -2,10 +2,8 @@
 
 import json
 
-import numpy as np
 import pytest
 
-from veritome.llm.brown import exchange
 from veritome.operators import chat, evals
 from veritome.plans import catalog
 from veritome.sources import tables
@@ -69,25 +67,6 @@ def test_all_turns_are_counted(spark, folder):
     assert {r.conv_id: r.turns for r in chat.conversation_list(convs, spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()} == {1: 6, 9: 0}
 
 
-def test_exchange_runs_until_nothing_moves():
-    """Twelve passes aren't enough for this matrix; no move of one item raises the likelihood of the result."""
-    classes, n = 8, np.random.default_rng(0).poisson(0.5, (400, 400)).astype(float)
-    own = exchange(n, classes)
-    f = lambda x: (x * np.log(np.maximum(x, 1e-12))).sum()
-
-    def value(z):
-        g = z.T @ n @ z
-        return f(g) - f(g.sum(0)) - f(g.sum(1))
-
-    z = np.eye(classes)[own]
-    best = value(z)
-    for w in range(len(n) - 1):
-        for c in range(classes - 1):
-            z[w] = np.eye(classes)[c]
-            assert value(z) <= best + 1e-6
-        z[w] = np.eye(classes)[own[w]]
-
-
 def test_verdicts_and_replies_are_parsed_whole(spark, folder):
     late = 'A long reason of more than forty characters comes first. {"verdict": "SUPPORTED"}'
     text = 'alarm "one" is\nof severity {two}\n\ttab \\ three'

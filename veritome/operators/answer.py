@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from veritome.config import DEFAULT, Config
 from veritome.functions import text as X
+from veritome.sources.tables import durable
 
 #: What a generator writes when the sources don't answer.
 SENTINEL = "INSUFFICIENT_EVIDENCE"
@@ -65,9 +66,10 @@ def agreement_judge(claim: Column, source: Column) -> Column:
 
 def verified(claims: DataFrame, chunks: DataFrame, judge=agreement_judge, cfg: Config = DEFAULT) -> DataFrame:
     """claims -> adds supported, stage and reason: unresolved citations and small overlaps fail before the judge is asked; without a judge the rest passes."""
-    sources = chunks.select(F.col("chunk_id").alias("citation"), F.col("text").alias("source"))
-    rows = claims.where(X.stripped(F.col("claim")) != "").join(sources, "citation", "left").withColumn("source", F.left("source", F.lit(cfg.judge_chars)))
-    share = X.overlap(F.col("claim"), F.col("source"))
+    source = F.left("text", F.lit(cfg.judge_chars))
+    sources = chunks.select(F.col("chunk_id").alias("citation"), source.alias("source"), X.content_words(source).alias("source_words"))
+    rows = claims.where(X.stripped(F.col("claim")) != "").join(sources, "citation", "left").withColumn("own", X.content_words(F.col("claim")))
+    share = F.when(F.size("own") == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect("own", F.coalesce("source_words", F.array().cast("array<string>")))) / F.size("own"))
     early = F.when(F.col("source").isNull(), "unresolved citation").when(share < cfg.overlap_prefilter, "low overlap")
     verdict = F.lit(True) if judge is None else F.coalesce(judge(F.col("claim"), F.col("source")), F.lit(False))
     stage = "prefilter" if judge is None else "judge"
@@ -101,9 +103,9 @@ def answered(results: DataFrame, generate=extractive_responses, judge=agreement_
     The answer's prose is rebuilt from the claims that stay.  `elapsed` names a column of seconds used, for the two timeouts.
     """
     late = F.col(elapsed) > cfg.budget_seconds if elapsed else F.lit(False)
-    gate = results.withColumn("reason", F.when(~F.col("answerable"), "below_tau").when(late, "timeout_before_generation")).persist()  # a row for each question, read by every stage
+    gate = durable(results.withColumn("reason", F.when(~F.col("answerable"), "below_tau").when(late, "timeout_before_generation")))  # a row for each question, read by every stage
     open_rows = gate.where("reason IS NULL")
-    replies = parsed(generate(open_rows)).persist()
+    replies = durable(parsed(generate(open_rows)))
     claims = cited_claims(replies)
     sources = open_rows.select("query_id", F.inline("chunks")).select("query_id", "chunk_id", "text")
     checks = validated(claims, sources, known)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veritome.functions import text as X
+from veritome.sources.tables import durable
 
 
 def recall_at(ranked: Column, gold: Column, k: int) -> Column:
@@ -45,18 +46,22 @@ def quantiles_by_rank(df: DataFrame, value: str, shares: list[float], keys: list
 
 
 def aggregated(rows: DataFrame) -> DataFrame:
-    """rows (answerable, abstained, recall_at_k, reciprocal_rank, ungrounded_rate, citation_accuracy, parse_failed, latency) -> one row of means.
+    """rows (answerable, abstained, recall_at_k, reciprocal_rank, ungrounded_rate, citation_accuracy, parse_failed[, latency]) -> one row of means, and the 95th percentile of latencies if there are any.
 
     Parse failures are a share of the answerable rows, which alone are parsed.
     """
     good, bad = F.col("answerable"), ~F.col("answerable")
     mean = lambda c, when: F.round(F.coalesce(F.avg(F.when(when, F.col(c).cast("double"))), F.lit(0.0)), 4)
-    return rows.agg(
+    means = rows.agg(
         F.count_if(good).alias("n_answerable"), F.count_if(bad).alias("n_adversarial"), mean("recall_at_k", good).alias("recall_at_k"), mean("reciprocal_rank", good).alias("mrr"),
         mean("ungrounded_rate", good).alias("ungrounded_claim_rate"), mean("citation_accuracy", good).alias("citation_accuracy"), F.count_if(good & ~F.col("abstained")).alias("answers_produced"),
         mean("abstained", good).alias("false_refusal_rate"), mean("abstained", bad).alias("abstention_correctness"), F.round(F.coalesce(F.avg(F.when(bad, (~F.col("abstained")).cast("double"))), F.lit(0.0)), 4).alias("unsupported_answer_rate"),
         mean("parse_failed", good).alias("parse_failure_rate"),
     )
+    if "latency" not in rows.columns:
+        return means
+    late = quantiles_by_rank(rows.withColumn("all", F.lit(1)), "latency", [0.95], ["all"]).agg(F.max("value").alias("p95"))
+    return means.join(F.broadcast(late)).withColumn("p95_latency", F.round(F.coalesce("p95", F.lit(0.0)), 3)).drop("p95")
 
 
 def per_family(rows: DataFrame) -> DataFrame:
@@ -85,12 +90,27 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     return sweep.orderBy(F.desc("separation"), "tau").limit(1)
 
 
+def medians(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """(keys, median), the mean of the two middle values, found among counts of the distinct values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("times"))
+    upto = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = counts.withColumn("upto", F.sum("times").over(upto)).withColumn("n", F.sum("times").over(W.partitionBy(*keys)))
+    middle = F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))
+    wanted = rows.withColumn("place", F.explode(middle)).where((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("times") <= F.col("place")))
+    return wanted.groupBy(*keys).agg(F.avg(value).alias("median"))
+
+
 def score_overlap(scores: DataFrame) -> DataFrame:
     """How many adversarial scores reach the least answerable one, with means and medians of both."""
-    good = F.col("answerable")
+    good, c = F.col("answerable"), F.col("confidence")
     least = scores.where(good).agg(F.min("confidence").alias("least")).first()["least"]
-    c = F.col("confidence")
-    return scores.agg(F.count_if(~good & (c >= F.lit(least))).alias("overlap"), *(f.alias(n) for n, f in (("mean_answerable", F.round(F.avg(F.when(good, c)), 4)), ("mean_adversarial", F.round(F.avg(F.when(~good, c)), 4)), ("median_answerable", F.round(F.median(F.when(good, c)), 4)), ("median_adversarial", F.round(F.median(F.when(~good, c)), 4)))))
+    middle = medians(scores, "confidence", ["answerable"]).agg(F.max(F.when(good, F.col("median"))).alias("g"), F.max(F.when(~good, F.col("median"))).alias("a")).first()
+    return scores.agg(F.count_if(~good & (c >= F.lit(least))).alias("overlap"), F.round(F.avg(F.when(good, c)), 4).alias("mean_answerable"), F.round(F.avg(F.when(~good, c)), 4).alias("mean_adversarial"), F.round(F.lit(middle["g"]).cast("double"), 4).alias("median_answerable"), F.round(F.lit(middle["a"]).cast("double"), 4).alias("median_adversarial"))
+
+
+def diagnosis(sweep: DataFrame, least: float = 0.3) -> DataFrame:
+    """The best threshold with what it says of the scorer: `weak` where even there the two kinds of questions are hardly told apart."""
+    return best_threshold(sweep).withColumn("diagnosis", F.when(F.col("separation") < least, "weak separation").otherwise("separable"))
 
 
 def hash_order(*columns: str, seed: str = "42") -> Column:
@@ -131,7 +151,8 @@ def renumbered(items: DataFrame, prefix: str = "G") -> DataFrame:
     Items are numbered within ranges of their ids, each after the count of the ranges before it, so no task sees all of them.
     """
     kept = [c for c in items.columns if not c.startswith("_") and c != "id"]
-    ranged = items.where("verified_by_human").select("id", *kept).repartitionByRange("id").withColumn("_range", F.spark_partition_id()).persist()
+    ranged = items.where("verified_by_human").select("id", *kept).repartitionByRange("id").withColumn("_range", F.spark_partition_id())
+    ranged = durable(ranged)
     before, offsets = 0, []
     for row in ranged.groupBy("_range").count().orderBy("_range").collect():
         offsets += [F.lit(row["_range"]), F.lit(before)]

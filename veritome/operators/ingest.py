@@ -104,7 +104,7 @@ def headings(lines: DataFrame) -> DataFrame:
     accepted and clear the anchor.  The fold runs over a document's candidates only, which are few.
     """
     ordered = heading_candidates(lines).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "page", "kind", "num", "title"))).alias("candidates"))
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("misses"), F.array().cast("array<int>").alias("kept"))
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("misses"), F.array().cast("array<struct<num:string,title:string,line_no:int,page:int>>").alias("kept"))
 
     def step(done: Column, c: Column) -> Column:
         clause = c["kind"] == "clause"
@@ -113,12 +113,11 @@ def headings(lines: DataFrame) -> DataFrame:
         return F.struct(
             F.when(~clause, F.lit(None).cast("string")).when(accepted, c["num"]).otherwise(done["last"]).alias("last"),
             F.when(~clause, done["misses"]).when(accepted, F.lit(0)).otherwise(misses).alias("misses"),
-            F.when(accepted, F.concat(done["kept"], F.array(c["line_no"].cast("int")))).otherwise(done["kept"]).alias("kept"),
+            F.when(accepted, F.concat(done["kept"], F.array(F.struct(c["num"].alias("num"), c["title"].alias("title"), c["line_no"].cast("int").alias("line_no"), c["page"].cast("int").alias("page"))))).otherwise(done["kept"]).alias("kept"),
         )
 
-    kept = ordered.withColumn("kept", F.aggregate("candidates", start, step, lambda d: d["kept"]))
-    found = kept.select("doc_id", "kept", F.inline("candidates")).where(F.array_contains("kept", F.col("line_no").cast("int")))
-    return found.select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("line_no")).alias("heading_no"), "num", "title", "line_no", "page")
+    kept = ordered.select("doc_id", F.aggregate("candidates", start, step, lambda d: d["kept"]).alias("kept"))
+    return kept.select("doc_id", F.posexplode("kept").alias("at", "k")).select("doc_id", (F.col("at") + 1).alias("heading_no"), "k.num", "k.title", "k.line_no", "k.page")
 
 
 def heading_paths(found: DataFrame) -> DataFrame:
@@ -200,9 +199,11 @@ def clause_chunks(clause_rows: DataFrame, identity: DataFrame, cfg: Config = DEF
     return parts.select("doc_id", F.concat(X.slug(F.col("spec_id")), F.lit("_"), "clause_id", suffix).alias("chunk_id"), "spec_id", "version", "clause_id", "clause_title", "heading_path", text.alias("text"), F.col("part").alias("body"), "page_start", "page_end", X.token_estimate(text, cfg.chars_per_token).alias("token_estimate"), "part_index", "part_total", "content_type", F.lit(False).alias("fallback"))
 
 
-def fallback_chunks(lines: DataFrame, identity: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Chunks of documents without headings: the whole text, split."""
-    whole = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("body"), F.min_by("page", "line_no").alias("page_start"), F.max_by("page", "line_no").alias("page_end"))
+def fallback_chunks(pages: DataFrame, identity: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Chunks of documents without headings: the whole text, its stripped lines that aren't empty, split."""
+    lines = F.filter(F.transform(F.split("text", "\n"), X.stripped), lambda x: x != "")
+    own = pages.select("doc_id", "page_number", F.array_join(lines, "\n").alias("body")).where("body <> ''")
+    whole = own.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_number", "body"))), lambda s: s["body"]), "\n").alias("body"), F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end"))
     rows = whole.join(identity, "doc_id").withColumn("parts", sub_split(F.col("body"), cfg))
     parts = rows.withColumn("part_total", F.size("parts")).select("*", F.posexplode("parts").alias("part_index", "part"))
     return parts.select("doc_id", F.concat(X.slug(F.col("spec_id")), F.lit("_fallback_"), "part_index").alias("chunk_id"), "spec_id", "version", F.lit("UNKNOWN").alias("clause_id"), F.lit("").alias("clause_title"), F.concat("spec_id", F.lit(" (no clause structure detected)")).alias("heading_path"), F.concat(F.lit("["), "spec_id", F.lit(" "), "version", F.lit("]\n\n"), "part").alias("text"), F.col("part").alias("body"), "page_start", "page_end", X.token_estimate(F.col("part"), cfg.chars_per_token).alias("token_estimate"), "part_index", "part_total", F.lit("prose").alias("content_type"), F.lit(True).alias("fallback"))
@@ -212,7 +213,7 @@ def chunked(pages: DataFrame, identity: DataFrame, cfg: Config = DEFAULT) -> Dat
     """Chunks of all documents: by clause, or by the fallback where no heading was found."""
     lines = flattened_lines(pages)
     found = headings(lines)
-    without = lines.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    without = pages.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
     return clause_chunks(clauses(lines, found, cfg), identity, cfg).unionByName(fallback_chunks(without, identity, cfg))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,16 +20,16 @@ def quota_decisions(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """events (event_id, ts, visitor) -> adds day, own_before, decision and remaining.
 
     A request is granted if fewer than visitor_limit of the visitor's, and fewer than global_limit of all, were granted that day before it.
-    The visitor's own requests are granted up to the limit in order; the day's count is then over those only, and in two steps, by hour and within, so that a busy day isn't
-    one task's running sum.
+    The visitor's own requests are granted up to the limit in order; the day's count is then over those only, and in two steps, by second and within, so that a busy day isn't
+    one task's running sum, nor is a busy hour.
     """
-    rows = events.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).withColumn("hour", F.date_format("ts", "HH"))
+    rows = events.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).withColumn("second", F.date_format("ts", "HH:mm:ss"))
     own = W.partitionBy("day", "visitor").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("own_before", F.count("*").over(own)).withColumn("within", F.col("own_before") < cfg.visitor_limit)
-    hours = rows.groupBy("day", "hour").agg(F.count_if("within").alias("n"))
-    carried = hours.withColumn("carried", F.coalesce(F.sum("n").over(W.partitionBy("day").orderBy("hour").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    inside = W.partitionBy("day", "hour").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.count_if("within").over(inside)).join(carried, ["day", "hour"])
+    hours = rows.groupBy("day", "second").agg(F.count_if("within").alias("n"))
+    carried = hours.withColumn("carried", F.coalesce(F.sum("n").over(W.partitionBy("day").orderBy("second").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    inside = W.partitionBy("day", "second").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.count_if("within").over(inside)).join(carried, ["day", "second"])
     all_before = F.col("carried") + F.col("inside")
     decision = F.when(all_before >= cfg.global_limit, "global_limit").when(~F.col("within"), "visitor_limit").otherwise("granted")
     return rows.select("event_id", "ts", "visitor", "day", "own_before", decision.alias("decision"), F.when(decision == "granted", cfg.visitor_limit - 1 - F.col("own_before")).otherwise(0).alias("remaining"))
@@ -49,18 +51,32 @@ def rate_window(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 def admitted(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """events (event_id, ts, tokens, key) -> (event_id, key, decision): admission feeds back, as refused events don't count, so each key's events are folded in order.
 
-    The fold keeps the admitted events of the last seconds only.  Decisions: admitted, wait, or too_large for the whole budget.
+    A key's history is cut where it is idle for longer than the window, after which nothing is remembered; each part is read in order of time, in batches, and only the
+    admitted events of the last seconds are kept meanwhile.  Decisions: admitted, wait, or too_large for the whole budget.
     """
-    rows = events.select("key", F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", F.col("tokens").cast("long").alias("tokens")).alias("e")).groupBy("key").agg(F.sort_array(F.collect_list("e")).alias("es"))
     span = cfg.window_seconds * 1_000_000
-    folded = F.expr(f"""
-        aggregate(es, named_struct('recent', cast(array() AS array<struct<at:bigint,tokens:bigint>>), 'out', cast(array() AS array<struct<event_id:bigint,decision:string>>)),
-          (d, e) -> named_struct(
-            'recent', CASE WHEN e.tokens <= {cfg.tokens_per_minute} AND size(filter(d.recent, r -> e.at - r.at <= {span})) < {cfg.requests_per_minute}
-                AND aggregate(filter(d.recent, r -> e.at - r.at <= {span}), 0L, (s, r) -> s + r.tokens) + e.tokens <= {cfg.tokens_per_minute}
-              THEN concat(filter(d.recent, r -> e.at - r.at <= {span}), array(named_struct('at', e.at, 'tokens', e.tokens))) ELSE filter(d.recent, r -> e.at - r.at <= {span}) END,
-            'out', concat(d.out, array(named_struct('event_id', e.event_id, 'decision', CASE WHEN e.tokens > {cfg.tokens_per_minute} THEN 'too_large'
-                WHEN size(filter(d.recent, r -> e.at - r.at <= {span})) < {cfg.requests_per_minute} AND aggregate(filter(d.recent, r -> e.at - r.at <= {span}), 0L, (s, r) -> s + r.tokens) + e.tokens <= {cfg.tokens_per_minute}
-                THEN 'admitted' ELSE 'wait' END)))),
-          d -> d.out)""")
-    return rows.select("key", F.inline(folded)).select("event_id", "key", "decision")
+    order = W.partitionBy("key").orderBy("at", "event_id")
+    rows = events.select("key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("tokens").cast("long").alias("tokens"))
+    idle = F.coalesce(F.col("at") - F.lag("at").over(order) > span, F.lit(True)).cast("int")
+    parts = rows.withColumn("idle", idle).withColumn("part", F.sum("idle").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("idle")
+
+    def fold(frames):
+        import pandas as pd
+
+        own, recent, used = None, deque(), 0
+        for frame in frames:
+            out = []
+            for key, part, event, at, tokens in frame[["key", "part", "event_id", "at", "tokens"]].itertuples(index=False, name=None):
+                if own != (key, part):
+                    own, recent, used = (key, part), deque(), 0
+                while recent and at - recent[0][0] > span:
+                    used -= recent.popleft()[1]
+                fits = tokens <= cfg.tokens_per_minute and len(recent) < cfg.requests_per_minute and used + tokens <= cfg.tokens_per_minute
+                if fits:
+                    recent.append((at, tokens))
+                    used += tokens
+                out.append((event, key, "admitted" if fits else "too_large" if tokens > cfg.tokens_per_minute else "wait"))
+            yield pd.DataFrame(out, columns=["event_id", "key", "decision"])
+
+    kinds = f"event_id {rows.schema['event_id'].dataType.simpleString()}, key {rows.schema['key'].dataType.simpleString()}, decision string"
+    return parts.repartition("key", "part").sortWithinPartitions("key", "part", "at", "event_id").mapInPandas(fold, kinds)

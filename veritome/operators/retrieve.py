@@ -6,12 +6,15 @@ row_number filter, which Spark turns into a limit before the shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veritome.config import DEFAULT, Config
 from veritome.functions import text as X
+from veritome.sources.tables import durable
 
 #: A side of a join is only broadcast if it has at most so many rows by count.
 BROADCAST_ROWS = 50_000
@@ -45,20 +48,32 @@ def term_stats(posts: DataFrame, n_chunks: int, cfg: Config = DEFAULT) -> DataFr
     return raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(cfg.epsilon * mean)).otherwise(F.col("raw")).alias("idf"))
 
 
+def vocabulary(chunks: DataFrame) -> DataFrame:
+    """(term, df, total): how many chunks have each term; under the null term the number of chunks and of all their tokens. One pass over the texts."""
+    found = chunks.select(X.tokens(F.col("text")).alias("terms"))
+    each = found.select(F.size("terms").alias("dl"), F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit(None).cast("string")))).alias("term"))
+    return each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("total"))
+
+
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int | None = None, cfg: Config = DEFAULT, posts: DataFrame | None = None) -> DataFrame:
     """queries (query_id, question), chunks (chunk_id, text) -> (query_id, rank, chunk_id, score): Okapi BM25, ties by chunk_id, positive scores only.
 
-    The query's terms, few, are joined to the postings by term; a repeated query term counts each time.  The postings are read three times, so they are
-    persisted, to disk where memory is short; give a written table of them as posts for many searches.
+    A repeated query term counts each time.  The texts are read twice: for the vocabulary, which is written to the shared folder, and for the tokens that
+    are asked for, which alone leave the reader.  For many searches, write postings() once, by term, and give them as posts.
     """
-    posts = posts if posts is not None else postings(chunks).persist()
-    stats = corpus_stats(chunks).first()
-    terms = term_stats(posts, stats["n_chunks"], cfg)
+    words = durable(vocabulary(chunks))
+    size = words.where("term IS NULL").first()
+    n_chunks, avgdl = (size["df"], (size["total"] or 0) / size["df"]) if size else (0, 0.0)
+    raw = words.where("term IS NOT NULL").select("term", "df", (F.log(F.lit(n_chunks) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg(F.avg("raw").alias("mean_idf")).first()["mean_idf"] or 0.0
     asked = queries.select("query_id", F.explode(X.tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = small(asked.join(terms, "term"))
-    tf, dl = F.col("tf"), F.col("dl") / F.lit(stats["avgdl"] or 1.0)
+    wanted = durable(asked.join(raw, "term").select("query_id", "term", "times", F.when(F.col("raw") < 0, F.lit(cfg.epsilon * mean)).otherwise(F.col("raw")).alias("idf")))
+    if posts is None:
+        rows = chunks.select("chunk_id", X.tokens(F.col("text")).alias("terms")).select("chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+        posts = rows.join(small(wanted.select("term").distinct()), "term", "left_semi").groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    tf, dl = F.col("tf"), F.col("dl") / F.lit(avgdl or 1.0)
     weight = F.col("times") * F.col("idf") * tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * dl))
-    scored = posts.join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score")).where("score > 0")
+    scored = posts.join(small(wanted), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score")).where("score > 0")
     return top(scored, k or cfg.bm25_k, [F.desc("score"), F.col("chunk_id")], ["query_id"]).select("query_id", "rank", "chunk_id", "score")
 
 
@@ -69,19 +84,26 @@ def merged_search(base: DataFrame, session: DataFrame, k: int | None = None, cfg
     return kept.select("query_id", "rank", "chunk_id", "score", "list_no")
 
 
-def cosine(x: str, y: str) -> Column:
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
-    return dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
+def _dot(x: str, y: str) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int | None = None, cfg: Config = DEFAULT, owners: bool = False) -> DataFrame:
     """queries (query_id, vector[, session]), vectors (chunk_id, vector[, owner]) -> (query_id, rank, chunk_id, score), by exact cosine, ties by chunk_id.
 
-    Queries are a stated, short set against all vectors.  With owners, a query sees the base and its own session, and the filter comes before the ranking.
+    Queries are a stated set against all vectors, in blocks of BROADCAST_ROWS; lengths are computed once for each vector.  With owners, a query sees the base and its own session, and the filter
+    comes before the ranking.
     """
-    pairs = vectors.withColumnRenamed("vector", "v").join(small(queries.withColumnRenamed("vector", "q")), on=F.col("owner").isin("base") | (F.col("owner") == F.col("session")) if owners else F.lit(True))
-    scored = pairs.select("query_id", "chunk_id", F.round(cosine("q", "v"), 6).alias("score"))
-    return top(scored, k or cfg.dense_k, [F.desc("score"), F.col("chunk_id")], ["query_id"]).select("query_id", "rank", "chunk_id", "score")
+    asked = queries.withColumnRenamed("vector", "q").withColumn("q_length", F.sqrt(_dot("q", "q")))
+    held = vectors.withColumnRenamed("vector", "v").withColumn("v_length", F.sqrt(_dot("v", "v")))
+    blocks = -(-asked.count() // BROADCAST_ROWS)
+    sees = F.col("owner").isin("base") | (F.col("owner") == F.col("session")) if owners else F.lit(True)
+    found = []
+    for i in range(max(blocks, 1)):
+        block = asked if blocks <= 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        scored = held.join(F.broadcast(block), sees).select("query_id", "chunk_id", F.round(_dot("q", "v") / (F.col("q_length") * F.col("v_length")), 6).alias("score"))
+        found.append(top(scored, k or cfg.dense_k, [F.desc("score"), F.col("chunk_id")], ["query_id"]).select("query_id", "rank", "chunk_id", "score"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def fused(lists: DataFrame, top_n: int | None = None, cfg: Config = DEFAULT) -> DataFrame:

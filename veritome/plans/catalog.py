@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -13,23 +12,10 @@ from veritome.config import DEFAULT
 from veritome.functions import text as X
 from veritome.operators import answer, chat, evals, ingest, quota, retrieve
 from veritome.plans import derived as D
+from veritome.plans.registry import ORACLES, QUERIES, query
 from veritome.sources import tables
 from veritome.streaming import events as streams
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 # ---- SQL pieces -------------------------------------------------------------------------------------------------------
 
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -106,7 +92,13 @@ def identity_from_filename(spark, d):
     return ingest.identity_from_filename(D.file_names(spark, d))
 
 
-@query()
+@query(rf"""
+WITH n AS (SELECT doc_id, {_NAME} AS name FROM documents), s AS (SELECT *, regexp_replace(name, '\.pdf$', '') AS stem FROM n)
+SELECT doc_id, name,
+  CASE WHEN regexp_matches(stem, '^ts_') THEN 'TS ' || stem[5:6] || '.' || stem[7:9] WHEN regexp_matches(stem, '^TR_') THEN 'TR ' || stem[4:5] || '.' || stem[6:8]
+       WHEN regexp_matches(stem, '^doc_') THEN 'doc ' || split_part(stem, '_', 2)[1:2] || '.' || split_part(stem, '_', 2)[3:] ELSE left(stem, 60) END AS spec_id,
+  CASE WHEN regexp_matches(stem, '^ts_') THEN 'V' || stem[11:12]::INT || '.' || stem[13:14]::INT || '.' || stem[15:16]::INT WHEN regexp_matches(stem, '^TR_') THEN 'V' || stem[11:]
+       WHEN regexp_matches(stem, '^doc_') THEN upper(split_part(stem, '_', 3)) ELSE 'uploaded' END AS version FROM s""")
 def upload_identity(spark, d):
     return ingest.upload_identity(D.file_names(spark, d))
 
@@ -162,7 +154,7 @@ def depth_histogram(spark, d):
 
 @query()
 def fallback_chunks(spark, d):
-    return ingest.fallback_chunks(ingest.flattened_lines(D.pages(spark, d)), D.identities(spark, d)).select("doc_id", "chunk_id", "part_index", "part_total", "token_estimate", "body")
+    return ingest.fallback_chunks(D.pages(spark, d), D.identities(spark, d)).select("doc_id", "chunk_id", "part_index", "part_total", "token_estimate", "body")
 
 
 @query()
@@ -242,15 +234,29 @@ def bm25_topk(spark, d):
     return _bm25(spark, d).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 4).alias("best"), F.round(F.sum("score"), 3).alias("total"))
 
 
-@query()
+@query(f"WITH {_BM25} SELECT query_id, rank, chunk_id, floor(score * 1000 + 0.5003) / 1000 AS score FROM b WHERE rank <= 25")
 def bm25_ranking(spark, d):
-    return _bm25(spark, d)
+    return _thousandths(_bm25(spark, d))
 
 
-@query()
+def _bm25_of(mark: str, where: str) -> str:
+    """The pieces of _BM25, named with a mark, over some of the documents."""
+    return re.sub(r"\b([cnptriqsb])( AS \(SELECT)", rf"\g<1>{mark}\g<2>", re.sub(r"(FROM|JOIN) ([cnptriqsb])\b", rf"\g<1> \g<2>{mark}", _BM25)).replace("FROM documents)", f"FROM documents WHERE {where})")
+
+
+_MERGED = f"""(SELECT query_id, chunk_id, score, 1 AS list_no, rank FROM b1 WHERE rank <= 25 UNION ALL SELECT query_id, chunk_id, score, 2, rank FROM b2 WHERE rank <= 25)"""
+
+
+@query(f"""WITH {_bm25_of('1', 'doc_id % 10 <> 0')}, {_bm25_of('2', 'doc_id % 10 = 0')}
+SELECT query_id, rank, chunk_id, floor(score * 1000 + 0.5003) / 1000 AS score, list_no FROM (SELECT query_id, chunk_id, score, list_no, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, list_no, rank) AS rank FROM {_MERGED}) WHERE rank <= 25""")
 def bm25_session_merge(spark, d):
     c, q = D.chunks(spark, d), D.questions(spark, d)
-    return retrieve.merged_search(retrieve.bm25_search(q, c.where("chunk_id % 10 <> 0")), retrieve.bm25_search(q, c.where("chunk_id % 10 = 0")))
+    return _thousandths(retrieve.merged_search(retrieve.bm25_search(q, c.where("chunk_id % 10 <> 0")), retrieve.bm25_search(q, c.where("chunk_id % 10 = 0"))))
+
+
+def _thousandths(rows: DataFrame) -> DataFrame:
+    """Scores, which have six digits, with three; as no tie falls on the offset, every engine rounds them alike."""
+    return rows.withColumn("score", F.floor(F.col("score") * 1000 + 0.5003) / 1000)
 
 
 _COS = "round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
@@ -305,24 +311,52 @@ _RERANKED = f"(SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY
 
 
 @query(f"WITH {_BM25} SELECT query_id, max(score) AS top_score, count(*) AS n FROM {_RERANKED} GROUP BY query_id")
-def rerank_overlap(spark, d):
+def rerank_overlap(spark, d):  # see rerank_ranks for its ranks
     return retrieve.reranked(_candidates(spark, d)).groupBy("query_id").agg(F.max("score").alias("top_score"), F.count("*").alias("n"))
 
 
+@query(f"WITH {_BM25} SELECT query_id, rank, chunk_id, score FROM {_RERANKED}")
+def rerank_ranks(spark, d):
+    return retrieve.reranked(_candidates(spark, d)).select("query_id", "rank", "chunk_id", "score")
+
+
 def _results(spark, d, tau: float | None = None, dense: bool = True) -> DataFrame:
     """Questions through dense (list 1) and lexical (list 2) search, or through lexical search alone, and what comes after it."""
     chunks = D.chunks(spark, d).withColumn("chunk_id", F.col("chunk_id").cast("string"))
     lists = _bm25(spark, d).withColumn("list_no", F.lit(2))
     if dense:
-        found = retrieve.dense_search(tables.embedded(D.questions(spark, d), "query_id", "question"), tables.embedded(D.chunks(spark, d), "chunk_id", "text"))
+        asked = tables.embedded(D.questions(spark, d), "query_id", "question", prefix=tables.QUERY_PREFIX)
+        found = retrieve.dense_search(tables.durable(asked), tables.embedded(D.chunks(spark, d), "chunk_id", "text"))
         lists = found.withColumn("list_no", F.lit(1)).unionByName(lists)
-    lists = lists.withColumn("chunk_id", F.col("chunk_id").cast("string"))
+    lists = tables.durable(lists.withColumn("chunk_id", F.col("chunk_id").cast("string")))  # some rows for each question, read twice
     return retrieve.gated(retrieve.retrieved(D.questions(spark, d), chunks, lists), tau)
 
 
-@query()
+def _embedding(table: str, key: str, text: str) -> str:
+    """Rows (key, place, x, norm): the components of the hashed embeddings, and their length."""
+    return f"""(SELECT key, place, x, sqrt(sum(x * x) OVER (PARTITION BY key)) AS norm FROM (SELECT key, ('0x' || substr(md5(t), 1, 4))::INT % 64 AS place, sum(CASE WHEN substr(md5(t), 5, 1) < '8' THEN 1.0 ELSE -1.0 END)::DOUBLE AS x
+        FROM (SELECT {key} AS key, unnest({_TOKENS.format(text)}) AS t FROM {table} WHERE len({_TOKENS.format('text')}) > 0) GROUP BY ALL) WHERE x <> 0)"""
+
+
+_TEXT_VECTORS = f"""
+qe AS MATERIALIZED {_embedding('benchmark', 'item_id', f"('{tables.QUERY_PREFIX}' || text)")}, de AS MATERIALIZED {_embedding('documents', 'doc_id', 'text')},
+dp AS (SELECT q.key AS query_id, d.key AS chunk_id, round(any_value(s.dot) / (any_value(q.norm) * any_value(d.norm)), 6) AS score FROM (SELECT DISTINCT key, norm FROM qe) q CROSS JOIN (SELECT DISTINCT key, norm FROM de) d
+       LEFT JOIN (SELECT a.key AS q, b.key AS d, sum(a.x * b.x) AS dot FROM qe a JOIN de b USING (place) GROUP BY ALL) s ON s.q = q.key AND s.d = d.key GROUP BY ALL),
+dl AS (SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0) DESC, chunk_id) AS rank FROM dp) WHERE rank <= 25)"""
+
+_HYBRID = f"""{_BM25}, {_TEXT_VECTORS},
+ls AS (SELECT query_id, chunk_id, 1 AS list_no, rank FROM dl UNION ALL SELECT query_id, chunk_id, 2, rank FROM b WHERE rank <= 25),
+fu AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0 / (60 + rank)), 9) DESC, min(list_no * 1000 + rank)) AS rank FROM ls GROUP BY query_id, chunk_id),
+rr AS (SELECT f.query_id, f.chunk_id, f.rank AS before, round(1 / (1 + exp(-(8 * {_OVERLAP.format('k.text', 'left(d.text, 2000)')} - 4))), 4) AS score, d.text FROM fu f JOIN documents d ON d.doc_id = f.chunk_id JOIN benchmark k ON k.item_id = f.query_id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS rank FROM rr)"""
+
+
+@query(f"""WITH {_HYBRID}
+SELECT query_id, '["' || string_agg(chunk_id::VARCHAR, '","' ORDER BY rank) FILTER (rank <= 3) || '"]' AS chunk_ids, max(score) AS top_score, (SELECT count(*) FROM ls WHERE ls.query_id = rk.query_id AND list_no = 1) AS dense_hits,
+  (SELECT count(*) FROM ls WHERE ls.query_id = rk.query_id AND list_no = 2) AS bm25_hits, count(*) AS fused_candidates, round(sum(score) FILTER (rank <= 10), 3) AS first_scores FROM rk GROUP BY query_id""")
 def retrieve_topn(spark, d):
-    return _results(spark, d).select("query_id", F.to_json(F.transform("chunks", lambda c: c["chunk_id"])).alias("chunk_ids"), "top_score", "dense_hits", "bm25_hits", "fused_candidates", F.to_json("score_distribution").alias("score_distribution"))
+    total = F.round(F.aggregate("score_distribution", F.lit(0.0), lambda s, x: s + x), 3)
+    return _results(spark, d).select("query_id", F.to_json(F.transform("chunks", lambda c: c["chunk_id"])).alias("chunk_ids"), "top_score", "dense_hits", "bm25_hits", "fused_candidates", total.alias("first_scores"))
 
 
 @query(f"WITH {_BM25} SELECT item_id AS query_id, coalesce(max(score), 0) AS confidence, coalesce(max(score), 0) >= 0.9 AS answerable FROM benchmark LEFT JOIN {_RERANKED} ON query_id = item_id GROUP BY item_id")
@@ -330,7 +364,7 @@ def gate_confidence(spark, d):
     return _results(spark, d, dense=False).select("query_id", "confidence", "answerable")
 
 
-@query()
+@query(f"WITH {_HYBRID} SELECT item_id AS query_id, coalesce(max(score), 0) AS confidence, coalesce(max(score), 0) >= 0.9 AS answerable FROM benchmark LEFT JOIN rk ON query_id = item_id GROUP BY item_id")
 def gate_confidence_hybrid(spark, d):
     return _results(spark, d).select("query_id", "confidence", "answerable")
 
@@ -366,18 +400,16 @@ def parse_claims_all(spark, d):
 
 _RAWCITE = "CASE (i % 4) WHEN 0 THEN q::VARCHAR WHEN 1 THEN '[Source: ' || q || ']' WHEN 2 THEN (q + 1)::VARCHAR ELSE 'x' || q END"
 _NORMAL = "CASE (i % 4) WHEN 2 THEN (q + 1)::VARCHAR WHEN 3 THEN 'x' || q ELSE q::VARCHAR END"
-_CLAIMS = f"(SELECT q AS query_id, i + 1 AS n, claim, {_RAWCITE} AS raw_citation, {_NORMAL} AS citation FROM (SELECT doc_id AS q, i, line AS claim FROM {_LINES} WHERE doc_id % 10 = 0 AND i < 8))"
-
-_EVERY_CLAIM = _CLAIMS.replace(" WHERE doc_id % 10 = 0 AND i < 8", "")
+_CLAIMS = f"(SELECT q AS query_id, i + 1 AS n, claim, {_RAWCITE} AS raw_citation, {_NORMAL} AS citation FROM (SELECT doc_id AS q, i, line AS claim FROM {_LINES}))"
 
 
 def claim_query(sql: str):
-    """Registers f(spark, d, claims) twice: over the claims that its SQL names, and as .._all over every line of every document."""
+    """Registers f(spark, d, claims) over every line of every document, under its name and, as before the first was widened, as .._all."""
 
     def add(f):
-        for name, text, kept in ((f.__name__, sql, "query_id % 10 = 0 AND n <= 8"), (f"{f.__name__}_all", sql.replace(_CLAIMS, _EVERY_CLAIM), "true")):
-            QUERIES[name] = lambda spark, d, kept=kept: f(spark, d, D.claims(spark, d).where(kept))
-            ORACLES[name] = text
+        for name in (f.__name__, f"{f.__name__}_all"):
+            QUERIES[name] = lambda spark, d: f(spark, d, D.claims(spark, d))
+            ORACLES[name] = sql
         return f
 
     return add
@@ -502,9 +534,9 @@ def conversation_titles(spark, d):
 _CONVS = "(SELECT conv_id, conv_id % 7 AS visitor, conv_id * 13 % 101 AS updated, max(turn) AS last FROM conversations GROUP BY conv_id)"
 
 
-@query(f"SELECT * FROM (SELECT c.*, (SELECT count(*) FROM conversations t WHERE t.conv_id = c.conv_id AND t.turn > 3) AS turns, row_number() OVER (PARTITION BY visitor ORDER BY updated DESC, conv_id) AS rank FROM {_CONVS} c) WHERE rank <= 30")
+@query(f"SELECT * FROM (SELECT c.*, (SELECT count(*) FROM conversations t WHERE t.conv_id = c.conv_id) AS turns, row_number() OVER (PARTITION BY visitor ORDER BY updated DESC, conv_id) AS rank FROM {_CONVS} c) WHERE rank <= 30")
 def conversation_list(spark, d):
-    return chat.conversation_list(D.owned_conversations(spark, d), D.turns(spark, d).where("turn > 3"))
+    return chat.conversation_list(D.owned_conversations(spark, d), D.turns(spark, d))
 
 
 @query(f"SELECT * FROM (SELECT c.*, (SELECT count(*) FROM conversations t WHERE t.conv_id = c.conv_id) AS turns, row_number() OVER (PARTITION BY visitor ORDER BY updated DESC, conv_id) AS rank FROM {_CONVS} c) WHERE rank <= 30")
@@ -567,15 +599,17 @@ _GOLD = "SELECT item_id AS query_id, doc_id AS gold FROM benchmark b JOIN docume
 
 
 def _gold(spark, d) -> DataFrame:
-    """(query_id, gold): which documents contain an item, as a join on the second to fifth word, then checked; items of fewer than six words, which may end within a word, are looked for in every document."""
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    first = D.questions(spark, d).select("query_id", "question", F.array_join(F.slice(F.filter(F.split("question", r"\s+"), lambda w: w != ""), 2, 4), " ").alias("gram"))
-    grams = D.table(spark, d, "documents").withColumn("ws", words).where(F.size("ws") >= 4).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ws") - 3), lambda i: F.array_join(F.slice("ws", i, F.lit(4)), " ")))).alias("gram"))
-    asked = D.questions(spark, d)
-    short = asked.where(F.size(F.filter(F.split("question", r"\s+"), lambda w: w != "")) < 6)
-    near = D.table(spark, d, "documents").join(retrieve.small(short), F.col("text").contains(F.col("question"))).select("query_id", F.col("doc_id").alias("gold"))
-    pairs = grams.join(retrieve.small(first.join(short, "query_id", "left_anti")), "gram").select("query_id", "question", "doc_id").distinct()
-    return near.unionByName(pairs.join(D.table(spark, d, "documents").select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("question"))).select("query_id", F.col("doc_id").alias("gold")))
+    """(query_id, gold): which documents contain an item. A document meets an item by the longest of its inner words, which is a whole word of every text that contains it, and is then checked;
+    items of fewer than three words are looked for in every document."""
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    asked = D.questions(spark, d).withColumn("ws", words("question"))
+    inner = F.slice("ws", F.lit(2), F.greatest(F.size("ws") - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = asked.select("query_id", "question", longest.alias("word")).where("word IS NOT NULL")
+    docs = D.table(spark, d, "documents").select("doc_id", "text")
+    met = docs.select("doc_id", "text", F.explode(F.array_distinct(words("text"))).alias("word")).join(retrieve.small(keyed), "word")
+    near = docs.join(retrieve.small(asked.where(F.size("ws") < 3).select("query_id", "question")), F.col("text").contains(F.col("question")))
+    return met.where(F.col("text").contains(F.col("question"))).select("query_id", F.col("doc_id").alias("gold")).unionByName(near.select("query_id", F.col("doc_id").alias("gold")))
 
 
 @query(_GOLD)
@@ -583,7 +617,9 @@ def gold_documents(spark, d):
     return _gold(spark, d)
 
 
-@query()
+@query(f"""WITH {_BM25}, g AS ({_GOLD}), e AS (SELECT g.query_id, max((coalesce(b.rank, 99) <= 3)::INT) AS r3, max((coalesce(b.rank, 99) <= 25)::INT) AS r25, max(CASE WHEN b.rank <= 25 THEN 1.0 / b.rank ELSE 0 END) AS rr
+FROM g LEFT JOIN b ON b.query_id = g.query_id AND b.chunk_id = g.gold GROUP BY g.query_id)
+SELECT count(*) AS n, round(avg(r3), 4) AS recall_at_3, round(avg(r25), 4) AS recall_at_25, round(avg(rr), 4)::DOUBLE AS mrr FROM e""")
 def recall_and_mrr(spark, d):
     ranked = _bm25(spark, d).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))), lambda s: s["chunk_id"]).alias("ranked"))
     rows = _gold(spark, d).join(ranked, "query_id", "left")
@@ -690,8 +726,7 @@ def renumber_items(spark, d):
 
 def _drained(stream: DataFrame, spark) -> DataFrame:
     """The stream's whole result, written to the cluster's shared folder and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    folder = tables.shared_folder(spark, "stream")
     run = stream.writeStream.outputMode("complete").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{folder}/out")

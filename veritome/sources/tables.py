@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -12,6 +13,25 @@ GOLDEN = "id string, question string, gold_spec string, gold_version string, gol
 ADVERSARIAL = "id string, family string, question string, why_unanswerable string, expected string"
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the cluster's shared folder, or in the warehouse where none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The same rows, read back from the shared folder: they aren't computed again, and nothing of them stays in the session's memory."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
+    return df.checkpoint(eager=True)
+
+
+def missing(error: Exception) -> bool:
+    """Whether an analysis error says that there is no such path."""
+    return "PATH_NOT_FOUND" in str(error)
+
+
 def documents_in(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataFrame:
     """(path, bytes, content) of a folder's files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
@@ -46,11 +66,34 @@ def dataset(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.schema(schema).json(path, multiLine=True)
     except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
+        if not missing(error):
             raise
         return spark.createDataFrame([], schema)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """Records, one JSON object a line, nulls included."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def recreate(df: DataFrame, path: str) -> None:
+    """Drops what is at the path, if anything, and writes the table anew."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def with_pages(documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """pages of documents (doc_id); a document of which no page is left is an error."""
+    lost = documents.select("doc_id").join(pages.select("doc_id"), "doc_id", "left_anti").limit(5).collect()
+    if lost:
+        raise ValueError(f"no page is left of {[r[0] for r in lost]}")
+    return pages
+
+
+def appended_log(rows: DataFrame, path: str) -> None:
+    """Adds rows to a log that is partitioned by day."""
+    rows.write.mode("append").partitionBy("day").parquet(path)
+
+
 def with_unique(df: DataFrame, key: str) -> DataFrame:
     """df, whose evaluation fails if a key occurs twice."""
     twice = df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(5).collect()
@@ -60,13 +103,17 @@ def with_unique(df: DataFrame, key: str) -> DataFrame:
 
 
 def append_chunks(chunks: DataFrame, path: str, owner: str) -> None:
-    """Adds an owner's chunks; repeated ids are an error, those of the table included."""
+    """Adds an owner's chunks; repeated ids are an error, those of the table included, and so are vectors of several lengths."""
     spark = chunks.sparkSession
     new = with_unique(chunks, "chunk_id")
+    if "vector" in new.columns and len(sizes := new.select(F.size("vector")).distinct().limit(2).collect()) > 1:
+        raise ValueError(f"vectors have several lengths, such as {[r[0] for r in sizes]}")
     try:
         known = spark.read.parquet(path).select("chunk_id")
         clash = new.join(known, "chunk_id", "left_semi").limit(1).count()
-    except AnalysisException:
+    except AnalysisException as error:
+        if not missing(error):
+            raise
         clash = 0
     if clash:
         raise ValueError("chunk ids are already in the table")
@@ -106,22 +153,37 @@ def checked_vectors(spark: SparkSession, path: str, manifest: str, model: str) -
     return spark.read.parquet(path)
 
 
+def _direction(token: Column, dimension: int) -> tuple[Column, Column]:
+    """Which component of an embedding a token adds to, and its sign, both from its MD5."""
+    digest = F.md5(token)
+    at = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % dimension
+    return at, F.when(F.substring(digest, 5, 1) < "8", 1.0).otherwise(-1.0)
+
+
+#: Stands before a question, not before a passage, when it is embedded.
+QUERY_PREFIX = "passage for the question "
+
+
 def hashed_embedding(text: str, dimension: int = 64):
     """A deterministic stand-in for an embedding model: signed hashed term frequencies, of unit length."""
     from veritome.functions.text import tokens
 
-    rows = F.transform(tokens(F.col(text)), lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(dimension)).cast("int").alias("at"), F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")))
+    def entry(t):
+        at, sign = _direction(t, dimension)
+        return F.struct(at.alias("at"), sign.alias("sign"))
+
+    rows = F.transform(tokens(F.col(text)), entry)
     raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.aggregate(F.filter(rows, lambda r: r["at"] == i), F.lit(0.0), lambda s, r: s + r["sign"]))
     norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
     return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
 
 
-def embedded(rows: DataFrame, key: str, text: str, dimension: int = 64) -> DataFrame:
-    """(key, vector): hashed_embedding of every text, as sums over its exploded tokens; texts without a direction, such as those without tokens, have no row."""
+def embedded(rows: DataFrame, key: str, text: str, dimension: int = 64, prefix: str = "") -> DataFrame:
+    """(key, vector): hashed_embedding of every text, after the prefix, as sums over its exploded tokens; texts without a token of their own or a direction have no row."""
     from veritome.functions.text import tokens
 
-    found = rows.select(key, F.explode(tokens(F.col(text))).alias("t"))
-    sign = F.when(F.pmod(F.xxhash64("t", F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    sums = found.groupBy(key, F.pmod(F.xxhash64("t"), F.lit(dimension)).cast("int").alias("at")).agg(F.sum(sign).alias("x")).where("x <> 0")
+    found = rows.select(key, F.explode(tokens(F.when(F.size(tokens(F.col(text))) > 0, F.concat(F.lit(prefix), F.col(text))))).alias("t"))
+    at, sign = _direction(F.col("t"), dimension)
+    sums = found.groupBy(key, at.alias("at")).agg(F.sum(sign).alias("x")).where("x <> 0")
     each = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("xs"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     return each.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.try_element_at("xs", i), F.lit(0.0)) / F.col("norm")).alias("vector"))
