@@ -16,11 +16,26 @@ CLAIMS = "array<struct<claim:string,citation:string>>"
 
 
 def source_blocks(results: DataFrame) -> DataFrame:
-    """results (query_id, chunks array of (rank, chunk_id, .., text)) -> (query_id, context): the sources in order, with instruction-like text neutralised."""
-    block = lambda c: F.concat(F.lit("SOURCE_ID: "), c["chunk_id"], F.lit("\n"), X.sanitised(c["text"]))
+    """results (query_id, chunks array of (rank, chunk_id, .., text)) -> (query_id, context): the sources in order, each under its id and what else is known of it, with instruction-like text neutralised."""
+    known = {f.name for f in results.schema["chunks"].dataType.elementType}
+    heads = [(c, title) for c, title in (("spec_id", "SPEC"), ("version", "VERSION"), ("clause_id", "CLAUSE"), ("clause_title", "TITLE")) if c in known]
+
+    def block(c: Column) -> Column:
+        lines = [F.concat(F.lit(f"{title}: "), F.coalesce(c[name], F.lit("")), F.lit("\n")) for name, title in heads]
+        return F.concat(F.lit("SOURCE_ID: "), c["chunk_id"], F.lit("\n"), *lines, X.sanitised(c["text"]))
+
     return results.where(F.size("chunks") > 0).select("query_id", F.array_join(F.transform("chunks", block), "\n\n---\n\n").alias("context"))
 
 
+def source_cards(chunks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """What is shown of each cited chunk: missing fields have defaults, and bodies are cut."""
+    defaults = {"chunk_id": "", "spec_id": "", "version": "", "clause_id": "UNKNOWN", "clause_title": "", "heading_path": "", "body": ""}
+    text = {c: F.coalesce(F.col(c) if c in chunks.columns else F.lit(None).cast("string"), F.lit(v)) for c, v in defaults.items()}
+    number = {c: F.coalesce(F.col(c) if c in chunks.columns else F.lit(None), F.lit(v)) for c, v in {"page_start": 0, "score": 0.0}.items()}
+    text["body"] = F.left(text["body"], F.lit(cfg.source_chars))
+    return chunks.select(*(v.alias(c) for c, v in (text | number).items()))
+
+
 def tolerant_json(raw: Column) -> Column:
     """A variant of the answer as it is, else without code fences, else its outermost braces; null if none parses."""
     bare = X.stripped(F.regexp_replace(raw, r"(?m)^```(?:json)?\s*|```\s*$", ""))
@@ -82,6 +97,24 @@ def verdict_label(raw: Column) -> Column:
     return F.when(found == "SUPPORTED", "SUPPORTED").otherwise("NOT_SUPPORTED")
 
 
+def batch_verdicts(claims: DataFrame, replies: DataFrame) -> DataFrame:
+    """claims (query_id, n), replies (query_id, raw), one for all claims of a query -> (query_id, n, supported).
+
+    Verdicts are told by their n, or by their place where they have none; a claim without a verdict isn't supported, nor is any claim of a reply that doesn't parse.
+    """
+    kinds = "array<struct<n:int,verdict:string>>"
+    said = replies.select("query_id", F.posexplode(F.try_variant_get(tolerant_json(F.col("raw")), "$.verdicts", kinds)).alias("at", "v"))
+    found = said.select("query_id", F.coalesce("v.n", F.col("at") + 1).alias("n"), (F.upper(F.coalesce("v.verdict", F.lit(""))) == "SUPPORTED").alias("yes"))
+    each = found.groupBy("query_id", "n").agg(F.bool_and("yes").alias("yes"))
+    return claims.join(each, ["query_id", "n"], "left").select("query_id", "n", F.coalesce("yes", F.lit(False)).alias("supported"))
+
+
+def cited_clauses(claims: DataFrame, known: DataFrame) -> DataFrame:
+    """claims (query_id, citation), known (chunk_id, clause) -> (query_id, cited_clauses), distinct and in order."""
+    found = claims.select("query_id", "citation").distinct().join(known.select(F.col("chunk_id").alias("citation"), "clause"), "citation")
+    return found.groupBy("query_id").agg(F.array_sort(F.collect_set("clause")).alias("cited_clauses"))
+
+
 def verdict_summary(verdicts: DataFrame) -> DataFrame:
     bad = ~F.col("supported")
     return verdicts.groupBy("query_id").agg(F.count("*").alias("total"), F.count_if(bad).alias("ungrounded"), F.round(F.count_if(bad) / F.count("*"), 4).alias("ungrounded_rate"), F.count_if(bad & (F.col("stage") == "prefilter")).alias("dropped_prefilter"), F.count_if(bad & (F.col("stage") == "judge")).alias("dropped_judge"))
@@ -136,6 +169,12 @@ def cache_misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return requests.join(cache.select("key"), "key", "left_anti").withColumn("rank", rank).where("rank = 1").drop("rank")
 
 
+def cache_put(answers: DataFrame, path: str) -> None:
+    """Adds answers (key, response) to the cache, once for each key that it doesn't have."""
+    known = answers.sparkSession.read.parquet(path).select("key")
+    answers.dropDuplicates(["key"]).join(known, "key", "left_anti").write.mode("append").parquet(path)
+
+
 def retry_seconds(message: Column) -> Column:
     """The wait that a refusal names, such as `try again in 1m2.5s`, and half a second; null if it names none."""
     pattern = r"(?i)try again in (?:(\d+)m)?(?:(\d+(?:\.\d+)?)s)"

@@ -64,6 +64,16 @@ def aggregated(rows: DataFrame) -> DataFrame:
     return means.join(F.broadcast(late)).withColumn("p95_latency", F.round(F.coalesce("p95", F.lit(0.0)), 3)).drop("p95")
 
 
+def evaluated(results: DataFrame, gold: DataFrame, k: int = 3) -> DataFrame:
+    """gated results and gold (query_id, gold), any number for each question -> the rows that aggregated() takes; a question without gold is adversarial."""
+    ids = F.transform("chunks", lambda c: c["chunk_id"])
+    rows = results.select("query_id", F.coalesce(ids, F.array().cast("array<string>")).alias("ranked"), (~F.col("answerable")).alias("abstained"))
+    each = rows.join(gold, "query_id").groupBy("query_id").agg(F.max(recall_at(F.col("ranked"), F.col("gold"), k)).alias("recall_at_k"), F.max(reciprocal_rank(F.col("ranked"), F.col("gold"))).alias("reciprocal_rank"))
+    none = F.lit(None).cast("double")
+    found = rows.join(each, "query_id", "left")
+    return found.select("query_id", F.col("recall_at_k").isNotNull().alias("answerable"), "abstained", "recall_at_k", "reciprocal_rank", none.alias("ungrounded_rate"), none.alias("citation_accuracy"), F.lit(0).alias("parse_failed"))
+
+
 def per_family(rows: DataFrame) -> DataFrame:
     return rows.groupBy("family").agg(F.count("*").alias("n"), F.count_if("abstained").alias("abstained"), F.round(F.avg(F.col("abstained").cast("double")), 4).alias("rate"))
 

@@ -113,6 +113,11 @@ def fused(lists: DataFrame, top_n: int | None = None, cfg: Config = DEFAULT) ->
     return (ranked.where(F.col("rank") <= top_n) if top_n else ranked).select("query_id", "rank", "chunk_id", "score")
 
 
+def looked_up(ids: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The chunks of these ids (chunk_id); ids that aren't there drop out."""
+    return ids.join(chunks, "chunk_id")
+
+
 def overlap_scorer(question: Column, text: Column) -> Column:
     """A deterministic stand-in for a cross-encoder: a sigmoid of how much of the question the text covers."""
     return 1 / (1 + F.exp(-(8 * X.overlap(question, text) - 4)))

@@ -76,6 +76,23 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def dataset_lines(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What write_json() wrote."""
+    return spark.read.schema(schema).json(path)
+
+
+def create_store(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Makes the tables of the conversation store, and returns their paths by name; turns are partitioned by conversation, which takes an index's place."""
+    mark = folder.rsplit("-", 1)[-1]
+    columns = {
+        "conversations": "conv_id BIGINT, visitor BIGINT, title STRING, updated BIGINT, part INT",
+        "turns": "conv_id BIGINT, turn BIGINT, role STRING, text STRING, sources STRING, part INT",
+    }
+    for name, of in columns.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name}_{mark} ({of}) USING parquet PARTITIONED BY (part) LOCATION '{folder}/{name}'")
+    return {name: f"{folder}/{name}" for name in columns}
+
+
 def recreate(df: DataFrame, path: str) -> None:
     """Drops what is at the path, if anything, and writes the table anew."""
     df.write.mode("overwrite").parquet(path)
@@ -120,6 +137,14 @@ def append_chunks(chunks: DataFrame, path: str, owner: str) -> None:
     new.withColumn("owner", F.lit(owner)).write.mode("append").partitionBy("owner").parquet(path)
 
 
+def append_owned(chunks: DataFrame, path: str) -> None:
+    """Adds chunks of many owners, each named in its row, to a table that has none of their ids."""
+    known = chunks.sparkSession.read.parquet(path).select("chunk_id")
+    if with_unique(chunks, "chunk_id").join(known, "chunk_id", "left_semi").limit(1).count():
+        raise ValueError("chunk ids are already in the table")
+    chunks.write.mode("append").partitionBy("owner").parquet(path)
+
+
 def owned(spark: SparkSession, path: str, *owners: str) -> DataFrame:
     """The chunks of these owners; other owners' partitions aren't read."""
     return spark.read.parquet(path).where(F.col("owner").isin(*owners))
@@ -137,7 +162,9 @@ def row_count(spark: SparkSession, path: str) -> int:
     """0 for a table that isn't there."""
     try:
         return spark.read.parquet(path).count()
-    except AnalysisException:
+    except AnalysisException as error:
+        if not missing(error):
+            raise
         return 0
 
 

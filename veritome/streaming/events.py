@@ -45,6 +45,15 @@ def ingest_stream(pages: DataFrame, to_chunks: Callable[[DataFrame], DataFrame],
     return pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def saved_increments(items: DataFrame, path: str, checkpoint: str):
+    """Each micro-batch is written to a folder of its own number, which a repeated run writes again; the query that does so."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return items.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def admission_stream(requests: DataFrame, seconds: int = 60, tokens: int = 6000, most: int = 30) -> DataFrame:
     """requests (key, event_id, ts, tokens) -> (key, event_id, decision), with the admitted requests of the last seconds as each key's state."""
 
