@@ -496,19 +496,41 @@ def retry_wait(spark, d):
 
 # ---- conversations and quotas -----------------------------------------------------------------------------------------
 
-@query()
+def _matches(pattern: str, text: str = "t") -> str:
+    """The pattern, which ignores case, in SQL."""
+    quoted = pattern.replace("(?iU)", "(?i)").replace("'", "''")
+    return f"regexp_matches({text}, '{quoted}')"
+
+
+_TOKENS_ALIKE = "len(regexp_extract_all(t, '[\\w'']+')) > 1 AND len(list_distinct(regexp_extract_all(lower(t), '[\\w'']+'))) = 1 AND regexp_full_match(t, '\\s*[\\w'']+([\\s,.!?]+[\\w'']+)+[\\s.!?]*')"
+_TURNS = f"""(SELECT conv_id, turn, text, has_history, t, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '')) AS words
+    FROM (SELECT conv_id, turn, role, text, {STRIP.format("coalesce(text, '')")} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) > 1 AS has_history FROM conversations) WHERE role = 'user')"""
+_INTENT = f"""CASE WHEN length(t) < 2 THEN 'UNCLEAR|empty|false' WHEN {_matches(chat.GREETING)} THEN 'GREETING|greeting phrase|false' WHEN {_TOKENS_ALIKE} THEN 'GREETING|repeated token|false'
+    WHEN {_matches(chat.META)} THEN 'META|asking about the system|false' WHEN has_history AND words <= 8 AND {_matches(chat.DEPENDENT)} THEN 'FOLLOW_UP|context-dependent|true'
+    WHEN words <= 3 AND NOT {_matches(chat.QUESTION)} THEN 'UNCLEAR|too short to interpret safely|false' WHEN words <= 12 AND NOT {_matches(chat.DOMAIN)} THEN 'AMBIGUOUS|no domain vocabulary|false'
+    ELSE 'SPEC_QUESTION|treated as a question|true' END"""
+_INTENTS = f"(SELECT conv_id, turn, text, has_history, {_INTENT} AS i FROM {_TURNS})"
+
+
+@query(f"SELECT conv_id, turn, has_history, split_part(i, '|', 1) AS intent, split_part(i, '|', 2) AS reason, split_part(i, '|', 3) = 'true' AS billable FROM {_INTENTS}")
 def intent_classify(spark, d):
     return chat.classified(D.turns(spark, d)).drop("text")
 
 
-@query()
+@query(f"SELECT conv_id, turn, has_history AND starts_with(i, 'FOLLOW_UP') AS needs_rewrite FROM {_INTENTS}")
 def needs_rewrite(spark, d):
     return chat.needs_rewrite(D.turns(spark, d)).select("conv_id", "turn", "needs_rewrite")
 
 
-@query()
+_FOLLOWING = "(SELECT conv_id, turn, role, CASE WHEN role = 'user' AND turn % 3 = 2 THEN 'what about it ' || left(text, 20) ELSE text END AS text FROM conversations)"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, role, text, string_agg(role || ': ' || left(text, 300), chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS context FROM {_FOLLOWING})
+SELECT conv_id, turn, text, coalesce(context, '') AS context FROM c JOIN (SELECT conv_id, turn FROM {_INTENTS.replace('FROM conversations)', 'FROM ' + _FOLLOWING + ')')} WHERE has_history AND starts_with(i, 'FOLLOW_UP')) USING (conv_id, turn)""")
 def rewrite_inputs(spark, d):
-    return chat.rewrite_inputs(D.turns(spark, d))
+    """Some of the turns made to ask about what was before."""
+    follows = F.when((F.col("role") == "user") & (F.col("turn") % 3 == 2), F.concat(F.lit("what about it "), F.left("text", F.lit(20)))).otherwise(F.col("text"))
+    return chat.rewrite_inputs(D.turns(spark, d).withColumn("text", follows))
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 8")
