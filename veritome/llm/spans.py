@@ -194,11 +194,12 @@ def block_factors(texts: DataFrame, n: int) -> DataFrame:
     """texts (row, .., text) -> (row, start, stop, source_row, source_start): the factors of every text relative to each block."""
     count = blocks_of(texts)
     found = durable(repeated_anchors(texts, n)).groupBy("row").agg(F.collect_list("places").alias("places"))
-    joined = texts.select("row", "text").join(found, "row").select("row", "text", "places")
+    kept = [c for c in texts.columns if c not in ("row", "text")]  # they come along, so that the texts are shuffled once for this join and for that with the spans
+    joined = texts.select("row", *kept, "text").join(found, "row").select("row", *kept, "text", "places")
 
     def windows(batches):
         for piece in pieces(batches, "text"):
-            texts, lists = piece.column(1), piece.column(2)
+            texts, lists = piece.column(len(kept) + 1), piece.column(len(kept) + 2)
             words = words_of(texts, False)
             own, hashes = Anchors(words, n), sequence_hashes(words.hash, n)
             marked = np.zeros(len(words.hash) + 1, dtype=bool)
