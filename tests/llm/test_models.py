@@ -223,3 +223,78 @@ def test_exchange_runs_until_nothing_moves():
             z[w] = np.eye(classes)[c]
             assert value(z) <= best + 1e-6
         z[w] = np.eye(classes)[own[w]]
+
+
+def test_columns_named_like_results(spark):
+    rows = [(i, prose("xy"[i % 2] * 2, 30, i), "xy"[i % 2], float(i)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    out = language.predict(docs.withColumn("lang_pred", F.lit("q")).withColumn("ambiguous", F.lit(1)).withColumn("a b.c", F.lit(2)), language.fit(docs))
+    assert sorted(out.columns) == ["a b.c", "ambiguous", "doc_id", "lang", "lang_pred", "score"] and {r.lang_pred for r in out.collect()} == {"x", "y"}
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, label int")
+    out = quality.score(docs.withColumn("predicted", F.lit("q")), quality.fit(docs.select("doc_id", "text"), labels))
+    assert sorted(out.columns) == ["doc_id", "lang", "predicted", "score"] and {r.predicted for r in out.collect()} <= {0, 1}
+    mixed = mixing.target_rates(docs.withColumn("rate", F.lit(5)), spark.createDataFrame([(i, "ab"[i % 2]) for i in range(60)], "doc_id long, domain string"), {"a": 0.5, "b": 0.5})
+    assert mixed.columns == ["doc_id", "n_tokens", "p_a", "p_b", "rate", "converged"]
+
+
+def test_tied_neighbours_are_the_earlier_rows():
+    rng = np.random.default_rng(5)
+    vectors = np.repeat(rng.normal(size=(40, 6)), 20, axis=0).astype(np.float32)
+    vectors /= np.sqrt((vectors**2).sum(1, keepdims=True))
+    labels = rng.integers(0, 2, len(vectors)).astype(float)
+    model = quality.NeighbourModel(np.ones(6, np.float32), np.eye(6, dtype=np.float32), vectors, labels, 30)
+    counts = np.expm1(np.abs(rng.normal(size=(25, 6)))).astype(np.float32)
+    cosine = model.latent(counts) @ vectors.T
+    for got, c in zip(model.scores(counts), cosine, strict=True):
+        near = sorted(range(len(c)), key=lambda i: (-c[i], i))[:30]
+        weight = np.maximum(c[near], 1e-6).astype(float) ** 8
+        assert got == pytest.approx((weight * labels[near]).sum() / weight.sum(), abs=1e-9)
+
+
+def test_languages_are_decoded_as_defined(spark, sf_dir):
+    """The language of the least weighted loss, text by text."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs)
+    got = {r.doc_id: r for r in language.predict(docs.select("doc_id", "text"), model).collect()}
+    for r in docs.collect():
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id].lang_pred == "und" and got[r.doc_id].score == 0
+            continue
+        margin = language._features(pa.array([r.text], pa.string()))[0] @ model.weights + model.intercepts
+        loss = {name: sum(w * np.log1p(np.exp(-b * m)) for w, b, m in zip(model.bit_weights, word, margin, strict=True)) for name, word in zip(model.languages, model.code, strict=True)}
+        share = {k: np.exp(min(loss.values()) - v) for k, v in loss.items()}
+        best = max(share, key=share.get)
+        assert got[r.doc_id].lang_pred == best and got[r.doc_id].score == pytest.approx(share[best] / sum(share.values()), abs=1e-4)
+
+
+def test_samples_are_bounded(spark, monkeypatch):
+    from veritome.llm import features
+
+    monkeypatch.setattr(features, "SAMPLED", 40)
+    df = spark.createDataFrame([(i, f"l{i % 20}", "some text") for i in range(2000)], "doc_id long, label string, text string")
+    chosen = features.sampled(df, "label", F.col("doc_id"), 800)
+    labels, rows = features.collected(chosen.select("label", "text"), language._features, "string")
+    assert 0 < len(labels) == len(rows) <= 80
+    labels, _ = features.collected(df.select("label", "text"), language._features, "string")
+    assert len(labels) == 80
+
+
+def test_rates_reach_the_optimum(spark):
+    """The weighted squared misses are those of a long run of plain projected gradients, for targets that can be met and that can't; so they are where rates are stored in between."""
+    rows = [(i, " ".join(f"{'abc'[i % 3]}{j % (5 + i % 7)}" for j in range(3 + i % 40))) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, ("a", "b", "c")[i % 3]) for i in range(60)], "doc_id long, domain string")
+    for targets in ({"a": 0.2, "b": 0.3, "c": 0.5}, {"a": 1.0}, {"a": 0.3, "b": 0.3, "gone": 0.4}):
+        out = mixing.target_rates(docs, labels, targets, steps=40).toPandas()
+        p, t, rate = out[["p_a", "p_b", "p_c"]].to_numpy(), out["n_tokens"].to_numpy().astype(float), out["rate"].to_numpy()
+        gram = (p * t[:, None]).T @ p
+        weight = 1 / np.maximum(np.diag(gram), max(0.01 * np.trace(gram), 1e-12))
+        known = {d: v for d, v in targets.items() if d in "abc"}
+        wanted = np.array([known.get(d, 0.0) for d in "abc"]) * sum(targets.values()) / sum(known.values()) * t.sum() * mixing.BUDGET
+        cost = lambda r: float((weight * ((t * r) @ p - wanted) ** 2).sum())  # noqa: E731, B023
+        best, step = np.full(len(t), mixing.BUDGET), 1 / np.linalg.eigvalsh(np.sqrt(weight)[:, None] * gram * np.sqrt(weight)).max()
+        for _ in range(20_000):
+            best = np.maximum(0, best - step * p @ (weight * ((t * best) @ p - wanted)))
+        assert rate.min() >= 0 and cost(rate) <= cost(best) + 1e-3 * (weight * wanted**2).sum()
+        assert out["converged"].nunique() == 1 and bool(out["converged"][0]) == bool((np.abs((t * rate) @ p - wanted) <= mixing.CLOSE * wanted.max() + 1e-9).all())
+        assert ("p_gone" in out.columns) == ("gone" in targets)

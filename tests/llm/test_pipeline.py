@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from tests.llm.brute import contained, deduped, groups
@@ -50,3 +51,15 @@ def test_odd_documents_pass_all_stages(spark, sf_dir):
     for data in (docs, docs.limit(0)):
         for _, stage in pipeline.STAGES:
             stage(spark, data, sf_dir).collect()
+
+
+def test_documents_may_have_columns_named_like_results(spark, sf_dir):
+    extra = ["predicted", "score", "kept_text", "lang_pred", "gone", "row", "c0", "c1", "places", "starts"]
+    docs = table(spark, sf_dir, "documents").limit(60)
+    for i, name in enumerate(extra):
+        docs = docs.withColumn(name, F.lit(i))
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns[-len(extra) :] == extra
+    rows = docs.collect()
+    assert rows and all(r[name] == i for r in rows for i, name in enumerate(extra))

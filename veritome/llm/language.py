@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritome.llm.features import collected, letter_trigrams, logistic, sampled, unit
+from veritome.llm.runtime import quoted
 from veritome.llm.text import pieces
 
 SAMPLE = 800
@@ -93,8 +94,9 @@ def predict(docs: DataFrame, model: LanguageModel | None, close: float = CLOSE)
     """docs (doc_id, text, then any) -> all but text, with lang_pred, score and ambiguous."""
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     kept = [c for c in docs.columns if c not in ("text", "lang_pred", "score", "ambiguous")]
-    kinds = T.StructType([*(docs.schema[c] for c in kept), *T._parse_datatype_string("lang_pred string, score double, ambiguous boolean")])
-    rows = docs.select(*kept, F.when(lettered, F.col("text")).alias("text"))
+    plain = [f"c{i}" for i in range(len(kept))]
+    kinds = T.StructType([*(T.StructField(p, docs.schema[c].dataType) for c, p in zip(kept, plain, strict=True)), *T._parse_datatype_string("lang_pred string, score double, ambiguous boolean")])
+    rows = docs.select(*(quoted(c).alias(p) for c, p in zip(kept, plain, strict=True)), F.when(lettered, F.col("text")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def decode(batches):
@@ -110,9 +112,9 @@ def predict(docs: DataFrame, model: LanguageModel | None, close: float = CLOSE)
                 name = np.where(known, np.array(model.languages, dtype=object)[best], name)
                 score = np.where(known, top[:, -1].astype(np.float64), 0.0)
                 ambiguous = known & (top[:, -1] - (top[:, -2] if top.shape[1] > 1 else 0) < close)
-            yield pa.RecordBatch.from_arrays([*piece.columns[: len(kept)], pa.array(name, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(ambiguous)], names=[*kept, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*piece.columns[: len(kept)], pa.array(name, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(ambiguous)], names=kinds.names)
 
-    return rows.mapInArrow(decode, kinds)
+    return rows.mapInArrow(decode, kinds).toDF(*kept, *kinds.names[len(kept) :])
 
 
 def bucket(key: Column, of: int) -> Column:

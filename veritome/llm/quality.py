@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritome.llm.features import collected, sampled, shape_trigrams, unit
+from veritome.llm.runtime import quoted
 from veritome.llm.text import pieces, words_of
 
 SAMPLE = 1500
@@ -104,7 +105,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neighbours: in
 def score(docs: DataFrame, model: NeighbourModel | None) -> DataFrame:
     """docs (any, text) -> all columns but text, with score and predicted."""
     kept = [c for c in docs.columns if c not in ("text", "score", "predicted")]
-    kinds = T.StructType([*(docs.schema[c] for c in kept), *T._parse_datatype_string("score double, predicted int")])
+    plain = [f"c{i}" for i in range(len(kept))]
+    kinds = T.StructType([*(T.StructField(p, docs.schema[c].dataType) for c, p in zip(kept, plain, strict=True)), *T._parse_datatype_string("score double, predicted int")])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def vote(batches):
@@ -113,9 +115,10 @@ def score(docs: DataFrame, model: NeighbourModel | None) -> DataFrame:
             blank = words_of(piece.column(len(kept)), True).counts() == 0
             value = np.full(len(counts), 0.5) if shared.value is None else shared.value.scores(counts)
             value = np.clip(np.where(blank, 0.0, value), 0, 1)
-            yield pa.RecordBatch.from_arrays([*piece.columns[: len(kept)], pa.array(value), pa.array((value >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*piece.columns[: len(kept)], pa.array(value), pa.array((value >= 0.5).astype(np.int32))], names=kinds.names)
 
-    return docs.select(*kept, "text").mapInArrow(vote, kinds)
+    rows = docs.select(*(quoted(c).alias(p) for c, p in zip(kept, plain, strict=True)), "text")
+    return rows.mapInArrow(vote, kinds).toDF(*kept, "score", "predicted")
 
 
 def op3_neighbour_quality(spark, sf_dir):

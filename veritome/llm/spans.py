@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veritome.llm.runtime import blocks_of, durable
+from veritome.llm.runtime import blocks_of, durable, quoted
 from veritome.llm.text import U64, Words, dealt, gathered, mix, pieces, sequence_hashes, several, words_of
 
 WORDS = 35
@@ -285,7 +285,7 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """docs with the covered words, and the blanks after them, cut from the texts; all rows and columns stay."""
     kept = [c for c in docs.columns if c != text]
     plain = [f"c{i}" for i in range(len(kept))]
-    own = docs.select(*(F.col(f"`{c}`").alias(p) for c, p in zip(kept, plain, strict=True)), F.col(f"`{text}`").alias("text"))
+    own = docs.select(*(quoted(c).alias(p) for c, p in zip(kept, plain, strict=True)), quoted(text).alias("text"))
 
     def cut(batches):
         for piece in pieces(batches, "text"):
