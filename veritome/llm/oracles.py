@@ -52,14 +52,17 @@ WITH a AS (SELECT page_id, url IS NOT NULL AS has_url, md5(coalesce(html, '')) A
      b AS (SELECT page_id, has_url, tag, bytes, regexp_replace(regexp_replace(translate(regexp_extract(t, '(?s)^([^/?]*)', 1), '{UPPER}', '{LOWER}'), '^www\.', ''), ':(80|443)$', '') AS host,
                   regexp_replace(regexp_extract(t, '(?s)^[^/?]*([^?]*)', 1), '/$', '') AS path,
                   list_filter(string_split(regexp_extract(t, '(?s)^[^?]*\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_')) AS q FROM a),
-     c AS (SELECT page_id, has_url, tag, bytes, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END AS u, page_id * 1000 AS ts,
-                  CASE WHEN page_id % 7 = 0 THEN page_id * 1000 - 1 ELSE page_id * 1000 + 700000 END AS late FROM b),
-     j AS (SELECT r.page_id, r.u, r.late, r.tag, r.ts, arg_max(f.page_id, f.ts) AS source, arg_max(f.tag, f.ts) AS stored, arg_max(f.bytes, f.ts) AS bytes
-           FROM c r LEFT JOIN c f ON f.u = r.u AND f.ts < r.late AND r.has_url AND f.has_url GROUP BY ALL)
-SELECT page_id * 2 + 1 AS record_id, u AS canonical_url, late AS ts, source * 2 AS source_id,
-       CASE WHEN source IS NULL THEN 'no_response' WHEN stored = tag THEN 'resolved' ELSE 'mismatch' END AS outcome,
-       CASE WHEN stored = tag THEN 5 ELSE 0 END AS n_headers, CASE WHEN stored = tag THEN bytes END AS content_length,
-       CASE WHEN stored = tag THEN 'max-age=600' END AS cache_control, CASE WHEN stored = tag THEN (ts + 700000)::VARCHAR END AS date
+     c AS (SELECT page_id AS p, has_url, '"' || tag || '"' AS first, '"' || tag || '-2"' AS second, bytes, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END AS u, page_id * 1000 AS t FROM b),
+     f AS (SELECT u, has_url, p * 4 AS id, t AS ts, first AS etag, 'm' || p AS modified, 'max-age=60' AS cache, bytes FROM c UNION ALL SELECT u, has_url, p * 4 + 1, t + 300000, second, 'n' || p, 'max-age=30', bytes FROM c WHERE p % 3 = 0),
+     r AS (SELECT u, has_url, p * 4 + 2 AS record_id, CASE WHEN p % 7 = 0 THEN t - 1 ELSE t + 700000 END AS ts, CASE WHEN p % 4 = 0 THEN 'W/' || first WHEN p % 4 = 1 AND p % 3 = 0 THEN second WHEN p % 4 = 1 THEN first END AS etag,
+                  CASE WHEN p % 4 = 2 THEN CASE WHEN p % 3 = 0 THEN 'n' ELSE 'm' END || p END AS modified, 'max-age=600' AS cache, (t + 700000)::VARCHAR AS date FROM c
+           UNION ALL SELECT u, has_url, p * 4 + 3, t + 100000, 'W/' || first, NULL, NULL, (t + 100000)::VARCHAR FROM c),
+     m AS (SELECT r.record_id, max(row(f.ts, f.id))[2] AS source_id FROM r JOIN f ON f.u = r.u AND f.ts < r.ts AND r.has_url AND f.has_url GROUP BY r.record_id),
+     j AS (SELECT r.*, source_id, f.etag AS f_etag, f.modified AS f_modified, f.cache AS f_cache, f.bytes, source_id IS NOT NULL AND CASE WHEN r.etag IS NOT NULL THEN regexp_replace(r.etag, '^W/', '') = f.etag WHEN r.modified IS NOT NULL THEN r.modified = f.modified ELSE true END AS good
+           FROM r LEFT JOIN m USING (record_id) LEFT JOIN f ON f.id = source_id)
+SELECT record_id, u AS canonical_url, ts, source_id, CASE WHEN source_id IS NULL THEN 'no_response' WHEN good THEN 'resolved' ELSE 'mismatch' END AS outcome,
+       CASE WHEN good THEN 6 ELSE 0 END AS n_headers, CASE WHEN good THEN bytes END AS content_length, CASE WHEN good THEN coalesce(cache, f_cache) END AS cache_control, CASE WHEN good THEN date END AS date,
+       CASE WHEN good THEN coalesce(etag, f_etag) END AS etag, CASE WHEN good THEN coalesce(modified, f_modified) END AS last_modified
 FROM j"""
 
 

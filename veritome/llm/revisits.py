@@ -77,16 +77,34 @@ def resolved(records: DataFrame, *, slice_seconds: int = SLICE) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """An archive's records made of pages (page_id, url, html): each page is captured in full at second 1000 * page_id, and asked for again
-    700,000 seconds later, or if page_id is a multiple of 7 one second before; the ETag is the page's MD5."""
-    ts = F.col("page_id") * 1000
-    tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
-    pair = lambda k, v: [F.lit(k), v]
-    full = F.create_map(*pair("Content-Type", F.lit("text/html")), *pair("Content-Length", F.octet_length(F.coalesce("html", F.lit(""))).cast("string")), *pair("ETag", tag), *pair("Cache-Control", F.lit("max-age=60")))
-    again = F.create_map(*pair("ETag", F.concat(F.lit("W/"), tag)), *pair("Content-Length", F.lit("0")), *pair("Cache-Control", F.lit("max-age=600")), *pair("Date", (ts + 700_000).cast("string")))
-    late = F.when(F.col("page_id") % 7 == 0, ts - 1).otherwise(ts + 700_000)
-    both = F.array(F.struct((F.col("page_id") * 2).alias("record_id"), ts.alias("ts"), F.lit("response").alias("kind"), full.alias("headers")), F.struct((F.col("page_id") * 2 + 1).alias("record_id"), late.alias("ts"), F.lit("revisit").alias("kind"), again.alias("headers")))
-    return pages.select("url", F.inline(both))
+    """An archive's records made of pages (page_id, url, html), with p for the id and an ETag from the page's MD5.
+
+    4p: the full response at second 1000p. 4p + 1: of every third page another, with an ETag and a Last-Modified of its own, 300,000 s later.
+    4p + 2: a revisit 700,000 s after the first, of every seventh page 1 s before it; it states by turns the first response's ETag, weakly, the last one's, the last one's Last-Modified, or nothing.
+    4p + 3: a revisit 100,000 s after the first, so before the second, with the first one's ETag.
+    """
+    p = F.col("page_id")
+    ts, twice = p * 1000, p % 3 == 0
+    text = lambda *c: F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in c))
+    tag = F.md5(F.coalesce("html", F.lit("")))
+    first, second = text('"', tag, '"'), text('"', tag, '-2"')
+    size = F.octet_length(F.coalesce("html", F.lit(""))).cast("string")
+
+    def headers(**fields: Column | str):
+        given = [F.struct(F.lit(k.replace("_", "-")).alias("key"), (v if isinstance(v, Column) else F.lit(v)).alias("value")) for k, v in fields.items()]
+        return F.map_from_entries(F.filter(F.array(*given), lambda e: e["value"].isNotNull()))
+
+    late = F.when(p % 7 == 0, ts - 1).otherwise(ts + 700_000)
+    stated = F.when(p % 4 == 0, text("W/", first)).when(p % 4 == 1, F.when(twice, second).otherwise(first))
+    modified = F.when(p % 4 == 2, text(F.when(twice, "n").otherwise("m"), p.cast("string")))
+    record = lambda id, at, kind, fields, when=F.lit(True): F.when(when, F.struct((p * 4 + id).alias("record_id"), at.alias("ts"), F.lit(kind).alias("kind"), fields.alias("headers")))
+    records = F.array(
+        record(0, ts, "response", headers(Content_Type="text/html", Content_Length=size, ETag=first, Last_Modified=text("m", p.cast("string")), Cache_Control="max-age=60")),
+        record(1, ts + 300_000, "response", headers(Content_Type="text/html", Content_Length=size, ETag=second, Last_Modified=text("n", p.cast("string")), Cache_Control="max-age=30"), twice),
+        record(2, late, "revisit", headers(ETag=stated, Last_Modified=modified, Content_Length="0", Cache_Control="max-age=600", Date=(ts + 700_000).cast("string"))),
+        record(3, ts + 100_000, "revisit", headers(ETag=text("W/", first), Content_Length="0", Content_Type="none", Date=(ts + 100_000).cast("string"))),
+    )
+    return pages.select("url", F.inline(F.filter(records, lambda r: r.isNotNull())))
 
 
 def op1_revisits(spark, sf_dir):
@@ -94,4 +112,4 @@ def op1_revisits(spark, sf_dir):
 
     found = resolved(captures(table(spark, sf_dir, "pages")))
     header = lambda name: F.try_element_at("headers", F.lit(name))
-    return found.select("record_id", "canonical_url", "ts", "source_id", "outcome", F.coalesce(F.size("headers"), F.lit(0)).cast("long").alias("n_headers"), header("content-length").alias("content_length"), header("cache-control").alias("cache_control"), header("date").alias("date"))
+    return found.select("record_id", "canonical_url", "ts", "source_id", "outcome", F.coalesce(F.size("headers"), F.lit(0)).cast("long").alias("n_headers"), header("content-length").alias("content_length"), header("cache-control").alias("cache_control"), header("date").alias("date"), header("etag").alias("etag"), header("last-modified").alias("last_modified"))
