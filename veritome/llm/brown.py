@@ -5,7 +5,8 @@ P(word | word before) = P(class | history) * P(word | class).  Exchange clusteri
 1. The FREQUENT most frequent words, and all others in TAILS groups by their last two bytes, are exchanged on one matrix of bigram counts: each moves to the class
    that raises the likelihood of the class bigrams most, until none moves.  The classes of these items are the histories: whatever word comes before, seen or not, has one.
 2. Every word is counted by the histories before it, in blocks by the word's hash: CLASSES numbers at most, which are all that its best class depends on.  Starting from its item's class,
-   each word of the vocabulary is then exchanged, block by block: a pass moves each word to the class that raises the likelihood of (history, class) most, half of the words at a time,
+   each word of the vocabulary is then exchanged, block by block: a pass moves each word to the class that raises the likelihood of (history, class) most, half of the words at a time; a class
+   other than its item's has to raise it by log(CLASSES) more, what it takes to name it, so that a rare word doesn't follow the chance of its few places.  Words are moved
    on a copy of the table of histories and classes, which is added up anew after each pass.  Passes go on until the likelihood grows by less than CLOSE of itself.
    Then the KEPT most frequent words take their own classes as histories, all others that of most words of their group, and the words are counted and exchanged once more.
 3. Class transitions are interpolated with class frequencies; a class gives each of its words its count plus DELTA, and DELTA to an unseen one.  An unseen word has the class to which most
@@ -21,6 +22,7 @@ further columns are ignored; empty tables give empty results.  Words are told ap
 from __future__ import annotations
 
 import itertools
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -221,7 +223,7 @@ def exchange(n: np.ndarray, classes: int, passes: int | None = None) -> np.ndarr
     return own
 
 
-_WORDS = {"hashes": U64, "counts": np.int64, "groups": np.uint8, "classes": np.uint8, "pairs": np.uint32, "times": np.int64}
+_WORDS = {"hashes": U64, "counts": np.int64, "groups": np.uint8, "classes": np.uint8, "given": np.uint8, "pairs": np.uint32, "times": np.int64}
 _KINDS = "bucket int, " + ", ".join(f"{c} binary" for c in _WORDS)
 
 
@@ -277,7 +279,7 @@ def history_counts(texts: DataFrame, histories: Histories, classes: int) -> Data
         counts = np.bincount(pairs // classes, times, len(keys)).astype(np.int64)
         first = histories.classes[_items(keys, groups[at], histories.keys)].copy()
         first[keys == END] = classes - 1
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), **{c: pa.array([v.astype(t).tobytes()], pa.binary()) for (c, t), v in zip(_WORDS.items(), (keys, counts, groups[at], first, pairs, times), strict=True)}})
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), **{c: pa.array([v.astype(t).tobytes()], pa.binary()) for (c, t), v in zip(_WORDS.items(), (keys, counts, groups[at], first, first, pairs, times), strict=True)}})
 
     return texts.mapInArrow(counted, "bucket int, hashes binary, groups binary, words binary, histories binary, times binary").groupBy("bucket").applyInArrow(block, _KINDS)
 
@@ -333,7 +335,7 @@ def likelihood(g: np.ndarray) -> float:
     return float(_f(g.astype(np.float64)).sum() - _f(g.sum(0).astype(np.float64)).sum())
 
 
-def exchanged(words: dict[str, np.ndarray], g: np.ndarray, turn: int) -> np.ndarray:
+def exchanged(words: dict[str, np.ndarray], g: np.ndarray, turn: int, cost: float) -> np.ndarray:
     """The classes of a block's words after each word whose turn it is has moved to its best class; frequent words move one by one, rare ones by up to 4,096 at once."""
     classes, own = len(g), words["classes"].astype(np.int64)
     g = g.astype(np.float64)
@@ -356,6 +358,7 @@ def exchanged(words: dict[str, np.ndarray], g: np.ndarray, turn: int) -> np.ndar
         leave = np.add.reduceat(_f(old - n) - _f(old), first) - (_f(column[c] - total) - _f(column[c]))
         gain += leave[:, None]
         gain[np.arange(len(chosen)), c] = 1e-9
+        gain[np.arange(len(chosen)), words["given"][chosen]] += cost
         gain[:, -1] = -np.inf
         best = gain.argmax(1)
         np.subtract.at(g, (h, np.repeat(c, length)), n)
@@ -365,13 +368,14 @@ def exchanged(words: dict[str, np.ndarray], g: np.ndarray, turn: int) -> np.ndar
     return own.astype(np.uint8)
 
 
-def exchange_all(blocks: DataFrame, classes: int, close: float = CLOSE) -> DataFrame:
+def exchange_all(blocks: DataFrame, classes: int, close: float = CLOSE, cost: float | None = None) -> DataFrame:
     """Blocks of history_counts() with the classes that exchange gives all their words.  A pass that doesn't raise the likelihood isn't taken."""
+    cost = math.log(classes) if cost is None else cost
     g, quiet, turn = class_table(blocks, classes), 0, 0
     while quiet < 2 and g.any():
 
         def move(bucket, b, g=g, turn=turn):
-            columns = b | {"classes": exchanged(b, g, turn)}
+            columns = b | {"classes": exchanged(b, g, turn, cost)}
             return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([columns[c].tobytes()], pa.binary()) for c in _WORDS)], names=["bucket", *_WORDS])
 
         moved = durable(_each_block(blocks, move, _KINDS))
