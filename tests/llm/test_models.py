@@ -285,7 +285,7 @@ def test_rates_reach_the_optimum(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(i, ("a", "b", "c")[i % 3]) for i in range(60)], "doc_id long, domain string")
     for targets in ({"a": 0.2, "b": 0.3, "c": 0.5}, {"a": 1.0}, {"a": 0.3, "b": 0.3, "gone": 0.4}):
-        out = mixing.target_rates(docs, labels, targets, steps=40).toPandas()
+        out = mixing.target_rates(docs, labels, targets).toPandas()
         p, t, rate = out[["p_a", "p_b", "p_c"]].to_numpy(), out["n_tokens"].to_numpy().astype(float), out["rate"].to_numpy()
         gram = (p * t[:, None]).T @ p
         weight = 1 / np.maximum(np.diag(gram), max(0.01 * np.trace(gram), 1e-12))

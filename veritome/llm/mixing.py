@@ -6,7 +6,7 @@ kept at rate r adds r * t * p[k] expected tokens to domain k.  The rates start e
 targets, weighted by the inverse of the domains' own sizes, over all r >= 0 by projected gradient steps with momentum, in the metric of the tokens, where the step is 1 / the largest
 eigenvalue of a domains x domains matrix.  A step needs the domains' totals, one sum over all documents; the rates aren't stored in between but
 replayed from the last REPLAY steps' gradients, a few numbers each, before which they are written to the shared folder; so a step's work doesn't grow with the steps before it, and lost tasks are
-simply run again.  `converged` tells whether all targets are met within CLOSE when the steps end.
+simply run again.  Momentum starts anew whenever the misses grow. Steps end when all targets are met within CLOSE, which `converged` tells, or the misses no longer fall.
 
 Cases: null and blank texts have no tokens and rate 0; without labels every document is of one domain; a domain that has a target but no label is in no document (posterior 0), and its share goes to the other targets in proportion, so that the budget stays; repeated rows are kept; further
 columns are ignored; empty tables give empty results.
@@ -24,8 +24,10 @@ from veritome.llm.runtime import durable
 from veritome.llm.text import U64, Words, pieces, words_of
 
 SAMPLE = 1500
-STEPS, REPLAY = 160, 16
+STEPS, REPLAY = 80, 16
 CLOSE = 1e-5
+#: Steps end where the last so many of them have lowered the misses by less than this share: the targets can't be met any better.
+STILL, SHARE = 8, 1e-3
 _WORD_BITS = 11
 #: Shares of the tokens by domain, and how many tokens for each of the corpus.
 TARGETS = {"clean": 0.90, "toxic": 0.06, "low": 0.04}
@@ -73,11 +75,11 @@ def posteriors(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> t
     return domains, docs.mapInArrow(predict, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, posterior array<double>")
 
 
-def replayed(p: np.ndarray, rate: np.ndarray, ahead: np.ndarray, slopes: list[np.ndarray], done: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rates, and the point from which the next step goes, after the steps with these gradients, which follow so many others."""
-    for t, slope in enumerate(slopes, done):
+def replayed(p: np.ndarray, rate: np.ndarray, ahead: np.ndarray, slopes: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """The rates, and the point from which the next step goes, after the steps with these gradients and momenta."""
+    for slope, momentum in slopes:
         new = np.maximum(0.0, ahead - p @ slope)
-        rate, ahead = new, new + t / (t + 3) * (new - rate)
+        rate, ahead = new, new + momentum * (new - rate)
     return rate, ahead
 
 
@@ -118,14 +120,14 @@ def target_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
     weight = 1 / np.maximum(np.diag(gram), max(0.01 * np.trace(gram), 1e-12))  # rare domains weigh more, up to a bound
     step = 1 / max(np.linalg.eigvalsh(np.sqrt(weight)[:, None] * gram * np.sqrt(weight)).max(), 1e-12)
     wanted = np.array([targets.get(d, 0.0) for d in domains]) * grown * tokens * budget
-    slopes: list[np.ndarray] = []
-    done, converged = 0, not tokens
+    slopes: list[tuple[np.ndarray, float]] = []
+    costs, since, converged = [], 0, not tokens
     kind = f"doc_id {members.schema['doc_id'].dataType.simpleString()}, n_tokens long"
 
     def point(batch):
         column = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy()
         p = _posterior(batch, k)
-        return p, column("n_tokens").astype(np.float64), *replayed(p, column("rate"), column("ahead"), slopes, done)
+        return p, column("n_tokens").astype(np.float64), *replayed(p, column("rate"), column("ahead"), slopes)
 
     def totals(batch):
         p, t, rate, ahead = point(batch)
@@ -139,12 +141,14 @@ def target_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
     for _ in range(steps if tokens else 0):
         now = _sums(members, totals, 2 * k)
         converged = bool((np.abs(now[:k] - wanted) <= close * max(wanted.max(), 1.0)).all())
-        if converged:
+        costs.append(float((weight * (now[:k] - wanted) ** 2).sum()))
+        if converged or (len(costs) > STILL and min(costs[-STILL:]) > (1 - SHARE) * min(costs[:-STILL])):
             break
+        since = 0 if len(costs) > 1 and costs[-1] > costs[-2] else since + 1  # momentum that leads uphill is dropped
         if len(slopes) == REPLAY:
             members = durable(members.mapInArrow(stepped, f"{kind}, posterior array<double>, rate double, ahead double"))
-            done, slopes = done + REPLAY, []
-        slopes.append(step * weight * (now[k:] - wanted))
+            slopes = []
+        slopes.append((step * weight * (now[k:] - wanted), since / (since + 3)))
 
     names = [*(f"p_{d}" for d in domains), *(f"p_{d}" for d in missing if domains != ["all"])]
 
