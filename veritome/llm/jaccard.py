@@ -20,7 +20,7 @@ Documents with equal sets form a class, known by a 64-bit fingerprint of the set
    and pairs of one such node with any other are pruned by the same bounds on OR-bitmaps, size ranges and components; what stays is compared by the trees of both.
 
 The bounds are exact, so no link between different sets is lost; a link within a component need not be looked at.
-Signatures take 12 bytes; whole sets are only made for classes that share a block, once, and travel once to each node they are in.
+Signatures take 16 bytes; whole sets are only made for classes that share a block, once, and travel once to each node they are in.
 
 Cases: null and blank texts have the empty set and link with nothing (their own id is the component); with fewer than n words the
 whole sequence is one shingle; repeated rows are kept, and so are null ids (ignored by the minimum); further
@@ -366,12 +366,12 @@ def crossing_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
 
     def summary(table):
         """What a node above its members knows of them."""
-        keys, power = table.column("key").to_numpy(), bitmap_power(table.column("largest")[0].as_py())
+        power = bitmap_power(table.column("largest")[0].as_py())
         bits = np.stack([np.frombuffer(bitmap(s, power), np.uint8) for s in _sets(table)]).view(U64)
         size, component = table.column("size").to_numpy(), table.column("component").to_numpy()
         excess = size - np.bitwise_count(bits).sum(1).astype(np.int64)
         row = {"hub": table.column("hub")[0], "node": table.column("node")[0], "out": table.column("out")[0], "bits": np.bitwise_or.reduce(bits, 0).tobytes(), "low": size.min(), "high": size.max(), "excess": excess.max(), "one": component.min(), "other": component.max()}
-        return pa.table({k: [v.as_py() if isinstance(v, pa.Scalar) else v if isinstance(v, bytes) else int(v)] for k, v in row.items()}) if len(keys) else None
+        return pa.table({k: [v.as_py() if isinstance(v, pa.Scalar) else v if isinstance(v, bytes) else int(v)] for k, v in row.items()})
 
     known = durable(nodes.join(sets.select("key", "shingles"), "key").groupBy("hub", "node").applyInArrow(summary, "hub long, node string, out boolean, bits binary, low long, high long, excess long, one long, other long"))
     left = known.where("out").select("hub", *(F.col(c).alias(f"x_{c}") for c in known.columns if c != "hub"))
