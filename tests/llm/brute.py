@@ -16,9 +16,9 @@ def shingles(text, n=5):
     return {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)} if len(ws) >= n else ({tuple(ws)} if ws else set())
 
 
-def groups(rows, percent=80):
+def groups(rows, percent=80, n=5):
     """{id: (n_shingles, smallest id reachable)} of rows (id, text)."""
-    sets = [(d, shingles(t)) for d, t in rows]
+    sets = [(d, shingles(t, n)) for d, t in rows]
     parent = list(range(len(sets)))
 
     def find(x):

@@ -402,13 +402,10 @@ def crossing_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     return both.groupBy("hub", "x", "y").applyInArrow(across, "a long, b long")
 
 
-def near_duplicate_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id): component_id is the smallest doc_id that links reach, the document's own included."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    profile = durable(set_profile(docs, n))
-    largest = profile.agg(F.max("n_shingles")).first()[0] or 0
+def linked_groups(docs: DataFrame, profile: DataFrame, groups: DataFrame, n: int, percent: int) -> DataFrame:
+    """docs (doc_id, text), their profile (doc_id, n_shingles, set_key) and groups (hub, key) of classes, the hub included, in which links are looked for ->
+    (doc_id, n_shingles, component_id)."""
     classes = profile.where("n_shingles > 0").groupBy(F.col("set_key").alias("key")).agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"))
-    groups = durable(subtrees(durable(blocks(docs, n, percent, largest))))
     wanted = durable(classes.join(groups.select("key").distinct(), "key", "left_semi"))
     sets = durable(sets_of(docs, wanted.select("key", "doc_id"), n)).select("key", "shingles")
     members = groups.join(wanted.select("key", "size"), "key")
@@ -430,6 +427,14 @@ def near_duplicate_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     return joined.unionByName(profile.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def near_duplicate_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id): component_id is the smallest doc_id that links reach, the document's own included."""
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    profile = durable(set_profile(docs, n))
+    largest = profile.agg(F.max("n_shingles")).first()[0] or 0
+    return linked_groups(docs, profile, durable(subtrees(durable(blocks(docs, n, percent, largest)))), n, percent)
+
+
 def op5_jaccard_join(spark, sf_dir):
     from veritome.llm.runtime import table
 

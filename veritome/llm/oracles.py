@@ -10,10 +10,10 @@ def words(text: str, lower: bool = True) -> str:
     return f"regexp_extract_all({value}, '{WORD}')"
 
 
-def shingles(table: str, key: str) -> str:
-    """Rows (key, s): the distinct five-word shingles; of fewer words, the whole sequence."""
+def shingles(table: str, key: str, n: int = 5) -> str:
+    """Rows (key, s): the distinct n-word shingles; of fewer words, the whole sequence."""
     return f"""
-    SELECT DISTINCT {key}, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+    SELECT DISTINCT {key}, unnest(CASE WHEN len(ws) >= {n} THEN list_transform(range(1, len(ws) - {n - 2}), lambda i: array_to_string(ws[i:i + {n - 1}], ' '))
                                        WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s
     FROM (SELECT {key}, {words('text')} AS ws FROM {table})"""
 
@@ -25,14 +25,20 @@ SELECT doc_id, item_id, n_item_shingles, count(*) AS n_shared
 FROM b JOIN d USING (s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, n_item_shingles HAVING 100 * count(*) >= 80 * n_item_shingles"""
 
-OP5 = f"""
-WITH RECURSIVE s AS ({shingles('documents', 'doc_id')}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+
+
+def near_groups(n: int, more: str = "") -> str:
+    return f"""
+WITH RECURSIVE s AS ({shingles('documents', 'doc_id', n)}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
      link AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id
               GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
      reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
-SELECT a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b) AS component_id
+SELECT a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b) AS component_id{more}
 FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a"""
 
+
+OP5, OP13 = near_groups(5), near_groups(2, ", min(b) = a AS kept")
+
 _HOST = f"translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}')"
 _PATH = "regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
 

@@ -10,9 +10,10 @@ from veritome.llm.quality import op3_neighbour_quality
 from veritome.llm.revisits import op1_revisits
 from veritome.llm.rules import CONFIDENCE, GRID, RISK, op7_risk_controlled
 from veritome.llm.spans import op8_substring_dedup
+from veritome.llm.superminhash import op13_superminhash
 from veritome.llm.urlrules import RULES, op9_url_rules
 
-QUERIES = {f.__name__: f for f in (op1_revisits, op2_language_codes, op3_neighbour_quality, op4_brown_classes, op5_jaccard_join, op6_soft_mixing, op7_risk_controlled, op8_substring_dedup, op9_url_rules, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_revisits, op2_language_codes, op3_neighbour_quality, op4_brown_classes, op5_jaccard_join, op6_soft_mixing, op7_risk_controlled, op8_substring_dedup, op9_url_rules, op10_decontaminate, op13_superminhash)}
 ORACLES = {
     "op1_revisits": oracles.OP1,
     "op5_jaccard_join": oracles.OP5,
@@ -20,4 +21,5 @@ ORACLES = {
     "op8_substring_dedup": oracles.OP8,
     "op9_url_rules": oracles.op9(RULES),
     "op10_decontaminate": oracles.OP10,
+    "op13_superminhash": oracles.OP13,
 }
