@@ -9,7 +9,7 @@ Documents are sets of distinct n-word shingles; two link when 100 * |A and B| >=
    slot = b + a * j modulo the prime M, with a and b from the element's hash: these maps take any two slots to any two ranks equally often, as all permutations do, and
    the variance depends on pairs of slots only.
 2. Banding.  Bands of ROWS slots, dealt at random once, are hashed; classes with an equal band meet.  At an index of 0.8 all 42 bands differ with a probability of (1 - 0.8 ** 5) ** 42 = 6e-8.
-3. Verification.  The least class of a band is its hub, and the classes that meet a hub are joined in nodes of a bounded size: by the exact overlap of their full sets, without those
+3. Verification.  The class of a band that meets most others is its hub, and the classes that meet a hub are joined in nodes of a bounded size: by the exact overlap of their full sets, without those
    that union-find has connected already, and across nodes of one hub as well (see `jaccard.linked_groups`).  No list of all pairs of a band is made.
 4. Grouping.  Links within nodes are joined by union-find, the nodes' links by label propagation with pointer jumping.
 
@@ -88,10 +88,16 @@ def banded_profile(docs: DataFrame, n: int) -> DataFrame:
 
 
 def met_in_bands(profile: DataFrame) -> DataFrame:
-    """(hub, key): the classes that share a band with a hub, itself included; classes of one band have a hub in common."""
+    """(hub, key): the classes that share a band with a hub, itself included; classes of one band have a hub in common.
+
+    The hub is the member that meets most others over all its bands: nearly all bands of a group of near copies agree on it, so that a class has few hubs.
+    """
     each = profile.where("bands IS NOT NULL").select(F.col("set_key").alias("key"), F.explode("bands").alias("band"))
-    hubs = each.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("last")).where("hub <> last").select("band", "hub")
-    return each.join(hubs, "band").select("hub", "key").distinct()
+    sizes = each.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last").select("band", "n")
+    shared = durable(each.join(sizes, "band"))
+    weights = shared.groupBy("key").agg(F.sum("n").alias("weight"))
+    hubs = shared.join(weights, "key").groupBy("band").agg(F.max(F.struct("weight", "key")).alias("hub")).select("band", F.col("hub.key").alias("hub"))
+    return shared.join(hubs, "band").select("hub", "key").distinct()
 
 
 def superminhash_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = SHINGLE, percent: int = 80) -> DataFrame:
