@@ -105,3 +105,22 @@ WITH w AS (SELECT doc_id, {words('text', lower=False)} AS ws FROM documents),
 SELECT doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed,
        sha256(CASE WHEN gone IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(gone, i)), ' '), '') END) AS kept_sha256
 FROM w LEFT JOIN k USING (doc_id)"""
+
+
+def op12(least: int = 30, top: int = 2000) -> str:
+    return rf"""
+    WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+         w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+         n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+         g AS (SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase FROM w, range(1, 5) s(size) WHERE len(ws) >= size),
+         f AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS ws, count(*) AS f FROM g GROUP BY lang, size, phrase HAVING count(*) >= {least}),
+         k AS (SELECT lang, phrase, f AS a, ws, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+         s AS (SELECT k.lang, k.phrase, a, k, p.f AS l, q.f AS r, (2000000::HUGEINT * a) // (p.f + q.f) AS score
+               FROM k JOIN f p ON p.lang = k.lang AND p.phrase = array_to_string(k.ws[1:k], ' ') JOIN f q ON q.lang = k.lang AND q.phrase = array_to_string(k.ws[k + 1:], ' ')),
+         b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+         m AS (SELECT lang, f, unnest(flatten(list_transform(range(2, size), lambda j: list_transform(range(1, size - j + 2), lambda i: array_to_string(ws[i:i + j - 1], ' '))))) AS phrase FROM f WHERE size > 2),
+         o AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.lang = b.lang AND m.phrase = b.phrase AND 100 * m.f >= 80 * b.a))
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM o JOIN n USING (lang) QUALIFY rank <= {top}"""
+
+
+OP12 = op12()

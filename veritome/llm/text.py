@@ -62,10 +62,10 @@ def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words_of(texts: pa.Array, lower: bool) -> Words:
-    """Null texts have no words."""
+def words_of(texts: pa.Array, lower: bool, blank: np.ndarray = _BLANK) -> Words:
+    """Null texts have no words; blank tells which bytes separate them."""
     data, offsets = _buffers(texts)
-    inside = ~_BLANK[data]
+    inside = ~blank[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[1:-1] = inside[1:] != inside[:-1]
     if len(data):
