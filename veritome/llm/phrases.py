@@ -34,7 +34,7 @@ MARKS = b".,;:!?\n\v\f\r"
 FILTER, SPARSE = 28, 32
 #: So many different fingerprints a task holds before it passes their counts on.
 HELD = 4_000_000
-_PIECE = 8 << 20
+_PIECE = 2 << 20
 _SEPARATOR = _BLANK.copy()
 _SEPARATOR[list(MARKS)] = True
 _MARK = np.zeros(256, dtype=bool)
@@ -185,21 +185,25 @@ def verified_groups(grams: Grams, at: np.ndarray, n: int, values: np.ndarray, la
     return np.concatenate([none, *firsts]), np.concatenate([none, *counts])
 
 
-def occurrences(texts: DataFrame, known: dict, longest: int, bits: int) -> DataFrame:
-    """texts (k1, k2, text, language, lang) -> (size, fingerprint, digest, n, k1, k2, start, stop): each phrase that may be frequent, with its count in a task and a pointer to one of its
+def _merged(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows of the same first three columns are one: the fourth is added up, of the others the first stays."""
+    order = np.lexsort((columns[2], columns[1], columns[0]))
+    columns = [c[order] for c in columns]
+    first = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)][: len(order)])
+    return [(np.add.reduceat(c, first) if len(first) else c) if i == 3 else c[first] for i, c in enumerate(columns)]
+
+
+def occurrences(texts: DataFrame, known: dict, longest: int, least: int, bits: int) -> DataFrame:
+    """texts (k1, k2, text, language, lang) -> (size, fingerprint, digest, f, k1, k2, start, stop): each frequent phrase, with its count and a pointer to one of its
     occurrences; size 0 are all words of a language."""
-    names = ["size", "fingerprint", "digest", "n", "k1", "k2", "start", "stop"]
+    names, power = ["size", "fingerprint", "digest", "f", "k1", "k2", "start", "stop"], max(1, (blocks_of(texts) - 1).bit_length())
 
     def point(batches):
         filters, held = {k: b.value for k, b in known.items()}, []
 
         def deal():
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            order = np.lexsort((columns[2], columns[1], columns[0]))
-            columns = [c[order] for c in columns]
-            first = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)][: len(order)])
-            columns[3] = np.add.reduceat(columns[3], first) if len(first) else columns[3]
-            return pa.RecordBatch.from_arrays([pa.array(c if i == 3 else c[first]) for i, c in enumerate(columns)], names=names)
+            columns = _merged([np.concatenate(c) for c in zip(*held, strict=True)])
+            return dealt((columns[1].view(U64) >> U64(64 - power)).astype(np.int64), columns, names)
 
         for piece in pieces(batches, "text", _PIECE):
             k1, k2 = piece.column(2).to_numpy(), piece.column(3).to_numpy()
@@ -228,7 +232,13 @@ def occurrences(texts: DataFrame, known: dict, longest: int, bits: int) -> DataF
         if held:
             yield deal()
 
-    return texts.select("text", "language", "k1", "k2", "lang").mapInArrow(point, ", ".join(f"{c} long" for c in names))
+    def add(table):
+        columns = _merged([gathered(table, c, np.int64) for c in names])
+        keep = (columns[3] >= least) | (columns[0] == 0)
+        return pa.table({name: pa.array(c[keep]) for name, c in zip(names, columns, strict=True)})
+
+    pointed = texts.select("text", "language", "k1", "k2", "lang").mapInArrow(point, "bucket int, " + ", ".join(f"{c} binary" for c in names))
+    return pointed.groupBy("bucket").applyInArrow(add, ", ".join(f"{c} long" for c in names))
 
 
 def _digest(lang: bytes, phrase: bytes) -> int:
@@ -245,8 +255,7 @@ def frequent_phrases(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
         bitmap = bitmap_of(frequent_fingerprints(texts, sizes, known, least, bits))
         shared = docs.sparkSession.sparkContext.broadcast(bitmap)
         known = known | dict.fromkeys(sizes, shared)
-    found = occurrences(texts, known, longest, bits).groupBy("size", "fingerprint", "digest").agg(F.sum("n").alias("f"), F.min(F.struct("k1", "k2", "start", "stop")).alias("at"))
-    found = durable(found.where((F.col("f") >= least) | (F.col("size") == 0)).select("at.*", "size", "fingerprint", "digest", "f"))
+    found = durable(occurrences(texts, known, longest, least, bits))
     pointers = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop", "size", "fingerprint", "digest", "f")).alias("pointers"))
     pointers = F.broadcast(pointers) if found.count() <= IDS else pointers
 
