@@ -185,60 +185,68 @@ def verified_groups(grams: Grams, at: np.ndarray, n: int, values: np.ndarray, la
     return np.concatenate([none, *firsts]), np.concatenate([none, *counts])
 
 
+#: A phrase of a task: what it is, how often it occurs, and where.  A text has less than 4 GB, and so has a task's input words.
+_PHRASE = {"size": np.uint8, "fingerprint": U64, "digest": np.int64, "f": np.uint32, "row": np.int64, "start": np.uint32, "bytes": np.uint32}
+
+
 def _merged(columns: list[np.ndarray]) -> list[np.ndarray]:
     """Rows of the same first three columns are one: the fourth is added up, of the others the first stays."""
     order = np.lexsort((columns[2], columns[1], columns[0]))
     columns = [c[order] for c in columns]
     first = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)][: len(order)])
-    return [(np.add.reduceat(c, first) if len(first) else c) if i == 3 else c[first] for i, c in enumerate(columns)]
+    return [(np.add.reduceat(c, first, dtype=c.dtype) if len(first) else c) if i == 3 else c[first] for i, c in enumerate(columns)]
 
 
 def occurrences(texts: DataFrame, known: dict, longest: int, least: int, bits: int) -> DataFrame:
-    """texts (k1, k2, text, language, lang) -> (size, fingerprint, digest, f, k1, k2, start, stop): each frequent phrase, with its count and a pointer to one of its
+    """texts (row, text, language, lang) -> (size, fingerprint, digest, f, row, start, bytes): each frequent phrase, with its count and a pointer to one of its
     occurrences; size 0 are all words of a language."""
-    names, power = ["size", "fingerprint", "digest", "f", "k1", "k2", "start", "stop"], max(1, (blocks_of(texts) - 1).bit_length())
+    power = max(1, (blocks_of(texts) - 1).bit_length())
 
     def point(batches):
-        filters, held = {k: b.value for k, b in known.items()}, []
+        filters, held, size = {k: b.value for k, b in known.items()}, [], 0
 
         def deal():
-            columns = _merged([np.concatenate(c) for c in zip(*held, strict=True)])
-            return dealt((columns[1].view(U64) >> U64(64 - power)).astype(np.int64), columns, names)
+            return dealt((held[0][1] >> U64(64 - power)).astype(np.int64), held[0], list(_PHRASE))
 
         for piece in pieces(batches, "text", _PIECE):
-            k1, k2 = piece.column(2).to_numpy(), piece.column(3).to_numpy()
-            coded = piece.column(4).dictionary_encode()
+            rows = piece.column(2).to_numpy()
+            coded = piece.column(3).dictionary_encode()
             language, lang = coded.indices.to_numpy(), [x.encode() for x in coded.dictionary.to_pylist()]
             grams = Grams(piece.column(0), piece.column(1).to_numpy(), bits)
             words, low = grams.words, _LOWER[grams.words.data].tobytes()
             of_text = _buffers(piece.column(0))[1]
-            counts, rows = words.counts(), np.unique(language, return_index=True)[1]
-            total = np.bincount(language, weights=counts, minlength=len(lang)).astype(np.int64)
-            digests = np.array([_digest(x, b"") for x in lang], np.int64)
-            zero = np.zeros(len(rows), np.int64)
-            held.append((zero, zero, digests[language[rows]], total[language[rows]], k1[rows], k2[rows], zero, zero))
+            one = np.unique(language, return_index=True)[1]
+            total = np.bincount(language, weights=words.counts(), minlength=len(lang))
+            zero = np.zeros(len(one), np.int64)
+            found = [[zero, zero, [_digest(lang[i], b"") for i in language[one]], total[language[one]], rows[one], zero, zero]]
             for n in range(1, longest + 1):
                 at = grams.candidates(n, filters)
                 values = grams.fingerprints(at, n)
                 keep = filters[n].has(values)
-                at, values = at[keep], values[keep]
-                first, times = verified_groups(grams, at, n, values, language)
+                first, times = verified_groups(grams, at[keep], n, values[keep], language)
                 row, start, stop = grams.text[first], words.start[first], words.end[first + n - 1]
                 digest = [_digest(lang[language[r]], low[x:y]) for r, x, y in zip(row.tolist(), start.tolist(), stop.tolist(), strict=True)]
-                held.append((np.full(len(first), n), grams.fingerprints(first, n).view(np.int64), np.array(digest, np.int64), times, k1[row], k2[row], start - of_text[row], stop - of_text[row]))
-            if sum(len(c[0]) for c in held) > HELD // 4:
-                yield deal()
-                held = []
+                found.append([np.full(len(first), n), grams.fingerprints(first, n), digest, times, rows[row], start - of_text[row], stop - start])
+            held.append([np.concatenate([np.asarray(c, t) for c in own]) for own, t in zip(zip(*found, strict=True), _PHRASE.values(), strict=True)])
+            size += len(held[-1][0])
+            if size > HELD // 4:
+                held = [_merged([np.concatenate(c) for c in zip(*held, strict=True)])]
+                size = len(held[0][0])
+                if size > HELD // 8:
+                    yield deal()
+                    held, size = [], 0
         if held:
+            held = [_merged([np.concatenate(c) for c in zip(*held, strict=True)])]
             yield deal()
 
     def add(table):
-        columns = _merged([gathered(table, c, np.int64) for c in names])
+        parts = {name: gathered(table, name, t) for name, t in _PHRASE.items()}
+        columns = _merged([parts[name].astype(np.int64) if name == "f" else parts[name] for name in parts])
         keep = (columns[3] >= least) | (columns[0] == 0)
-        return pa.table({name: pa.array(c[keep]) for name, c in zip(names, columns, strict=True)})
+        return pa.table({name: pa.array(c[keep].view(np.int64) if c.dtype == U64 else c[keep].astype(np.int64)) for name, c in zip(_PHRASE, columns, strict=True)})
 
-    pointed = texts.select("text", "language", "k1", "k2", "lang").mapInArrow(point, "bucket int, " + ", ".join(f"{c} binary" for c in names))
-    return pointed.groupBy("bucket").applyInArrow(add, ", ".join(f"{c} long" for c in names))
+    pointed = texts.select("text", "language", "row", "lang").mapInArrow(point, "bucket int, " + ", ".join(f"{c} binary" for c in _PHRASE))
+    return pointed.groupBy("bucket").applyInArrow(add, ", ".join(f"{c} long" for c in _PHRASE))
 
 
 def _digest(lang: bytes, phrase: bytes) -> int:
@@ -248,15 +256,14 @@ def _digest(lang: bytes, phrase: bytes) -> int:
 def frequent_phrases(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, bits: int = 64) -> DataFrame:
     """(lang, size, phrase, f): each phrase of up to so many words that occurs so often in the language; size 0 with an empty phrase has the number of all words."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(lang, F.lit("und")).alias("lang"))
-    keys = F.xxhash64("doc_id", "lang", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "lang", "doc_id").alias("k2")
-    texts = rows.select(*keys, "text", F.xxhash64("lang").alias("language"), "lang")
+    texts = rows.select(F.xxhash64("doc_id", "lang", "text").alias("row"), "text", F.xxhash64("lang").alias("language"), "lang")
     known: dict = {}
     for sizes in [(n,) for n in range(1, min(longest, 2) + 1)] + ([tuple(range(3, longest + 1))] if longest > 2 else []):
         bitmap = bitmap_of(frequent_fingerprints(texts, sizes, known, least, bits))
         shared = docs.sparkSession.sparkContext.broadcast(bitmap)
         known = known | dict.fromkeys(sizes, shared)
     found = durable(occurrences(texts, known, longest, least, bits))
-    pointers = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop", "size", "fingerprint", "digest", "f")).alias("pointers"))
+    pointers = found.groupBy("row").agg(F.collect_list(F.struct("start", "bytes", "size", "fingerprint", "digest", "f")).alias("pointers"))
     pointers = F.broadcast(pointers) if found.count() <= IDS else pointers
 
     def materialise(batches):
@@ -265,11 +272,12 @@ def frequent_phrases(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
             for own, value, pointed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 data = value.as_buffer().to_pybytes() if value.is_valid else b""
                 for p in pointed:
-                    phrase = b" ".join(data[p["start"] : p["stop"]].lower().split())
-                    out.append((own, p["size"], phrase.decode(), p["f"], p["fingerprint"], p["digest"]))
+                    phrase = b" ".join(data[p["start"] : p["start"] + p["bytes"]].lower().split())
+                    if _digest(own.encode(), phrase) == p["digest"]:  # else another row has the same hash
+                        out.append((own, p["size"], phrase.decode(), p["f"], p["fingerprint"], p["digest"]))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["lang", "size", "phrase", "f", "fingerprint", "digest"])
 
-    pointed = texts.select("k1", "k2", "lang", "text").join(pointers, ["k1", "k2"]).select("lang", "text", "pointers")
+    pointed = texts.select("row", "lang", "text").join(pointers, "row").select("lang", "text", "pointers")
     phrases = pointed.mapInArrow(materialise, "lang string, size long, phrase string, f long, fingerprint long, digest long")
     return written(phrases.dropDuplicates(["size", "fingerprint", "digest"]).select("lang", "size", "phrase", "f"))
 
