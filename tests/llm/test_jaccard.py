@@ -136,3 +136,22 @@ def test_dealt_columns_keep_their_entries():
     assert [r["bucket"] for r in row] == [0, 1, 2]
     assert [np.frombuffer(r["a"], np.uint32).tolist() for r in row] == [[1, 4], [2], [0, 3]]
     assert [np.frombuffer(r["b"], np.uint64).tolist() for r in row] == [[], [11], [10, 12]]
+
+
+class Blind(SignatureTree):
+    """A tree whose traversal finds no pairs."""
+
+    def pairs(self, other, percent):
+        return super().pairs(other, percent)[:0]
+
+
+def test_every_link_between_different_sets_comes_from_the_trees(spark):
+    common = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join(common + [f"u{i}"] * (i % 4))) for i in range(40)]
+    df = spark.createDataFrame([(d, t, "n") for d, t in rows], SCHEMA)
+    got = {r.doc_id: r.component_id for r in near_duplicate_groups(df).collect()}
+    assert set(got.values()) == {0}
+    texts = {}
+    for d, t in rows:
+        texts.setdefault(t, d)
+    assert {r.doc_id: r.component_id for r in near_duplicate_groups(df, kind=Blind).collect()} == {d: texts[t] for d, t in rows}

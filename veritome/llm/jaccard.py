@@ -15,7 +15,7 @@ Documents with equal sets form a class, known by a 64-bit fingerprint of the set
    joins its members: leaves are token bitmaps, a node above them has the OR of its children's bitmaps, the range of their sizes, and the most tokens that any has beyond its bits.
    Two nodes can share at most popcount(OR1 & OR2) + min(excess) tokens and at most the smaller of their largest sizes; a pair of
    nodes that can't reach the overlap asked for, or whose members are all connected, is pruned, else its children are compared.  Pairs of leaves that stay are verified by the exact
-   overlap of their sets, and those that link connect their members.  The hub is a member of every node, and compared first.
+   overlap of their sets, and those that link connect their members.  The hub is a member of every node.
 3. The dual traversal across nodes.  Where the nodes of one subtree aren't connected to each other, the members outside its largest component are cut into nodes again,
    and pairs of one such node with any other are pruned by the same bounds on OR-bitmaps, size ranges and components; what stays is compared by the trees of both.
 
@@ -270,8 +270,8 @@ class SignatureTree:
 class Members:
     """Classes that a task joins: keys, sets, and the component that each is known to be in."""
 
-    def __init__(self, keys: np.ndarray, sets: list[np.ndarray], component: np.ndarray, percent: int):
-        self.keys, self.sets, self.percent = keys, sets, percent
+    def __init__(self, keys: np.ndarray, sets: list[np.ndarray], component: np.ndarray, percent: int, kind: type[SignatureTree] = SignatureTree):
+        self.keys, self.sets, self.percent, self.kind = keys, sets, percent, kind
         self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
         power = bitmap_power(int(self.sizes.max(initial=1)))
         self.bits = np.stack([np.frombuffer(bitmap(s, power), np.uint8) for s in sets]).view(U64) if sets else np.zeros((0, 1), U64)
@@ -279,7 +279,7 @@ class Members:
         self.now = self.before.copy()
 
     def tree(self, at: np.ndarray) -> SignatureTree:
-        return SignatureTree(self.bits[at], self.sizes[at], self.now[at])
+        return self.kind(self.bits[at], self.sizes[at], self.now[at])
 
     def connect(self, i: int, others: np.ndarray) -> None:
         """Verifies i against those of the others that it isn't connected to, and connects it with what links."""
@@ -321,16 +321,14 @@ def _sets(table: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), U64) for x in table.column("shingles")]
 
 
-def joined_nodes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def joined_nodes(nodes: DataFrame, sets: DataFrame, percent: int, kind: type[SignatureTree] = SignatureTree) -> DataFrame:
     """nodes (hub, band, salt, key) -> links (a, b) that connect what is connected within a node; the hub is in each of its nodes."""
 
     def within(table):
         keys, hub = table.column("key").to_numpy().view(U64), table.column("hub")[0].as_py()
-        members = Members(keys, _sets(table), np.arange(len(keys)), percent)
-        pivot = int(np.flatnonzero(_signed(keys) == hub)[0])
-        members.connect(pivot, np.delete(np.arange(len(keys)), pivot))
+        members = Members(keys, _sets(table), np.arange(len(keys)), percent, kind)
         members.join(np.arange(len(keys)))
-        return members.edges(pivot)
+        return members.edges(int(np.flatnonzero(_signed(keys) == hub)[0]))
 
     return nodes.join(sets, "key").groupBy("hub", "band", "salt").applyInArrow(within, "a long, b long")
 
@@ -354,7 +352,7 @@ def cut_into_nodes(members: DataFrame, by: list[str], whole: bool) -> DataFrame:
     return found.select(*members.columns, F.when(F.col("salts").isNull(), -1).otherwise(F.col("band")).alias("band"), F.coalesce(salt, F.lit(0)).alias("salt"))
 
 
-def crossing_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def crossing_links(members: DataFrame, sets: DataFrame, percent: int, kind: type[SignatureTree] = SignatureTree) -> DataFrame | None:
     """members (hub, key, size, component) of subtrees of several nodes -> links (a, b) between components of one subtree; None if all of them are connected."""
     counts = durable(members.groupBy("hub", "component").agg(F.count("*").alias("n"), F.max("size").alias("size")))
     apart = counts.groupBy("hub").agg(F.max(F.struct("n", "component")).alias("main"), F.max("size").alias("largest"), F.count("*").alias("components"))
@@ -392,7 +390,7 @@ def crossing_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     def across(key, table):
         node = np.array(table.column("node").to_pylist(), dtype=object)
         keys = table.column("key").to_numpy().view(U64)
-        members = Members(keys, _sets(table), table.column("component").to_numpy(), percent)
+        members = Members(keys, _sets(table), table.column("component").to_numpy(), percent, kind)
         x, y = (np.flatnonzero(node == k.as_py()) for k in key[1:])
         if len(x) and len(y):
             members.join(x, None if key[1].as_py() == key[2].as_py() else y)
@@ -402,7 +400,7 @@ def crossing_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     return both.groupBy("hub", "x", "y").applyInArrow(across, "a long, b long")
 
 
-def linked_groups(docs: DataFrame, profile: DataFrame, groups: DataFrame, n: int, percent: int) -> DataFrame:
+def linked_groups(docs: DataFrame, profile: DataFrame, groups: DataFrame, n: int, percent: int, kind: type[SignatureTree] = SignatureTree) -> DataFrame:
     """docs (doc_id, text), their profile (doc_id, n_shingles, set_key) and groups (hub, key) of classes, the hub included, in which links are looked for ->
     (doc_id, n_shingles, component_id)."""
     classes = profile.where("n_shingles > 0").groupBy(F.col("set_key").alias("key")).agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"))
@@ -412,10 +410,10 @@ def linked_groups(docs: DataFrame, profile: DataFrame, groups: DataFrame, n: int
     nodes = durable(cut_into_nodes(members, ["hub"], whole=True))
     hubs = nodes.select("hub", "band", "salt").distinct()
     every = nodes.where("key <> hub").select("hub", "band", "salt", "key").union(hubs.select("*", F.col("hub").alias("key")))
-    links = durable(joined_nodes(every, sets, percent))
+    links = durable(joined_nodes(every, sets, percent, kind))
     labels = connected_components(links)
     cut = nodes.where("band >= 0").join(labels.withColumnRenamed("node", "key"), "key", "left").select("hub", "key", "size", F.coalesce("component", "key").alias("component"))
-    more = crossing_links(durable(cut), sets, percent)
+    more = crossing_links(durable(cut), sets, percent, kind)
     if more is not None:
         links = durable(links.union(more))
         labels = connected_components(links)
@@ -427,12 +425,12 @@ def linked_groups(docs: DataFrame, profile: DataFrame, groups: DataFrame, n: int
     return joined.unionByName(profile.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def near_duplicate_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id): component_id is the smallest doc_id that links reach, the document's own included."""
+def near_duplicate_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, kind: type[SignatureTree] = SignatureTree) -> DataFrame:
+    """(doc_id, n_shingles, component_id): component_id is the smallest doc_id that links reach, the document's own included; kind is the tree that joins nodes."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     profile = durable(set_profile(docs, n))
     largest = profile.agg(F.max("n_shingles")).first()[0] or 0
-    return linked_groups(docs, profile, durable(subtrees(durable(blocks(docs, n, percent, largest)))), n, percent)
+    return linked_groups(docs, profile, durable(subtrees(durable(blocks(docs, n, percent, largest)))), n, percent, kind)
 
 
 def op5_jaccard_join(spark, sf_dir):

@@ -109,6 +109,8 @@ def target_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
     if domains == ["all"]:
         targets = {"all": sum(targets.values())}
     met = sum(targets.get(d, 0.0) for d in domains)
+    if met <= 0 < sum(targets.values()):
+        raise ValueError(f"no label names a domain of the targets {sorted(targets)}; the labels' are {domains}")
     grown = sum(targets.values()) / met if met > 0 else 1.0
 
     def moments(batch):

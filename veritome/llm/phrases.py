@@ -229,10 +229,10 @@ def occurrences(texts: DataFrame, known: dict, longest: int, least: int, bits: i
                 found.append([np.full(len(first), n), grams.fingerprints(first, n), digest, times, rows[row], start - of_text[row], stop - start])
             held.append([np.concatenate([np.asarray(c, t) for c in own]) for own, t in zip(zip(*found, strict=True), _PHRASE.values(), strict=True)])
             size += len(held[-1][0])
-            if size > HELD // 4:
+            if size > HELD // 2:
                 held = [_merged([np.concatenate(c) for c in zip(*held, strict=True)])]
                 size = len(held[0][0])
-                if size > HELD // 8:
+                if size > HELD // 4:
                     yield deal()
                     held, size = [], 0
         if held:
