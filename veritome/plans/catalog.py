@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veritome.config import DEFAULT
 from veritome.functions import text as X
-from veritome.operators import answer, chat, evals, ingest, quota, retrieve
+from veritome.operators import answer, block_index, chat, evals, ingest, quota, retrieve, vector_index
 from veritome.plans import derived as D
 from veritome.plans.registry import ORACLES, QUERIES, query
 from veritome.sources import tables
@@ -269,7 +269,10 @@ def bm25_term_stats(spark, d):
 
 
 def _bm25(spark, d) -> DataFrame:
-    return retrieve.bm25_search(D.questions(spark, d), D.chunks(spark, d))
+    """Through an index that is saved first; the search reads its tables only."""
+    path = tables.shared_folder(spark, "bm25")
+    block_index.save_index(D.chunks(spark, d), path)
+    return tables.durable(block_index.search_index(spark, D.questions(spark, d), path))
 
 
 # scores are shown with four digits: the last of six depends on the order in which an engine adds
@@ -317,6 +320,29 @@ def dense_topk(spark, d):
     return retrieve.dense_search(D.vector_queries(spark, d), D.vectors(spark, d))
 
 
+def _indexed(spark, d, **options) -> DataFrame:
+    path = tables.shared_folder(spark, "vector-index")
+    vector_index.save_index(D.vectors(spark, d), path)
+    return vector_index.search_index(spark, D.vector_queries(spark, d), path, **options)
+
+
+@query()
+def dense_indexed(spark, d):
+    """As many of the index's lists as reach the recall that it was built for."""
+    return _indexed(spark, d)
+
+
+@query(f"SELECT * FROM {_ranked(_DENSE)}")
+def dense_indexed_exact(spark, d):
+    """All of its lists."""
+    return _indexed(spark, d, probes=0)
+
+
+@query(f"SELECT * FROM {_ranked(_OWNED)}")
+def dense_indexed_owners(spark, d):
+    return _indexed(spark, d, probes=0, owners=True)
+
+
 @query(f"SELECT * FROM {_ranked(_OWNED)}")
 def dense_owner_scoped(spark, d):
     return retrieve.dense_search(D.vector_queries(spark, d), D.vectors(spark, d), owners=True)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veritome.config import DEFAULT
 from veritome.functions import text as X
-from veritome.operators import answer, chat, evals, ingest, retrieve
+from veritome.operators import answer, block_index, chat, evals, ingest, retrieve
 from veritome.plans import catalog as C
 from veritome.plans import derived as D
 from veritome.plans.registry import query
@@ -91,6 +91,14 @@ def bm25_saved(spark, d):
     return stats.where("df > 1").withColumn("idf", F.round("idf", 6))
 
 
+@query(f"WITH {C._BM25} SELECT query_id, rank, chunk_id, floor(score * 1000 + 0.5003) / 1000 AS score FROM b WHERE rank <= 10")
+def bm25_saved_search(spark, d):
+    """Ten passages of each question from the tables of a saved index."""
+    path = tables.shared_folder(spark, "bm25")
+    block_index.save_index(D.chunks(spark, d), path)
+    return C._thousandths(block_index.search_index(spark, D.questions(spark, d), path, 10))
+
+
 @query("SELECT v.vec_id AS chunk_id, v.label FROM embeddings v WHERE v.vec_id % 7 = 0")
 def chunk_lookup(spark, d):
     """Point lookups: ids that aren't in the table drop out."""
