@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veritome.config import DEFAULT
 from veritome.functions import text as X
-from veritome.operators import answer, block_index, chat, evals, ingest, quota, retrieve, vector_index
+from veritome.operators import answer, block_index, chat, evals, ingest, models, quota, retrieve, vector_index
 from veritome.plans import derived as D
 from veritome.plans.registry import ORACLES, QUERIES, query
 from veritome.sources import tables
@@ -385,6 +385,12 @@ def rerank_overlap(spark, d):  # see rerank_ranks for its ranks
     return retrieve.reranked(_candidates(spark, d)).groupBy("query_id").agg(F.max("score").alias("top_score"), F.count("*").alias("n"))
 
 
+@query(f"WITH {_BM25} SELECT query_id, rank, chunk_id, score FROM {_RERANKED}")
+def rerank_batched(spark, d):
+    """By a model that each worker loads once."""
+    return retrieve.reranked(_candidates(spark, d), models.scorer(models.overlap_reranker())).select("query_id", "rank", "chunk_id", "score")
+
+
 @query(f"WITH {_BM25} SELECT query_id, rank, chunk_id, score FROM {_RERANKED}")
 def rerank_ranks(spark, d):
     return retrieve.reranked(_candidates(spark, d)).select("query_id", "rank", "chunk_id", "score")
@@ -395,8 +401,10 @@ def _results(spark, d, tau: float | None = None, dense: bool = True) -> DataFram
     chunks = D.chunks(spark, d).withColumn("chunk_id", F.col("chunk_id").cast("string"))
     lists = _bm25(spark, d).withColumn("list_no", F.lit(2))
     if dense:
-        asked = tables.embedded(D.questions(spark, d), "query_id", "question", prefix=tables.QUERY_PREFIX)
-        found = retrieve.dense_search(tables.durable(asked), tables.embedded(D.chunks(spark, d), "chunk_id", "text"))
+        asked = models.embedded(D.questions(spark, d), "query_id", "question", models.hashed_embedder(prefix=tables.QUERY_PREFIX), tables.QUERY_PREFIX)
+        path = tables.shared_folder(spark, "vector-index")
+        vector_index.save_index(tables.durable(models.embedded(D.chunks(spark, d), "chunk_id", "text", models.hashed_embedder())), path)
+        found = vector_index.search_index(spark, tables.durable(asked), path, probes=0)
         lists = found.withColumn("list_no", F.lit(1)).unionByName(lists)
     lists = tables.durable(lists.withColumn("chunk_id", F.col("chunk_id").cast("string")))  # some rows for each question, read twice
     return retrieve.gated(retrieve.retrieved(D.questions(spark, d), chunks, lists), tau)
@@ -408,6 +416,13 @@ def _embedding(table: str, key: str, text: str) -> str:
         FROM (SELECT {key} AS key, unnest({_TOKENS.format(text)}) AS t FROM {table} WHERE len({_TOKENS.format('text')}) > 0) GROUP BY ALL) WHERE x <> 0)"""
 
 
+@query(f"SELECT key AS doc_id, place, round(x / norm, 6) AS x FROM {_embedding('documents', 'doc_id', 'text')}")
+def embed_batched(spark, d):
+    """The components, other than zeros, of each document's vector by a model that each worker loads once."""
+    rows = models.embedded(D.table(spark, d, "documents"), "doc_id", "text", models.hashed_embedder())
+    return rows.select("doc_id", F.posexplode("vector").alias("place", "x")).where("x <> 0").select("doc_id", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
+
+
 _TEXT_VECTORS = f"""
 qe AS MATERIALIZED {_embedding('benchmark', 'item_id', f"('{tables.QUERY_PREFIX}' || text)")}, de AS MATERIALIZED {_embedding('documents', 'doc_id', 'text')},
 dp AS (SELECT q.key AS query_id, d.key AS chunk_id, round(any_value(s.dot) / (any_value(q.norm) * any_value(d.norm)), 6) AS score FROM (SELECT DISTINCT key, norm FROM qe) q CROSS JOIN (SELECT DISTINCT key, norm FROM de) d
@@ -580,10 +595,10 @@ def _matches(pattern: str, text: str = "t") -> str:
 _TOKENS_ALIKE = "len(regexp_extract_all(t, '[\\w'']+')) > 1 AND len(list_distinct(regexp_extract_all(lower(t), '[\\w'']+'))) = 1 AND regexp_full_match(t, '\\s*[\\w'']+([\\s,.!?]+[\\w'']+)+[\\s.!?]*')"
 _TURNS = f"""(SELECT conv_id, turn, text, has_history, t, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '')) AS words
     FROM (SELECT conv_id, turn, role, text, {STRIP.format("coalesce(text, '')")} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) > 1 AS has_history FROM conversations) WHERE role = 'user')"""
-_INTENT = f"""CASE WHEN length(t) < 2 THEN 'UNCLEAR|empty|false' WHEN {_matches(chat.GREETING)} THEN 'GREETING|greeting phrase|false' WHEN {_TOKENS_ALIKE} THEN 'GREETING|repeated token|false'
-    WHEN {_matches(chat.META)} THEN 'META|asking about the system|false' WHEN has_history AND words <= 8 AND {_matches(chat.DEPENDENT)} THEN 'FOLLOW_UP|context-dependent|true'
-    WHEN words <= 3 AND NOT {_matches(chat.QUESTION)} THEN 'UNCLEAR|too short to interpret safely|false' WHEN words <= 12 AND NOT {_matches(chat.DOMAIN)} THEN 'AMBIGUOUS|no domain vocabulary|false'
-    ELSE 'SPEC_QUESTION|treated as a question|true' END"""
+_INTENT = f"""CASE WHEN length(t) < 2 THEN 'UNCLEAR|no text|false' WHEN {_matches(chat.GREETING)} THEN 'GREETING|a greeting|false' WHEN {_TOKENS_ALIKE} THEN 'GREETING|one word again and again|false'
+    WHEN {_matches(chat.META)} THEN 'META|about this service|false' WHEN has_history AND words <= 8 AND {_matches(chat.DEPENDENT)} THEN 'FOLLOW_UP|refers to the turns before|true'
+    WHEN words <= 3 AND NOT {_matches(chat.QUESTION)} THEN 'UNCLEAR|a few words, none of them a question''s|false' WHEN words <= 12 AND NOT {_matches(chat.DOMAIN)} THEN 'AMBIGUOUS|names nothing that the documents are about|false'
+    ELSE 'SPEC_QUESTION|names what the documents are about, or is long|true' END"""
 _INTENTS = f"(SELECT conv_id, turn, text, has_history, {_INTENT} AS i FROM {_TURNS})"
 
 

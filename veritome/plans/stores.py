@@ -188,11 +188,16 @@ def ambiguous_resolve(spark, d):
     return chat.resolved_intents(rows, verdicts)
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 'greeting' WHEN turn % 4 = 1 THEN 'unclear' WHEN turn % 4 = 2 THEN CASE WHEN conv_id % 2 = 0 THEN 'capabilities' ELSE 'conversational' END END AS response FROM conversations""")
+#: What turns may ask of the service, and whether the answer explains what it can do.
+_ASKED = [("what can you do", True), ("how are you", False), ("What is this?", True), ("what do you know", False), ("HOW DO YOU WORK", True), ("which spec", True), ("what documents", True), ("what corpus", False), ("your capabilities", False), ("what can I ask", True), ("who are you", False)]
+_META = " ".join(f"WHEN conv_id % {len(_ASKED)} = {i} THEN '{'capabilities' if capable else 'conversational'}'" for i, (_, capable) in enumerate(_ASKED))
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 'greeting' WHEN turn % 4 = 1 THEN 'unclear' WHEN turn % 4 = 2 THEN CASE {_META} END END AS response FROM conversations""")
 def canned_responses(spark, d):
     n = F.col("turn") % 4
     intent = F.when(n == 0, "GREETING").when(n == 1, "UNCLEAR").when(n == 2, "META").otherwise("SPEC_QUESTION")
-    asked = F.when(F.col("conv_id") % 2 == 0, F.lit("what can you do")).otherwise("how are you")
+    asked = F.element_at(F.array(*[F.lit(text) for text, _ in _ASKED]), (F.col("conv_id") % len(_ASKED) + 1).cast("int"))
     return D.turns(spark, d).select("conv_id", "turn", chat.canned_response(intent, asked).alias("response"))
 
 
