@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +16,8 @@ from veritome.sources.tables import durable
 #: What a generator writes when the sources don't answer.
 SENTINEL = "INSUFFICIENT_EVIDENCE"
 CLAIMS = "array<struct<claim:string,citation:string>>"
+#: How a refusal names the wait.
+TRY_AGAIN = r"(?i)try again in (?:(\d+)m)?(?:(\d+(?:\.\d+)?)s)"
 
 
 def source_blocks(results: DataFrame) -> DataFrame:
@@ -79,16 +84,26 @@ def agreement_judge(claim: Column, source: Column) -> Column:
     return (X.overlap(claim, source) >= 0.6) & (F.size(F.array_except(numbers(claim), numbers(source))) == 0) & (~negated(claim) | negated(source))
 
 
-def verified(claims: DataFrame, chunks: DataFrame, judge=agreement_judge, cfg: Config = DEFAULT) -> DataFrame:
-    """claims -> adds supported, stage and reason: unresolved citations and small overlaps fail before the judge is asked; without a judge the rest passes."""
+def verified(claims: DataFrame, chunks: DataFrame, judge=agreement_judge, cfg: Config = DEFAULT, batched: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """claims -> adds supported, stage and reason: unresolved citations and small overlaps fail before the judge is asked; without a judge the rest passes.
+
+    `batched`, if given, judges instead, all claims that are left together: (query_id, n, claim, citation, source) -> (query_id, n, supported); a claim that it doesn't return isn't supported.
+    """
     source = F.left("text", F.lit(cfg.judge_chars))
     sources = chunks.select(F.col("chunk_id").alias("citation"), source.alias("source"), X.content_words(source).alias("source_words"))
     rows = claims.where(X.stripped(F.col("claim")) != "").join(sources, "citation", "left").withColumn("own", X.content_words(F.col("claim")))
     share = F.when(F.size("own") == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect("own", F.coalesce("source_words", F.array().cast("array<string>")))) / F.size("own"))
     early = F.when(F.col("source").isNull(), "unresolved citation").when(share < cfg.overlap_prefilter, "low overlap")
-    verdict = F.lit(True) if judge is None else F.coalesce(judge(F.col("claim"), F.col("source")), F.lit(False))
-    stage = "prefilter" if judge is None else "judge"
-    return rows.select("query_id", "n", "claim", "citation", F.when(early.isNotNull(), F.lit(False)).otherwise(verdict).alias("supported"), F.when(early.isNotNull(), "prefilter").otherwise(stage).alias("stage"), F.coalesce(early, F.lit("checked")).alias("reason"), F.round(share, 4).alias("overlap"))
+    rows = rows.withColumn("early", early).withColumn("share", share)
+    if batched:
+        rows = durable(rows)
+        said = batched(rows.where("early IS NULL").select("query_id", "n", "claim", "citation", "source")).select("query_id", "n", F.col("supported").alias("said"))
+        rows, verdict = rows.join(said, ["query_id", "n"], "left"), F.coalesce("said", F.lit(False))
+    else:
+        verdict = F.lit(True) if judge is None else F.coalesce(judge(F.col("claim"), F.col("source")), F.lit(False))
+    stage = "prefilter" if judge is None and not batched else "judge"
+    passed = F.col("early").isNull()
+    return rows.select("query_id", "n", "claim", "citation", F.when(passed, verdict).otherwise(F.lit(False)).alias("supported"), F.when(passed, stage).otherwise("prefilter").alias("stage"), F.coalesce("early", F.lit("checked")).alias("reason"), F.round("share", 4).alias("overlap"))
 
 
 def verdict_label(raw: Column) -> Column:
@@ -129,11 +144,26 @@ def extractive_responses(results: DataFrame) -> DataFrame:
     return results.select("query_id", F.to_json(body).alias("raw"))
 
 
-def answered(results: DataFrame, generate=extractive_responses, judge=agreement_judge, *, suppress: bool = True, known: DataFrame | None = None, elapsed: str | None = None, cfg: Config = DEFAULT) -> DataFrame:
-    """gated results -> (query_id, abstained, abstain_reason, answer, claims, claims_dropped, confidence).
+@dataclass(frozen=True)
+class Run:
+    """answers (see answered), the replies they were read from, and the verdicts on all claims, those of abstentions included."""
+
+    answers: DataFrame
+    replies: DataFrame
+    verdicts: DataFrame
+
+
+def answered(results: DataFrame, generate=extractive_responses, judge=agreement_judge, **options) -> DataFrame:
+    """gated results -> (query_id, abstained, abstain_reason, answer, claims, cited_clauses, claims_dropped, confidence), with the options of run()."""
+    return run(results, generate, judge, **options).answers
+
+
+def run(results: DataFrame, generate=extractive_responses, judge=agreement_judge, *, batched: Callable[[DataFrame], DataFrame] | None = None, suppress: bool = True, known: DataFrame | None = None, elapsed: str | None = None, cfg: Config = DEFAULT) -> Run:
+    """gated results through generator, citation check and judge.
 
     A stage sees the rows that no stage before it has given a reason, so the first failing stage names the reason.
-    The answer's prose is rebuilt from the claims that stay.  `elapsed` names a column of seconds used, for the two timeouts.
+    The answer's prose is rebuilt from the claims that stay; cited_clauses has, for each of them, its source's clause_id, or its chunk_id where the chunks have no clauses.
+    `elapsed` names a column of seconds used, for the timeout; `batched` judges all claims of a question together (see verified).
     """
     late = F.col(elapsed) > cfg.budget_seconds if elapsed else F.lit(False)
     gate = durable(results.withColumn("reason", F.when(~F.col("answerable"), "below_tau").when(late, "timeout_before_generation")))  # a row for each question, read by every stage
@@ -142,7 +172,8 @@ def answered(results: DataFrame, generate=extractive_responses, judge=agreement_
     claims = cited_claims(replies)
     sources = open_rows.select("query_id", F.inline("chunks")).select("query_id", "chunk_id", "text")
     checks = validated(claims, sources, known)
-    verdicts = verified(claims, sources.select("chunk_id", "text").dropDuplicates(["chunk_id"]), judge, cfg)
+    verdicts = verified(claims, sources.select("chunk_id", "text").dropDuplicates(["chunk_id"]), judge, cfg, batched)
+    verdicts = durable(verdicts) if batched else verdicts
     kept = F.sort_array(F.collect_list(F.when(F.col("supported") | F.lit(not suppress), F.struct("n", "claim", "citation"))))
     totals = verdicts.groupBy("query_id").agg(kept.alias("kept"), F.count_if(~F.col("supported")).alias("claims_dropped"))
     rows = gate.join(replies.select("query_id", F.col("claims").alias("all_claims"), "sufficient", "parse_failed"), "query_id", "left").join(checks.select("query_id", "valid", F.col("reason").alias("problem")), "query_id", "left").join(totals, "query_id", "left")
@@ -156,11 +187,20 @@ def answered(results: DataFrame, generate=extractive_responses, judge=agreement_
     rows = rows.withColumn("abstain_reason", reason)
     abstained = F.col("abstain_reason").isNotNull()
     claims_out = F.when(abstained, F.array().cast(CLAIMS)).otherwise(F.transform("kept", lambda k: F.struct(k["claim"].alias("claim"), k["citation"].alias("citation"))))
-    return rows.select("query_id", abstained.alias("abstained"), "abstain_reason", F.when(~abstained, F.array_join(F.transform("kept", lambda k: k["claim"]), " ")).alias("answer"), claims_out.alias("claims"), F.when(~abstained, F.col("claims_dropped")).otherwise(F.lit(0)).alias("claims_dropped"), "confidence")
+    clause = "clause_id" if "clause_id" in results.schema["chunks"].dataType.elementType.names else "chunk_id"
+    of_claim = F.transform("kept", lambda k: F.get(F.filter("chunks", lambda c: c["chunk_id"] == k["citation"]), F.lit(0))[clause])
+    clauses = F.when(abstained, F.array().cast("array<string>")).otherwise(of_claim)
+    dropped = F.when(~abstained, F.col("claims_dropped")).otherwise(F.lit(0))
+    answers = rows.select("query_id", abstained.alias("abstained"), "abstain_reason", F.when(~abstained, F.array_join(F.transform("kept", lambda k: k["claim"]), " ")).alias("answer"), claims_out.alias("claims"), clauses.alias("cited_clauses"), dropped.alias("claims_dropped"), "confidence")
+    return Run(answers, replies, verdicts)
+
+
+def request_key(model: Column, prompt: Column, most_tokens: Column) -> Column:
+    return F.sha2(F.to_json(F.struct(model.alias("model"), prompt.alias("prompt"), most_tokens.alias("max_tokens"))), 256)
 
 
 def cache_key(model: Column, prompt: Column, most_tokens: int) -> Column:
-    return F.sha2(F.to_json(F.struct(model.alias("model"), prompt.alias("prompt"), F.lit(most_tokens).alias("max_tokens"))), 256)
+    return request_key(model, prompt, F.lit(most_tokens))
 
 
 def cache_misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
@@ -177,6 +217,5 @@ def cache_put(answers: DataFrame, path: str) -> None:
 
 def retry_seconds(message: Column) -> Column:
     """The wait that a refusal names, such as `try again in 1m2.5s`, and half a second; null if it names none."""
-    pattern = r"(?i)try again in (?:(\d+)m)?(?:(\d+(?:\.\d+)?)s)"
-    part = lambda g: F.coalesce(F.regexp_extract(message, pattern, g).try_cast("double"), F.lit(0.0))
-    return F.when(message.rlike(pattern), part(1) * 60 + part(2) + 0.5)
+    part = lambda g: F.coalesce(F.regexp_extract(message, TRY_AGAIN, g).try_cast("double"), F.lit(0.0))
+    return F.when(message.rlike(TRY_AGAIN), part(1) * 60 + part(2) + 0.5)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veritome.functions import text as X
+from veritome.operators.answer import Run
 from veritome.sources.tables import durable
 
 
@@ -64,14 +65,25 @@ def aggregated(rows: DataFrame) -> DataFrame:
     return means.join(F.broadcast(late)).withColumn("p95_latency", F.round(F.coalesce("p95", F.lit(0.0)), 3)).drop("p95")
 
 
-def evaluated(results: DataFrame, gold: DataFrame, k: int = 3) -> DataFrame:
-    """gated results and gold (query_id, gold), any number for each question -> the rows that aggregated() takes; a question without gold is adversarial."""
+def evaluated(results: DataFrame, gold: DataFrame, k: int = 3, run: Run | None = None) -> DataFrame:
+    """gated results and gold (query_id, gold), any number for each question -> the rows that aggregated() takes; a question without gold is adversarial.
+
+    Of a run over these results come whether it abstained, the share of its claims that aren't supported, the share of cited clauses that are gold, and whether its reply was unreadable; without one,
+    abstaining is the gate's, and the measures of claims are null.
+    """
     ids = F.transform("chunks", lambda c: c["chunk_id"])
     rows = results.select("query_id", F.coalesce(ids, F.array().cast("array<string>")).alias("ranked"), (~F.col("answerable")).alias("abstained"))
     each = rows.join(gold, "query_id").groupBy("query_id").agg(F.max(recall_at(F.col("ranked"), F.col("gold"), k)).alias("recall_at_k"), F.max(reciprocal_rank(F.col("ranked"), F.col("gold"))).alias("reciprocal_rank"))
     none = F.lit(None).cast("double")
     found = rows.join(each, "query_id", "left")
-    return found.select("query_id", F.col("recall_at_k").isNotNull().alias("answerable"), "abstained", "recall_at_k", "reciprocal_rank", none.alias("ungrounded_rate"), none.alias("citation_accuracy"), F.lit(0).alias("parse_failed"))
+    if run is None:
+        found = found.withColumn("ungrounded_rate", none).withColumn("citation_accuracy", none).withColumn("parse_failed", F.lit(0))
+    else:
+        cited = run.answers.select("query_id", F.explode("cited_clauses").alias("citation")).join(gold.select("query_id", F.col("gold").alias("citation"), F.lit(1).alias("hit")).distinct(), ["query_id", "citation"], "left")
+        accuracy = cited.groupBy("query_id").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("citation_accuracy"))
+        failed = run.replies.select("query_id", F.col("parse_failed").cast("int").alias("parse_failed"))
+        found = found.drop("abstained").join(run.answers.select("query_id", "abstained"), "query_id", "left").join(ungrounded_rate(run.verdicts), "query_id", "left").join(accuracy, "query_id", "left").join(failed, "query_id", "left")
+    return found.select("query_id", F.col("recall_at_k").isNotNull().alias("answerable"), "abstained", "recall_at_k", "reciprocal_rank", "ungrounded_rate", "citation_accuracy", F.coalesce("parse_failed", F.lit(0)).alias("parse_failed"))
 
 
 def per_family(rows: DataFrame) -> DataFrame:

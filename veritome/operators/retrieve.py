@@ -140,7 +140,7 @@ def retrieved(queries: DataFrame, chunks: DataFrame, ranked_lists: DataFrame, *,
     asked = queries.where(X.stripped(F.coalesce("question", F.lit(""))) != "").select("query_id", "question")
     found = fused(ranked_lists, cfg=cfg).select("query_id", "rank", "chunk_id").join(chunks, "chunk_id").join(asked, "query_id")
     ranked = reranked(found, scorer, cfg) if scorer else ordinal_scores(found)
-    entry = F.struct("rank", "chunk_id", "score", "text")
+    entry = F.struct("rank", "chunk_id", "score", "text", *(c for c in ("spec_id", "version", "clause_id", "clause_title") if c in chunks.columns))
     n = top_n or cfg.top_n
     summary = ranked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.when(F.col("rank") <= n, entry))).alias("chunks"), F.max(F.when(F.col("rank") <= n, F.col("score"))).alias("top_score"), F.count("*").alias("fused_candidates"), F.transform(F.sort_array(F.collect_list(F.when(F.col("rank") <= 10, F.struct("rank", "score")))), lambda s: s["score"]).alias("score_distribution"))
     hits = ranked_lists.groupBy("query_id").agg(F.count_if(F.col("list_no") == 1).alias("dense_hits"), F.count_if(F.col("list_no") == 2).alias("bm25_hits"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veritome.config import DEFAULT
 from veritome.functions import text as X
-from veritome.operators import answer, block_index, chat, evals, ingest, models, quota, retrieve, vector_index
+from veritome.operators import answer, block_index, chat, completion, evals, ingest, models, quota, retrieve, vector_index
 from veritome.plans import derived as D
 from veritome.plans.registry import ORACLES, QUERIES, query
 from veritome.sources import tables
@@ -493,6 +494,10 @@ _NORMAL = "CASE (i % 4) WHEN 2 THEN (q + 1)::VARCHAR WHEN 3 THEN 'x' || q ELSE q
 _CLAIMS = f"(SELECT q AS query_id, i + 1 AS n, claim, {_RAWCITE} AS raw_citation, {_NORMAL} AS citation FROM (SELECT doc_id AS q, i, line AS claim FROM {_LINES}))"
 
 
+#: Of stand-ins that cost nothing.
+ENDLESS = completion.Budget(tokens=10**9, requests=10**6)
+
+
 def claim_query(sql: str):
     """Registers f(spark, d, claims) over every line of every document, under its name and, as before the first was widened, as .._all."""
 
@@ -539,6 +544,17 @@ def claim_verify(spark, d, claims):
     return _verdicts(spark, d, claims).select("query_id", "n", "supported", "reason", "stage", F.when(F.col("reason") == "unresolved citation", 0.0).otherwise(F.col("overlap")).alias("overlap"))
 
 
+_CHECKED = "SELECT query_id, n, supported, reason, CASE WHEN reason = 'checked' THEN 'judge' ELSE 'prefilter' END AS stage"
+
+
+@query(f"{_CHECKED} FROM {_VERDICTS}")
+def claim_verify_batched(spark, d):
+    """All claims of a document in one call of a judge, through the completion loop."""
+    chunks = D.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    judge = completion.batch_judge(partial(completion.completed, service=completion.agreement_service(), cache=tables.shared_folder(spark, "completions"), budget=ENDLESS, clock=completion.DryClock))
+    return answer.verified(D.claims(spark, d), chunks, batched=judge).select("query_id", "n", "supported", "reason", "stage")
+
+
 @claim_query(f"SELECT query_id, count(*) AS total, count(*) FILTER (NOT supported) AS ungrounded, round(count(*) FILTER (NOT supported) / count(*), 4) AS ungrounded_rate, count(*) FILTER (NOT supported AND reason <> 'checked') AS dropped_prefilter, count(*) FILTER (NOT supported AND reason = 'checked') AS dropped_judge FROM {_VERDICTS} GROUP BY query_id")
 def verdict_summary(spark, d, claims):
     return answer.verdict_summary(_verdicts(spark, d, claims))
@@ -562,10 +578,17 @@ def sanitise(spark, d):
     return D.table(spark, d, "documents").select("doc_id", F.md5(X.sanitised(text)).alias("digest"))
 
 
+def model_run(spark, results: DataFrame) -> answer.Run:
+    """Answers by a generator and a judge that are asked through the completion loop, with a cache of this run's own."""
+    complete = partial(completion.completed, cache=tables.shared_folder(spark, "completions"), budget=ENDLESS, clock=completion.DryClock)
+    generate = completion.generator(partial(complete, service=completion.extractive_service()))
+    return answer.run(results, generate, batched=completion.batch_judge(partial(complete, service=completion.agreement_service())))
+
+
 @query()
 def answer_dag(spark, d):
-    rows = answer.answered(_results(spark, d, tau=0.6))
-    return rows.withColumn("claims", F.to_json("claims"))
+    rows = model_run(spark, _results(spark, d, tau=0.6)).answers
+    return rows.withColumn("claims", F.to_json("claims")).withColumn("cited_clauses", F.to_json("cited_clauses"))
 
 
 _KEYS = "sha256('{\"model\":\"m\",\"prompt\":\"' || (event_id % 97)::VARCHAR || '\",\"max_tokens\":700}')"

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from veritome.config import DEFAULT
 from veritome.functions import text as X
-from veritome.operators import answer, block_index, chat, evals, ingest, retrieve
+from veritome.operators import answer, block_index, chat, completion, evals, ingest, retrieve
 from veritome.plans import catalog as C
 from veritome.plans import derived as D
 from veritome.plans.registry import query
@@ -164,6 +167,40 @@ def cache_filled(spark, d):
     return rows.join(spark.read.parquet(path), "key").groupBy("key").agg(F.count("*").alias("requests"))
 
 
+def _moody() -> completion.Service:
+    """Refuses by the prompt's digest: a sixteenth is bad, one is refused twice, and one always; the rest is answered at once."""
+
+    def load():
+        last = ["", 0]
+
+        def ask(prompt, most_tokens):
+            digest = hashlib.md5(prompt.encode()).hexdigest()
+            last[:] = [digest, last[1] + 1 if last[0] == digest else 1]
+            if digest[0] == "0":
+                raise completion.BadRequest("malformed")
+            if digest[0] == "2" or (digest[0] == "1" and last[1] < 3):
+                raise completion.RateLimited("try again in 1m2.5s" if last[1] == 1 else "too many requests")
+            return f"r:{digest}"
+
+        return ask
+
+    return completion.Service("moody", load)
+
+
+_MOST = 1_000_000
+
+
+@query(f"""WITH r AS (SELECT doc_id, text, substr(md5(text), 1, 1) AS h, length(text) // 4 + 700 > {_MOST} AS big FROM documents)
+SELECT doc_id AS request_id, CASE WHEN NOT big AND h NOT IN ('0', '2') THEN 'r:' || md5(text) END AS response, CASE WHEN text IS NULL THEN 'no_prompt' WHEN big THEN 'too_large' WHEN h = '0' THEN 'bad_request' WHEN h = '2' THEN 'gave_up' END AS error,
+  CASE WHEN text IS NULL OR big THEN 0 WHEN h = '1' THEN 3 WHEN h = '2' THEN 5 ELSE 1 END AS attempts FROM r""")
+def completions(spark, d):
+    """Every document's text as a prompt, first those of half of the documents, then all: what was answered comes from the cache, refusals are tried again as their kind allows."""
+    requests = D.table(spark, d, "documents").select(F.col("doc_id").alias("request_id"), F.col("text").alias("prompt"))
+    complete = partial(completion.completed, service=_moody(), cache=tables.shared_folder(spark, "completions"), budget=completion.Budget(tokens=_MOST, requests=6000), clock=completion.DryClock)
+    complete(requests.where("request_id % 2 = 0"))
+    return complete(requests).withColumn("error", F.split_part("error", F.lit(":"), F.lit(1)))
+
+
 # ---- conversations and logs -------------------------------------------------------------------------------------------
 
 @query("SELECT conv_id, turn, role, text, CASE WHEN turn % 3 = 1 THEN 2 WHEN turn % 3 = 2 THEN 0 END AS n_sources, CASE WHEN turn % 3 = 1 THEN 'c' || turn END AS first_source FROM conversations")
@@ -254,6 +291,13 @@ def evaluate_loop(spark, d):
     return evals.aggregated(rows).select("n_answerable", "n_adversarial", "recall_at_k", "mrr", "answers_produced", "false_refusal_rate", "abstention_correctness")
 
 
+@query()
+def evaluate_run(spark, d):
+    """The same with answers and verdicts of models that are asked through the completion loop: measures of claims, citations and unreadable replies too."""
+    results = tables.durable(C._results(spark, d, tau=0.6))
+    return evals.aggregated(evals.evaluated(results, C._gold(spark, d).withColumn("gold", F.col("gold").cast("string")), run=C.model_run(spark, results)))
+
+
 @query("SELECT doc_id, regexp_replace(source || '-' || doc_id, '[^A-Za-z0-9]', '', 'g') AS slug, greatest(1, length(coalesce(text, '')) // 4) AS tokens FROM documents")
 def slugs(spark, d):
     return D.identities(spark, d).join(D.table(spark, d, "documents").select("doc_id", X.token_estimate(F.coalesce("text", F.lit(""))).alias("tokens")), "doc_id").select("doc_id", X.slug(F.col("spec_id")).alias("slug"), "tokens")
