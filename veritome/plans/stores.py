@@ -13,7 +13,7 @@ from veritome.operators import answer, block_index, chat, completion, evals, ing
 from veritome.plans import catalog as C
 from veritome.plans import derived as D
 from veritome.plans.registry import query
-from veritome.sources import tables
+from veritome.sources import page_source, tables
 from veritome.streaming import events as streams
 
 
@@ -21,11 +21,11 @@ from veritome.streaming import events as streams
 
 @query("SELECT source AS path, md5(text) AS digest FROM documents")
 def corpus_scan(spark, d):
-    """Documents written as files of one folder, a file for each source and a line for each document, then found by their names and parsed page by page."""
+    """Documents written as files of a folder for each source, in files of at most 10,000 with a line for each document, then found by their names and read in ranges of lines."""
     folder = tables.shared_folder(spark, "corpus")
     docs = D.table(spark, d, "documents").select(F.regexp_replace("text", "\n", "\x1e").alias("value"), F.col("source").alias("name"))
-    docs.repartition("name").write.partitionBy("name").text(folder)
-    pages = tables.parsed_pages(tables.documents_in(spark, folder, "*.txt"), lambda content: content.decode().removesuffix("\n").split("\n"))
+    docs.write.partitionBy("name").option("maxRecordsPerFile", 10_000).text(folder)
+    pages = page_source.pages_in(spark, folder, "*.txt", page_source.separated(b"\n"))
     return pages.select(F.regexp_extract("path", r"name=([^/]+)", 1).alias("path"), F.md5(F.regexp_replace("text", "\x1e", "\n")).alias("digest"))
 
 
