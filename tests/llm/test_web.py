@@ -112,3 +112,28 @@ def test_risk_is_controlled_by_stratum(spark):
     for lang in (0, 1):
         good = [got[i].kept for i in range(4000) if i % 2 == lang and i % 20 not in (3, 4)]
         assert sum(good) >= 0.95 * len(good)
+
+
+def test_many_rules_of_one_host_over_many_ranges(spark):
+    """Rules nested up to six deep under one host, with gaps between, cut into many ranges of the sweep."""
+    random.seed(8)
+    steps = lambda n: "".join(random.choice("/ab") for _ in range(n))
+    own = [("h.org", p, random.choice(("allow", "block"))) for p in {steps(random.randrange(0, 7)) for _ in range(400)}] + [("org", "/a", "block"), (None, "/", "block"), ("org", None, "block")]
+    urls = [(i, f"http://{random.choice(('h.org', 'x.h.org', 'org', 'h.orgs'))}{'/' + steps(random.randrange(0, 9))}") for i in range(2000)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = urlrules.judged(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(own, RULES)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(got) == len(urls)
+    for r in got:
+        best = max((x for x in own if None not in x and fits(x, r.host, r.path)), key=lambda x: (len(x[0] + x[1]), x[0] + x[1]), default=None)
+        assert (r.rule, r.verdict) == ((best[0] + best[1], best[2]) if best else (None, "allow")), r
+
+
+def test_a_hundred_thousand_rules_of_one_host(spark):
+    rules_ = spark.range(100_000).select(F.lit("big.org").alias("host"), F.format_string("/%d", "id").alias("path"), F.lit("block").alias("verdict"))
+    pages = spark.range(20_000).select(F.col("id").alias("page_id"), F.format_string("http://www.big.org/%d/x", "id").alias("url"))
+    got = urlrules.judged(pages, rules_)
+    assert got.where(F.col("rule") == F.format_string("big.org/%d", "page_id")).count() == 20_000 - got.where("verdict <> 'block'").count() == 20_000
