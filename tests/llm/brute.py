@@ -52,9 +52,10 @@ def deduped(rows, n=35):
     return out
 
 
-def contained(docs, items, percent=80):
-    sets = [(d, shingles(t)) for d, t in docs]
-    return sorted((d, i, len(q), len(q & s)) for i, q in ((i, shingles(t)) for i, t in items) for d, s in sets if q and 100 * len(q & s) >= percent * len(q))
+def contained(docs, items, percent=80, n=5):
+    sized = [(i, min(n, len(words(t))), t) for i, t in items]
+    sets = {k: [(d, shingles(t, k)) for d, t in docs] for k in range(1, n + 1)}
+    return sorted((d, i, len(q), len(q & s)) for i, q, k in ((i, shingles(t, k), k) for i, k, t in sized if k) for d, s in sets[k] if 100 * len(q & s) >= percent * len(q))
 
 
 def base_scores(rows):

@@ -9,22 +9,28 @@ search misses nothing, however long the document.  A partition is searched only
 with enough shingles to contain its smallest item.  Every candidate is then verified by the exact
 overlap of the two shingle sets.
 
+An item of fewer than n words is the one shingle of all its words, and is looked for among the shingles of as many words: items of each such length are searched
+as a set of their own, in the same pass where items are broadcast.
+
 Items whose texts take up to `broadcast_bytes` are broadcast, and documents never leave their partition.
 Beyond that bound, sketches and shingles meet in shuffled joins.
 
-Cases: a null or blank text has no shingles and is contained in nothing, and contains nothing; a text of
-fewer than n words has its whole sequence as its only shingle; repeated rows of documents or items give
+Cases: a null or blank text has no shingles and is contained in nothing, and contains nothing; an item of
+fewer than n words is contained where its words follow one another, in long and in short documents; repeated rows of documents or items give
 repeated rows; ids may be null; further columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veritome.llm.oracles import WORD
 from veritome.llm.runtime import table, without_ids
 from veritome.llm.text import U64, pieces, shingle_sets, words_of
 
@@ -84,20 +90,30 @@ def contained_items(
     docs, items = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, n_item_shingles long, n_shared long"
     if (items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0) > broadcast_bytes:
-        return _shuffled(docs, items, n, percent)
+        length = F.least(F.regexp_count("text", F.lit(WORD)), F.lit(n))
+        lengths = sorted(r[0] for r in items.select(length).distinct().collect() if r[0])
+        return reduce(DataFrame.unionByName, [_shuffled(docs, items.where(length == k), k, percent) for k in lengths or [n]])
     rows = items.toArrow().combine_chunks()
     texts = pa.array([x.as_py() for x in rows.column("text")], pa.string())
     ids = rows.column("item_id").to_pylist()
-    broadcast = docs.sparkSession.sparkContext.broadcast((Sketches(list(shingle_sets(words_of(texts, True), n)), percent), ids))
+    words = words_of(texts, True)
+    lengths = np.minimum(np.diff(words.first), n)
+    searches = []
+    for length in np.unique(lengths[lengths > 0]).tolist():
+        sets = [s if own else s[:0] for s, own in zip(shingle_sets(words, length), lengths == length, strict=True)]
+        searches.append((length, Sketches(sets, percent)))
+    broadcast = docs.sparkSession.sparkContext.broadcast((searches, ids))
     schema = T._parse_datatype_string(kinds)
 
     def search(batches):
-        sketches, ids = broadcast.value
+        searches, ids = broadcast.value
         for piece in pieces(batches, "text"):
-            found = sketches.search(list(shingle_sets(words_of(piece.column(1), True), n)))
-            if found:
-                d, i, shared = (list(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(d)), pa.array([ids[x] for x in i], rows.schema.field("item_id").type), pa.array([len(sketches.sets[x]) for x in i], pa.int64()), pa.array(shared, pa.int64())], names=schema.names)
+            words = words_of(piece.column(1), True)
+            for length, sketches in searches:
+                found = sketches.search(list(shingle_sets(words, length)))
+                if found:
+                    d, i, shared = (list(x) for x in zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(d)), pa.array([ids[x] for x in i], rows.schema.field("item_id").type), pa.array([len(sketches.sets[x]) for x in i], pa.int64()), pa.array(shared, pa.int64())], names=schema.names)
 
     return docs.mapInArrow(search, schema)
 

@@ -20,11 +20,13 @@ def shingles(table: str, key: str, n: int = 5) -> str:
 
 OP10 = f"""
 WITH d AS ({shingles('documents', 'doc_id')}), b AS ({shingles('benchmark', 'item_id')}),
-     n AS (SELECT item_id, count(*) AS n_item_shingles FROM b GROUP BY item_id)
+     i AS (SELECT item_id, {words('text')} AS ws FROM benchmark), n AS (SELECT item_id, count(*) AS n_item_shingles FROM b GROUP BY item_id)
 SELECT doc_id, item_id, n_item_shingles, count(*) AS n_shared
-FROM b JOIN d USING (s) JOIN n USING (item_id)
-GROUP BY doc_id, item_id, n_item_shingles HAVING 100 * count(*) >= 80 * n_item_shingles"""
-
+FROM b JOIN d USING (s) JOIN n USING (item_id) WHERE item_id IN (SELECT item_id FROM i WHERE len(ws) >= 5)
+GROUP BY doc_id, item_id, n_item_shingles HAVING 100 * count(*) >= 80 * n_item_shingles
+UNION ALL
+SELECT doc_id, item_id, 1, 1 FROM (SELECT doc_id, ' ' || array_to_string({words('text')}, ' ') || ' ' AS whole FROM documents)
+JOIN i ON len(ws) BETWEEN 1 AND 4 AND contains(whole, ' ' || array_to_string(ws, ' ') || ' ')"""
 
 
 def near_groups(n: int, more: str = "") -> str:
