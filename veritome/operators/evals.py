@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,13 +39,30 @@ def at_share(values: Column, share: float) -> Column:
     return F.when(n > 0, F.element_at(F.sort_array(values), F.least(n, F.floor(n * share).cast("int") + 1))).otherwise(0.0)
 
 
+def placed(df: DataFrame, value: str, keys: list[str], places: Callable[[Column], Column]) -> DataFrame:
+    """(keys, mark, value): the values at given places of the sorted ones of each key; places makes an array of (mark, place), places from 1, of how many there are. Nulls don't count.
+
+    Counts of the distinct values are sorted into ranges of equal sizes, which also cut a key that has most of them. The counts of the ranges tell in which one a place lies, and only those are looked
+    through, each by itself: no task sees all values of a key.
+    """
+    key = F.struct(*keys).alias("_key")
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("_value")).agg(F.count("*").alias("times"))
+    ranged = durable(counts.repartitionByRange("_key", "_value").withColumn("_range", F.spark_partition_id()))
+    earlier = W.partitionBy("_key").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_key", "_range").agg(F.sum("times").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    wanted = places(F.sum("n").over(W.partitionBy("_key")))
+    sizes = sizes.withColumn("wanted", wanted).withColumn("wanted", F.filter("wanted", lambda w: (w["place"] > F.col("before")) & (w["place"] <= F.col("before") + F.col("n"))))
+    upto = F.col("before") + F.sum("times").over(W.partitionBy("_key", "_range").orderBy("_value").rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = ranged.join(sizes.where(F.size("wanted") > 0).drop("n"), ["_key", "_range"]).withColumn("upto", upto)
+    here = F.filter("wanted", lambda w: (w["place"] <= F.col("upto")) & (w["place"] > F.col("upto") - F.col("times")))
+    return rows.select("_key", "_value", F.explode(here).alias("at")).select(*(F.col("_key")[k].alias(k) for k in keys), F.col("at.mark").alias("mark"), F.col("_value").alias("value"))
+
+
 def quantiles_by_rank(df: DataFrame, value: str, shares: list[float], keys: list[str]) -> DataFrame:
-    """Like at_share, for any number of rows: (keys, share, value), found among counts of the distinct values, not in a collected list."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("times"))
-    upto = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = counts.withColumn("upto", F.sum("times").over(upto)).withColumn("n", F.sum("times").over(W.partitionBy(*keys)))
-    wanted = rows.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("place", F.least(F.col("n"), F.floor(F.col("n") * F.col("share")) + 1))
-    return wanted.where((F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("times") < F.col("place"))).select(*keys, "share", F.col(value).alias("value"))
+    """Like at_share, for any number of rows: (keys, share, value)."""
+    marks = F.array(*map(F.lit, shares))
+    found = placed(df, value, keys, lambda n: F.transform(marks, lambda s: F.struct(s.alias("mark"), F.least(n, F.floor(n * s) + 1).alias("place"))))
+    return found.withColumnRenamed("mark", "share")
 
 
 def aggregated(rows: DataFrame) -> DataFrame:
@@ -113,13 +132,9 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 
 
 def medians(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """(keys, median), the mean of the two middle values, found among counts of the distinct values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("times"))
-    upto = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = counts.withColumn("upto", F.sum("times").over(upto)).withColumn("n", F.sum("times").over(W.partitionBy(*keys)))
-    middle = F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))
-    wanted = rows.withColumn("place", F.explode(middle)).where((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("times") <= F.col("place")))
-    return wanted.groupBy(*keys).agg(F.avg(value).alias("median"))
+    """(keys, median), the mean of the two middle values."""
+    middle = lambda n: F.transform(F.array(F.floor((n + 1) / 2), F.floor(n / 2) + 1), lambda p, i: F.struct(i.alias("mark"), p.alias("place")))
+    return placed(df, value, keys, middle).groupBy(*keys).agg(F.avg("value").alias("median"))
 
 
 def score_overlap(scores: DataFrame) -> DataFrame:
