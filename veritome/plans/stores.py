@@ -14,6 +14,7 @@ from veritome.plans import catalog as C
 from veritome.plans import derived as D
 from veritome.plans.registry import query
 from veritome.sources import page_source, tables
+from veritome.streaming import admission
 from veritome.streaming import events as streams
 
 
@@ -263,6 +264,20 @@ def incremental_save(spark, d):
     return spark.read.parquet(f"{path}/items").select("event_id", "event_type")
 
 
+@query()
+def rate_admission_stream(spark, d):
+    """The decisions of rate_admission from a stream that is taken up in three runs, each with a later third of the requests; a last request, long after the others and of no key of theirs, lets all be decided."""
+    path, rows = tables.shared_folder(spark, "admission"), D.requests(spark, d).select("key", "event_id", "ts", "tokens")
+    first, last = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    first, last = first or 0, last or 0
+    third = F.least(F.lit(2), F.floor((F.unix_micros("ts") - first) * 3 / max(1, last - first)))
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("key"), F.lit(-1).cast("long").alias("event_id"), F.timestamp_micros(F.lit(last + 3_600_000_000)).alias("ts"), F.lit(0).cast("long").alias("tokens"))
+    for part in [rows.where(third == i) for i in range(3)] + [end]:
+        part.write.mode("append").parquet(f"{path}/requests")
+        admission.run(spark.readStream.schema(rows.schema).parquet(f"{path}/requests"), f"{path}/decided", f"{path}/state")
+    return spark.read.schema("key long, event_id long, decision string").parquet(f"{path}/decided").select("event_id", "key", "decision")
+
+
 # ---- evaluation -------------------------------------------------------------------------------------------------------
 
 @query(f"""SELECT count(*) FILTER (answerable) AS n_answerable, count(*) FILTER (NOT answerable) AS n_adversarial, round(avg(CASE WHEN answerable THEN (confidence < 0.9)::INT END), 4) AS false_refusal_rate,
