@@ -21,8 +21,27 @@ def test_chunk_table(spark, tmp_path):
     own = tables.owned(spark, path, "s1")
     assert [r.chunk_id for r in own.collect()] == ["s"]
     assert "PartitionFilters: [owner" in own._jdf.queryExecution().toString().replace("isnotnull(owner#", "owner#") or "PartitionFilters" in own._jdf.queryExecution().toString()
-    assert tables.delete_owner(spark, path, "s1", str(tmp_path / "new")) == 1
-    assert tables.row_count(spark, str(tmp_path / "new")) == 2
+    stay = {f: f.stat().st_mtime_ns for f in (tmp_path / "chunks").glob("owner=base/*")}
+    assert tables.delete_owner(spark, path, "s1") == 1 and tables.delete_owner(spark, path, "s1") == 0
+    assert stay == {f: f.stat().st_mtime_ns for f in (tmp_path / "chunks").glob("owner=*/*")}
+    assert tables.row_count(spark, path) == 2
+
+
+def test_owners_with_odd_names_and_the_last_one(spark, tmp_path):
+    path = str(tmp_path / "a table")
+    assert tables.delete_owner(spark, path, "none") == 0
+    rows = [(f"{i}", "x", owner) for i, owner in enumerate(("a/b c", "a=b", "100%", "a/b c"))]
+    tables.append_owned(spark.createDataFrame(rows, "chunk_id string, text string, owner string"), path)
+    with pytest.raises(ValueError, match="already"):
+        tables.append_owned(spark.createDataFrame(rows[:1], "chunk_id string, text string, owner string"), path)
+    assert tables.delete_owner(spark, path, "a/b c") == 2
+    assert sorted(r.owner for r in spark.read.parquet(path).collect()) == ["100%", "a=b"]
+    assert tables.delete_owner(spark, path, "100%") == tables.delete_owner(spark, path, "a=b") == 1
+    assert tables.row_count(spark, path) == 0
+    tables.append_owned(spark.createDataFrame(rows, "chunk_id string, text string, owner string"), path)
+    assert tables.row_count(spark, path) == 4
+    with pytest.raises(ValueError, match="several lengths"):
+        tables.append_owned(spark.createDataFrame([("p", [1.0], "o"), ("q", [1.0, 2.0], "o")], "chunk_id string, vector array<double>, owner string"), path)
 
 
 def test_manifest(spark, tmp_path):

@@ -64,8 +64,8 @@ def owner_scan(spark, d):
 @query(f"SELECT {_OWNER} AS owner, count(*) AS chunks, (SELECT count(*) FROM embeddings WHERE {_OWNER} = 's1') AS gone FROM embeddings WHERE {_OWNER} <> 's1' GROUP BY 1")
 def owner_delete(spark, d):
     path = _vector_table(spark, d)
-    gone = tables.delete_owner(spark, path, "s1", f"{path}-left")
-    return spark.read.parquet(f"{path}-left").groupBy("owner").agg(F.count("*").alias("chunks")).withColumn("gone", F.lit(gone).cast("long"))
+    gone = tables.delete_owner(spark, path, "s1")
+    return spark.read.parquet(path).groupBy("owner").agg(F.count("*").alias("chunks")).withColumn("gone", F.lit(gone).cast("long"))
 
 
 @query("SELECT count(*) FILTER (vec_id % 2 = 0) AS chunks, 0::BIGINT AS absent FROM embeddings")

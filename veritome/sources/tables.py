@@ -28,8 +28,8 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def missing(error: Exception) -> bool:
-    """Whether an analysis error says that there is no such path."""
-    return "PATH_NOT_FOUND" in str(error)
+    """Whether an analysis error says that there is no such path, or no file at it."""
+    return any(name in str(error) for name in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"))
 
 
 def documents_in(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataFrame:
@@ -119,14 +119,23 @@ def with_unique(df: DataFrame, key: str) -> DataFrame:
     return df
 
 
+def with_one_length(df: DataFrame) -> DataFrame:
+    """df, whose vectors, if it has any, must be of one length."""
+    if "vector" in df.columns and len(sizes := df.select(F.size("vector")).distinct().limit(2).collect()) > 1:
+        raise ValueError(f"vectors have several lengths, such as {[r[0] for r in sizes]}")
+    return df
+
+
 def append_chunks(chunks: DataFrame, path: str, owner: str) -> None:
     """Adds an owner's chunks; repeated ids are an error, those of the table included, and so are vectors of several lengths."""
-    spark = chunks.sparkSession
-    new = with_unique(chunks, "chunk_id")
-    if "vector" in new.columns and len(sizes := new.select(F.size("vector")).distinct().limit(2).collect()) > 1:
-        raise ValueError(f"vectors have several lengths, such as {[r[0] for r in sizes]}")
+    append_owned(chunks.withColumn("owner", F.lit(owner)), path)
+
+
+def append_owned(chunks: DataFrame, path: str) -> None:
+    """Like append_chunks, of many owners, each named in its row."""
+    new = with_one_length(with_unique(chunks, "chunk_id"))
     try:
-        known = spark.read.parquet(path).select("chunk_id")
+        known = chunks.sparkSession.read.parquet(path).select("chunk_id")
         clash = new.join(known, "chunk_id", "left_semi").limit(1).count()
     except AnalysisException as error:
         if not missing(error):
@@ -134,15 +143,7 @@ def append_chunks(chunks: DataFrame, path: str, owner: str) -> None:
         clash = 0
     if clash:
         raise ValueError("chunk ids are already in the table")
-    new.withColumn("owner", F.lit(owner)).write.mode("append").partitionBy("owner").parquet(path)
-
-
-def append_owned(chunks: DataFrame, path: str) -> None:
-    """Adds chunks of many owners, each named in its row, to a table that has none of their ids."""
-    known = chunks.sparkSession.read.parquet(path).select("chunk_id")
-    if with_unique(chunks, "chunk_id").join(known, "chunk_id", "left_semi").limit(1).count():
-        raise ValueError("chunk ids are already in the table")
-    chunks.write.mode("append").partitionBy("owner").parquet(path)
+    new.write.mode("append").partitionBy("owner").parquet(path)
 
 
 def owned(spark: SparkSession, path: str, *owners: str) -> DataFrame:
@@ -150,12 +151,22 @@ def owned(spark: SparkSession, path: str, *owners: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("owner").isin(*owners))
 
 
-def delete_owner(spark: SparkSession, path: str, owner: str, new_path: str) -> int:
-    """Writes the table without an owner's rows to a new path and returns how many went; the old table stays for its readers."""
-    table = spark.read.parquet(path)
-    gone = table.where(F.col("owner") == owner).count()
-    table.where(F.col("owner") != owner).write.mode("overwrite").partitionBy("owner").parquet(new_path)
-    return gone
+def delete_owner(spark: SparkSession, path: str, owner: str) -> int:
+    """Deletes an owner's chunks and returns how many went: only that owner's partition is read, and its folder is deleted; no other owner's files are read, written or moved.
+
+    Readers that have planned a scan of this owner fail, those of others don't. A run that breaks off is repeated as it is.
+    """
+    try:
+        files = owned(spark, path, owner).groupBy(F.regexp_extract("_metadata.file_path", "^(.*)/[^/]*$", 1).alias("folder")).count().collect()
+    except AnalysisException as error:
+        if not missing(error):
+            raise
+        return 0
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for row in files:
+        folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row["folder"]))
+        folder.getFileSystem(conf).delete(folder, True)
+    return sum(row["count"] for row in files)
 
 
 def row_count(spark: SparkSession, path: str) -> int:
