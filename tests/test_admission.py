@@ -33,6 +33,19 @@ def test_admission_matches_a_plain_loop(spark):
     assert quota.admitted(events.limit(0)).count() == 0
 
 
+def test_rate_window_across_slices(spark):
+    """Events on both sides of the ends of slices, some exactly a window apart, and one without a time."""
+    random.seed(6)
+    end = dt.datetime(2024, 1, 1) + dt.timedelta(seconds=DEFAULT.window_seconds * quota.WINDOWS_A_SLICE)
+    rows = [(i, end + dt.timedelta(seconds=random.randrange(-150, 150)), random.choice((1, 2)), random.randrange(900)) for i in range(400)] + [(1000, None, 1, 5)]
+    got = {r.event_id: (r.tokens_used, r.requests) for r in quota.rate_window(spark.createDataFrame(rows, "event_id long, ts timestamp, key long, tokens long")).collect()}
+    timed = rows[:-1]
+    for i, ts, key, _ in timed:
+        near = [r[3] for r in timed if r[2] == key and 0 <= (ts - r[1]).total_seconds() <= DEFAULT.window_seconds]
+        assert got[i] == (sum(near), len(near))
+    assert len(got) == len(rows) and got[1000] == (5, 1)
+
+
 def test_medians_and_vectors_of_several_lengths(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", 3.0), ("a", 8.0), ("b", 2.0), ("b", None), ("b", 9.0), ("b", 9.0), ("c", None)], "k string, v double")
     assert {r.k: r.median for r in evals.medians(rows, "v", ["k"]).collect()} == {"a": 3.0, "b": 9.0}

@@ -40,12 +40,24 @@ def quota_report(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return state.groupBy("day").agg(F.sum("used").alias("used"), F.count("*").alias("visitors"), F.count_if(F.col("used") >= cfg.visitor_limit).alias("exhausted"))
 
 
+#: So many windows are a slice of a key's history.
+WINDOWS_A_SLICE = 60
+
+
 def rate_window(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """events (event_id, ts, tokens, key) -> adds what was used in the seconds before each event, itself included, and whether that is within bounds."""
-    seconds = F.unix_micros(F.col("ts").cast("timestamp"))
-    frame = W.partitionBy("key").orderBy("micros").rangeBetween(-cfg.window_seconds * 1_000_000, 0)
-    rows = events.withColumn("micros", seconds).withColumn("tokens_used", F.sum("tokens").over(frame)).withColumn("requests", F.count("*").over(frame))
-    return rows.withColumn("within", (F.col("tokens_used") <= cfg.tokens_per_minute) & (F.col("requests") <= cfg.requests_per_minute)).drop("micros")
+    """events (event_id, ts, tokens, key) -> adds what was used in the seconds before each event, itself included, and whether that is within bounds.
+
+    A key's history is cut into slices of time, each with a copy of the events in the window before it, so a busy key isn't one task.
+    """
+    span = cfg.window_seconds * 1_000_000
+    length, at = span * WINDOWS_A_SLICE, F.col("micros")
+    piece = F.floor(at / length)
+    own, next_too = F.struct(piece.alias("slice"), F.lit(True).alias("own")), F.struct((piece + 1).alias("slice"), F.lit(False).alias("own"))
+    rows = events.withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp")))
+    rows = rows.withColumn("piece", F.explode(F.when(at >= (piece + 1) * length - span, F.array(own, next_too)).otherwise(F.array(own))))
+    frame = W.partitionBy("key", "piece.slice").orderBy("micros").rangeBetween(-span, 0)
+    rows = rows.withColumn("tokens_used", F.sum("tokens").over(frame)).withColumn("requests", F.count("*").over(frame)).where("piece.own")
+    return rows.withColumn("within", (F.col("tokens_used") <= cfg.tokens_per_minute) & (F.col("requests") <= cfg.requests_per_minute)).drop("micros", "piece")
 
 
 def admitted(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
