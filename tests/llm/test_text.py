@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.brute import shingles, words
-from veritome.llm.text import sequence_hashes, shingle_sets, words_of
+from veritome.llm.text import dealt, gathered, sequence_hashes, shingle_sets, words_of
 
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="ab AÉé\t\n\v\f\r 0", max_size=40)), max_size=8)
 
@@ -59,3 +59,17 @@ def test_words_of_structured_bytes_have_hashes_of_their_own():
     got = words_of(pa.array(texts, pa.string()), True).hash
     assert len(got) == len(texts) == len(np.unique(got))
     assert words_of(pa.array([t.upper() for t in texts], pa.string()), True).hash.tolist() == got.tolist()
+
+
+def test_dealt_columns_come_back_with_and_without_planes():
+    rng = np.random.default_rng(3)
+    bucket = rng.integers(0, 5, 1000)
+    columns = [rng.integers(0, 1 << 63, 1000).astype(np.uint64), rng.integers(-9, 9, 1000), rng.integers(0, 200, 1000).astype(np.uint8), rng.integers(0, 1 << 31, 1000).astype(np.uint32)]
+    order = np.argsort(bucket, kind="stable")
+    for planes in (False, True):
+        table = pa.Table.from_batches([dealt(bucket, columns, list("abcd"), planes)])
+        assert table.num_rows == 5
+        for name, column in zip("abcd", columns, strict=True):
+            assert np.array_equal(gathered(table, name, column.dtype, planes), column[order])
+        assert gathered(table.slice(0, 0), "a", np.uint64, planes).tolist() == []
+        assert pa.Table.from_batches([dealt(bucket[:0], [c[:0] for c in columns], list("abcd"), planes)]).num_rows == 0

@@ -144,8 +144,13 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20,
             i = j
 
 
-def dealt(bucket: np.ndarray, columns: list, names: list[str]) -> pa.RecordBatch:
-    """One row for each bucket, with the bytes of its part of each column; a column with a mask, as a pair, has values only for the entries in the mask."""
+def _planes(values: np.ndarray) -> bytes:
+    """First all lowest bytes, then all next ones, and so on: small numbers and sorted ones leave runs that compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def dealt(bucket: np.ndarray, columns: list, names: list[str], planes: bool = False) -> pa.RecordBatch:
+    """One row for each bucket, with the bytes of its part of each column; a column with a mask, as a pair, has values only for the entries in the mask. With planes, bytes of one place stand together."""
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
@@ -160,12 +165,15 @@ def dealt(bucket: np.ndarray, columns: list, names: list[str]) -> pa.RecordBatch
             cuts = zip(own[start].tolist(), own[stop].tolist(), strict=True)
         else:
             values, cuts = column[order], zip(start.tolist(), stop.tolist(), strict=True)
-        out.append(pa.array([values[a:b].tobytes() for a, b in cuts], pa.binary()))
+        out.append(pa.array([_planes(values[a:b]) if planes else values[a:b].tobytes() for a, b in cuts], pa.binary()))
     return pa.RecordBatch.from_arrays(out, names=["bucket", *names])
 
 
-def gathered(table: pa.Table, name: str, dtype) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_buffer(), dtype) for x in table.column(name)] or [np.zeros(0, dtype)])
+def gathered(table: pa.Table, name: str, dtype, planes: bool = False) -> np.ndarray:
+    """All values of a column of dealt()."""
+    size = np.dtype(dtype).itemsize
+    read = (lambda b: np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(dtype)[:, 0]) if planes else (lambda b: np.frombuffer(b, dtype))
+    return np.concatenate([read(x.as_buffer()) for x in table.column(name)] or [np.zeros(0, dtype)])
 
 
 def several(values: np.ndarray) -> np.ndarray:
