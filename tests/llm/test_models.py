@@ -298,3 +298,39 @@ def test_rates_reach_the_optimum(spark):
         assert rate.min() >= 0 and cost(rate) <= cost(best) + 1e-3 * (weight * wanted**2).sum()
         assert out["converged"].nunique() == 1 and bool(out["converged"][0]) == bool((np.abs((t * rate) @ p - wanted) <= mixing.CLOSE * wanted.max() + 1e-9).all())
         assert ("p_gone" in out.columns) == ("gone" in targets)
+
+
+def test_steps_of_the_rates_are_few_tasks(spark):
+    """However many partitions the documents have, the tasks of a step are as many as the rows need, and the rates are the same."""
+    rows = [(i, " ".join(f"{'abc'[i % 3]}{j % (5 + i % 7)}" for j in range(3 + i % 40))) for i in range(90)]
+    labels = spark.createDataFrame([(i, ("a", "b", "c")[i % 3]) for i in range(60)], "doc_id long, domain string")
+    docs, context, out, tasks = spark.createDataFrame(rows, "doc_id long, text string"), spark.sparkContext, [], []
+    for parts in (1, 24):
+        group = f"rates in {parts}"
+        spread = docs.repartition(parts, "doc_id")
+        spread.count()
+        context.setJobGroup(group, group)
+        try:
+            frame = mixing.target_rates(spread, labels, {"a": 1.0}, steps=30)
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+        status = context.statusTracker()
+        stages = {s for j in status.getJobIdsForGroup(group) for s in status.getJobInfo(j).stageIds}
+        tasks.append(sum(i.numTasks for i in map(status.getStageInfo, stages) if i))
+        out.append(sorted(map(tuple, frame.select("doc_id", "rate", "converged").collect())))
+    assert tasks[1] < tasks[0] + 12 * 24, tasks
+    assert [r[0] for r in out[0]] == [r[0] for r in out[1]] and np.allclose([r[1] for r in out[0]], [r[1] for r in out[1]])
+
+
+def test_collected_features_are_those_of_the_texts(spark):
+    """Rows come back whole, in order of label and digest, though only what isn't 0 is sent."""
+    import hashlib
+
+    from veritome.llm import features
+
+    texts = ["", "some words", "other words, and more of them", "some words", "x"]
+    df = spark.createDataFrame([(f"l{i % 2}", t) for i, t in enumerate(texts)], "label string, text string").repartition(3)
+    labels, x = features.collected(df, mixing._features, "string")
+    want = mixing._features(pa.array(texts, pa.string())).astype(np.float32)
+    order = sorted(range(len(texts)), key=lambda i: (f"l{i % 2}", hashlib.blake2b(want[i].tobytes(), digest_size=16).digest()))
+    assert labels == [f"l{i % 2}" for i in order] and np.array_equal(x, want[order])

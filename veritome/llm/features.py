@@ -86,22 +86,27 @@ def collected(df: DataFrame, extract: Callable[[pa.Array], np.ndarray], kinds: s
     """Labels and features of a bounded sample df (label, text), in an order that doesn't depend on partitions.
 
     A key of the sample that is repeated in the texts would bring all its rows; of more than twice SAMPLED rows the rest isn't learnt from.
+    The driver gets the features that aren't 0, which are few, and their order from the tasks.
     """
     df = df.limit(2 * SAMPLED)
 
     def features(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             rows = extract(batch.column(1)).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["label", "features"])
-
-    got = df.mapInArrow(features, f"label {kinds}, features binary").toArrow()
-    labels, rows = got.column("label").to_pylist(), [x.as_buffer() for x in got.column("features")]
-    order = sorted(range(len(rows)), key=lambda i: (labels[i], hashlib.blake2b(rows[i], digest_size=16).digest()))
+            digests = [hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in rows]
+            places = [np.flatnonzero(r) for r in rows]
+            columns = [digests, [p.astype(np.uint32).tobytes() for p in places], [r[p].tobytes() for r, p in zip(rows, places, strict=True)]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in columns), pa.array(np.full(len(rows), rows.shape[1], np.int32))], names=["label", "digest", "places", "features", "width"])
+
+    got = df.mapInArrow(features, f"label {kinds}, digest binary, places binary, features binary, width int").toArrow()
+    labels, digests, places, rows = (got.column(c) for c in ("label", "digest", "places", "features"))
+    labels, digests = labels.to_pylist(), digests.to_pylist()
+    order = sorted(range(len(rows)), key=lambda i: (labels[i], digests[i]))
     if not order:
         return [], np.zeros((0, 0), np.float32)
-    out = np.empty((len(order), len(rows[0]) // 4), np.float32)
+    out = np.zeros((len(order), got.column("width")[0].as_py()), np.float32)
     for i, j in enumerate(order):
-        out[i] = np.frombuffer(rows[j], np.float32)
+        out[i, np.frombuffer(places[j].as_buffer(), np.uint32)] = np.frombuffer(rows[j].as_buffer(), np.float32)
     return [labels[j] for j in order], out
 
 

@@ -4,7 +4,7 @@ A classifier that learns from the labelled table gives each document a posterior
 hashed character shapes and words, on about `sample` rows of each domain, weighted back to the domains' shares.  With t tokens and posterior p, a document
 kept at rate r adds r * t * p[k] expected tokens to domain k.  The rates start equal and minimise the squared misses of the
 targets, weighted by the inverse of the domains' own sizes, over all r >= 0 by projected gradient steps with momentum, in the metric of the tokens, where the step is 1 / the largest
-eigenvalue of a domains x domains matrix.  A step needs the domains' totals, one sum over all documents; the rates aren't stored in between but
+eigenvalue of a domains x domains matrix.  A step needs the domains' totals, one sum over all documents, added up by tasks of ROWS documents, each of which passes on a few numbers; the rates aren't stored in between but
 replayed from the last REPLAY steps' gradients, a few numbers each, before which they are written to the shared folder; so a step's work doesn't grow with the steps before it, and lost tasks are
 simply run again.  Momentum starts anew whenever the misses grow. Steps end when all targets are met within CLOSE, which `converged` tells, or the misses no longer fall.
 
@@ -14,6 +14,8 @@ columns are ignored; empty tables give empty results.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +27,8 @@ from veritome.llm.text import U64, Words, pieces, words_of
 
 SAMPLE = 1500
 STEPS, REPLAY = 80, 16
+#: So many documents are a step's task: what is left of a document is about 60 bytes, and a step is a job, whose tasks the driver keeps account of.
+ROWS = 50_000
 CLOSE = 1e-5
 #: Steps end where the last so many of them have lowered the misses by less than this share: the targets can't be met any better.
 STILL, SHARE = 8, 1e-3
@@ -88,7 +92,7 @@ def _posterior(batch: pa.RecordBatch, k: int) -> np.ndarray:
 
 
 def _sums(members: DataFrame, make, n: int) -> np.ndarray:
-    """The sum over all batches of make(batch), a vector of n numbers."""
+    """The sum over all batches of make(batch), a vector of n numbers; a task passes on one such vector."""
 
     def add(batches):
         total = np.zeros(n)
@@ -97,8 +101,8 @@ def _sums(members: DataFrame, make, n: int) -> np.ndarray:
                 total += make(batch)
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=[f"s{i}" for i in range(n)])
 
-    got = members.mapInArrow(add, ", ".join(f"s{i} double" for i in range(n))).agg(*(F.sum(f"s{i}") for i in range(n))).first()
-    return np.array([x or 0.0 for x in got])
+    got = members.mapInArrow(add, ", ".join(f"s{i} double" for i in range(n))).collect()
+    return np.array(got, dtype=np.float64).reshape(-1, n).sum(0)
 
 
 def target_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], *, budget: float = BUDGET, steps: int = STEPS, close: float = CLOSE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -115,10 +119,13 @@ def target_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
 
     def moments(batch):
         p, t = _posterior(batch, k), batch.column(1).to_numpy().astype(np.float64)
-        return np.r_[t.sum(), ((p * t[:, None]).T @ p).ravel()]
+        return np.r_[len(t), t.sum(), ((p * t[:, None]).T @ p).ravel()]
 
-    sums = _sums(members, moments, 1 + k * k)
-    tokens, gram = sums[0], sums[1:].reshape(k, k)
+    sums = _sums(members, moments, 2 + k * k)
+    tokens, gram = sums[1], sums[2:].reshape(k, k)
+    tasks = max(1, math.ceil(sums[0] / ROWS))
+    if tasks < members.rdd.getNumPartitions():
+        members = durable(members.coalesce(tasks))
     weight = 1 / np.maximum(np.diag(gram), max(0.01 * np.trace(gram), 1e-12))  # rare domains weigh more, up to a bound
     step = 1 / max(np.linalg.eigvalsh(np.sqrt(weight)[:, None] * gram * np.sqrt(weight)).max(), 1e-12)
     wanted = np.array([targets.get(d, 0.0) for d in domains]) * grown * tokens * budget
