@@ -334,3 +334,24 @@ def test_collected_features_are_those_of_the_texts(spark):
     want = mixing._features(pa.array(texts, pa.string())).astype(np.float32)
     order = sorted(range(len(texts)), key=lambda i: (f"l{i % 2}", hashlib.blake2b(want[i].tobytes(), digest_size=16).digest()))
     assert labels == [f"l{i % 2}" for i in order] and np.array_equal(x, want[order])
+
+
+def test_gains_are_worked_out_once_for_equal_pairs(monkeypatch):
+    """A pass over many rare words takes logarithms of its different pairs of history and times only; the classes are those of pair by pair."""
+    rng = np.random.default_rng(3)
+    g, h, n = rng.integers(0, 5000, (32, 32)).astype(float), rng.integers(0, 32, 20_000), rng.integers(1, 4, 20_000).astype(float)
+    want, seen, plain = brown._f(g[h] + n[:, None]) - brown._f(g[h]), [], brown._f
+    monkeypatch.setattr(brown, "_f", lambda x: (seen.append(np.size(x)), plain(x))[1])
+    assert np.array_equal(brown.gains(g, h, n), want) and np.array_equal(brown.gains(g, h[:99], n[:99]), want[:99])
+    assert sum(seen) <= 32 * (96 + 32 + 2 * 99)
+
+
+def test_distinct_words_and_added_times():
+    words = words_of(pa.array(["b a A", None, "c b", ""], pa.string()), True)
+    some, back, times = brown.distinct(words)
+    assert some.hash.tolist() == sorted(set(words.hash.tolist())) and some.hash[back].tolist() == words.hash.tolist() and sorted(times.tolist()) == [1, 2, 2]
+    assert brown.tail_groups(some)[back].tolist() == brown.tail_groups(words).tolist()
+    codes, n = np.array([7, 2, 7, 0]), np.array([3, 1, 2, 5])
+    for size in (8, 1000):
+        found, total = brown.added(codes, n, size)
+        assert found.tolist() == [0, 2, 7] and total.tolist() == [5, 1, 5]

@@ -69,6 +69,27 @@ class Lookup:
         return out
 
 
+def distinct(words: Words) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The distinct words, sorted by hash, as words of one text; the place of each word among them; and how often each occurs."""
+    order = np.argsort(words.hash)
+    h = words.hash[order]
+    start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+    times = np.diff(np.r_[start, len(h)])
+    back, at = np.empty(len(h), dtype=np.int64), order[start]
+    back[order] = np.repeat(np.arange(len(start)), times)
+    return Words(words.data, words.start[at], words.end[at], np.array([0, len(at)]), h[start]), back, times
+
+
+def added(codes: np.ndarray, times: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, all below size, in order, and the sums of their times, which are above 0."""
+    if size <= 8 * len(codes):
+        total = np.bincount(codes, times, size)
+        found = np.flatnonzero(total)
+        return found, total[found].astype(np.int64)
+    found, place = np.unique(codes, return_inverse=True)
+    return found, np.bincount(place, times, len(found)).astype(np.int64)
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """Blocks (bucket, hashes, counts, groups) of the distinct words of texts (text), each block sorted by hash."""
     count = blocks_of(texts)
@@ -83,10 +104,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
     def counted(batches):
         held, size = [], 0
         for piece in pieces(batches, "text"):
-            words = words_of(piece.column(0), True)
-            h, at, c = np.unique(words.hash, return_index=True, return_counts=True)
-            held.append((h, c.astype(np.int64), tail_groups(words)[at].astype(np.uint8)))
-            size += len(h)
+            words, _, c = distinct(words_of(piece.column(0), True))
+            held.append((words.hash, c.astype(np.int64), tail_groups(words).astype(np.uint8)))
+            size += len(c)
             if size > _HELD:
                 held = [merged(held)]
                 size = len(held[0][0])
@@ -235,8 +255,8 @@ def history_counts(texts: DataFrame, histories: Histories, classes: int) -> Data
     def merged(held):
         h, pair_word, pair_history, times, groups = (np.concatenate(x) for x in zip(*held, strict=True))
         keys, at, back = np.unique(h, return_index=True, return_inverse=True)
-        pairs, place = np.unique(back[pair_word] * classes + pair_history, return_inverse=True)
-        return keys, pairs // classes, (pairs % classes).astype(np.int64), np.bincount(place, times, len(pairs)).astype(np.int64), groups[at]
+        pairs, times = added(back[pair_word] * classes + pair_history, times, len(keys) * classes)
+        return keys, pairs // classes, (pairs % classes).astype(np.int64), times, groups[at]
 
     def stacked(parts):
         """Parts of (hashes, pairs' words as places in the part, ..), with the places in all of them."""
@@ -255,11 +275,12 @@ def history_counts(texts: DataFrame, histories: Histories, classes: int) -> Data
         held, size = [], 0
         for piece in pieces(batches, "text"):
             words = words_of(piece.column(0), True)
-            keys, at, back = np.unique(words.hash, return_index=True, return_inverse=True)
-            own, ends = histories.of(words), words.first[1:]
+            some, back, _ = distinct(words)
+            keys, groups, ends = some.hash, tail_groups(some), words.first[1:]
+            own = histories.of(some, groups)[back]
             before = np.r_[classes - 1, np.insert(own, ends, classes - 1)[:-1]] if len(ends) else np.zeros(0, np.int64)
             word = np.insert(back, ends, len(keys))
-            held.append(merged([(np.r_[keys, END], word, before, np.ones(len(word)), np.r_[tail_groups(words)[at], 0].astype(np.uint8))]))
+            held.append(merged([(np.r_[keys, END], word, before, np.ones(len(word)), np.r_[groups, 0].astype(np.uint8))]))
             size += len(held[-1][1])
             if size > _HELD:
                 held = [stacked(held)]
@@ -274,8 +295,7 @@ def history_counts(texts: DataFrame, histories: Histories, classes: int) -> Data
         histories = shared.value
         h, groups, words, history, times = (gathered(table, c, t) for c, t in (("hashes", U64), ("groups", np.uint8), ("words", U64), ("histories", np.uint8), ("times", np.int64)))
         keys, at = np.unique(h, return_index=True)
-        pairs, place = np.unique(np.searchsorted(keys, words) * classes + history, return_inverse=True)
-        times = np.bincount(place, times, len(pairs)).astype(np.int64)
+        pairs, times = added(np.searchsorted(keys, words) * classes + history, times, len(keys) * classes)
         counts = np.bincount(pairs // classes, times, len(keys)).astype(np.int64)
         first = histories.classes[_items(keys, groups[at], histories.keys)].copy()
         first[keys == END] = classes - 1
@@ -297,8 +317,8 @@ class Histories:
     keys: np.ndarray
     classes: np.ndarray
 
-    def of(self, words: Words) -> np.ndarray:
-        return self.classes[_items(words.hash, tail_groups(words), self.keys)]
+    def of(self, words: Words, groups: np.ndarray) -> np.ndarray:
+        return self.classes[_items(words.hash, groups, self.keys)]
 
 
 def _each_block(blocks: DataFrame, make, kinds: str) -> DataFrame:
@@ -315,13 +335,12 @@ def _each_block(blocks: DataFrame, make, kinds: str) -> DataFrame:
 def class_table(blocks: DataFrame, classes: int) -> np.ndarray:
     """How often each (history, class) occurs under the blocks' classes."""
 
-    def added(bucket, b):
-        cell = (b["pairs"] % classes) * classes + b["classes"][b["pairs"] // classes]
-        found, at = np.unique(cell, return_inverse=True)
-        return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(np.bincount(at, b["times"], len(found)).astype(np.int64))], names=["cell", "n"])
+    def cells(bucket, b):
+        found, n = added((b["pairs"] % classes) * classes + b["classes"][b["pairs"] // classes], b["times"], classes * classes)
+        return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n)], names=["cell", "n"])
 
     out = np.zeros(classes * classes, dtype=np.int64)
-    for cell, n in _each_block(blocks, added, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
+    for cell, n in _each_block(blocks, cells, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
         out[cell] = n
     return out.reshape(classes, classes)
 
@@ -335,6 +354,15 @@ def likelihood(g: np.ndarray) -> float:
     return float(_f(g.astype(np.float64)).sum() - _f(g.sum(0).astype(np.float64)).sum())
 
 
+def gains(g: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What the log likelihood gains in each class by n more words after history h: a row for each pair (h, n), worked out once for equal pairs."""
+    if len(h) < 256:
+        return _f(g[h] + n[:, None]) - _f(g[h])
+    kinds, place = np.unique(n.astype(np.int64) * len(g) + h, return_inverse=True)
+    h, n = kinds % len(g), (kinds // len(g)).astype(np.float64)
+    return (_f(g[h] + n[:, None]) - _f(g)[h])[place]
+
+
 def exchanged(words: dict[str, np.ndarray], g: np.ndarray, turn: int, cost: float) -> np.ndarray:
     """The classes of a block's words after each word whose turn it is has moved to its best class; frequent words move one by one, rare ones by up to 4,096 at once."""
     classes, own = len(g), words["classes"].astype(np.int64)
@@ -353,7 +381,7 @@ def exchanged(words: dict[str, np.ndarray], g: np.ndarray, turn: int, cost: floa
         p = np.repeat(start[chosen] - first, length) + np.arange(length.sum())
         h, n, c, total = history[p], times[p], own[chosen], words["counts"][chosen].astype(np.float64)
         column = g.sum(0)
-        gain = np.add.reduceat(_f(g[h] + n[:, None]) - _f(g[h]), first, axis=0) - (_f(column + total[:, None]) - _f(column))
+        gain = np.add.reduceat(gains(g, h, n), first, axis=0) - (_f(column + total[:, None]) - _f(column))
         old = g[h, np.repeat(c, length)]
         leave = np.add.reduceat(_f(old - n) - _f(old), first) - (_f(column[c] - total) - _f(column[c]))
         gain += leave[:, None]
@@ -463,14 +491,13 @@ def scored(docs: DataFrame, model: BrownModel, blocks: DataFrame) -> DataFrame:
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), "*")
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean"
 
-    def before(m, words):
-        """The history of each word."""
+    def before(m, words, place, groups):
+        """The history of each word; place is that of each word among the kept ones, which are mostly those that have histories of their own."""
         end = len(m.transition) - 1
-        at = np.arange(len(words.hash))
-        own = m.histories.of(words)
+        same = np.array_equal(m.histories.keys, m.kept)
+        own = m.histories.classes[np.where(place >= 0, place, len(m.kept) + groups.astype(np.int64))] if same else m.histories.of(words, groups)
         out = np.r_[end, own[:-1]][: len(own)]
-        first = words.first[:-1][np.diff(words.first) > 0]
-        out[np.isin(at, first)] = end
+        out[words.first[:-1][np.diff(words.first) > 0]] = end
         return out, own
 
     def known(batches):
@@ -479,10 +506,10 @@ def scored(docs: DataFrame, model: BrownModel, blocks: DataFrame) -> DataFrame:
         lookup, end = Lookup(m.kept), len(m.transition) - 1
         for piece in pieces(batches, "text"):
             words = words_of(piece.column(3), True)
-            place = lookup.places(words.hash)
-            own = np.where(place >= 0, m.kept_classes[place] if len(m.kept) else 0, m.unseen[tail_groups(words)])
+            place, groups = lookup.places(words.hash), tail_groups(words)
+            own = np.where(place >= 0, m.kept_classes[place] if len(m.kept) else 0, m.unseen[groups])
             c = np.where(place >= 0, m.kept_counts[place] if len(m.kept) else 0, 0)
-            history, after = before(m, words)
+            history, after = before(m, words, place, groups)
             sums = lambda x: np.diff(np.r_[0, np.cumsum(x)][words.first])
             last = np.where(np.diff(words.first) > 0, after[np.maximum(words.first[1:] - 1, 0)] if len(after) else end, end)
             ends, n = np.array([m.ends]), words.counts() + 1
@@ -494,12 +521,13 @@ def scored(docs: DataFrame, model: BrownModel, blocks: DataFrame) -> DataFrame:
         lookup = Lookup(m.kept)
         for piece in pieces(batches, "text"):
             words = words_of(piece.column(1), True)
-            rest = np.flatnonzero(lookup.places(words.hash) < 0)
+            place = lookup.places(words.hash)
+            rest = np.flatnonzero(place < 0)
             if not len(rest):
                 continue
             row = np.repeat(piece.column(0).to_numpy().view(U64), words.counts())[rest]
             h = words.hash[rest]
-            yield dealt(h % U64(count), [h, row, before(m, words)[0][rest].astype(np.uint8)], ["word_hashes", "rows", "before"])
+            yield dealt(h % U64(count), [h, row, before(m, words, place, tail_groups(words))[0][rest].astype(np.uint8)], ["word_hashes", "rows", "before"])
 
     def corrected(key, left, right):
         """What the words of a block that occur in training texts add to their texts."""
