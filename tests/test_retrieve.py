@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,32 @@ def test_dense_search_is_scoped(spark):
     assert [r.chunk_id for r in retrieve.dense_search(q, v, k=2).orderBy("rank").collect()] == ["b", "other"]
 
 
+@pytest.mark.parametrize("owners", [False, True])
+@pytest.mark.parametrize(("queries", "tile"), [(10_000, (1000, 2000)), (7, (3, 5))])
+def test_dense_search_multiplies_blocks(spark, monkeypatch, owners, queries, tile):
+    """No join of all pairs; blocks, tiles, ties and odd vectors, as by hand: a null one comes last, one of length 0 has a score of 0."""
+    monkeypatch.setattr(retrieve, "QUERIES", queries)
+    monkeypatch.setattr(retrieve, "TILE", tile)
+    rng = np.random.default_rng(5)
+    rows = [(i, None if i % 19 == 7 else [0.0] * 4 if i % 17 == 3 else [float(x) for x in rng.integers(-2, 3, 4)], ("base", "s1", "s2", None)[i % 4]) for i in range(90)]
+    v = spark.createDataFrame(rows, "chunk_id long, vector array<float>, owner string").repartition(3)
+    asked = [(i, x, ("s1", "s2", None, "s9")[i % 4]) for i, x, _ in rows[:31]]
+    q = spark.createDataFrame(asked, "query_id long, vector array<float>, session string")
+
+    def score(x, y):
+        return None if x is None or y is None else round(np.dot(x, y) / max(np.linalg.norm(x) * np.linalg.norm(y), 1e-300), 6) + 0.0
+
+    want = []
+    for i, x, session in asked:
+        seen = [(c, score(x, y)) for c, y, o in rows if not owners or o == "base" or (o is not None and o == session)]
+        best = sorted(seen, key=lambda s: (s[1] is None, -(s[1] or 0.0), s[0]))[:40]
+        want += [(i, n, c, s) for n, (c, s) in enumerate(best, 1)]
+    found = retrieve.dense_search(q, v, 40, owners=owners)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.query_id, r.rank, r.chunk_id, r.score) for r in found.orderBy("query_id", "rank").collect()] == want
+    assert retrieve.dense_search(q.limit(0), v).collect() == []
+
+
 @pytest.mark.parametrize(("score", "tau", "ok"), [(0.20, 0.35, False), (0.50, 0.35, True), (0.35, 0.35, True)])
 def test_gate(spark, score, tau, ok):
     rows = spark.createDataFrame([(1, [("c",)], score)], "query_id int, chunks array<struct<chunk_id:string>>, top_score double")

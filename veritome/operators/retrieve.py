@@ -8,16 +8,21 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veritome.config import DEFAULT, Config
 from veritome.functions import text as X
+from veritome.operators.best import Best
 from veritome.sources.tables import durable
 
 #: A side of a join is only broadcast if it has at most so many rows by count.
 BROADCAST_ROWS = 50_000
+#: Dense queries of a block, and queries and vectors of a tile, whose scores are in memory at a time.
+QUERIES, TILE = 10_000, (1000, 2000)
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -84,26 +89,75 @@ def merged_search(base: DataFrame, session: DataFrame, k: int | None = None, cfg
     return kept.select("query_id", "rank", "chunk_id", "score", "list_no")
 
 
-def _dot(x: str, y: str) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows of unit length, those of length 0 and null ones as zeros, and which of them are null."""
+    null = column.is_null().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    rows = np.zeros((len(null), len(flat) // max(1, int((~null).sum()))))
+    rows[~null] = flat.reshape(int((~null).sum()), -1)
+    return rows / np.maximum(np.sqrt((rows * rows).sum(1, keepdims=True)), 1e-300), null
+
+
+class _Asked:
+    """A block of queries: ids, unit vectors, which of them are null, and for each the number of its session's name."""
+
+    def __init__(self, rows: pa.Table):
+        self.ids, (self.vectors, self.null) = rows.column("query_id").combine_chunks(), _matrix(rows.column("vector").combine_chunks())
+        names = rows.column("session").to_pylist() if "session" in rows.column_names else []
+        self.codes = {"base": -1} | {s: i for i, s in enumerate(sorted(set(names) - {None, "base"}))}
+        self.sessions = np.array([-2 if s is None else self.codes[s] for s in names])
+
+
+def _scored(asked: _Asked, best: Best, ids: pa.Array, vectors: pa.Array, owners: pa.Array | None) -> None:
+    """Adds the scores of these vectors to the best ones; a null vector, on either side, comes after all others."""
+    (units, null), k = _matrix(vectors), best.k
+    codes = np.array([asked.codes.get(o, -3) for o in owners.to_pylist()]) if owners is not None else None  # a null owner is nobody's
+    for at in range(0, len(asked.ids), TILE[0]):
+        own = slice(at, min(at + TILE[0], len(asked.ids)))
+        for start in range(0, len(units), TILE[1]):
+            to = min(start + TILE[1], len(units))
+            scores = asked.vectors[own] @ units[start:to].T
+            scores[asked.null[own]] = -np.inf
+            scores[:, null[start:to]] = -np.inf
+            seen = np.ones(scores.shape, bool) if codes is None else (codes[start:to] == -1)[None] | (asked.sessions[own][:, None] == codes[start:to][None])
+            floor = best.floor[own]
+            if to - start > k and np.isneginf(floor).any():  # no floor yet: the k-th of this tile is one, if so many are seen
+                floor = np.maximum(floor, np.partition(np.where(seen, scores, -np.inf), -k, 1)[:, -k])
+            q, v = np.nonzero(seen & (scores >= (floor - 2e-6)[:, None]))
+            exact = scores[q, v] * 1e6
+            best.add(q + at, np.sign(exact) * np.floor(np.abs(exact) + 0.5) / 1e6 + 0.0, ids.take(pa.array(v + start)))
+        best.cut()
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int | None = None, cfg: Config = DEFAULT, owners: bool = False) -> DataFrame:
     """queries (query_id, vector[, session]), vectors (chunk_id, vector[, owner]) -> (query_id, rank, chunk_id, score), by exact cosine, ties by chunk_id.
 
-    Queries are a stated set against all vectors, in blocks of BROADCAST_ROWS; lengths are computed once for each vector.  With owners, a query sees the base and its own session, and the filter
-    comes before the ranking.
+    Queries are a stated set against all vectors, broadcast in blocks of QUERIES; a task multiplies its vectors with a block as matrices, tile by tile in double precision, and passes on at most
+    k rows a query.  With owners, a query sees the base and its own session, and the filter comes before the ranking.  A null vector has a null score, which comes last; one of length 0 a score of 0.
     """
-    asked = queries.withColumnRenamed("vector", "q").withColumn("q_length", F.sqrt(_dot("q", "q")))
-    held = vectors.withColumnRenamed("vector", "v").withColumn("v_length", F.sqrt(_dot("v", "v")))
-    blocks = -(-asked.count() // BROADCAST_ROWS)
-    sees = F.col("owner").isin("base") | (F.col("owner") == F.col("session")) if owners else F.lit(True)
-    found = []
-    for i in range(max(blocks, 1)):
-        block = asked if blocks <= 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        scored = held.join(F.broadcast(block), sees).select("query_id", "chunk_id", F.round(_dot("q", "v") / (F.col("q_length") * F.col("v_length")), 6).alias("score"))
-        found.append(top(scored, k or cfg.dense_k, [F.desc("score"), F.col("chunk_id")], ["query_id"]).select("query_id", "rank", "chunk_id", "score"))
-    return reduce(DataFrame.unionByName, found)
+    k, spark = k or cfg.dense_k, queries.sparkSession
+    asked = queries.select("query_id", "vector", *(["session"] if owners else []))
+    # few files can mean few tasks, and the work of a row is that of all queries
+    held = vectors.select("chunk_id", "vector", *(["owner"] if owners else [])).repartition(max(spark.sparkContext.defaultParallelism, vectors.rdd.getNumPartitions()))
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"
+    blocks, found = -(-asked.count() // QUERIES), []
+    for i in range(blocks):
+        rows = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).toArrow()
+        if not rows.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast(_Asked(rows))
+
+        def search(batches, shared=shared):
+            best = Best(k, len(shared.value.ids))
+            for batch in batches:
+                _scored(shared.value, best, batch.column(0), batch.column(1), batch.column(2) if owners else None)
+            kept = best.cut()
+            if kept:
+                yield pa.RecordBatch.from_arrays([shared.value.ids.take(pa.array(kept[0])), kept[2], pa.array(kept[1], mask=np.isneginf(kept[1]))], names=["query_id", "chunk_id", "score"])
+
+        found.append(held.mapInArrow(search, kinds))
+    every = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], kinds)
+    return top(every, k, [F.desc("score"), F.col("chunk_id")], ["query_id"]).select("query_id", "rank", "chunk_id", "score")
 
 
 def fused(lists: DataFrame, top_n: int | None = None, cfg: Config = DEFAULT) -> DataFrame:
