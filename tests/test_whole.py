@@ -2,9 +2,11 @@
 
 import json
 
+import duckdb
 import pytest
 
-from veritome.operators import chat, evals
+from tests.test_catalog import normal
+from veritome.operators import chat, evals, ingest
 from veritome.plans import catalog
 from veritome.sources import tables
 
@@ -95,3 +97,25 @@ def test_items_are_numbered_in_ranges(spark):
     want = {f"G{n:03}": r[1] for n, r in enumerate(sorted(r for r in rows if r[2]), 1)}
     assert {r.id: r.text for r in got.collect()} == want and "_range" not in got.columns
     assert evals.renumbered(spark.createDataFrame([], got.schema)).count() == 0
+
+
+def against_sql(spark, sf_dir, name, *needed):
+    con = duckdb.connect()
+    for t in needed:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet/*.parquet'")
+    got, want = catalog.QUERIES[name](spark, sf_dir).toPandas(), con.execute(catalog.ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and len(want)
+    assert normal(got).equals(normal(want))
+
+
+@pytest.mark.parametrize("name", ["chunk_summary", "clause_body", "clause_chunks", "successor_check", "heading_candidates", "heading_detect", "heading_path", "depth_histogram"])
+def test_addresses_are_not_clauses(spark, folder, name):
+    """Lines that begin with an IPv4 address, some of which would follow the heading before them plausibly."""
+    texts = {1: "12.155.210.168 Reeding of the cells.\nsecond line of text\nthird line of text", 2: "first\n8.8.100.100  Anhaor heash.\nlast", 3: "no address here\n" * 5 + "end"}
+    against_sql(spark, folder(documents=documents(texts)), name, "documents")
+
+
+def test_clauses_of_four_levels_are_headings(spark):
+    numbers = ["1.1.1.1", "4.3.126.1", "6.1.6.30", "22.4.3.1", "10.3.20.200", "25.300.40.2", "22.23.24.25.26", "30.40.50"]
+    lines = spark.createDataFrame([(1, i, 1, f"{n} Title of it") for i, n in enumerate([*numbers, "56.187.231.175", "48.3.5.200"])], "doc_id long, line_no int, page int, line string")
+    assert [r.num for r in ingest.heading_candidates(lines).orderBy("line_no").collect()] == numbers
