@@ -119,3 +119,27 @@ def test_clauses_of_four_levels_are_headings(spark):
     numbers = ["1.1.1.1", "4.3.126.1", "6.1.6.30", "22.4.3.1", "10.3.20.200", "25.300.40.2", "22.23.24.25.26", "30.40.50"]
     lines = spark.createDataFrame([(1, i, 1, f"{n} Title of it") for i, n in enumerate([*numbers, "56.187.231.175", "48.3.5.200"])], "doc_id long, line_no int, page int, line string")
     assert [r.num for r in ingest.heading_candidates(lines).orderBy("line_no").collect()] == numbers
+
+
+@pytest.mark.parametrize("name", ["ungrounded_rate", "ungrounded_rate_all", "verdict_summary", "claim_verify", "claim_verify_batched"])
+def test_accents_bound_words_of_a_negation(spark, folder, name):
+    """As in SQL, `no` before an accented letter negates a claim, which its source, cut before it, doesn't."""
+    words = [f"alarm{i} severity{i}" for i in range(6)]
+    filler = "\n".join(["plain words of the net"] * 3 + [" ".join(words)] + ["filler " * 60] * 8)
+    texts = {4: filler + "\n" + " ".join(words) + " noé", 5: "alarm\n" * 3 + "no alarm"}
+    against_sql(spark, folder(documents=documents(texts)), name, "documents")
+
+
+@pytest.mark.parametrize("name", ["ungrounded_rate", "verdict_summary"])
+def test_rates_are_rounded_as_in_sql(spark, folder, name):
+    """23 of 800 claims that name other words, 0.02875, and more such shares: the product with 10,000 tells which way they are rounded."""
+    texts = {i * 4: "\n".join(f"other{j}x" if j < 400 + 2 * i + 1 and j % 4 < 2 else f"alarm{j % 7}x" for j in range(800)) for i in range(40)}
+    d = folder(documents=documents(texts))
+    against_sql(spark, d, name, "documents")
+
+
+def test_accents_bound_words_of_an_intent(spark, folder):
+    """As in SQL: `ue` before an accented letter is a word that the documents are about."""
+    texts = ["En ez no ciónesezga lañllezga ueó cill.", "été, été", "ok ok", "hié there", "Ünr of all", "what about ité", "Kpi ſession of these", "plain words here that say little"]
+    rows = [(1, i, "user", t) for i, t in enumerate(texts)] + [(2, 0, "user", texts[0])]
+    against_sql(spark, folder(conversations=(rows, "conv_id long, turn long, role string, text string")), "intent_classify", "conversations")
